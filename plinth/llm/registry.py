@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import decontaminate, sentencepiece_bpe
+from plinth.llm import decontaminate, jaccard_join, sentencepiece_bpe, substring_dedup
 from plinth.llm.common import table
 
 QUERIES: dict = {}
@@ -31,3 +31,13 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_report(table(spark, sf_dir, "documents"))
