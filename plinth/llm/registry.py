@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import decontaminate, jaccard_join, sentencepiece_bpe, substring_dedup
+from plinth.llm import chat_format, decontaminate, jaccard_join, quality_ledger, sentencepiece_bpe, substring_dedup
 from plinth.llm.common import table
 
 QUERIES: dict = {}
@@ -41,3 +41,16 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ledger.quality_report(table(spark, sf_dir, "documents"))
+
+
+ORACLES |= {"op8_chat_format": chat_format.REPORT_SQL, "op10_quality_ledger": quality_ledger.REPORT_SQL}
