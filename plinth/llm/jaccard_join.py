@@ -4,10 +4,13 @@ Two texts link when their sets of word shingles overlap by at least ``percent``
 their union. Documents with equal sets form one class, which one document stands for.
 
 1. Routing. A link needs T common shingles, so two linked sets share one of the shortest
-   n - T + 1 inverted lists of either. Lists are ordered by a summary of frequent shingles
-   (of bounded size; it covers all texts and only decides the order, so any summary gives the
-   same links), then by hash. Documents that share such a list come into one *family*, through
-   the list's leader: linear in the list, never all pairs of it.
+   n - T + 1 inverted lists of either, in any one order of all lists. The order here: a fixed
+   part of hash space (``counted``), by exact list length; then the other lists, by hash; last
+   those of a summary of frequent shingles (of bounded size), by frequency. Lists of one
+   document need no routing; usually they are the whole of a text's shortest lists. Documents
+   that share one of their shortest lists come into one *family*, through the list's leader:
+   linear in the list, never all pairs of it. Counting a part of hash space only is a choice of
+   order: every shingle of every text has its place in it, and links don't depend on it.
 2. Pivots. In a family of more than ``BLOCK`` documents, a few pivots are compared with
    every member. Those linked to the pivots of one component need no further search among
    themselves; the others remain as queries.
@@ -36,7 +39,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.common import WHITE, Spans, Words, lookup, mix, staged, text_slices, word_hashes, words_of
@@ -115,39 +118,89 @@ def frequency_summary(docs: DataFrame, k: int, most: int = SUMMARY) -> tuple[np.
     return values[order], got["n"].to_numpy(np.int64)[order]
 
 
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("keys", pa.list_(pa.int64()))])
-_PROFILE_DDL = "doc_id long, row_key long, n long, sig_a long, sig_b long, keys array<long>"
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("counted", pa.int64()), ("rest", pa.list_(pa.int64()))])
+_PROFILE_DDL = "doc_id long, row_key long, n long, sig_a long, sig_b long, counted long, rest array<long>"
+
+
+def counted_part(percent: int) -> float:
+    """The part of hash space whose lists are counted: about twice a text's shortest lists."""
+    return min(1.0, 2.0 * (1 - percent / 100))
+
+
+def _frequency(hashes: np.ndarray, summary) -> np.ndarray:
+    """What the summary says of each shingle; 0 if it isn't there."""
+    values, counts = summary
+    if not len(values):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
+    return np.where(values[at] == hashes, counts[at], 0)
 
 
 def _profiles(k: int, percent: int, summary):
-    """Size, signature and the shortest lists of each text's set."""
+    """Size and signature of each text's set, how many of its lists are counted, and as many of the others as may be needed, in order."""
+    limit = np.uint64(int(counted_part(percent) * (2**64 - 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts = summary.value
         for batch in batches:
             for row, end, data, offsets in text_slices(batch.column("text")):
                 owner, hashes = shingle_sets(data, offsets, k)
-                size = np.bincount(owner, minlength=end - row)
+                rows = end - row
+                size = np.bincount(owner, minlength=rows)
                 first = np.r_[0, np.cumsum(size)]
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
-                    often = np.where(values[at] == hashes, counts[at], 0)
-                else:
-                    often = np.zeros(len(hashes), np.int64)
-                order = np.lexsort((hashes, often, owner))
-                rank = np.arange(len(order)) - first[owner]
-                prefix = size - -(-percent * size // 100) + 1
-                keys = hashes[order][rank < prefix[owner]]
+                often = _frequency(hashes, summary.value)
+                is_counted = (often == 0) & (hashes <= limit)
+                rest = np.flatnonzero(~is_counted)
+                rest = rest[np.lexsort((hashes[rest], often[rest], owner[rest]))]
+                n_rest = np.bincount(owner[rest], minlength=rows)
+                rank = np.arange(len(rest)) - np.r_[0, np.cumsum(n_rest)][owner[rest]]
+                prefix = prefix_size(size, percent)
+                rest = rest[rank < prefix[owner[rest]]]
                 sums = []
                 for salt in (0x1B873593, 0x5851F42D):
                     total = np.r_[np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(salt)))]
                     sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.minimum(prefix, size))].astype(np.int32)), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, end - row), batch.column("row_key").slice(row, end - row), pa.array(size.astype(np.int64)), *map(pa.array, sums), lists], schema=_PROFILE)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.minimum(prefix, n_rest))].astype(np.int32)), pa.array(hashes[rest].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, rows), batch.column("row_key").slice(row, rows), pa.array(size.astype(np.int64)), *map(pa.array, sums), pa.array((size - n_rest).astype(np.int64)), lists], schema=_PROFILE)
 
     return run
 
 
+def prefix_size(n, percent: int):
+    """How many of n lists hold every possible partner: n - T + 1 for the least T."""
+    return n - -(-percent * n // 100) + 1
+
+
+def _counted_lists(k: int, percent: int, summary):
+    """(shingle, doc_id): the counted lists."""
+    limit = np.uint64(int(counted_part(percent) * (2**64 - 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for row, _, data, offsets in text_slices(batch.column("text")):
+                owner, hashes = shingle_sets(data, offsets, k)
+                chosen = hashes <= limit
+                owner, hashes = owner[chosen], hashes[chosen]
+                chosen = _frequency(hashes, summary.value) == 0
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[chosen].view(np.int64)), pa.array(ids[row + owner[chosen]])], names=["shingle", "doc_id"])
+
+    return run
+
+
+def _routing_keys(rows: DataFrame, reps: DataFrame, k: int, percent: int, summary) -> DataFrame:
+    """(rep, copies, key): the shortest lists of each set, without those of one document."""
+    counted = rows.where("doc_id is not null").select("doc_id", "text").mapInArrow(_counted_lists(k, percent, summary), "shingle long, doc_id long")
+    lengths = counted.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).where("df > 1")
+    shared = lengths.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
+    once = reps.groupBy("doc_id").agg(F.count("*").alias("texts"))  # of texts with one doc_id, all lists are keys
+    keyed = reps.join(shared, "doc_id", "left").join(once, "doc_id")
+    n_shared = F.coalesce(F.size("shared"), F.lit(0))
+    prefix = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    open_ = F.when(F.col("texts") > 1, F.lit(1 << 30)).otherwise(prefix - (F.col("counted") - n_shared)).cast("int")
+    keys = F.slice(F.concat(F.coalesce(F.transform("shared", lambda x: x["shingle"]), F.array().cast("array<bigint>")), F.col("rest")), F.lit(1), F.greatest(open_, F.lit(0)))
+    return keyed.select("rep", "copies", F.explode(keys).alias("key"))
+
+
 # --- search --------------------------------------------------------------------------------------------
 
 
@@ -316,17 +369,17 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 
     sets = ["n", "sig_a", "sig_b"]
     classes = profiles.where("n > 0 and doc_id is not null").groupBy(*sets).agg(F.min(F.struct("doc_id", "row_key")).alias("rep"), F.count("*").alias("copies"))
-    stands = (F.col("doc_id") == F.col("rep.doc_id")) & (F.col("row_key") == F.col("rep.row_key"))
-    members = profiles.join(classes, sets, "left").select("doc_id", "row_key", "n", F.col("rep.doc_id").alias("rep"), "copies", F.when(stands, F.col("keys")).alias("keys"))
-    members = staged(members, "members")
-
-    keys = members.where("keys is not null").select("rep", "copies", F.explode("keys").alias("key"))
+    classes = staged(classes.select(*sets, F.col("rep.doc_id").alias("rep"), F.col("rep.row_key").alias("rep_key"), "copies"), "classes")
+    members = staged(profiles.drop("counted", "rest").join(classes, sets, "left"), "members")
+    stands = classes.select(F.col("rep").alias("doc_id"), F.col("rep_key").alias("row_key"), "rep", "copies")
+    reps = profiles.select("doc_id", "row_key", "n", "counted", "rest").join(stands, ["doc_id", "row_key"])
+    keys = staged(_routing_keys(rows, reps, k, percent, summary), "keys")
     lists = keys.groupBy("key").agg((F.min("rep") < F.max("rep")).alias("shared"), F.min(F.struct(-F.col("copies"), "rep")).alias("lead")).where("shared").select("key", F.col("lead.rep").alias("lead"))
     routes = keys.select("key", "rep").join(lists, "key").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     families = staged(components(routes), "families").select(F.col("node").alias("rep"), F.col("component").alias("family"))
     families = families.join(families.groupBy("family").agg(F.count("*").alias("m")), "family")
 
-    chosen = members.where("keys is not null").select("doc_id", "row_key", "rep", "copies").distinct().join(families, "rep")
+    chosen = stands.join(families, "rep")
     texts = rows.join(chosen, ["doc_id", "row_key"]).select("family", "m", "rep", "copies", "text")
     texts = staged(texts, "family-texts")
     found = components(_family_links(texts, k, percent)).select(F.col("node").alias("rep"), "component")

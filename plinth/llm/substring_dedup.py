@@ -133,6 +133,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
 
     # minimizers of several documents; they branch where their copies span different words
     several = every.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.min("span") != F.max("span")).alias("branches")).where("low < high").drop("high")
+    several = staged(several, "repeated-minimizers")  # as a table of its own, so that the join can split a hot minimizer
     found = staged(every.join(several, "seed"), "repeated-super-kmers")
 
     plain = found.where("not branches and doc_id > low").select("doc_id", "row_key", F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end"))
