@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import chat_format, decontaminate, jaccard_join, quality_ledger, sentencepiece_bpe, substring_dedup
+from plinth.llm import chat_format, decontaminate, jaccard_join, quality_ledger, sentencepiece_bpe, substring_dedup, warc_convert
 from plinth.llm.common import table
 
 QUERIES: dict = {}
@@ -54,3 +54,11 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES |= {"op8_chat_format": chat_format.REPORT_SQL, "op10_quality_ledger": quality_ledger.REPORT_SQL}
+
+
+@query
+def op1_warc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_convert.warc_report(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op1_warc_convert"] = warc_convert.REPORT_SQL
