@@ -1,8 +1,55 @@
-"""The corpus pipeline: each stage takes what its predecessor kept."""
+"""The corpus pipeline: each stage takes what its predecessor kept, and its decisions take effect.
 
-STAGES: list = []
+A stage is (spark, docs, sf_dir) -> DataFrame, written as Parquet and read again as the next
+one's documents. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from plinth.llm import decontaminate, jaccard_join, language_id, sentencepiece_bpe, substring_dedup
+from plinth.llm.common import staged, table
+from plinth.llm.registry import tokenizer_path
+
+#: Words of a shingle, and the per cent of overlap from which documents are near duplicates.
+SHINGLE, PERCENT = 5, 80
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told."""
+    return language_id.keep_identified(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest doc_id."""
+    return jaccard_join.one_of_each(docs, SHINGLE, PERCENT)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 words and more that a document with a smaller doc_id has."""
+    return substring_dedup.without_repeats(docs)
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by the benchmark."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number and digest of each text's pieces."""
+    return sentencepiece_bpe.piece_digests(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("contaminated", contaminated), ("tokens", tokens)]
+
+#: Languages and pieces can't be told in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, from ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import chat_format, decontaminate, jaccard_join, quality_ledger, sentencepiece_bpe, substring_dedup, warc_convert
+from plinth.llm import chat_format, decontaminate, jaccard_join, language_id, piece_counts, quality_ledger, sentencepiece_bpe, substring_dedup, url_lists, warc_convert
 from plinth.llm.common import table
 
 QUERIES: dict = {}
@@ -62,3 +62,21 @@ def op1_warc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op1_warc_convert"] = warc_convert.REPORT_SQL
+
+
+@query
+def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lists.url_report(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op2_url_lists"] = url_lists.REPORT_SQL
+
+
+@query
+def op3_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(table(spark, sf_dir, "documents"))
