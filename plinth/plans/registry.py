@@ -1,6 +1,360 @@
-"""The registered graph queries and their SQL twins."""
+"""The registered graph queries and their SQL twins. Each runs over whole tables of a directory."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from plinth.functions import text as P
+from plinth.operators import diff, lift, views
+from plinth.plans.graph import DRAWN, REACHING, SQL, Graph
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, graph: bool = True):
+    """Registers a query; its SQL follows the graph's definitions."""
+
+    def put(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Graph(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = SQL + sql if graph else sql
+        return f
+
+    return put
+
+
+# --- files, predicates, scalar functions ---------------------------------------------------------------
+
+
+@query(" SELECT path, language, test, strftime(modified_at, '%Y-%m-%d') AS modified FROM files")
+def files(g: Graph) -> DataFrame:
+    return g.files.select("path", "language", "test", F.date_format("modified_at", "yyyy-MM-dd").alias("modified"))
+
+
+@query(" SELECT language, count(*) AS n_files, count(*) FILTER (test) AS n_tests FROM files GROUP BY language ORDER BY 2 DESC, 1")
+def language_counts(g: Graph) -> DataFrame:
+    return g.files.groupBy("language").agg(F.count("*").alias("n_files"), F.count_if("test").alias("n_tests")).orderBy(F.desc("n_files"), "language")
+
+
+@query(""", x AS (SELECT unnest(string_split(text, ' ')) AS w FROM documents), e AS (SELECT lower(regexp_extract(w, '[^.\n]\\.([A-Za-z]{1,4})$', 1)) AS ext FROM x)
+ SELECT CASE WHEN ext = '' THEN '(no extension)' ELSE ext END AS ext, count(*) AS n FROM e GROUP BY 1""".replace("\\\\", "\\"))
+def unread_census(g: Graph) -> DataFrame:
+    """Kinds of names that no reader knows, counted: here the words of documents stand for names."""
+    words = g.table("documents").select(F.explode(F.split("text", " ")).alias("w"))
+    ext = F.lower(F.regexp_extract("w", r"[^.\n]\.([A-Za-z]{1,4})$", 1))
+    return words.groupBy(F.when(ext == "", "(no extension)").otherwise(ext).alias("ext")).agg(F.count("*").alias("n"))
+
+
+@query(" SELECT path FROM files WHERE path LIKE 'promo/%' AND NOT contains(path, 'bolt') AND NOT test AND (modified_at IS NULL OR modified_at >= TIMESTAMP '2001-06-01' - INTERVAL 90 DAY)")
+def filtered_files(g: Graph) -> DataFrame:
+    f = views.Filter(only_path="promo/*", hide_path="bolt", hide_tests=True, since_ms=90 * 86_400_000)
+    return views.keep_files(g.files, f, now="2001-06-01 00:00:00").select("path")
+
+
+@query(" SELECT path FROM files WHERE NOT test AND path IN (SELECT path FROM status)")
+def changed_files(g: Graph) -> DataFrame:
+    return views.keep_files(g.files, views.Filter(hide_tests=True, only_changed=True), g.status).select("path")
+
+
+@query(" SELECT count(*) AS n FROM files WHERE test AND contains(path, '.ts')")
+def hidden_tests(g: Graph) -> DataFrame:
+    return views.keep_files(g.files, views.Filter(only_path=".ts")).where("test").agg(F.count("*").alias("n"))
+
+
+@query(" SELECT doc_id, (length(text) - length(replace(text, chr(10), '')) + CASE WHEN length(text) > 0 AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END)::BIGINT AS n_lines FROM documents")
+def line_counts(g: Graph) -> DataFrame:
+    return g.table("documents").select("doc_id", P.line_count(F.col("text")).alias("n_lines"))
+
+
+@query("""SELECT event_id, CASE u WHEN 0 THEN n * 1000 WHEN 1 THEN n * 60000 WHEN 2 THEN n * 3600000 WHEN 3 THEN n * 86400000 ELSE 0 END::BIGINT AS ms
+ FROM (SELECT event_id, user_id % 5 AS u, event_id % 97 AS n FROM events)""", graph=False)
+def durations(g: Graph) -> DataFrame:
+    unit = F.get(F.array(*map(F.lit, "smhdx")), (F.col("user_id") % 5).cast("int"))
+    return g.table("events").select("event_id", P.duration_ms(F.concat((F.col("event_id") % 97).cast("string"), F.lit(" "), unit)).alias("ms"))
+
+
+@query(""", t AS (SELECT *, string_split(path, '/') AS p FROM files) SELECT path, len(p)::BIGINT AS depth, p[1] AS first_part, p[len(p)] AS name,
+ CASE WHEN len(p) = 4 THEN p[1] || '>' || p[1] || '/' || p[2] || '>' || p[1] || '/' || p[2] || '/' || p[3] ELSE p[1] || '>' || p[1] || '/' || p[2] END AS above FROM t""")
+def path_parts(g: Graph) -> DataFrame:
+    p = F.col("path")
+    return g.files.select("path", F.size(F.split(p, "/")).cast("long").alias("depth"), F.substring_index(p, "/", 1).alias("first_part"), P.base_name(p).alias("name"), F.array_join(P.ancestors(p), ">").alias("above"))
+
+
+# --- edges, lifting ---------------------------------------------------------------------------------------
+
+
+@query(" SELECT src, kind, dst, guessed, refs FROM edges")
+def edges(g: Graph) -> DataFrame:
+    return g.edges.select("src", "kind", "dst", "guessed", "refs")
+
+
+@query(" SELECT kind, count(*) AS n, count(guessed) AS n_guessed FROM edges GROUP BY kind UNION ALL SELECT 'contains', count(*), 0 FROM symbols")
+def edge_kinds(g: Graph) -> DataFrame:
+    return g.edges.groupBy("kind").agg(F.count("*").alias("n"), F.count("guessed").alias("n_guessed")).unionByName(g.contains.groupBy("kind").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("n_guessed")))
+
+
+@query(" SELECT kind, count(*) AS n FROM symbols GROUP BY kind UNION ALL SELECT 'file', count(*) FROM files")
+def node_kinds(g: Graph) -> DataFrame:
+    return g.symbols.groupBy("kind").agg(F.count("*").alias("n")).unionByName(g.files.agg(F.lit("file").alias("kind"), F.count("*").alias("n")))
+
+
+@query(" SELECT src_file, kind, dst_file, weight, guessed FROM lifted WHERE kind IN ('imports', 'extends', 'implements')")
+def lifted(g: Graph) -> DataFrame:
+    return lift.lift_to_files(g.edges, DRAWN)
+
+
+@query(" SELECT l.* FROM lifted l WHERE NOT contains(src_file, '/tests/') AND NOT contains(dst_file, '/tests/')")
+def lifted_filtered(g: Graph) -> DataFrame:
+    return lift.between(lift.lift_to_files(g.edges), views.keep_files(g.files, views.Filter(hide_tests=True))).select("src_file", "kind", "dst_file", "weight", "guessed")
+
+
+@query(""" SELECT l.* FROM lifted l WHERE kind <> 'imports' OR NOT EXISTS (SELECT 1 FROM lifted m WHERE m.kind IN ('calls', 'associates') AND m.src_file = l.src_file AND m.dst_file = l.dst_file)""")
+def told_imports(g: Graph) -> DataFrame:
+    return lift.without_told_imports(lift.lift_to_files(g.edges)).select("src_file", "kind", "dst_file", "weight", "guessed")
+
+
+BOXES_SQL = ", boxes AS (SELECT path, split_part(path, '/', 1) AS box FROM files), bl AS (SELECT a.box AS src_box, kind, b.box AS dst_box, sum(weight)::BIGINT AS weight, CASE WHEN bool_and(coalesce(guessed, false)) THEN true END AS guessed FROM lifted JOIN boxes a ON src_file = a.path JOIN boxes b ON dst_file = b.path WHERE a.box <> b.box GROUP BY ALL)"
+
+
+@query(BOXES_SQL + " SELECT * FROM bl WHERE kind IN ('imports', 'extends', 'implements')")
+def scope_lines(g: Graph) -> DataFrame:
+    """The root view: directory boxes and weighted lines."""
+    return lift.lift_to_boxes(lift.lift_to_files(g.edges, DRAWN), views.scope_boxes(g.files))
+
+
+@query(""", b AS (SELECT path, CASE WHEN path LIKE 'promo/brand4/%' THEN path ELSE regexp_replace(path, '/[^/]*$', '') END AS box, CASE WHEN path LIKE 'promo/brand4/%' THEN 'file' ELSE 'external' END AS kind FROM files)
+ SELECT box, kind, count(*) AS n_files FROM b GROUP BY ALL""")
+def scope_of_brand(g: Graph) -> DataFrame:
+    """A small scope: its files are boxes, all others are external directories."""
+    return views.scope_boxes(g.files, "promo/brand4").groupBy("box", "kind").agg(F.count("*").alias("n_files"))
+
+
+@query(BOXES_SQL + """ SELECT box, count(*) AS n_files, CASE WHEN count(DISTINCT language) = 1 AND count(language) = count(*) THEN min(language) END AS language, bool_and(test) AS test, count(status) AS n_changed
+ FROM boxes JOIN files USING (path) LEFT JOIN status USING (path) GROUP BY box""")
+def box_facts(g: Graph) -> DataFrame:
+    return lift.box_facts(views.scope_boxes(g.files), g.files, g.status)
+
+
+@query(BOXES_SQL + " SELECT box, sum(i)::BIGINT AS weight_in, sum(o)::BIGINT AS weight_out FROM (SELECT src_box AS box, 0 AS i, weight AS o FROM bl UNION ALL SELECT dst_box, weight, 0 FROM bl) GROUP BY box")
+def list_rows(g: Graph) -> DataFrame:
+    return lift.in_and_out(lift.lift_to_boxes(lift.lift_to_files(g.edges), views.scope_boxes(g.files)))
+
+
+LINKS_SQL = ", links AS (SELECT src_file, dst_file, sum(weight)::BIGINT AS weight FROM lifted WHERE kind <> 'depends' AND NOT contains(src_file, '/tests/') AND NOT contains(dst_file, '/tests/') GROUP BY ALL)"
+
+
+@query(LINKS_SQL + " SELECT * FROM links")
+def file_links(g: Graph) -> DataFrame:
+    return lift.file_links(g.edges, g.files)
+
+
+@query(LINKS_SQL + """, w AS (SELECT src_file AS path, dst_file AS other, weight FROM links UNION ALL SELECT dst_file, src_file, weight FROM links)
+ SELECT f.path, other, sum(weight)::BIGINT AS weight FROM files f LEFT JOIN w USING (path) WHERE NOT test GROUP BY ALL""")
+def neighbours(g: Graph) -> DataFrame:
+    return lift.neighbours(lift.file_links(g.edges, g.files), g.files)
+
+
+CLUSTER_SQL = LINKS_SQL + ", m AS (SELECT path, split_part(path, '/', 2) AS cluster FROM files WHERE NOT test)"
+
+
+def _clusters(g: Graph) -> DataFrame:
+    return g.files.where("not test").select("path", F.get(F.split("path", "/"), F.lit(1)).alias("cluster"))
+
+
+@query(CLUSTER_SQL + " SELECT least(a.cluster, b.cluster) AS low, greatest(a.cluster, b.cluster) AS high, sum(weight)::BIGINT AS weight FROM links JOIN m a ON src_file = a.path JOIN m b ON dst_file = b.path WHERE a.cluster <> b.cluster GROUP BY ALL")
+def crossings(g: Graph) -> DataFrame:
+    return lift.crossings(lift.file_links(g.edges, g.files), _clusters(g))
+
+
+@query(CLUSTER_SQL + """, e AS (SELECT a.cluster AS a, b.cluster AS b, weight FROM links LEFT JOIN m a ON src_file = a.path LEFT JOIN m b ON dst_file = b.path),
+ i AS (SELECT a AS cluster, sum(weight) AS n FROM e WHERE a = b GROUP BY a), o AS (SELECT cluster, sum(weight) AS n FROM (SELECT a AS cluster, weight FROM e WHERE a IS DISTINCT FROM b UNION ALL SELECT b, weight FROM e WHERE a IS DISTINCT FROM b) WHERE cluster IS NOT NULL GROUP BY 1)
+ SELECT cluster, n_files, coalesce(i.n, 0)::BIGINT AS inside, coalesce(o.n, 0)::BIGINT AS leaving, CASE WHEN coalesce(i.n, 0) + coalesce(o.n, 0) > 0 THEN coalesce(i.n, 0)::DOUBLE / (coalesce(i.n, 0) + coalesce(o.n, 0))::DOUBLE ELSE 0.0 END AS cohesion
+ FROM (SELECT cluster, count(*) AS n_files FROM m GROUP BY cluster) LEFT JOIN i USING (cluster) LEFT JOIN o USING (cluster)""")
+def cohesion(g: Graph) -> DataFrame:
+    return lift.cohesion(lift.file_links(g.edges, g.files), _clusters(g))
+
+
+@query(BOXES_SQL + """, p AS (SELECT b.box, dst AS symbol, count(DISTINCT src_file) AS n_files, CASE WHEN bool_and(coalesce(guessed, false)) THEN true END AS guessed FROM edges JOIN boxes a ON src_file = a.path JOIN boxes b ON dst_file = b.path
+ WHERE kind IN ('calls', 'extends', 'implements', 'associates') AND a.box <> b.box GROUP BY ALL), r AS (SELECT *, count(*) OVER (PARTITION BY box) AS total, row_number() OVER (PARTITION BY box ORDER BY n_files DESC, symbol) AS rank FROM p)
+ SELECT * FROM r WHERE rank <= 12""")
+def provides(g: Graph) -> DataFrame:
+    return lift.provides(g.edges, g.symbols, views.scope_boxes(g.files), REACHING)
+
+
+@query(""", ge AS (SELECT * FROM edges WHERE kind = 'imports' AND guessed), rc AS (SELECT DISTINCT src_file, dst_file AS path FROM ge WHERE src_file <> dst_file), rt AS (SELECT path, bool_or(NOT test) AS by_source, bool_or(test) AS by_test FROM rc JOIN (SELECT path AS src_file, test FROM files) USING (src_file) GROUP BY path),
+ im AS (SELECT src_file AS path, count(DISTINCT dst_file) AS imports FROM ge GROUP BY 1),
+ f AS (SELECT path, CASE WHEN by_test THEN 'only tests reach it' ELSE 'nothing reaches it' END AS why, coalesce(imports, 0) AS imports FROM files LEFT JOIN rt USING (path) LEFT JOIN im USING (path) WHERE NOT test AND NOT coalesce(by_source, false))
+ SELECT path, why, imports, count(*) OVER () AS total FROM f ORDER BY imports DESC, path LIMIT 12""")
+def roots(g: Graph) -> DataFrame:
+    return lift.roots(g.edges.where("kind = 'imports' and guessed"), g.files)
+
+
+@query(""", r AS (SELECT src_file, dst_file, CASE WHEN composed AND NOT handed THEN 'composition' WHEN handed AND NOT composed THEN 'aggregation' END AS own FROM (SELECT src_file, dst_file, refs % 2 = 1 AS composed, coalesce(guessed, false) AS handed FROM edges WHERE kind = 'associates' AND src_file <> dst_file))
+ SELECT src_file, dst_file, count(*) AS n_roles, CASE WHEN count(DISTINCT own) = 1 THEN max(own) END AS ownership, CASE WHEN count(DISTINCT own) <> 1 THEN 'has' WHEN max(own) = 'composition' THEN 'is made of' ELSE 'holds' END AS phrase FROM r GROUP BY ALL""")
+def ownership(g: Graph) -> DataFrame:
+    """What associations between two files say of ownership: one word if all that speak agree."""
+    rows = g.edges.where("kind = 'associates' and src_file <> dst_file").withColumn("own", lift.role_of(F.col("refs") % 2 == 1, F.coalesce("guessed", F.lit(False))))
+    out = rows.groupBy("src_file", "dst_file").agg(F.count("*").alias("n_roles"), lift.ownership_of(F.col("own")).alias("ownership"))
+    return out.withColumn("phrase", views.phrase(F.lit("associates"), F.col("ownership")))
+
+
+@query(" SELECT DISTINCT unnest([src, dst]) AS symbol FROM edges WHERE src_file <> dst_file AND kind <> 'imports'")
+def linked_members(g: Graph) -> DataFrame:
+    return views.linked_members(g.edges)
+
+
+@query(" SELECT id, kind, CASE WHEN kind IN ('method', 'field', 'interface', 'type') OR ends_with(path, '.java') THEN 'partial' ELSE 'tracked' END AS tracking FROM symbols")
+def tracking(g: Graph) -> DataFrame:
+    return g.symbols.select("id", "kind", views.tracking(F.col("kind"), F.col("path"), F.col("name")).alias("tracking"))
+
+
+@query(""", m AS (SELECT path, string_agg(name || ':' || kind, ',' ORDER BY symbol_ord) AS members, count(*) AS n FROM symbols WHERE kind IN ('class', 'function') GROUP BY path) SELECT path, n, members FROM m""")
+def file_members(g: Graph) -> DataFrame:
+    """Members of each file in the order of declaration; a file without members of the chosen kinds gets no box."""
+    rows = g.symbols.where(F.col("kind").isin("class", "function")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("symbol_ord", "name", "kind"))).alias("m"))
+    return rows.select("path", F.size("m").cast("long").alias("n"), F.array_join(F.transform("m", lambda x: F.concat(x["name"], F.lit(":"), x["kind"])), ",").alias("members"))
+
+
+# --- neighbours of one file, several hops, pass-throughs --------------------------------------------------
+
+START = "(SELECT min(path) FROM files WHERE path LIKE 'promo/%')"
+
+
+def _start(g: Graph) -> str:
+    return g.paths.where("path like 'promo/%'").agg(F.min("path")).first()[0] or ""
+
+
+@query(f""", one AS (SELECT DISTINCT src_file, dst_file FROM lifted WHERE kind IN ('imports', 'extends', 'implements')), s AS (SELECT {START} AS path),
+ d1 AS (SELECT DISTINCT dst_file AS path FROM one WHERE src_file IN (FROM s) AND dst_file NOT IN (FROM s)), u1 AS (SELECT DISTINCT src_file AS path FROM one WHERE dst_file IN (FROM s) AND src_file NOT IN (FROM s) AND src_file NOT IN (FROM d1))
+ SELECT path, 0 AS hop, 'self' AS direction, path AS box FROM s UNION ALL SELECT path, 1, 'dependencies', CASE WHEN (SELECT count(*) FROM d1) > 10 THEN 'bundle:dependencies:1' ELSE path END FROM d1
+ UNION ALL SELECT path, 1, 'dependents', CASE WHEN (SELECT count(*) FROM u1) > 10 THEN 'bundle:dependents:1' ELSE path END FROM u1""")
+def focus_one(g: Graph) -> DataFrame:
+    return views.focus(lift.lift_to_files(g.edges, DRAWN), _start(g), 1)
+
+
+@query(f""", one AS (SELECT DISTINCT src_file, dst_file FROM lifted WHERE kind = 'imports'), s AS (SELECT {START} AS path),
+ d1 AS (SELECT DISTINCT dst_file AS path FROM one WHERE src_file IN (FROM s) AND dst_file NOT IN (FROM s)), u1 AS (SELECT DISTINCT src_file AS path FROM one WHERE dst_file IN (FROM s) AND src_file NOT IN (FROM s) AND src_file NOT IN (FROM d1)),
+ e1 AS (SELECT path FROM d1 WHERE (SELECT count(*) FROM d1) <= 10 UNION ALL SELECT path FROM u1 WHERE (SELECT count(*) FROM u1) <= 10), seen AS (FROM s UNION ALL FROM d1 UNION ALL FROM u1),
+ d2 AS (SELECT DISTINCT dst_file AS path FROM one WHERE src_file IN (FROM e1) AND dst_file NOT IN (FROM seen)), u2 AS (SELECT DISTINCT src_file AS path FROM one WHERE dst_file IN (FROM e1) AND src_file NOT IN (FROM seen) AND src_file NOT IN (FROM d2))
+ SELECT path, 0 AS hop, 'self' AS direction, path AS box FROM s UNION ALL SELECT path, 1, 'dependencies', CASE WHEN (SELECT count(*) FROM d1) > 10 THEN 'bundle:dependencies:1' ELSE path END FROM d1
+ UNION ALL SELECT path, 1, 'dependents', CASE WHEN (SELECT count(*) FROM u1) > 10 THEN 'bundle:dependents:1' ELSE path END FROM u1
+ UNION ALL SELECT path, 2, 'dependencies', CASE WHEN (SELECT count(*) FROM d2) > 10 THEN 'bundle:dependencies:2' ELSE path END FROM d2 UNION ALL SELECT path, 2, 'dependents', CASE WHEN (SELECT count(*) FROM u2) > 10 THEN 'bundle:dependents:2' ELSE path END FROM u2""")
+def focus_two(g: Graph) -> DataFrame:
+    return views.focus(lift.lift_to_files(g.edges, ["imports"]), _start(g), 2)
+
+
+@query(""", im AS (SELECT DISTINCT src_file, dst_file FROM edges WHERE kind = 'imports'), n AS (SELECT dst_file AS path, count(*) AS importers FROM im GROUP BY 1)
+ SELECT im.dst_file AS path, im.src_file AS importer, n.importers AS reach FROM im JOIN n ON n.path = im.src_file""")
+def pass_throughs(g: Graph) -> DataFrame:
+    """Importers of a file that are imported themselves, and by how many."""
+    im = g.edges.where("kind = 'imports'").select("src_file", "dst_file").distinct()
+    n = im.groupBy(F.col("dst_file").alias("importer")).agg(F.count("*").alias("reach"))
+    return im.select(F.col("dst_file").alias("path"), F.col("src_file").alias("importer")).join(n, "importer").select("path", "importer", "reach")
+
+
+@query(" SELECT dst_file AS path, count(DISTINCT src_file) AS importers, count(DISTINCT regexp_replace(src_file, '/[^/]*$', '')) AS folders FROM edges WHERE kind = 'imports' AND regexp_replace(src_file, '/[^/]*$', '') <> regexp_replace(dst_file, '/[^/]*$', '') GROUP BY 1")
+def imported_by(g: Graph) -> DataFrame:
+    """Importers of each file from other folders."""
+    rows = g.edges.where("kind = 'imports'").where(P.dir_name(F.col("src_file")) != P.dir_name(F.col("dst_file")))
+    return rows.groupBy(F.col("dst_file").alias("path")).agg(F.count_distinct("src_file").alias("importers"), F.count_distinct(P.dir_name(F.col("src_file"))).alias("folders"))
+
+
+# --- differences ------------------------------------------------------------------------------------------
+
+
+@query(" SELECT src, kind, dst, src_file, dst_file, 'removed' AS change FROM before b WHERE NOT EXISTS (SELECT 1 FROM after a WHERE a.src = b.src AND a.kind = b.kind AND a.dst = b.dst) UNION ALL SELECT src, kind, dst, src_file, dst_file, 'added' FROM after a WHERE NOT EXISTS (SELECT 1 FROM before b WHERE a.src = b.src AND a.kind = b.kind AND a.dst = b.dst)")
+def edge_diff(g: Graph) -> DataFrame:
+    return diff.edge_diff(g.snapshot(False), g.snapshot(True))
+
+
+DIFF_SQL = ", ed AS (SELECT src, kind, dst, src_file, dst_file, 'removed' AS change FROM before b ANTI JOIN after a USING (src, kind, dst) UNION ALL SELECT src, kind, dst, src_file, dst_file, 'added' FROM after a ANTI JOIN before b USING (src, kind, dst))"
+
+
+@query(DIFF_SQL + """, a AS (SELECT DISTINCT unnest([src_file, dst_file]) AS path FROM before), b AS (SELECT DISTINCT unnest([src_file, dst_file]) AS path FROM after)
+ SELECT path, 'added' AS change FROM b ANTI JOIN a USING (path) UNION ALL SELECT path, 'removed' FROM a ANTI JOIN b USING (path) UNION ALL SELECT path, 'touched' FROM a SEMI JOIN b USING (path) WHERE path IN (SELECT src_file FROM ed)""")
+def node_diff(g: Graph) -> DataFrame:
+    return diff.node_diff(g.snapshot(False), g.snapshot(True))
+
+
+@query(DIFF_SQL + " SELECT src_file, kind, dst_file, change, count(*) AS weight FROM ed WHERE src_file <> dst_file GROUP BY ALL")
+def diff_lines(g: Graph) -> DataFrame:
+    return diff.diff_lines(g.snapshot(False), g.snapshot(True))
+
+
+@query(DIFF_SQL + " SELECT change, kind, count(*) AS n, count(DISTINCT src_file || '>' || dst_file) AS pairs FROM ed GROUP BY ALL")
+def change_buckets(g: Graph) -> DataFrame:
+    return diff.change_buckets(g.snapshot(False), g.snapshot(True))
+
+
+@query(" SELECT coalesce(b.src, a.src) AS src, coalesce(b.kind, a.kind) AS kind, coalesce(b.dst, a.dst) AS dst, CASE WHEN a.src IS NULL THEN 'remove' ELSE 'upsert' END AS op FROM before b FULL JOIN after a USING (src, kind, dst) WHERE a.src IS NULL OR b.src IS NULL OR a.guessed IS DISTINCT FROM b.guessed")
+def store_delta(g: Graph) -> DataFrame:
+    return diff.row_delta(g.snapshot(False), g.snapshot(True), ["src", "kind", "dst"], ["guessed"])
+
+
+@query(", a AS (SELECT kind AS metric, count(*) AS n FROM before GROUP BY 1), b AS (SELECT kind AS metric, count(*) AS n FROM after GROUP BY 1) SELECT metric, a.n AS was, b.n AS now, CASE WHEN coalesce(a.n, 0) = coalesce(b.n, 0) THEN 'same' WHEN metric NOT IN ('calls', 'imports') THEN 'moved' WHEN (metric = 'calls') = (coalesce(b.n, 0) > coalesce(a.n, 0)) THEN 'better' ELSE 'worse' END AS verdict FROM a FULL JOIN b USING (metric)")
+def baseline_compare(g: Graph) -> DataFrame:
+    count = lambda e: e.groupBy(F.col("kind").alias("metric")).agg(F.count("*").alias("n"))
+    return diff.compare_counts(count(g.snapshot(False)), count(g.snapshot(True)), {"calls": "up", "imports": "down"})
+
+
+@query(""", x AS (SELECT kind, count(*) FILTER (a.src IS NOT NULL AND b.src IS NOT NULL) AS both_, count(*) FILTER (a.src IS NULL) AS only_ours, count(*) FILTER (b.src IS NULL) AS only_theirs FROM before b FULL JOIN after a USING (src, kind, dst) GROUP BY kind)
+ SELECT kind, both_ AS "both", only_ours, only_theirs, CASE WHEN both_ + only_ours > 0 THEN both_::DOUBLE / (both_ + only_ours) END AS precision, CASE WHEN both_ + only_theirs > 0 THEN both_::DOUBLE / (both_ + only_theirs) END AS recall FROM x""")
+def edge_agreement(g: Graph) -> DataFrame:
+    return diff.edge_agreement(g.snapshot(False), g.snapshot(True))
+
+
+# --- reports: version control, coverage ----------------------------------------------------------------------
+
+
+@query(" SELECT status, count(*) AS n_files, sum(added)::BIGINT AS added, sum(deleted)::BIGINT AS deleted FROM status GROUP BY status")
+def changes_by_status(g: Graph) -> DataFrame:
+    return g.status.groupBy("status").agg(F.count("*").alias("n_files"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"))
+
+
+@query(" SELECT path, status, (path IN (SELECT path FROM symbols)) AS in_graph FROM status ORDER BY 3 DESC, 1")
+def changed_in_graph(g: Graph) -> DataFrame:
+    known = g.symbols.select("path", F.lit(True).alias("k")).distinct()
+    return g.status.join(known, "path", "left").select("path", "status", F.coalesce("k", F.lit(False)).alias("in_graph")).orderBy(F.desc("in_graph"), "path")
+
+
+@query(" SELECT path, count(line) AS lines, count(*) FILTER (hits > 0) AS covered FROM files LEFT JOIN cov USING (path) GROUP BY path HAVING count(line) > 0")
+def file_coverage(g: Graph) -> DataFrame:
+    return g.coverage_lines.groupBy("path").agg(F.count("*").alias("lines"), F.count_if(F.col("hits") > 0).alias("covered"))
+
+
+@query(" SELECT id, CASE WHEN hits IS NULL THEN 'unknown' WHEN hits > 0 THEN 'covered' ELSE 'never' END AS coverage FROM symbols s LEFT JOIN cov ON cov.path = s.path AND cov.line = s.start_line")
+def symbol_coverage(g: Graph) -> DataFrame:
+    hits = g.coverage_lines.select("path", F.col("line").alias("start_line"), "hits")
+    word = F.when(F.col("hits").isNull(), "unknown").when(F.col("hits") > 0, "covered").otherwise("never")
+    return g.symbols.join(hits, ["path", "start_line"], "left").select("id", word.alias("coverage"))
+
+
+# --- folders ------------------------------------------------------------------------------------------------
+
+
+@query(""", r AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS dir, unnest(CASE WHEN len(string_split(path, '/')) = 4 THEN [1, 2, 3] ELSE [1, 2] END) AS k, string_split(path, '/') AS p FROM files),
+ a AS (SELECT path, dir, array_to_string(p[1:k], '/') AS folder, CASE WHEN dir <> array_to_string(p[1:k], '/') THEN p[k + 1] END AS child FROM r),
+ c AS (SELECT folder, count(*) AS n_files, count(*) FILTER (child IS NULL) AS direct, count(DISTINCT child) AS n_dirs FROM a GROUP BY folder), f AS (SELECT * FROM c WHERE n_files <> (SELECT count(*) FROM files) AND (direct >= 1 OR n_dirs >= 2)),
+ u AS (SELECT f.folder, max_by(g.folder, length(g.folder)) AS parent, count(*) AS n FROM f JOIN f g ON starts_with(f.folder, g.folder || '/') GROUP BY 1)
+ SELECT folder, (coalesce(u.n, 0) + 1)::BIGINT AS depth, parent, n_files, direct, n_dirs, CASE WHEN parent IS NULL THEN folder ELSE substring(folder, length(parent) + 2) END AS label FROM f LEFT JOIN u USING (folder)""")
+def folder_frames(g: Graph) -> DataFrame:
+    return views.folders(g.files.select("path"))
+
+
+@query(""", b AS (SELECT path, CASE WHEN path LIKE 'promo/%' THEN 'promo' WHEN path LIKE 'small/brand1/%' THEN 'small/brand1' ELSE regexp_replace(path, '/[^/]*$', '') END AS box FROM files)
+ SELECT a.box AS src_box, kind, c.box AS dst_box, sum(weight)::BIGINT AS weight FROM lifted JOIN b a ON src_file = a.path JOIN b c ON dst_file = c.path WHERE a.box <> c.box GROUP BY ALL""")
+def folded(g: Graph) -> DataFrame:
+    """Directory boxes with two folders shut."""
+    boxes = g.files.select("path", P.dir_name(F.col("path")).alias("box"))
+    lines = lift.lift_to_boxes(lift.lift_to_files(g.edges), boxes)
+    # a box that is itself shut keeps its name; boxes under a shut folder become it
+    return views.fold(lines, ["promo", "promo/brand1", "small/brand1"])
+
+
+@query(BOXES_SQL + " SELECT (SELECT count(*) FROM boxes) AS n_files, count(DISTINCT box) AS n_boxes, CASE WHEN count(DISTINCT box) > 30 THEN 'list' ELSE 'diagram' END AS presentation FROM boxes")
+def presentation(g: Graph) -> DataFrame:
+    boxes = views.scope_boxes(g.files)
+    n = boxes.agg(F.count("*").alias("n_files"), F.count_distinct("box").alias("n_boxes"))
+    return n.withColumn("presentation", views.Spec().presentation(F.col("n_boxes")))
