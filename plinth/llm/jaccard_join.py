@@ -14,7 +14,9 @@ their union. Documents with equal sets form one class, which one document stands
 2. Pivots. In a family of more than ``BLOCK`` documents, a few pivots are compared with
    every member. Those linked to the pivots of one component need no further search among
    themselves; the others remain as queries.
-3. Search. Queries meet the family's inverted lists in blocks of at most BLOCK documents each.
+3. Search. Queries meet the family's inverted lists in blocks of about BLOCK documents each; a
+   large family that is only chained together, by lists that few of its documents share, is
+   searched list by list instead, in the same blocks.
    In a block, the short lists of a query are heap-merged, documents found often enough there
    are probed by binary search in the long lists, and those that reach the needed overlap link
    (DivideSkip). A block gives a spanning forest of its links.
@@ -332,8 +334,8 @@ def _against_pivots(k: int, percent: int):
     return run
 
 
-def _family_links(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that span the same components as all links. texts: (family, m, rep, copies, text), a row for each class."""
+def _family_links(texts: DataFrame, lists: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that span the same components as all links. texts: (family, m, rep, copies, text), a row for each class; lists: (key, rep, c), of c members."""
     small, large = texts.where(F.col("m") <= BLOCK), texts.where(F.col("m") > BLOCK)
     tasks = small.select("family", F.lit(0).alias("qb"), F.lit(0).alias("ib"), "rep", F.lit(2).alias("side"), F.lit(False).alias("main"), "text")
     if large.isEmpty():
@@ -347,14 +349,32 @@ def _family_links(texts: DataFrame, k: int, percent: int) -> DataFrame:
         # the bits of one component: from the commonest mask on, whatever shares a bit with it
         main = "aggregate(sequence(1, %d), coalesce(filter(kinds, x -> x.mask > 0)[0].mask, 0), (a, i) -> aggregate(kinds, a, (b, x) -> IF((x.mask & b) <> 0, b | x.mask, b)))" % PIVOTS
         kinds = kinds.select("family", F.expr(main).alias("bits"), F.expr("aggregate(kinds, 0L, (t, x) -> t - x.n)").alias("m")).withColumn("bits", F.col("bits").cast("int"))
+        kinds = staged(kinds, "kinds")
         joined = masks.join(kinds, "family").withColumn("main", F.col("mask").bitwiseAND(F.col("bits")) != 0)
         open_ = joined.where("not main").groupBy("family").agg(F.count("*").alias("q"))
-        joined = joined.join(open_, "family").select("family", "rep", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("n_ib"), F.ceil(F.col("q") / BLOCK).cast("int").alias("n_qb"))
-        rows = large.select("family", "rep", "text").join(joined.withColumnRenamed("family", "f").withColumnRenamed("rep", "r"), (F.col("rep") == F.col("r")) & (F.col("family") == F.col("f"))).drop("f", "r")
+        blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
         part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-        index = rows.select("family", F.explode(F.sequence(F.lit(0), F.col("n_qb") - 1)).alias("qb"), part("n_ib").alias("ib"), "rep", F.lit(0).alias("side"), "main", "text")
-        asked = rows.where("not main").select("family", part("n_qb").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("n_ib") - 1)).alias("ib"), "rep", F.lit(1).alias("side"), F.lit(False).alias("main"), "text")
+        none = F.lit(0)
+
+        # a family of many copies is searched as a whole, one that is only chained together list by list: whatever moves fewer rows
+        own = lists.join(masks.select("family", "rep"), "rep")
+        by_list = own.groupBy("family").agg(F.sum(F.when(F.col("c") <= BLOCK, 1).otherwise(2 * blocks("c"))).alias("rows_by_list"))
+        plans = kinds.join(open_, "family").join(by_list, "family").withColumn("whole", F.col("m") * blocks("q") + F.col("q") * blocks("m") <= F.col("rows_by_list"))
+        plans = staged(plans.select("family", "m", "q", "whole"), "family-plans")
+
+        joined = joined.select("family", "rep", "main").join(plans.where("whole"), "family").select("family", "rep", "main", blocks("m").alias("n_ib"), blocks("q").alias("n_qb"))
+        rows = large.select("family", "rep", "text").join(joined.withColumnRenamed("family", "f").withColumnRenamed("rep", "r"), (F.col("rep") == F.col("r")) & (F.col("family") == F.col("f"))).drop("f", "r")
+        index = rows.select("family", F.explode(F.sequence(none, F.col("n_qb") - 1)).alias("qb"), part("n_ib").alias("ib"), "rep", F.lit(0).alias("side"), "main", "text")
+        asked = rows.where("not main").select("family", part("n_qb").alias("qb"), F.explode(F.sequence(none, F.col("n_ib") - 1)).alias("ib"), "rep", F.lit(1).alias("side"), F.lit(False).alias("main"), "text")
         tasks = tasks.unionByName(index).unionByName(asked)
+
+        apart = own.join(plans.where("not whole").select("family"), "family", "left_semi").select(F.col("key").alias("family"), "rep", "c", blocks("c").alias("nb"))
+        apart = apart.join(large.select("rep", "text"), "rep")
+        alone = apart.where("nb = 1").select("family", none.alias("qb"), none.alias("ib"), "rep", F.lit(2).alias("side"), F.lit(False).alias("main"), "text")
+        more = apart.where("nb > 1")
+        index = more.select("family", F.explode(F.sequence(none, F.col("nb") - 1)).alias("qb"), part("nb").alias("ib"), "rep", F.lit(0).alias("side"), F.lit(False).alias("main"), "text")
+        asked = more.select("family", part("nb").alias("qb"), F.explode(F.sequence(none, F.col("nb") - 1)).alias("ib"), "rep", F.lit(1).alias("side"), F.lit(False).alias("main"), "text")
+        tasks = tasks.unionByName(alone).unionByName(index).unionByName(asked)
         ids = masks.where("mask <> 0").join(pivots.select("family", "pivot_ids"), "family")
         pivot_links = ids.select(F.col("rep").alias("a"), F.explode(F.expr("filter(pivot_ids, (x, i) -> (shiftright(mask, i) & 1) = 1)")).alias("b"))
     links = tasks.repartition("family", "qb", "ib").sortWithinPartitions("family", "qb", "ib").mapInArrow(_search_blocks(k, percent), "a long, b long")
@@ -372,17 +392,19 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     classes = staged(classes.select(*sets, F.col("rep.doc_id").alias("rep"), F.col("rep.row_key").alias("rep_key"), "copies"), "classes")
     members = staged(profiles.drop("counted", "rest").join(classes, sets, "left"), "members")
     stands = classes.select(F.col("rep").alias("doc_id"), F.col("rep_key").alias("row_key"), "rep", "copies")
-    reps = profiles.select("doc_id", "row_key", "n", "counted", "rest").join(stands, ["doc_id", "row_key"])
+    # joined on doc_id alone, as the next joins are: the lists move once
+    reps = profiles.select("doc_id", "row_key", "n", "counted", "rest").join(stands.withColumnRenamed("row_key", "_key"), "doc_id").where("row_key = _key").drop("_key")
     keys = staged(_routing_keys(rows, reps, k, percent, summary), "keys")
-    lists = keys.groupBy("key").agg((F.min("rep") < F.max("rep")).alias("shared"), F.min(F.struct(-F.col("copies"), "rep")).alias("lead")).where("shared").select("key", F.col("lead.rep").alias("lead"))
-    routes = keys.select("key", "rep").join(lists, "key").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    lists = keys.groupBy("key").agg((F.min("rep") < F.max("rep")).alias("shared"), F.min(F.struct(-F.col("copies"), "rep")).alias("lead"), F.count("*").alias("c")).where("shared").select("key", "c", F.col("lead.rep").alias("lead"))
+    lists = staged(keys.select("key", "rep").join(staged(lists, "list-heads"), "key"), "lists")
+    routes = lists.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     families = staged(components(routes), "families").select(F.col("node").alias("rep"), F.col("component").alias("family"))
     families = families.join(families.groupBy("family").agg(F.count("*").alias("m")), "family")
 
     chosen = stands.join(families, "rep")
     texts = rows.join(chosen, ["doc_id", "row_key"]).select("family", "m", "rep", "copies", "text")
     texts = staged(texts, "family-texts")
-    found = components(_family_links(texts, k, percent)).select(F.col("node").alias("rep"), "component")
+    found = components(_family_links(texts, lists, k, percent)).select(F.col("node").alias("rep"), "component")
     out = members.join(found, "rep", "left")
     return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
