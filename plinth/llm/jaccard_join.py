@@ -406,7 +406,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     texts = staged(texts, "family-texts")
     found = components(_family_links(texts, lists, k, percent)).select(F.col("node").alias("rep"), "component")
     out = members.join(found, "rep", "left")
-    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
 def jaccard_report(docs: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def _scored(shared):
                 text, bucket = trigrams(data, offsets)
                 rows = end - row
                 n = np.bincount(text, minlength=rows)
-                total = np.stack([np.bincount(text, weights[bucket, i], minlength=rows) for i in range(width)], axis=1) if width else np.zeros((rows, 0))
+                total = np.stack([np.bincount(text, weights[bucket, i], minlength=rows) for i in range(width)], axis=1).astype(float) if width else np.zeros((rows, 0))
                 total *= (np.minimum(n, FULL) / np.maximum(n, 1))[:, None]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(total.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, rows) for c in ("doc_id", "row_key", "host", "markup", "address")), pa.array(n.astype(np.int64)), lists], schema=_SCORES)

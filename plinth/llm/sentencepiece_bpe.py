@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Parts that a worker remembers.
 CACHE = 500_000
@@ -291,7 +292,7 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
             ids = pa.array([encoder.encode(x.as_py()) for x in batch.column(text)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
 
-    return docs.mapInArrow(run, docs.schema.add("ids", "array<int>"))
+    return docs.mapInArrow(run, StructType([*docs.schema, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def decoded(df: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
@@ -304,7 +305,7 @@ def decoded(df: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
             texts = pa.array([encoder.decode(x.as_py() or []) for x in batch.column(ids)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
 
-    return df.mapInArrow(run, df.schema.add("decoded", "string"))
+    return df.mapInArrow(run, StructType([*df.schema, StructField("decoded", StringType())]))
 
 
 def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
