@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import text as P
-from plinth.operators import diff, lift, views
+from plinth.operators import derive, diff, folds, groups, lift, search, views
 from plinth.plans.graph import DRAWN, REACHING, SQL, Graph
 
 QUERIES: dict = {}
@@ -358,3 +358,203 @@ def presentation(g: Graph) -> DataFrame:
     boxes = views.scope_boxes(g.files)
     n = boxes.agg(F.count("*").alias("n_files"), F.count_distinct("box").alias("n_boxes"))
     return n.withColumn("presentation", views.Spec().presentation(F.col("n_boxes")))
+
+
+# --- names and references --------------------------------------------------------------------------------------
+
+DECL_SQL = """, decl AS (SELECT path AS file, l_suppkey AS ord, 's' || l_suppkey % 15 AS name, (['class', 'interface', 'function', 'method', 'field', 'type'])[l_suppkey % 6 + 1] AS kind,
+ CASE WHEN l_suppkey % 6 IN (3, 4) THEN 's' || l_suppkey % 7 END AS owner, CASE WHEN min(l_partkey) % 3 = 0 THEN l_suppkey % 2 = 0 END AS exported FROM lines GROUP BY path, l_suppkey),
+ nodes AS (SELECT *, base || CASE WHEN n > 1 THEN '~' || n ELSE '' END AS id FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY ord) AS n FROM (SELECT *, file || '#' || coalesce(owner || '.', '') || name AS base FROM decl))),
+ top AS (SELECT file, name, min_by(id, ord) AS id FROM nodes WHERE owner IS NULL GROUP BY ALL),
+ exps AS (SELECT file, name, min_by(id, ord) AS id FROM nodes JOIN (SELECT file, bool_or(exported IS NOT NULL) AS marks FROM nodes GROUP BY file) USING (file) WHERE owner IS NULL AND (NOT marks OR exported) GROUP BY file, name)
+"""
+
+
+def _nodes(g: Graph) -> DataFrame:
+    """Declarations with namesakes, members and export marks, from line items."""
+    s = F.col("l_suppkey")
+    name = F.concat(F.lit("s"), (s % 15).cast("string"))
+    owner = F.when((s % 6).isin(3, 4), F.concat(F.lit("s"), (s % 7).cast("string")))
+    kinds = F.array(*map(F.lit, ["class", "interface", "function", "method", "field", "type"]))
+    rows = g.lines.groupBy(F.col("path").alias("file"), "l_suppkey").agg(F.min("l_partkey").alias("p"))
+    return derive.nodes(rows.select("file", s.alias("ord"), name.alias("name"), F.get(kinds, (s % 6).cast("int")).alias("kind"), owner.alias("owner"), F.when(F.col("p") % 3 == 0, s % 2 == 0).alias("exported")))
+
+
+def _links(g: Graph) -> DataFrame:
+    """Import edges between files, in an order: (file, ord, target)."""
+    rows = g.edges.where("kind = 'imports'").select(F.col("src").alias("file"), F.col("dst").alias("target"))
+    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("target")).alias("ord"), "target")  # imports of one file
+
+
+@query(DECL_SQL + " SELECT id, kind, file FROM nodes")
+def unique_ids(g: Graph) -> DataFrame:
+    return _nodes(g).select("id", "kind", "file")
+
+
+@query(DECL_SQL + " SELECT * FROM top")
+def top_names(g: Graph) -> DataFrame:
+    return derive.top_names(_nodes(g))
+
+
+@query(DECL_SQL + " SELECT * FROM exps")
+def exported_names(g: Graph) -> DataFrame:
+    return derive.exported_names(_nodes(g))
+
+
+@query(DECL_SQL + " SELECT file, name, max_by(id, ord) AS id FROM nodes WHERE kind IN ('class', 'interface') AND owner IS NULL GROUP BY ALL")
+def owners(g: Graph) -> DataFrame:
+    return derive.owners(_nodes(g))
+
+
+@query(DECL_SQL + " SELECT file, owner, name, min_by(id, ord) AS id FROM nodes WHERE owner IS NOT NULL GROUP BY ALL")
+def members(g: Graph) -> DataFrame:
+    return derive.members(_nodes(g))
+
+
+@query(DECL_SQL + " SELECT file, name, id FROM (SELECT file, name, min_by(kind IN ('interface', 'type'), ord) AS t, min_by(id, ord) FILTER (kind NOT IN ('interface', 'type')) AS id FROM nodes WHERE owner IS NULL GROUP BY ALL) WHERE t AND id IS NOT NULL")
+def value_twins(g: Graph) -> DataFrame:
+    return derive.value_twins(_nodes(g))
+
+
+REF_SQL = DECL_SQL + """, im AS (SELECT DISTINCT src AS file, dst AS target FROM edges WHERE kind = 'imports'),
+ rf AS (SELECT DISTINCT src_file AS file, src, 0 AS ord, kind, 's' || substring(dst, strpos(dst, '#s') + 2)::BIGINT % 15 AS name FROM edges WHERE kind <> 'imports'),
+ bd AS (SELECT file, name AS local, min_by(id, target) AS id, min(target) AS target FROM im JOIN (SELECT file AS target, name, id FROM exps) USING (target) WHERE length(file) % 2 = 0 GROUP BY file, name),
+ lk AS (SELECT rf.*, coalesce(t.id, b.id, i.id) AS dst, CASE WHEN t.id IS NULL AND b.id IS NULL AND i.id IS NOT NULL THEN true END AS guessed FROM rf LEFT JOIN top t ON t.file = rf.file AND t.name = rf.name LEFT JOIN bd b ON b.file = rf.file AND b.local = rf.name
+  LEFT JOIN (SELECT im.file, e.name, min_by(e.id, im.target) AS id FROM im JOIN exps e ON e.file = im.target WHERE im.file NOT IN (SELECT file FROM im WHERE length(file) % 2 = 0) GROUP BY ALL) i ON i.file = rf.file AND i.name = rf.name)
+"""
+
+
+def _lookup(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """References by name, looked up: files with paths of even length bind what they import by name, the others only import."""
+    rows, imports = _nodes(g), _links(g)
+    exports = derive.exported_names(rows)
+    binds = imports.where(F.length("file") % 2 == 0).join(exports.select(F.col("file").alias("target"), F.col("name").alias("imported")), "target").select("file", "ord", F.col("imported").alias("local"), "target", "imported")
+    number = F.regexp_extract("dst", r"#s(\d+)$", 1).cast("long") % 15
+    refs = g.edges.where("kind <> 'imports'").select(F.col("src_file").alias("file"), "src", F.lit(0).alias("ord"), "kind", F.concat(F.lit("s"), number.cast("string")).alias("name"))
+    return derive.lookup(refs, rows, exports, binds, imports), rows
+
+
+@query(REF_SQL + " SELECT file, src, kind, name, dst, guessed FROM lk")
+def lookup_chain(g: Graph) -> DataFrame:
+    return _lookup(g)[0].select("file", "src", "kind", "name", "dst", "guessed")
+
+
+@query(REF_SQL + " SELECT src, kind, dst, CASE WHEN bool_or(guessed) THEN true END AS guessed FROM lk WHERE dst IS NOT NULL AND src <> dst GROUP BY src, kind, dst")
+def derived_edges(g: Graph) -> DataFrame:
+    return derive.edges(_lookup(g)[0])
+
+
+@query(REF_SQL + " SELECT file, 0::BIGINT AS imports, count(*) AS calls FROM lk WHERE dst IS NULL AND kind = 'calls' GROUP BY file")
+def unresolved(g: Graph) -> DataFrame:
+    return derive.unresolved(_lookup(g)[0])
+
+
+@query(REF_SQL + """, tw AS (SELECT file, name, id FROM (SELECT file, name, min_by(kind IN ('interface', 'type'), ord) AS t, min_by(id, ord) FILTER (kind NOT IN ('interface', 'type')) AS id FROM nodes WHERE owner IS NULL GROUP BY ALL) WHERE t AND id IS NOT NULL)
+ SELECT lk.src, lk.name, CASE WHEN n.kind IN ('interface', 'type') THEN tw.id ELSE lk.dst END AS dst FROM lk LEFT JOIN nodes n ON n.id = lk.dst LEFT JOIN tw ON tw.file = n.file AND tw.name = n.name WHERE lk.kind = 'calls'""")
+def callable_ends(g: Graph) -> DataFrame:
+    found, rows = _lookup(g)
+    return derive.callable_end(found.where("kind = 'calls'"), rows).select("src", "name", "dst")
+
+
+@query(" SELECT src, kind, dst FROM edges d WHERE kind = 'depends' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.kind IN ('associates', 'extends', 'implements') AND e.src = d.src AND e.dst = d.dst)")
+def mere_dependence(g: Graph) -> DataFrame:
+    return derive.mere_dependence(g.edges.where("kind = 'depends'"), g.edges).select("src", "kind", "dst")
+
+
+@query()
+def reexports(g: Graph) -> DataFrame:
+    """Names after re-exports: a quarter of all imports pass everything on. A fixpoint, held against brute force in the tests."""
+    stars = _links(g).where(F.length("file") % 4 == 0).select("file", "ord", "target", F.lit(True).alias("is_star"), F.lit(None).cast("string").alias("exported"), F.lit(None).cast("string").alias("local"))
+    return derive.reexported(derive.exported_names(_nodes(g)), stars)
+
+
+# --- categories and folds -----------------------------------------------------------------------------------------
+
+MATCH_SQL = """, cl AS (SELECT path, CASE WHEN language IN ('go', 'java') THEN 'dir:' || split_part(path, '/', 1) ELSE 'c:' || split_part(path, '/', 1) END AS cluster FROM files WHERE file_ord % 5 <> 0),
+ ms AS (SELECT cluster, group_id, count(*) AS shared FROM cl JOIN grp USING (path) GROUP BY ALL),
+ mj AS (SELECT *, shared::DOUBLE / (nc + ng - shared)::DOUBLE AS jaccard, ng FROM ms JOIN (SELECT cluster, count(*) AS nc FROM cl GROUP BY 1) USING (cluster) JOIN (SELECT group_id, count(*) AS ng FROM grp GROUP BY 1) USING (group_id)),
+ sc AS (SELECT cluster, group_id, shared, jaccard, CASE WHEN cluster = group_id THEN 2.0::DOUBLE WHEN jaccard >= 0.6 OR shared = ng AND jaccard >= 0.5 THEN jaccard END AS score FROM mj)"""
+
+
+def _scores(g: Graph) -> DataFrame:
+    top = F.substring_index("path", "/", 1)
+    cl = g.files.where("file_ord % 5 <> 0").select("path", F.when(F.col("language").isin("go", "java"), F.concat(F.lit("dir:"), top)).otherwise(F.concat(F.lit("c:"), top)).alias("cluster"))
+    return groups.match_scores(cl, g.groups.select("group_id", "path"))
+
+
+@query(MATCH_SQL + " SELECT * FROM sc WHERE score IS NOT NULL")
+def group_matches(g: Graph) -> DataFrame:
+    return _scores(g)
+
+
+@query()
+def group_assignment(g: Graph) -> DataFrame:
+    scores = _scores(g).select(F.lit("p").alias("project"), F.lit(0).alias("position"), "cluster", "group_id", "score")
+    return groups.assigned(scores)
+
+
+@query(MATCH_SQL + " SELECT DISTINCT group_id FROM grp WHERE state = 'accepted' AND group_id NOT IN (SELECT group_id FROM sc WHERE score IS NOT NULL)")
+def orphans(g: Graph) -> DataFrame:
+    return groups.orphans(g.groups, _scores(g))
+
+
+@query(""", sz AS (SELECT group_id, count(*) AS n FROM grp GROUP BY 1), pr AS (SELECT a.group_id, b.group_id AS outer_id, count(*) AS shared FROM grp a JOIN grp b USING (path) WHERE a.group_id <> b.group_id GROUP BY ALL),
+ up AS (SELECT pr.group_id, min({'n': o.n, 'g': outer_id}) AS p, count(*) AS depth FROM pr JOIN sz s ON s.group_id = pr.group_id JOIN sz o ON o.group_id = outer_id WHERE shared = s.n AND o.n > s.n GROUP BY 1)
+ SELECT sz.group_id, n, p.g AS parent, coalesce(depth, 0) AS depth FROM sz LEFT JOIN up USING (group_id)""")
+def group_nesting(g: Graph) -> DataFrame:
+    return groups.nested(g.groups.select("group_id", "path"))
+
+
+PART_SQL = ", pt AS (SELECT f.path, coalesce(min_by(group_id, rank::VARCHAR || group_id), 'component:none') AS box FROM files f LEFT JOIN (SELECT * FROM grp WHERE state = 'accepted') USING (path) GROUP BY f.path)"
+
+
+@query(PART_SQL + " SELECT * FROM pt")
+def partition(g: Graph) -> DataFrame:
+    return groups.partition(g.files, g.groups)
+
+
+@query(PART_SQL + " SELECT a.box AS src_box, kind, b.box AS dst_box, sum(weight)::BIGINT AS weight, CASE WHEN bool_and(coalesce(guessed, false)) THEN true END AS guessed FROM lifted JOIN pt a ON src_file = a.path JOIN pt b ON dst_file = b.path WHERE a.box <> b.box GROUP BY ALL")
+def component_lines(g: Graph) -> DataFrame:
+    return lift.lift_to_boxes(lift.lift_to_files(g.edges), groups.partition(g.files, g.groups))
+
+
+@query(" SELECT a.group_id AS a, b.group_id AS b, count(*) AS shared, any_value(x.n) AS size_a, any_value(y.n) AS size_b FROM grp a JOIN grp b USING (path) JOIN (SELECT group_id, count(*) AS n FROM grp GROUP BY 1) x ON x.group_id = a.group_id JOIN (SELECT group_id, count(*) AS n FROM grp GROUP BY 1) y ON y.group_id = b.group_id WHERE a.group_id < b.group_id GROUP BY ALL")
+def group_overlaps(g: Graph) -> DataFrame:
+    return groups.overlaps(g.groups.select("group_id", "path"))
+
+
+@query()
+def clusters(g: Graph) -> DataFrame:
+    """Clusters by label propagation, one project for each language."""
+    near = lift.neighbours(lift.file_links(g.edges.where("guessed"), g.files), g.files).join(g.files.select("path", F.col("language").alias("project")), "path")
+    other = g.files.select(F.col("path").alias("other"), F.col("language").alias("p2"))
+    inside = near.join(other, "other").where("project = p2").select("project", "path", "other", "weight")
+    return folds.clusters(inside)
+
+
+@query()
+def lanes(g: Graph) -> DataFrame:
+    """Lanes of a log for each market segment; parents are the customer's orders before."""
+    o = g.table("orders").join(g.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("project")), "o_custkey")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    o = o.withColumn("parent", before)
+    nr = -F.col("o_orderdate").cast("timestamp").cast("double") * 1e6 - F.col("o_orderkey")
+    return folds.lanes(o.select("project", F.col("o_orderkey").cast("string").alias("sha"), F.when(F.col("parent").isNotNull(), F.array(F.col("parent").cast("string"))).alias("parents"), nr.alias("nr")))
+
+
+# --- search -------------------------------------------------------------------------------------------------------
+
+
+@query(r""", c AS (SELECT p_partkey AS id, p_name, lower(p_name) AS low, instr(lower(p_name), 'lt') AS pos FROM part), d AS (SELECT *, CASE WHEN pos > 0 THEN 1000 - 2 * (pos - 1) - (length(p_name) - 2)
+ WHEN instr(low, 'l') > 0 AND instr(substring(low, instr(low, 'l') + 1), 't') > 0 THEN 500 - 3 * CASE WHEN instr(substring(low, instr(low, 'l') + 1), 't') > 1 THEN 1 ELSE 0 END - (instr(low, 'l') - 1) - (length(p_name) - 2) END AS score FROM c)
+ SELECT id, score::INT AS score FROM d WHERE score IS NOT NULL""")
+def match_scores(g: Graph) -> DataFrame:
+    """Every name that holds the letters l and t in this order, and how well."""
+    return g.table("part").select(F.col("p_partkey").alias("id"), search.score(F.col("p_name"), "lt").cast("int").alias("score")).where("score is not null")
+
+
+@query(""", m AS (SELECT id, 1000 - (length(name) - 3) AS score, name = 's42' AS exact, contains(path, '/tests/') AS test, path, name, symbol_ord FROM symbols WHERE starts_with(name, 's42'))
+ SELECT id, score::INT AS score, exact FROM m ORDER BY exact DESC, test, score DESC, length(path), length(name), symbol_ord, id LIMIT 30""")
+def symbol_search(g: Graph) -> DataFrame:
+    rows = g.symbols.select("id", "name", "path", P.is_test(F.col("path")).alias("test"), F.col("symbol_ord").alias("ord"))
+    return search.search(rows, "s42").select("id", F.col("score").cast("int").alias("score"), "exact")
