@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import text as P
-from plinth.operators import derive, diff, folds, groups, lift, search, views
+from plinth.operators import derive, diff, folds, groups, lift, notes, resolve, search, views
 from plinth.plans.graph import DRAWN, REACHING, SQL, Graph
+from plinth.sources import extract
+from plinth.streaming import live
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -558,3 +560,96 @@ def match_scores(g: Graph) -> DataFrame:
 def symbol_search(g: Graph) -> DataFrame:
     rows = g.symbols.select("id", "name", "path", P.is_test(F.col("path")).alias("test"), F.col("symbol_ord").alias("ord"))
     return search.search(rows, "s42").select("id", F.col("score").cast("int").alias("score"), "exact")
+
+
+# --- live changes (events stand for them) ------------------------------------------------------------------------
+
+
+def _changes(g: Graph) -> DataFrame:
+    """events as changes: a path for each of 40 files, and the writers that some of them name."""
+    path = F.concat(F.lit("f"), (F.col("user_id") % 40).cast("string"))
+    return g.table("events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), path.alias("path"), F.when(F.col("event_type") == "error", "removed").otherwise("changed").alias("kind"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("agent"))
+
+
+CHANGE_SQL = "WITH ch AS (SELECT event_id AS id, ts AS at_, 'f' || user_id % 40 AS path, CASE WHEN event_type = 'error' THEN 'removed' ELSE 'changed' END AS kind, CASE WHEN event_id % 3 = 0 THEN event_type END AS agent FROM events)"
+
+
+@query(CHANGE_SQL + """, s AS (SELECT *, CASE WHEN at_ - lag(at_) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM ch WINDOW w AS (PARTITION BY path ORDER BY at_)), t AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY at_) AS k FROM s)
+ SELECT path, epoch_us(min(at_)) AS start_us, max_by(kind, at_) AS kind, arg_max(agent, at_) FILTER (agent IS NOT NULL) AS agent, count(*) AS n FROM t GROUP BY path, k""", graph=False)
+def debounced(g: Graph) -> DataFrame:
+    rows = live.debounced(_changes(g), "30 minutes")
+    return rows.select("path", F.unix_micros("start").alias("start_us"), "kind", "agent", "n")
+
+
+@query(CHANGE_SQL + " SELECT id, path, coalesce(agent, CASE WHEN epoch_ms(at_) - epoch_ms(lag(at_) OVER w) <= 3600000 THEN lag(agent) OVER w END) AS writer FROM ch WINDOW w AS (PARTITION BY path ORDER BY at_, id)", graph=False)
+def writers(g: Graph) -> DataFrame:
+    return live.writers(_changes(g), 3_600_000).select("id", "path", "writer")
+
+
+@query(CHANGE_SQL + " SELECT id, path FROM ch ORDER BY at_ DESC, id DESC LIMIT 200", graph=False)
+def change_history(g: Graph) -> DataFrame:
+    return live.history(_changes(g)).select("id", "path")
+
+
+@query(CHANGE_SQL + """, n AS (SELECT max(at_) + INTERVAL 5 SECOND AS now FROM ch), m AS (SELECT path, max_by(CASE WHEN kind = 'removed' THEN 'asked' ELSE 'written' END, at_) AS how, max(at_) AS at_ FROM ch GROUP BY path),
+ a AS (SELECT path, how, (epoch_ms(now) - epoch_ms(at_)) / 1000.0 / 60 AS age, CASE how WHEN 'asked' THEN 10 ELSE 20 END AS fresh, CASE how WHEN 'asked' THEN 60 ELSE 120 END AS gone FROM m, n) SELECT path, how, CASE WHEN age < fresh / 60.0 THEN 'fresh' ELSE 'cooled' END AS band FROM a WHERE age < gone / 60.0""", graph=False)
+def marks(g: Graph) -> DataFrame:
+    rows = _changes(g).withColumn("how", F.when(F.col("kind") == "removed", "asked").otherwise("written"))
+    now = rows.agg(F.max("at")).first()[0]
+    return live.marks(rows, F.lit(now) + F.expr("interval 5 seconds")).select("path", "how", "band")
+
+
+# --- notes, texts ----------------------------------------------------------------------------------------------
+
+
+@query(LINKS_SQL + """, o AS (SELECT g.group_id, l.*, EXISTS (SELECT 1 FROM grp h WHERE h.group_id = g.group_id AND h.path = l.dst_file) AS both_ FROM links l JOIN grp g ON g.path = l.src_file), i AS (SELECT g.group_id, l.src_file FROM links l JOIN grp g ON g.path = l.dst_file WHERE NOT EXISTS (SELECT 1 FROM grp h WHERE h.group_id = g.group_id AND h.path = l.src_file)),
+ f AS (SELECT group_id, count(test) AS known, count(*) FILTER (test IS NULL) AS unknown, count(*) FILTER (test) AS tests FROM grp LEFT JOIN files USING (path) GROUP BY 1)
+ SELECT f.*, coalesce(x.inside, 0)::BIGINT AS inside, coalesce(x.leaving, 0)::BIGINT AS leaving, coalesce(y.n, 0) AS reached_from, coalesce(x.reaches, 0) AS reaches FROM f LEFT JOIN (SELECT group_id, sum(weight) FILTER (both_) AS inside, sum(weight) FILTER (NOT both_) AS leaving, count(DISTINCT dst_file) FILTER (NOT both_) AS reaches FROM o GROUP BY 1) x USING (group_id)
+ LEFT JOIN (SELECT group_id, count(DISTINCT src_file) AS n FROM i GROUP BY 1) y USING (group_id)""")
+def group_evidence(g: Graph) -> DataFrame:
+    return notes.evidence(lift.file_links(g.edges, g.files), g.groups.select("group_id", "path"), g.files)
+
+
+@query(""", im AS (SELECT dst_file AS path, list_sort(list(DISTINCT src_file)) AS by_ FROM edges WHERE kind = 'imports' GROUP BY 1), rc AS (SELECT dst_file AS path, count(DISTINCT dst) AS symbols, count(DISTINCT src_file) AS nf FROM edges WHERE kind IN ('calls', 'extends', 'implements', 'associates') AND src_file <> dst_file GROUP BY 1),
+ x AS (SELECT path, coalesce(len(by_), 0) || ' files import it' AS head, ': ' || array_to_string(by_, ', ') AS names, CASE WHEN symbols > 0 THEN '; ' || symbols || ' symbols are reached from ' || nf || ' files' ELSE '' END AS tail FROM im FULL JOIN rc USING (path))
+ SELECT path, CASE WHEN length(head || names || tail) <= 400 THEN head || names || tail WHEN length(head || tail) <= 400 THEN head || tail WHEN length(head) <= 400 THEN head ELSE '' END AS note FROM x""")
+def coupling_notes(g: Graph) -> DataFrame:
+    return notes.coupling_notes(g.edges, REACHING)
+
+
+@query(""" SELECT (SELECT count(*) FROM files) AS n_files, (SELECT count(*) FROM files WHERE test) AS n_tests, (SELECT count(DISTINCT language) FROM files) AS n_languages, count(*) FILTER (status = 'modified') AS modified, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'deleted') AS deleted, count(*) FILTER (status = 'untracked') AS untracked, count(*) FILTER (status = 'renamed') AS renamed,
+ sum(added)::BIGINT AS lines_added, sum(deleted)::BIGINT AS lines_deleted, (SELECT count(DISTINCT group_id) FROM grp WHERE state = 'accepted') AS accepted, (SELECT count(DISTINCT group_id) FROM grp WHERE state = 'rejected') AS rejected FROM status""")
+def overview(g: Graph) -> DataFrame:
+    return notes.overview(g.files, g.status, g.groups)
+
+
+@query("SELECT doc_id, 'sha256:' || sha256(text || chr(10) || source) AS fingerprint, length(array_to_string(string_split(text, chr(10))[1:400], chr(10))[1:24000]) AS clip FROM documents", graph=False)
+def fingerprints(g: Graph) -> DataFrame:
+    rows = g.table("documents")
+    clip = F.length(F.regexp_replace(notes.clipped(F.col("text")), r"\n\[clipped\]$", "")).cast("long")
+    return rows.select("doc_id", notes.fingerprint(F.col("text"), F.col("source")).alias("fingerprint"), clip.alias("clip"))
+
+
+@query("""SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY ALL""", graph=False)
+def page_links(g: Graph) -> DataFrame:
+    return extract.links(g.table("pages")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+@query(""", im AS (SELECT DISTINCT src AS file, dst FROM edges WHERE kind = 'imports' AND src LIKE '%.java' AND dst LIKE '%.java'), tg AS (SELECT file, regexp_replace(dst, '^.*/', '') AS base, row_number() OVER (PARTITION BY file ORDER BY dst) AS ord FROM im),
+ c AS (SELECT tg.file, ord, f.path AS target, CASE WHEN split_part(tg.file, '/', 1) <> split_part(f.path, '/', 1) THEN 0 WHEN split_part(tg.file, '/', 2) <> split_part(f.path, '/', 2) THEN 1 WHEN contains(tg.file, '/tests/') AND contains(f.path, '/tests/') THEN 3 ELSE 2 END AS depth FROM tg JOIN files f ON ends_with(f.path, '/' || base))
+ SELECT file, ord, arg_min(target, (10 - depth)::VARCHAR || target) AS target FROM c GROUP BY ALL""")
+def resolved_java(g: Graph) -> DataFrame:
+    """Imports by class name alone: the nearest file of that name."""
+    im = g.edges.where("kind = 'imports' and src like '%.java' and dst like '%.java'").select(F.col("src").alias("file"), "dst")
+    ord_ = F.row_number().over(Window.partitionBy("file").orderBy("dst"))  # imports of one file
+    im = im.withColumn("ord", ord_).select("file", "ord", F.regexp_replace(P.base_name(F.col("dst")), r"\.java$", "").alias("specifier"))
+    return resolve.java(im, g.files).select("file", "ord", "target")
+
+
+@query(""", im AS (SELECT DISTINCT src AS file, dst FROM edges WHERE kind = 'imports' AND src LIKE '%.ts' AND dst LIKE '%.ts') SELECT file, dst AS target FROM im""")
+def resolved_scripts(g: Graph) -> DataFrame:
+    """Relative specifiers, made of import edges, lead back to the files."""
+    im = g.edges.where("kind = 'imports' and src like '%.ts' and dst like '%.ts'").select(F.col("src").alias("file"), "dst")
+    up = F.repeat(F.lit("../"), F.size(F.split("file", "/")) - 1)
+    im = im.select("file", F.col("dst").alias("ord"), F.concat(F.lit("./"), up, F.regexp_replace("dst", r"\.ts$", ".js")).alias("specifier"))
+    return resolve.script_relative(im, g.files).select("file", "target")
