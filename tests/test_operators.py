@@ -324,3 +324,31 @@ def test_hooks_marks_and_replies(spark):
     assert {r.path for r in live.marks(seen, at(119)).collect()} == {"a", "c"}
     lines = [("k", 1, '{"delta":{"type":"text_delta","text":"wo"}}'), ("k", 0, '{"delta":{"type":"text_delta","text":"t"}}'), ("k", 2, "noise"), ("k", 3, '{"delta":{"type":"thinking_delta","thinking":"hm"}}')]
     assert got(live.replies(live.reply_deltas(frame(spark, lines, "conv string, nr int, line string")))) == [("k", "text", "two"), ("k", "thinking", "hm")]
+
+
+def test_flow(spark):
+    from plinth.sources import flow
+
+    text = "def f(x):\n    a = 1\n    b = 2\n    for i in x:\n        if i:\n            break\n        else:\n            continue\n    while True:\n        try:\n            return g()\n        except E:\n            pass\n    dead()\n"
+    rows = flow.flows(frame(spark, [("a.py", text), ("b.py", "def (")], "path string, text string")).collect()
+    boxes = {r.a: (r.kind, r.label, r.more) for r in rows if r.what == "box"}
+    label = {i: x[1] or x[0] for i, x in boxes.items()}
+    assert ("action", "a = 1", 1) in boxes.values() and not any("dead" in x[1] for x in boxes.values())
+    edges = {(label[r.a], label[r.b], r.label) for r in rows if r.what == "edge"}
+    assert edges == {("f", "a = 1", ""), ("a = 1", "i in x", ""), ("i in x", "i", "yes"), ("i", "True", "yes"), ("i", "i in x", "no"), ("i in x", "True", "no"), ("True", "try", "yes"), ("try", "return g()", ""), ("return g()", "end", ""), ("try", "pass", "catch"), ("pass", "True", "")}
+
+
+def test_project_facade(spark):
+    from plinth.api import Project
+    from plinth.plans.graph import Graph
+
+    g = Graph(spark, "/root/testdata/sf0.001")
+    p = Project(g.files, g.symbols.withColumn("ord", F.col("symbol_ord")).withColumn("test", F.lit(False)), g.edges, g.status, g.groups)
+    v = p.view(views.Spec(filter=views.Filter(hide_tests=True)))
+    assert v.lines.count() > 0 and v.facts.first().presentation == "diagram"
+    start = g.files.agg(F.min("path")).first()[0]
+    assert p.view(views.Spec(focus=start)).boxes.where(F.col("path") == start).count() == 1
+    assert p.view(views.Spec(category="dir:promo")).boxes.count() > 0 and p.components().lines.count() > 0
+    assert p.view(views.Spec(diff=True), before=g.edges).lines.count() == 0
+    assert set(p.detail(start)) == {"imports", "imported_by", "pass_throughs"} and p.overview().count() == 1
+    assert p.blind_spots().count() > 0 and p.search("s1").count() > 0
