@@ -395,8 +395,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     # joined on doc_id alone, as the next joins are: the lists move once
     reps = profiles.select("doc_id", "row_key", "n", "counted", "rest").join(stands.withColumnRenamed("row_key", "_key"), "doc_id").where("row_key = _key").drop("_key")
     keys = staged(_routing_keys(rows, reps, k, percent, summary), "keys")
-    lists = keys.groupBy("key").agg((F.min("rep") < F.max("rep")).alias("shared"), F.min(F.struct(-F.col("copies"), "rep")).alias("lead"), F.count("*").alias("c")).where("shared").select("key", "c", F.col("lead.rep").alias("lead"))
-    lists = staged(keys.select("key", "rep").join(staged(lists, "list-heads"), "key"), "lists")
+    # lists with the same members say the same: one of them is enough
+    heads = keys.groupBy("key").agg((F.min("rep") < F.max("rep")).alias("shared"), F.min(F.struct(-F.col("copies"), "rep")).alias("lead"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    heads = heads.where("shared").groupBy("c", "x", "y").agg(F.min(F.struct("key", "lead")).alias("one")).select("c", F.col("one.key").alias("key"), F.col("one.lead.rep").alias("lead"))
+    lists = staged(keys.select("key", "rep").join(staged(heads, "list-heads"), "key"), "lists")
     routes = lists.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     families = staged(components(routes), "families").select(F.col("node").alias("rep"), F.col("component").alias("family"))
     families = families.join(families.groupBy("family").agg(F.count("*").alias("m")), "family")
