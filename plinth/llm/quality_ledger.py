@@ -8,7 +8,7 @@ Scale: DataFrame functions only, row by row and without a shuffle; ablations are
 aggregate. Repeated windows are found inside a text's own arrays of hashes.
 
 Defined cases: a null text has no words and fails ``few_words``. Repeated rows each give a
-row. Extra columns are left alone.
+row. Extra columns are left alone; in a ledger, measurements replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -98,7 +98,8 @@ def verdict(failed: Column, version: str = VERSION) -> Column:
 
 def keep(docs: DataFrame, version: str = VERSION) -> DataFrame:
     """The documents that the policy keeps, with all their columns."""
-    return ledger(docs).where(verdict(F.col("failed"), version)).select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("row"), "text")  # so that no column of docs meets a measurement of the same name
+    return ledger(whole).where(verdict(F.col("failed"), version)).select("row.*")
 
 
 def ablations(entries: DataFrame, version: str = "strict") -> DataFrame:

@@ -283,7 +283,8 @@ def _encoder(shared) -> Encoder:
 
 
 def encoded(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """docs and a column ``ids``, an array of int: the pieces of each text."""
+    """docs and a column ``ids``, an array of int: the pieces of each text. It replaces a column of that name."""
+    docs = docs.drop("ids")
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +297,8 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
 
 
 def decoded(df: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
-    """df and a column ``decoded``, the text of each array of ids (null: empty)."""
+    """df and a column ``decoded``, the text of each array of ids (null: empty). It replaces a column of that name."""
+    df = df.drop("decoded")
     shared = df.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -164,11 +164,15 @@ def _covered(spans, n: int, window: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
+#: The column that with_spans() adds; a name that no table has by chance.
+SPANS = "__repeated_spans"
+
+
 def with_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """docs with ``spans``, an array of the text's repeated ranges (null: none)."""
-    spans = repeated_spans(docs, window, seed).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"), "spans")
-    return docs.join(spans, (docs["doc_id"].cast("long") == spans["_doc"]) & (F.xxhash64(docs["text"]) == spans["_key"]), "left").drop("_doc", "_key")
+    """docs with the column SPANS, an array of the text's repeated ranges (null: none)."""
+    spans = repeated_spans(docs, window, seed).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "end")).alias(SPANS))
+    spans = spans.select(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key"), SPANS)
+    return docs.join(spans, (docs["doc_id"].cast("long") == spans["__doc"]) & (F.xxhash64(docs["text"]) == spans["__key"]), "left").drop("__doc", "__key")
 
 
 _REPORT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -180,14 +184,14 @@ def dedup_report(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+            for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column(SPANS).to_pylist(), strict=True):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 gone = _covered(spans, len(words), window) if spans else ()
                 kept = [w for w, x in zip(words, gone, strict=True) if not x] if spans else words
                 rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_REPORT)], schema=_REPORT)
 
-    return with_spans(docs.select(F.col("doc_id").cast("long"), "text"), window, seed).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_spans(docs.select(F.col("doc_id").cast("long"), "text"), window, seed).select("doc_id", "text", SPANS).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -197,12 +201,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [cut(t.as_py(), s, window) if s else t.as_py() for t, s in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True)]
+            texts = [cut(t.as_py(), s, window) if s else t.as_py() for t, s in zip(batch.column("text"), batch.column(SPANS).to_pylist(), strict=True)]
             columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = with_spans(docs, window, seed).select(*names, "spans").mapInArrow(run, schema)
+    out = with_spans(docs, window, seed).select(*names, SPANS).mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

@@ -13,7 +13,8 @@ above a host; a hot host is split by the join. Pages' contents are never read.
 Defined cases: a null or unreadable URL, or a null day, matches nothing and is not blocked.
 Two changes of an entry on one day: it is active if one of them adds it. A removal without an
 addition before it does nothing; an entry that is never removed stays active. Repeated rows
-each give a row. Extra columns are left alone.
+each give a row. Extra columns are left alone; host, n_active, entry and blocked replace columns
+of those names.
 """
 
 from __future__ import annotations
@@ -54,8 +55,10 @@ def judged(captures: DataFrame, lists: DataFrame) -> DataFrame:
     hits = keys.join(lists, "entry").where(active)
     best = F.max(F.struct(F.length("entry").alias("n"), (F.col("list") == "allow").alias("allow"), F.col("entry").alias("entry"))).alias("best")
     verdicts = hits.groupBy("host", "fetched").agg(F.count("*").alias("n_active"), best)
-    out = rows.join(verdicts, ["host", "fetched"], "left")
-    return out.select(*captures.columns, "host", F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), F.col("best.entry").alias("entry"), F.coalesce(~F.col("best.allow"), F.lit(False)).alias("blocked"))
+    told = ["host", "n_active", "entry", "blocked"]
+    kept = [c for c in captures.columns if c not in told]
+    out = rows.select(*kept, "host").join(verdicts.select("host", "fetched", F.col("n_active").alias("_n"), F.col("best").alias("_best")), ["host", "fetched"], "left")
+    return out.select(*kept, "host", F.coalesce("_n", F.lit(0)).cast("long").alias("n_active"), F.col("_best.entry").alias("entry"), F.coalesce(~F.col("_best.allow"), F.lit(False)).alias("blocked"))
 
 
 def demo_feed(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from plinth.llm import chat_format, decontaminate, jaccard_join, language_id, piece_counts, quality_ledger, registry, sentencepiece_bpe, substring_dedup, url_lists, warc_convert
 from plinth.llm.components import components
@@ -369,3 +370,17 @@ def test_quality_ledger(docs, rows):
         b = quality_ledger.bit(name)
         assert (only[name].n_failed, only[name].n_only) == (sum(bool(f & b) for f in failed), sum(f == b for f in failed))
     assert quality_ledger.keep(docs).columns == docs.columns
+
+
+def test_clashing_columns(spark, docs, model_path):
+    """Columns that have the names of an operator's own stay as they are, or are replaced where that is said."""
+    names = ["spans", "row_key", "family", "rep", "keys", "n_words", "failed", "_doc", "_key", "host", "ids", "component_id", "language"]
+    more = docs.where("doc_id < 6").select("*", *[F.lit("mine").alias(n) for n in names])
+    bench = spark.createDataFrame([(1, "zzz")], "item_id long, text string")
+    for kept in (substring_dedup.without_repeats(more), jaccard_join.one_of_each(more), decontaminate.drop_contaminated(more, bench), decontaminate.drop_contaminated(more, bench, max_chars=1), language_id.keep_identified(more), quality_ledger.keep(more)):
+        assert kept.columns == more.columns
+        assert all(r[n] == "mine" for r in kept.collect() for n in names)
+    assert sentencepiece_bpe.encoded(more, model_path).where("size(ids) >= 0").count() == more.count()
+    pages = spark.createDataFrame([(1, "http://a.org/", 3, "mine", "mine")], "id long, url string, fetched long, host string, entry string")
+    lists = url_lists.intervals(spark.createDataFrame([("block", "a.org", 1, True)], "list string, entry string, day long, added boolean"))
+    assert url_lists.judged(pages, lists).first().entry == "a.org"
