@@ -53,6 +53,8 @@ BLOCK = 64
 PIVOTS = 4
 #: Shingles that the frequency summary holds at most.
 SUMMARY = 1 << 20
+#: Bytes of text whose shingles are held at once; about a hundred bytes of memory each.
+SLICE = 1 << 20
 #: A shingle is put forward for the summary when so many texts of one slice have it.
 OFTEN = 3
 
@@ -96,7 +98,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 def _frequent(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column("text"), 4 << 20):
+            for _, _, data, offsets in text_slices(batch.column("text"), SLICE):
                 values, counts = np.unique(shingle_sets(data, offsets, k)[1], return_counts=True)
                 often = counts >= OFTEN
                 yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"])
@@ -144,7 +146,7 @@ def _profiles(k: int, percent: int, summary):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, data, offsets in text_slices(batch.column("text")):
+            for row, end, data, offsets in text_slices(batch.column("text"), SLICE):
                 owner, hashes = shingle_sets(data, offsets, k)
                 rows = end - row
                 size = np.bincount(owner, minlength=rows)
@@ -179,7 +181,7 @@ def _counted_lists(k: int, percent: int, summary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for row, _, data, offsets in text_slices(batch.column("text")):
+            for row, _, data, offsets in text_slices(batch.column("text"), SLICE):
                 owner, hashes = shingle_sets(data, offsets, k)
                 chosen = hashes <= limit
                 owner, hashes = owner[chosen], hashes[chosen]
