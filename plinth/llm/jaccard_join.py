@@ -192,15 +192,17 @@ def _counted_lists(k: int, percent: int, summary):
 
 
 def _routing_keys(rows: DataFrame, reps: DataFrame, k: int, percent: int, summary) -> DataFrame:
-    """(rep, copies, key): the shortest lists of each set, without those of one document."""
+    """(rep, copies, key), each rep and key once: the shortest lists of each set, without those of one document."""
     counted = rows.where("doc_id is not null").select("doc_id", "text").mapInArrow(_counted_lists(k, percent, summary), "shingle long, doc_id long")
     lengths = counted.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).where("df > 1")
-    shared = lengths.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
-    once = reps.groupBy("doc_id").agg(F.count("*").alias("texts"))  # of texts with one doc_id, all lists are keys
-    keyed = reps.join(shared, "doc_id", "left").join(once, "doc_id")
+    shared = lengths.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("df", "shingle"))).alias("shared"))
+    # a row for each doc_id: repeated rows are one text; of several texts with one doc_id, all lists are keys
+    once = reps.groupBy("doc_id", "rep").agg(F.max("copies").alias("copies"), F.collect_set(F.struct("row_key", "n", "counted", "rest")).alias("texts"))
+    once = once.withColumn("n", F.get("texts", F.lit(0))["n"]).withColumn("counted", F.get("texts", F.lit(0))["counted"]).withColumn("rest", F.when(F.size("texts") > 1, F.array_distinct(F.flatten("texts.rest"))).otherwise(F.get("texts", F.lit(0))["rest"]))
+    keyed = once.join(shared, "doc_id", "left")
     n_shared = F.coalesce(F.size("shared"), F.lit(0))
     prefix = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    open_ = F.when(F.col("texts") > 1, F.lit(1 << 30)).otherwise(prefix - (F.col("counted") - n_shared)).cast("int")
+    open_ = F.when(F.size("texts") > 1, F.lit(1 << 30)).otherwise(prefix - (F.col("counted") - n_shared)).cast("int")
     keys = F.slice(F.concat(F.coalesce(F.transform("shared", lambda x: x["shingle"]), F.array().cast("array<bigint>")), F.col("rest")), F.lit(1), F.greatest(open_, F.lit(0)))
     return keyed.select("rep", "copies", F.explode(keys).alias("key"))
 
@@ -344,9 +346,9 @@ def _family_links(texts: DataFrame, lists: DataFrame, k: int, percent: int) -> D
         pivot_links = None
     else:
         pivots = large.groupBy("family", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("b")).agg(F.min(F.struct(-F.col("copies"), "rep")).alias("best")).select("family", F.col("best.rep").alias("rep"))
-        pivots = large.join(pivots, ["family", "rep"]).groupBy("family").agg(F.array_sort(F.collect_list(F.struct("rep", "text"))).alias("p"))  # at most PIVOTS
+        pivots = large.join(pivots, ["family", "rep"]).groupBy("family", "rep").agg(F.min("text").alias("text")).groupBy("family").agg(F.array_sort(F.collect_list(F.struct("rep", "text"))).alias("p"))  # at most PIVOTS
         pivots = staged(pivots.select("family", F.col("p.rep").alias("pivot_ids"), F.col("p.text").alias("pivot_texts")), "pivots")
-        masks = staged(large.select("family", "rep", "text").join(pivots.select("family", "pivot_texts"), "family").mapInArrow(_against_pivots(k, percent), "family long, rep long, mask int"), "masks")
+        masks = staged(large.select("family", "rep", "text").join(pivots.select("family", "pivot_texts"), "family").mapInArrow(_against_pivots(k, percent), "family long, rep long, mask int").groupBy("family", "rep").agg(F.bit_or("mask").alias("mask")), "masks")
         kinds = masks.groupBy("family", "mask").agg(F.count("*").alias("n")).groupBy("family").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "mask"))).alias("kinds"))
         # the bits of one component: from the commonest mask on, whatever shares a bit with it
         main = "aggregate(sequence(1, %d), coalesce(filter(kinds, x -> x.mask > 0)[0].mask, 0), (a, i) -> aggregate(kinds, a, (b, x) -> IF((x.mask & b) <> 0, b | x.mask, b)))" % PIVOTS

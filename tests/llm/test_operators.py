@@ -91,6 +91,17 @@ def test_jaccard_components(docs, rows, monkeypatch, k, percent, block):
             assert (r.n_shingles, r.component_id) == want[r.doc_id], r
 
 
+@pytest.mark.parametrize("times, block", [(2, 64), (9, 2)])
+def test_near_copies_in_repeated_rows(spark, monkeypatch, times, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    say = lambda i, j: " ".join([f"d{i}w{k}" for k in range(60)] + [f"e{j}"])
+    docs = spark.createDataFrame([(6 * i + j, say(i, j)) for i in range(8) for j in range(2 + i % 2 * 4)], "doc_id long, text string")
+    more = docs.crossJoin(spark.range(times)).select("doc_id", "text")
+    got = jaccard_join.jaccard_components(more, 3, 90).collect()
+    assert len(got) == times * docs.count()
+    assert [r for r in got if r.component_id != r.doc_id // 6 * 6] == []
+
+
 def test_one_of_each(docs, rows, empty):
     want = brute_components(rows, 5, 80)
     got = jaccard_join.one_of_each(docs).collect()
