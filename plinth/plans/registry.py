@@ -480,7 +480,7 @@ MATCH_SQL = """, cl AS (SELECT path, CASE WHEN language IN ('go', 'java') THEN '
 
 def _scores(g: Graph) -> DataFrame:
     top = F.substring_index("path", "/", 1)
-    cl = g.files.where("file_ord % 5 <> 0").select("path", F.when(F.col("language").isin("go", "java"), F.concat(F.lit("dir:"), top)).otherwise(F.concat(F.lit("c:"), top)).alias("cluster"))
+    cl = g.files.select("path", F.when(F.col("language").isin("go", "java"), F.concat(F.lit("dir:"), top)).otherwise(F.concat(F.lit("c:"), top)).alias("cluster"))
     return groups.match_scores(cl, g.groups.select("group_id", "path"))
 
 

@@ -37,3 +37,10 @@ def test_every_line_item_is_a_hit(spark, tables):
     tables("lineitem", [(1, 0, 1, 2, 3.0, 0.0, "N", "O", datetime(1998, 1, 1)), (1, 0, 1, 5, 40.0, 0.0, "N", "O", datetime(1998, 1, 1))], LINES)
     assert [r.hits for r in Graph(spark, tables.dir).coverage_lines.collect()] == [40]
     assert [r.coverage for r in registry.QUERIES["symbol_coverage"](spark, tables.dir).collect()] == ["covered"]
+
+
+def test_all_files_are_matched(spark, tables):
+    tables("part", [(i, "Brand#1", "SMALL", f"a n{i}") for i in range(10)], PART)
+    tables("lineitem", [], LINES)
+    got = registry.QUERIES["group_matches"](spark, tables.dir).collect()
+    assert [(r.cluster, r.group_id, r.shared, r.jaccard) for r in got] == [("c:small", "dir:small", 10, 1.0)]
