@@ -190,7 +190,7 @@ def provides(g: Graph) -> DataFrame:
  f AS (SELECT path, CASE WHEN by_test THEN 'only tests reach it' ELSE 'nothing reaches it' END AS why, coalesce(imports, 0) AS imports FROM files LEFT JOIN rt USING (path) LEFT JOIN im USING (path) WHERE NOT test AND NOT coalesce(by_source, false))
  SELECT path, why, imports, count(*) OVER () AS total FROM f ORDER BY imports DESC, path LIMIT 12""")
 def roots(g: Graph) -> DataFrame:
-    return lift.roots(g.edges.where("kind = 'imports' and guessed"), g.files)
+    return lift.roots(g.edges.where("kind = 'imports'"), g.files)
 
 
 @query(""", r AS (SELECT src_file, dst_file, CASE WHEN composed AND NOT handed THEN 'composition' WHEN handed AND NOT composed THEN 'aggregation' END AS own FROM (SELECT src_file, dst_file, refs % 2 = 1 AS composed, coalesce(guessed, false) AS handed FROM edges WHERE kind = 'associates' AND src_file <> dst_file))
@@ -527,11 +527,9 @@ def group_overlaps(g: Graph) -> DataFrame:
 
 @query()
 def clusters(g: Graph) -> DataFrame:
-    """Clusters by label propagation, one project for each language."""
-    near = lift.neighbours(lift.file_links(g.edges.where("guessed"), g.files), g.files).join(g.files.select("path", F.col("language").alias("project")), "path")
-    other = g.files.select(F.col("path").alias("other"), F.col("language").alias("p2"))
-    inside = near.join(other, "other").where("project = p2").select("project", "path", "other", "weight")
-    return folds.clusters(inside)
+    """Clusters by label propagation over all links; the graph is one project, so it has to fit in one task."""
+    near = lift.neighbours(lift.file_links(g.edges, g.files), g.files)
+    return folds.clusters(near.select(F.lit("p").alias("project"), "path", "other", "weight"))
 
 
 @query()

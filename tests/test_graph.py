@@ -44,3 +44,14 @@ def test_all_files_are_matched(spark, tables):
     tables("lineitem", [], LINES)
     got = registry.QUERIES["group_matches"](spark, tables.dir).collect()
     assert [(r.cluster, r.group_id, r.shared, r.jaccard) for r in got] == [("c:small", "dir:small", 10, 1.0)]
+
+
+def test_links_that_are_certain_and_between_languages_count(spark, tables):
+    from datetime import datetime
+
+    tables("part", [(i, "Brand#1", kind, "a n") for i, kind in enumerate(["SMALL", "LARGE", "MEDIUM"])], PART)
+    tables("lineitem", [(i, (i + k) % 3, 1, 1 + k, 1.0, 0.0, "N", "O", datetime(1998, 1, 1)) for i in range(3) for k in range(2)], LINES)
+    got = registry.QUERIES["clusters"](spark, tables.dir).collect()
+    assert sorted(r.path for r in got) == ["large/brand1/n.go", "medium/brand1/n.java", "small/brand1/n.py"]
+    assert {(r.project, r.cohesion) for r in got} == {("p", 1.0)}
+    assert registry.QUERIES["roots"](spark, tables.dir).count() == 0
