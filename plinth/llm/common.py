@@ -7,6 +7,7 @@ single text), never its partition.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -107,19 +108,6 @@ def words_of(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words
     return Words(data, starts, np.flatnonzero(mask & ~after) + 1, np.searchsorted(starts, offsets))
 
 
-_BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            grown = np.full(n + n // 4, base, dtype=np.uint64)
-            grown[0] = 1
-            _powers[i] = np.multiply.accumulate(grown)
-    return _powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
@@ -129,19 +117,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Spans:
-    """Hashes of any ranges of a sequence of integers, after one pass over it."""
+#: Odd multipliers and a seed of the hashes below.
+_ODD, _LENGTH, _SEED = np.uint64(0x9E3779B97F4A7C17), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x5851F42D4C957F2D)
+#: Words of more bytes are hashed by hashlib, one by one.
+LONG_WORD = 1024
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
-    def __init__(self, values: np.ndarray):
-        power, self.inverse = _power_tables(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values.astype(np.uint64) * power[: len(values)], out=self.sums[1:])
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        size = (end - start).astype(np.uint64)
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + size * np.uint64(0xD6E8FEB86659FD93))
+def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The hash of what x is a hash of, followed by what y is a hash of. Every step is mixed, so regular texts don't cancel out."""
+    return mix(x * _ODD + y)
 
 
 def word_hashes(words: Words) -> np.ndarray:
-    """A 64-bit hash for each word."""
-    return Spans(words.data + np.uint64(1))(words.starts, words.ends)
+    """A 64-bit hash for each word: its bytes by eights, each mixed into those before."""
+    size = words.ends - words.starts
+    out = mix(size.astype(np.uint64) * _LENGTH + _SEED)
+    if not len(size):
+        return out
+    padded = np.zeros(len(words.data) + 8, np.uint8)
+    padded[: len(words.data)] = words.data
+    eight = np.ndarray((len(words.data) + 1,), "<u8", padded, strides=(1,))
+    at, todo = 0, np.flatnonzero(size <= LONG_WORD)
+    while len(todo):
+        chunk = eight[words.starts[todo] + at] & _KEEP[np.minimum(size[todo] - at, 8)]
+        out[todo] = joined(out[todo], chunk)
+        at += 8
+        todo = todo[size[todo] > at]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(words.data[words.starts[i] : words.ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` consecutive values, from runs of powers of two."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    level, size, out, done = values, 1, None, 0
+    while True:
+        if width & size:
+            part = level[done : done + n]
+            out = part if out is None else joined(out, part)
+            done += size
+        size *= 2
+        if size > width:
+            return mix(out ^ np.uint64(width))
+        level = joined(level[: -size // 2], level[size // 2 :])
+
+
+def normal_text(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends) of the same words with one blank after each."""
+    size = words.ends - words.starts
+    starts = np.cumsum(size + 1) - size - 1
+    out = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+    inside = np.repeat(words.starts - starts, size + 1) + np.arange(len(out))
+    blank = starts + size
+    inside[blank] = 0
+    out[:] = words.data[inside] if len(out) else 0
+    out[blank] = 0x20
+    return out, starts, starts + size

@@ -1,35 +1,39 @@
 """N-gram Jaccard join: T-occurrence search over inverted lists with DivideSkip.
 
 Two texts link when their sets of word shingles overlap by at least ``percent`` per cent of
-their union. Documents with equal sets form one class, which one document stands for.
+their union. Rows with equal sets form one class, which one text stands for.
 
 1. Routing. A link needs T common shingles, so two linked sets share one of the shortest
    n - T + 1 inverted lists of either, in any one order of all lists. The order here: a fixed
    part of hash space (``counted``), by exact list length; then the other lists, by hash; last
    those of a summary of frequent shingles (of bounded size), by frequency. Lists of one
-   document need no routing; usually they are the whole of a text's shortest lists. Documents
-   that share one of their shortest lists come into one *family*, through the list's leader:
-   linear in the list, never all pairs of it. Counting a part of hash space only is a choice of
-   order: every shingle of every text has its place in it, and links don't depend on it.
-2. Pivots. In a family of more than ``BLOCK`` documents, a few pivots are compared with
-   every member. Those linked to the pivots of one component need no further search among
-   themselves; the others remain as queries.
-3. Search. Queries meet the family's inverted lists in blocks of about BLOCK documents each; a
-   large family that is only chained together, by lists that few of its documents share, is
-   searched list by list instead, in the same blocks.
-   In a block, the short lists of a query are heap-merged, documents found often enough there
-   are probed by binary search in the long lists, and those that reach the needed overlap link
-   (DivideSkip). A block gives a spanning forest of its links.
-4. Components of the links, by alternating stars.
-
-Scale: shingle sets are never shuffled; texts are, once to find family members and once for
-each block. No list, class or family meets in one task: they are aggregated and joined back,
-and large families are dealt out in blocks. No cap on lists, partners or candidates.
+   text need no routing; usually they are the whole of a text's shortest lists. Of lists with the
+   same members one is kept. Counting a part of hash space only is a choice of order: every
+   shingle of every text has its place in it, and links don't depend on it.
+2. Leaders. Each list's members are held against its leader, the text with the smallest share of
+   shingles of its own (in a group of copies, the original). A pair that comes from several
+   lists is searched once, and lists whose members are in one component by now are done.
+   While the lists that are left hold many pairs of members, another leader is tried.
+3. The rest. In a list that still has members of several components, those outside its largest
+   one are held against all its members, in blocks.
+4. Search. A pair is first held against a bound: sizes, and the distance of two sketches, which
+   is never more than the difference of the sets. What is left is searched in blocks of about BLOCK
+   pairs: the short lists of a query are heap-merged, texts found often enough there are probed
+   by binary search in the long lists, and those that reach the needed overlap link (DivideSkip).
+5. Components of the links, by alternating stars.
+
+Scale: shingle sets are never shuffled; texts move once to the few that share a routing list,
+and once for each block of pairs. No list, class or component meets in one task: they are aggregated and
+joined back, and large lists are dealt out in blocks. No cap on lists, partners or candidates.
+
+A shingle is known by a 64-bit hash of its words; only the shingles of two texts at a time
+are compared, so a chance collision matters with a probability of about 1e-13 for texts of 1,000 words.
+Equal sets are known by their size and two such sums of hashes.
 
 Defined cases: a text without words, or null, has the empty set and links with nothing; a text
 of fewer words than a shingle has its whole sequence as one. Rows with a null doc_id get their
 set size and a null component. Repeated rows fall in one class; rows with one doc_id and
-different texts are one document. Extra columns are left alone.
+different texts are one document, which has the links of all of them. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -41,16 +45,23 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import WHITE, Spans, Words, lookup, mix, staged, text_slices, word_hashes, words_of
+from plinth.llm.common import WHITE, Words, joined, lookup, mix, staged, text_slices, window_hashes, word_hashes, words_of
 from plinth.llm.components import components
 
-#: Documents of one side of a search task.
+#: Pairs of one search block.
 BLOCK = 64
-#: Pivots of a large family.
-PIVOTS = 4
+#: Shingles of one search block, but for the last pair.
+BLOCK_SHINGLES = 1 << 18
+#: Members on each side of a block of sketches.
+SKETCHES = 256
+#: Counters of a sketch.
+COUNTERS = 128
+#: Another leader is tried while the members outside the main components have more than so many partners for each row of their lists.
+PARTNERS = 32
 #: Shingles that the frequency summary holds at most.
 SUMMARY = 1 << 20
 #: Bytes of text whose shingles are held at once; about a hundred bytes of memory each.
@@ -74,25 +85,47 @@ def needed(n: int, m: int, percent: int) -> int:
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the distinct shingles of each text, sorted."""
     words: Words = words_of(_LOWER[data], offsets, _INSIDE)
-    spans = Spans(word_hashes(words))
+    values = word_hashes(words)
     count = np.diff(words.first)
     text = np.repeat(np.arange(len(count)), count)
-    n = len(text)
-    at = np.arange(max(0, n - k + 1))
-    at = at[text[at] == text[at + k - 1]] if n >= k else at
+    at = np.arange(max(0, len(text) - k + 1))
+    at = at[text[at] == text[at + k - 1]]
     short = np.flatnonzero((count > 0) & (count < k))
+    whole = values[words.first[short]]
+    for i in range(1, k - 1):
+        more = count[short] > i
+        whole[more] = joined(whole[more], values[words.first[short[more]] + i])
     owner = np.r_[text[at], short]
-    hashes = np.r_[spans(at, at + k), spans(words.first[short], words.first[short + 1])]
-    order = np.lexsort((hashes, owner))
+    hashes = np.r_[window_hashes(values, k)[at], mix(whole ^ count[short].astype(np.uint64))]
+    order = np.argsort(hashes)
+    order = order[np.argsort(owner[order].astype(np.uint16 if len(count) < 1 << 16 else np.int64), kind="stable")]
     owner, hashes = owner[order], hashes[order]
     keep = np.ones(len(owner), bool)
     keep[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
     return owner[keep], hashes[keep]
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    return shingle_sets(data, np.array([0, len(data)]), k)[1]
+def sets_of(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted set of each text."""
+    out = []
+    for row, end, data, offsets in text_slices(texts, SLICE):
+        owner, hashes = shingle_sets(data, offsets, k)
+        out += np.split(hashes, np.searchsorted(owner, np.arange(1, end - row)))
+    return out
+
+
+def sketches_of(sets: list[np.ndarray]) -> np.ndarray:
+    """COUNTERS bytes for each set: how many shingles fall into each, modulo 256."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    at = owner * COUNTERS + (np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64) if sets else owner
+    return np.bincount(at, minlength=len(sets) * COUNTERS).astype(np.uint8).reshape(-1, COUNTERS)
+
+
+def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """False only for pairs of sets of sizes n and m, sketches x and y, that can't link."""
+    goal = -(-percent * (n + m) // (100 + percent))
+    apart = x - y
+    return (goal <= np.minimum(n, m)) & (np.minimum(apart, -apart).sum(axis=-1, dtype=np.int64) <= n + m - 2 * goal)
 
 
 def _frequent(k: int):
@@ -192,19 +225,22 @@ def _counted_lists(k: int, percent: int, summary):
 
 
 def _routing_keys(rows: DataFrame, reps: DataFrame, k: int, percent: int, summary) -> DataFrame:
-    """(rep, copies, key), each rep and key once: the shortest lists of each set, without those of one document."""
+    """(cid, rep, copies, own, key): the shortest lists of each class's text, without those of one text; own is the share of such.
+
+    ``shared`` goes by doc_id. Where a doc_id has several texts it holds the lists of all of them, so each
+    of them gets at least its own.
+    """
     counted = rows.where("doc_id is not null").select("doc_id", "text").mapInArrow(_counted_lists(k, percent, summary), "shingle long, doc_id long")
-    lengths = counted.withColumn("df", F.count("*").over(Window.partitionBy("shingle"))).where("df > 1")
-    shared = lengths.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("df", "shingle"))).alias("shared"))
-    # a row for each doc_id: repeated rows are one text; of several texts with one doc_id, all lists are keys
-    once = reps.groupBy("doc_id", "rep").agg(F.max("copies").alias("copies"), F.collect_set(F.struct("row_key", "n", "counted", "rest")).alias("texts"))
-    once = once.withColumn("n", F.get("texts", F.lit(0))["n"]).withColumn("counted", F.get("texts", F.lit(0))["counted"]).withColumn("rest", F.when(F.size("texts") > 1, F.array_distinct(F.flatten("texts.rest"))).otherwise(F.get("texts", F.lit(0))["rest"]))
-    keyed = once.join(shared, "doc_id", "left")
+    # two shuffles rather than a window, so that the join can split a hot list
+    lengths = staged(counted.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "list-lengths")
+    shared = counted.join(lengths, "shingle").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("df", "shingle"))).alias("shared"))
+    keyed = reps.dropDuplicates(["doc_id", "cid"]).join(shared, "doc_id", "left")
     n_shared = F.coalesce(F.size("shared"), F.lit(0))
     prefix = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    open_ = F.when(F.size("texts") > 1, F.lit(1 << 30)).otherwise(prefix - (F.col("counted") - n_shared)).cast("int")
+    open_ = (prefix - (F.col("counted") - n_shared)).cast("int")
     keys = F.slice(F.concat(F.coalesce(F.transform("shared", lambda x: x["shingle"]), F.array().cast("array<bigint>")), F.col("rest")), F.lit(1), F.greatest(open_, F.lit(0)))
-    return keyed.select("rep", "copies", F.explode(keys).alias("key"))
+    own = (F.greatest(F.col("counted") - n_shared, F.lit(0)) / F.greatest("counted", F.lit(1))).alias("own")
+    return keyed.select("cid", F.col("doc_id").alias("rep"), "copies", own, F.explode(keys).alias("key"))
 
 
 # --- search --------------------------------------------------------------------------------------------
@@ -275,114 +311,176 @@ class Forest:
         return a != b
 
 
-def block_links(queries: list[tuple[int, np.ndarray]], index: list[tuple[int, np.ndarray, bool]], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between queries and the block; index entries that are flagged count as joined already."""
-    lists, forest, out = Lists([s for _, s, _ in index]), Forest(), []
-    ids = [i for i, _, _ in index]
-    main = {i: min(x for x, _, m in index if m) for i, _, m in index if m}
-    for i, members in main.items():
-        forest.join(i, members)
-    for q, s in queries:
-        for k in lists.search(s, percent):
-            if ids[k] != q and forest.join(q, ids[k]):
-                out.append((q, ids[k]))
+def _block_links(rows: list, k: int, percent: int) -> list[tuple[int, int]]:
+    """Of rows (cid, rep, targets, text): the links between reps, as many as span what they join."""
+    sets = dict(zip([r[0] for r in rows], sets_of(pa.array([r[3] for r in rows], pa.large_string()), k), strict=True))
+    reps, forest, out = {r[0]: r[1] for r in rows}, Forest(), []
+    asked = [(r[0], r[2]) for r in rows if r[2]]
+    index = sorted({x for _, targets in asked for x in targets} & sets.keys())
+    lists = Lists([sets[x] for x in index])
+    for q, _ in asked:
+        for i in lists.search(sets[q], percent):
+            a, b = reps[q], reps[index[i]]
+            if a != b and forest.join(a, b):
+                out.append((a, b))
     return out
 
 
 def _search_blocks(k: int, percent: int):
-    """For mapInArrow over rows sorted by (family, qb, ib): side 0 is the block, 1 a query, 2 both."""
-
-    def links(rows: list) -> pa.RecordBatch:
-        sets = {}
-        for rep, _, _, text in rows:
-            if rep not in sets:
-                sets[rep] = shingle_set(text, k)
-        index, queries = {}, {}
-        for rep, side, main, _ in rows:
-            if side != 1:
-                index[rep] = (rep, sets[rep], main)
-            if side != 0:
-                queries[rep] = (rep, sets[rep])
-        found = block_links(list(queries.values()), list(index.values()), percent)
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+    """For mapInArrow over rows sorted by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        block, rows = None, []
+
+        def links() -> pa.RecordBatch:
+            found = _block_links(rows, k, percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            columns = [batch.column(c) for c in ("family", "qb", "ib", "rep", "side", "main", "text")]
-            for family, qb, ib, rep, side, main, text in zip(*(c.to_pylist() for c in columns), strict=True):
-                if (family, qb, ib) != key:
-                    if len(rows) > 1:
-                        yield links(rows)
-                    key, rows = (family, qb, ib), []
-                rows.append((rep, side, main, text))
-        if len(rows) > 1:
-            yield links(rows)
+            columns = [batch.column(c).to_pylist() for c in ("block", "cid", "rep", "targets", "text")]
+            for at, *row in zip(*columns, strict=True):
+                if at != block and rows:
+                    yield links()
+                    rows = []
+                block = at
+                rows.append(row)
+        if rows:
+            yield links()
 
     return run
 
 
-def _against_pivots(k: int, percent: int):
-    """(family, rep, mask): which of its family's pivots each document links with."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (q, x, n), sorted, to blocks: (block, cid, targets), where a query has targets and a target has none."""
+    number = TaskContext.get().partitionId() << 33
+
+    def block(pairs: list) -> pa.RecordBatch:
+        targets: dict[int, list] = {x: [] for _, x in pairs}
+        for q, x in pairs:
+            targets.setdefault(q, []).append(x)
+        return pa.RecordBatch.from_arrays([pa.array([number] * len(targets), pa.int64()), pa.array(list(targets), pa.int64()), pa.array(list(targets.values()), pa.list_(pa.int64()))], names=["block", "cid", "targets"])
+
+    pairs, total = [], 0
+    for batch in batches:
+        for q, x, n in zip(*(batch.column(c).to_pylist() for c in ("q", "x", "n")), strict=True):
+            if pairs and (len(pairs) == BLOCK or total + n > BLOCK_SHINGLES):
+                yield block(pairs)
+                number, pairs, total = number + 1, [], 0
+            pairs.append((q, x))
+            total += n
+    if pairs:
+        yield block(pairs)
+
+
+def _search(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of reps that span what the pairs (q, x, n) of classes join; n: the size of both sets."""
+    pairs = staged(pairs, "pairs")
+    needs = staged(pairs.repartitionByRange("q", "x").sortWithinPartitions("q", "x").mapInArrow(_blocks, "block long, cid long, targets array<long>"), "search-blocks")
+    rows = needs.join(texts.select("cid", "rep", "text"), "cid").repartition("block").sortWithinPartitions("block")
+    return staged(rows.select("block", "cid", "rep", "targets", "text").mapInArrow(_search_blocks(k, percent), "a long, b long"), "found")
+
+
+def _sketch_column(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COUNTERS)
+
+
+_PAIRS = "q long, x long, n long"
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (q, x), those whose sizes and sketches let them link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_q", "n_x"))
+            good = may_link(n, m, _sketch_column(batch.column("s_q")), _sketch_column(batch.column("s_x")), percent)
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("x"), pa.array(n + m)], names=["q", "x", "n"]).filter(pa.array(good))
+
+    side = lambda c: sketches.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    return pairs.join(side("q"), "q").join(side("x"), "x").mapInArrow(run, _PAIRS)
+
+
+def _across(percent: int):
+    """For mapInArrow over rows sorted by (key, qb, ib): members (side 0) against queries (side 1) of other components."""
+
+    def near(rows: list) -> pa.RecordBatch:
+        queries, members = ([r for r in rows if r[0] == side] for side in (1, 0))
+        out = []
+        if queries and members:
+            ids, comps, main, n = (np.array([r[i] for r in members]) for i in (1, 2, 3, 4))
+            sketches = np.frombuffer(b"".join(r[5] for r in members), np.uint8).reshape(-1, COUNTERS)
+            for _, q, comp, _, m, sketch in queries:
+                good = (comps != comp) & (main | (ids > q))
+                good[good] = may_link(n[good], np.int64(m), sketches[good], np.frombuffer(sketch, np.uint8), percent)
+                out += [(q, x, m + y) for x, y in zip(ids[good].tolist(), n[good].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["q", "x", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, lists = None, None
+        key, rows = None, []
         for batch in batches:
-            out = []
-            for family, rep, text, row in zip(batch.column("family").to_pylist(), batch.column("rep").to_pylist(), batch.column("text").to_pylist(), range(len(batch)), strict=True):
-                if at != family:
-                    at, lists = family, Lists([shingle_set(x, k) for x in batch.column("pivot_texts")[row].as_py()])
-                out.append((family, rep, sum(1 << i for i in lists.search(shingle_set(text, k), percent))))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["family", "rep", "mask"])
+            columns = [batch.column(c).to_pylist() for c in ("key", "qb", "ib", "side", "cid", "comp", "main", "n", "sketch")]
+            for *at, side, cid, comp, main, n, sketch in zip(*columns, strict=True):
+                if at != key and rows:
+                    yield near(rows)
+                    rows = []
+                key = at
+                rows.append((side, cid, comp, main, n, sketch))
+        if rows:
+            yield near(rows)
 
     return run
 
 
-def _family_links(texts: DataFrame, lists: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) that span the same components as all links. texts: (family, m, rep, copies, text), a row for each class; lists: (key, rep, c), of c members."""
-    small, large = texts.where(F.col("m") <= BLOCK), texts.where(F.col("m") > BLOCK)
-    tasks = small.select("family", F.lit(0).alias("qb"), F.lit(0).alias("ib"), "rep", F.lit(2).alias("side"), F.lit(False).alias("main"), "text")
-    if large.isEmpty():
-        pivot_links = None
-    else:
-        pivots = large.groupBy("family", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("b")).agg(F.min(F.struct(-F.col("copies"), "rep")).alias("best")).select("family", F.col("best.rep").alias("rep"))
-        pivots = large.join(pivots, ["family", "rep"]).groupBy("family", "rep").agg(F.min("text").alias("text")).groupBy("family").agg(F.array_sort(F.collect_list(F.struct("rep", "text"))).alias("p"))  # at most PIVOTS
-        pivots = staged(pivots.select("family", F.col("p.rep").alias("pivot_ids"), F.col("p.text").alias("pivot_texts")), "pivots")
-        masks = staged(large.select("family", "rep", "text").join(pivots.select("family", "pivot_texts"), "family").mapInArrow(_against_pivots(k, percent), "family long, rep long, mask int").groupBy("family", "rep").agg(F.bit_or("mask").alias("mask")), "masks")
-        kinds = masks.groupBy("family", "mask").agg(F.count("*").alias("n")).groupBy("family").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "mask"))).alias("kinds"))
-        # the bits of one component: from the commonest mask on, whatever shares a bit with it
-        main = "aggregate(sequence(1, %d), coalesce(filter(kinds, x -> x.mask > 0)[0].mask, 0), (a, i) -> aggregate(kinds, a, (b, x) -> IF((x.mask & b) <> 0, b | x.mask, b)))" % PIVOTS
-        kinds = kinds.select("family", F.expr(main).alias("bits"), F.expr("aggregate(kinds, 0L, (t, x) -> t - x.n)").alias("m")).withColumn("bits", F.col("bits").cast("int"))
-        kinds = staged(kinds, "kinds")
-        joined = masks.join(kinds, "family").withColumn("main", F.col("mask").bitwiseAND(F.col("bits")) != 0)
-        open_ = joined.where("not main").groupBy("family").agg(F.count("*").alias("q"))
-        blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-        part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-        none = F.lit(0)
-
-        # a family of many copies is searched as a whole, one that is only chained together list by list: whatever moves fewer rows
-        own = lists.join(masks.select("family", "rep"), "rep")
-        by_list = own.groupBy("family").agg(F.sum(F.when(F.col("c") <= BLOCK, 1).otherwise(2 * blocks("c"))).alias("rows_by_list"))
-        plans = kinds.join(open_, "family").join(by_list, "family").withColumn("whole", F.col("m") * blocks("q") + F.col("q") * blocks("m") <= F.col("rows_by_list"))
-        plans = staged(plans.select("family", "m", "q", "whole"), "family-plans")
-
-        joined = joined.select("family", "rep", "main").join(plans.where("whole"), "family").select("family", "rep", "main", blocks("m").alias("n_ib"), blocks("q").alias("n_qb"))
-        rows = large.select("family", "rep", "text").join(joined.withColumnRenamed("family", "f").withColumnRenamed("rep", "r"), (F.col("rep") == F.col("r")) & (F.col("family") == F.col("f"))).drop("f", "r")
-        index = rows.select("family", F.explode(F.sequence(none, F.col("n_qb") - 1)).alias("qb"), part("n_ib").alias("ib"), "rep", F.lit(0).alias("side"), "main", "text")
-        asked = rows.where("not main").select("family", part("n_qb").alias("qb"), F.explode(F.sequence(none, F.col("n_ib") - 1)).alias("ib"), "rep", F.lit(1).alias("side"), F.lit(False).alias("main"), "text")
-        tasks = tasks.unionByName(index).unionByName(asked)
-
-        apart = own.join(plans.where("not whole").select("family"), "family", "left_semi").select(F.col("key").alias("family"), "rep", "c", blocks("c").alias("nb"))
-        apart = apart.join(large.select("rep", "text"), "rep")
-        alone = apart.where("nb = 1").select("family", none.alias("qb"), none.alias("ib"), "rep", F.lit(2).alias("side"), F.lit(False).alias("main"), "text")
-        more = apart.where("nb > 1")
-        index = more.select("family", F.explode(F.sequence(none, F.col("nb") - 1)).alias("qb"), part("nb").alias("ib"), "rep", F.lit(0).alias("side"), F.lit(False).alias("main"), "text")
-        asked = more.select("family", part("nb").alias("qb"), F.explode(F.sequence(none, F.col("nb") - 1)).alias("ib"), "rep", F.lit(1).alias("side"), F.lit(False).alias("main"), "text")
-        tasks = tasks.unionByName(alone).unionByName(index).unionByName(asked)
-        ids = masks.where("mask <> 0").join(pivots.select("family", "pivot_ids"), "family")
-        pivot_links = ids.select(F.col("rep").alias("a"), F.explode(F.expr("filter(pivot_ids, (x, i) -> (shiftright(mask, i) & 1) = 1)")).alias("b"))
-    links = tasks.repartition("family", "qb", "ib").sortWithinPartitions("family", "qb", "ib").mapInArrow(_search_blocks(k, percent), "a long, b long")
-    return links if pivot_links is None else links.unionByName(pivot_links)
+def _rest(left: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (q, x, n) of members of different components that may link. left: (key, cid, comp, main, m, q), q of m members outside the main component."""
+    rows = left.join(sketches.select("cid", "n", "sketch"), "cid")
+    blocks = lambda c: F.ceil(F.col(c) / SKETCHES).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    part = lambda c: F.pmod(F.xxhash64("cid"), blocks(c)).cast("int")
+    what = ["cid", "comp", "main", "n", "sketch"]
+    members = rows.select("key", every("q").alias("qb"), part("m").alias("ib"), F.lit(0).alias("side"), *what)
+    queries = rows.where("not main").select("key", part("q").alias("qb"), every("m").alias("ib"), F.lit(1).alias("side"), *what)
+    tasks = members.unionByName(queries).repartition("key", "qb", "ib").sortWithinPartitions("key", "qb", "ib")
+    return tasks.select("key", "qb", "ib", "side", *what).mapInArrow(_across(percent), _PAIRS).distinct()
+
+
+def _linked(lists: DataFrame, texts: DataFrame, links: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component) of reps. lists: (key, cid, rep, lead, c); links: (a, b), known before."""
+    sketches = texts.select("cid", "n", "sketch")
+    leads, turn, before = lists.select("cid", "lead"), 0, None
+    while True:
+        pairs = leads.where("cid <> lead").select(F.col("lead").alias("q"), F.col("cid").alias("x")).distinct()
+        links = links.unionByName(_search(_near(pairs, sketches, percent), texts, k, percent))
+        found = staged(components(links), "components")
+        # lists of two are done; so are those whose members are in one component
+        now = lists.where("c > 2").select("key", "cid", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        now = staged(now.select("key", "cid", F.coalesce("component", "rep").alias("comp")), "list-components")
+        sizes = now.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", "comp")).alias("most"))
+        sizes = staged(sizes.select("key", "m", F.col("most.comp").alias("most"), (F.col("m") - F.col("most.n")).alias("q")).where("q > 0"), "list-sizes")
+        rows, work = sizes.agg(F.sum("m"), F.sum(F.col("m").cast("double") * F.col("q"))).first()
+        if not rows:
+            return found
+        left = now.join(sizes, "key").withColumn("main", F.col("comp") == F.col("most"))
+        if work <= PARTNERS * rows or (before is not None and work > 0.8 * before):
+            more = _search(_rest(left, sketches, percent), texts, k, percent)
+            return found if more.isEmpty() else components(links.unionByName(more))
+        # a member of the largest component, another one for each turn and list, leads the others
+        turn, before = turn + 1, work
+        heads = left.groupBy("key").agg(F.min(F.struct(~F.col("main"), F.xxhash64("cid", "key", F.lit(turn)), "cid")).alias("one")).select("key", F.col("one.cid").alias("lead"))
+        leads = left.where("not main").select("key", "cid").join(staged(heads, "list-leads"), "key").select("cid", "lead")
+
+
+def _texts(rows: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """(cid, rep, n, sketch, text) of the chosen classes, one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = sets_of(batch.column("text"), k)
+            sketches = pa.array([x.tobytes() for x in sketches_of(sets)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("rep"), pa.array([len(x) for x in sets], pa.int64()), sketches, batch.column("text")], names=["cid", "rep", "n", "sketch", "text"])
+
+    once = rows.join(chosen, ["doc_id", "row_key"]).dropDuplicates(["doc_id", "row_key"]).select("cid", "rep", "text")
+    return staged(once.mapInArrow(run, "cid long, rep long, n long, sketch binary, text string"), "list-texts")
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -391,27 +489,27 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     summary = docs.sparkSession.sparkContext.broadcast(frequency_summary(docs, k))
     profiles = staged(rows.mapInArrow(_profiles(k, percent, summary), _PROFILE_DDL), "profiles")
 
+    # a class of equal sets: its number, and the row that stands for it
     sets = ["n", "sig_a", "sig_b"]
     classes = profiles.where("n > 0 and doc_id is not null").groupBy(*sets).agg(F.min(F.struct("doc_id", "row_key")).alias("rep"), F.count("*").alias("copies"))
-    classes = staged(classes.select(*sets, F.col("rep.doc_id").alias("rep"), F.col("rep.row_key").alias("rep_key"), "copies"), "classes")
-    members = staged(profiles.drop("counted", "rest").join(classes, sets, "left"), "members")
-    stands = classes.select(F.col("rep").alias("doc_id"), F.col("rep_key").alias("row_key"), "rep", "copies")
-    # joined on doc_id alone, as the next joins are: the lists move once
-    reps = profiles.select("doc_id", "row_key", "n", "counted", "rest").join(stands.withColumnRenamed("row_key", "_key"), "doc_id").where("row_key = _key").drop("_key")
+    classes = staged(classes.select(*sets, F.monotonically_increasing_id().alias("cid"), F.col("rep.doc_id").alias("rep"), F.col("rep.row_key").alias("rep_key"), "copies"), "classes")
+    members = staged(profiles.drop("counted", "rest").join(classes.drop("cid", "copies"), sets, "left"), "members")
+    stands = classes.select(F.col("rep").alias("doc_id"), F.col("rep_key").alias("_key"), "cid", "copies")
+    # joined on doc_id alone, as the next join is: the lists move once
+    reps = profiles.select("doc_id", "row_key", "n", "counted", "rest").join(stands, "doc_id").where("row_key = _key").drop("_key", "row_key")
     keys = staged(_routing_keys(rows, reps, k, percent, summary), "keys")
     # lists with the same members say the same: one of them is enough
-    heads = keys.groupBy("key").agg((F.min("rep") < F.max("rep")).alias("shared"), F.min(F.struct(-F.col("copies"), "rep")).alias("lead"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
-    heads = heads.where("shared").groupBy("c", "x", "y").agg(F.min(F.struct("key", "lead")).alias("one")).select("c", F.col("one.key").alias("key"), F.col("one.lead.rep").alias("lead"))
-    lists = staged(keys.select("key", "rep").join(staged(heads, "list-heads"), "key"), "lists")
-    routes = lists.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    families = staged(components(routes), "families").select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    families = families.join(families.groupBy("family").agg(F.count("*").alias("m")), "family")
-
-    chosen = stands.join(families, "rep")
-    texts = rows.join(chosen, ["doc_id", "row_key"]).select("family", "m", "rep", "copies", "text")
-    texts = staged(texts, "family-texts")
-    found = components(_family_links(texts, lists, k, percent)).select(F.col("node").alias("rep"), "component")
-    out = members.join(found, "rep", "left")
+    heads = keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("own", -F.col("copies"), "cid")).alias("lead"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y"), F.sum(F.xxhash64("cid", F.lit(2)) % (1 << 32)).alias("z"))
+    heads = heads.where("c > 1").groupBy("c", "x", "y", "z").agg(F.min(F.struct("key", "lead")).alias("one")).select("c", F.col("one.key").alias("key"), F.col("one.lead.cid").alias("lead"))
+    lists = staged(keys.select("key", "cid", "rep").join(staged(heads, "list-heads"), "key"), "lists")
+
+    chosen = lists.select("cid").distinct().join(classes.select("cid", "rep", F.col("rep").alias("doc_id"), F.col("rep_key").alias("row_key")), "cid")
+    texts = _texts(rows, chosen, k)
+    # the classes of one document's several texts
+    several = members.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("high")).where("b < high").drop("high")
+    links = members.join(staged(several, "several-texts"), "doc_id").select(F.col("rep").alias("a"), "b").distinct()
+    found = _linked(lists, texts, staged(links, "document-links"), k, percent)
+    out = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
@@ -421,7 +519,17 @@ def jaccard_report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stand for their component (its smallest doc_id), with all their columns."""
+    """The documents that stand for their component (its smallest doc_id), with all their columns.
+
+    Of repeated rows of such a document one stays, the first by its JSON form. Rows with a null doc_id stay.
+    """
     found = jaccard_components(docs, k, percent)
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_doc"], "left_anti")
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_doc"], "left_anti")
+    again = staged(docs.groupBy(F.col("doc_id").cast("long").alias("_doc")).count().where("count > 1 and _doc is not null").select("_doc"), "repeated-rows")
+    if again.isEmpty():
+        return kept
+    rows = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    same = kept["doc_id"].cast("long") == again["_doc"]
+    one = kept.join(again, same, "left_semi").groupBy("doc_id").agg(F.min_by(rows, F.to_json(rows)).alias("_row")).select("_row.*")
+    return kept.join(again, same, "left_anti").unionByName(one)

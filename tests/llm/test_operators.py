@@ -60,7 +60,7 @@ def brute_components(rows, k, percent):
     for i, t in rows:
         w = WORD.findall((t or "").translate(LOW))
         if i is not None:
-            sets[i] = frozenset(tuple(w[a : a + k]) for a in range(max(1, len(w) - k + 1))) if w else frozenset()
+            sets.setdefault(i, []).append(frozenset(tuple(w[a : a + k]) for a in range(max(1, len(w) - k + 1))) if w else frozenset())
     up = {i: i for i in sets}
 
     def root(x):
@@ -71,16 +71,16 @@ def brute_components(rows, k, percent):
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+            if any(100 * len(s & t) >= percent * len(s | t) for s in sets[a] for t in sets[b] if s & t):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
-    return {i: (len(s), root(i)) for i, s in sets.items()}
+    return {i: (len(s[0]), root(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "percent", "block"), [(3, 90, 64), (3, 90, 2), (5, 80, 3)])
-def test_jaccard_components(docs, rows, monkeypatch, k, percent, block):
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+@pytest.mark.parametrize(("k", "percent", "block", "partners"), [(3, 90, 64, 32), (3, 90, 2, 0), (5, 80, 3, 1)])
+def test_jaccard_components(docs, rows, monkeypatch, k, percent, block, partners):
+    for name, value in {"BLOCK": block, "SKETCHES": block, "PARTNERS": partners}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
     want = brute_components(rows, k, percent)
     got = jaccard_join.jaccard_components(docs, k, percent).collect()
     assert len(got) == len(rows)
@@ -91,6 +91,50 @@ def test_jaccard_components(docs, rows, monkeypatch, k, percent, block):
             assert (r.n_shingles, r.component_id) == want[r.doc_id], r
 
 
+@pytest.mark.parametrize("partners", [0, 10**6])
+def test_jaccard_several_texts(spark, monkeypatch, partners):
+    """Chains, stars and rings of near copies, and doc_ids with several texts, in any order."""
+    monkeypatch.setattr(jaccard_join, "SKETCHES", 4)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", partners)
+    r = random.Random(4)
+    rows = []
+    for g in range(6):
+        words = [f"g{g}w{i}" for i in range(50)]
+        for _ in range(12):
+            words = list(words)
+            words[r.randrange(50)] = f"n{r.randrange(10**6)}"
+            rows.append((r.randrange(60), " ".join(words)))
+    rows += [(100, "a b c d e f"), (100, "u v w x y z"), (101, "a b c d e f"), (102, "u v w x y z"), (103, "a b c d e f")]
+    r.shuffle(rows)
+    want = brute_components(rows, 3, 80)
+    assert {want[i][1] for i in (100, 101, 102, 103)} == {100}
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 80).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == {(i, c) for i, (_, c) in want.items()}
+
+
+def test_sketch_never_loses_a_link():
+    import numpy as np
+
+    r = random.Random(9)
+    sets = []
+    for _ in range(40):
+        base = [r.getrandbits(64) for _ in range(r.choice([1, 3, 40, 700]))]
+        for _ in range(4):
+            sets.append(np.unique(np.array([x if r.random() > 0.03 else r.getrandbits(64) for x in base], np.uint64)))
+    sketches = jaccard_join.sketches_of(sets)
+    n = np.array([len(x) for x in sets])
+    kept = linked = 0
+    for percent in (80, 90):
+        for i, a in enumerate(sets):
+            may = jaccard_join.may_link(np.int64(len(a)), n, sketches[i], sketches, percent)
+            for j, b in enumerate(sets):
+                kept += may[j]
+                if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                    linked += 1
+                    assert may[j]
+    assert linked <= kept < 2 * linked
+
+
 @pytest.mark.parametrize("times, block", [(2, 64), (9, 2)])
 def test_near_copies_in_repeated_rows(spark, monkeypatch, times, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
@@ -100,12 +144,15 @@ def test_near_copies_in_repeated_rows(spark, monkeypatch, times, block):
     got = jaccard_join.jaccard_components(more, 3, 90).collect()
     assert len(got) == times * docs.count()
     assert [r for r in got if r.component_id != r.doc_id // 6 * 6] == []
+    # the filter keeps one row of each group, whatever other columns there are
+    named = more.withColumn("row_key", F.lit("x")).withColumn("_doc2", F.rand(1))
+    assert sorted(r.doc_id for r in jaccard_join.one_of_each(named, 3, 90).collect()) == [6 * i for i in range(8)]
 
 
 def test_one_of_each(docs, rows, empty):
     want = brute_components(rows, 5, 80)
     got = jaccard_join.one_of_each(docs).collect()
-    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows if i is None or want[i][1] == i)
+    assert Counter(r.doc_id for r in got) == Counter([i for i in want if want[i][1] == i] + [i for i, _ in rows if i is None])
     assert jaccard_join.one_of_each(empty).count() == 0
 
 
@@ -177,6 +224,35 @@ def test_substring_dedup_random(spark):
     assert Counter(map(tuple, got)) == Counter(brute_dedup(rows))
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate({97: 98, 98: 97})
+    return s
+
+
+def test_regular_words_are_told_apart(spark):
+    """A word and its complement, which a polynomial modulo a power of two can't tell apart."""
+    a = thue_morse(4096)
+    b = a.translate({97: 98, 98: 97})
+    say = lambda w: " ".join(f"w{i}" for i in range(20)) + f" {w} " + " ".join(f"v{i}" for i in range(29))
+    rows = [(1, say(a)), (2, say(b)), (3, say(a)), (4, f"{say(b)}\t"), (5, " ".join(a[:2048])), (6, " ".join(b[:2048]))]
+    got = substring_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_dedup(rows))
+    assert {r.doc_id: r.n_removed for r in got}[2] == 0
+    found = jaccard_join.jaccard_components(spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b}"), (4, f"{b} {a}")], "doc_id long, text string"), 3, 90).collect()
+    assert [r.component_id for r in sorted(found)] == [1, 2, 3, 4]
+
+
+def test_ranges_are_verified_against_their_source():
+    """A range goes only if its words have the digest of its source."""
+    say = lambda x: " ".join(["m"] * 30 + [f"{x}{i}" for i in range(60)])
+    spans = [{"start": 0, "end": 1, "da": 1, "db": 2}]
+    assert substring_dedup.cut(say("a"), spans, 50) == say("a")
+    da, db = substring_dedup._digest(" ".join(say("a").split()[:50]).encode())
+    assert substring_dedup.cut(say("a"), [spans[0] | {"da": da, "db": db}], 50).split() == say("a").split()[50:]
+
+
 # --- 7
 
 
