@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.functions.text import dir_name
+from plinth.functions.text import base_name, dir_name
 from plinth.operators import diff, folds, groups, lift, notes, search, views
 
 REACHING = ["calls", "extends", "implements", "associates"]
@@ -78,7 +78,9 @@ class Project:
         return rows.select("src", views.phrase(F.col("kind"), F.lit(None).cast("string")).alias("how"), "guessed").orderBy("src").limit(most)
 
     def search(self, query: str, limit: int = 30) -> DataFrame:
-        return search.search(self.symbols, query, limit)
+        own = self.symbols.select("id", "kind", "name", "path", "ord")
+        files = self.files.select(F.col("path").alias("id"), F.lit("file").alias("kind"), base_name(F.col("path")).alias("name"), "path", F.lit(0).cast(own.schema["ord"].dataType).alias("ord"))
+        return search.search(own.unionByName(files), query, limit)
 
     def roots(self) -> DataFrame:
         return lift.roots(self.edges, self.files)
@@ -95,7 +97,7 @@ class Project:
 
     def blind_spots(self) -> DataFrame:
         """Symbols whose dependents are told only in part."""
-        return self.symbols.select("id", views.tracking(F.col("kind"), F.col("path"), F.col("name")).alias("tracking")).where("tracking = 'partial'")
+        return views.tracking(self.symbols, self.edges).select("id", "tracking").where("tracking = 'partial'")
 
     def notes(self) -> DataFrame:
         return notes.coupling_notes(self.edges, REACHING)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ROUNDS, LEAST_FILES, LEAST_COHESION, TOO_MUCH = 20, 3, 1 / 3, 3 / 4
 
@@ -80,42 +86,69 @@ def clusters(neighbours: DataFrame) -> DataFrame:
     return neighbours.groupBy("project").applyInPandas(run, "project string, cluster string, parent string, path string, cohesion double")
 
 
-def lanes_of(commits: list[tuple[str, list[str]]]) -> list[tuple[str, int, int]]:
-    """(sha, lane, width), newest first: the first parent keeps the lane, others open the first free one, and a lane is free once nothing waits in it."""
-    open_: list[str | None] = []
-    out = []
+def lanes_of(commits: Iterable[tuple[str, list[str]]]) -> Iterator[tuple[str, int, int]]:
+    """(sha, lane, width), newest first: a commit takes the first lane that waits for it, or the first free one, and closes the others.
+
+    Its first parent always keeps the lane; each further one joins a lane that waits for it, or opens the first
+    free one. The width counts lanes that come in, go out or pass.
+    """
+    waiting: dict[str, set[int]] = {}
+    held: dict[int, str] = {}
+    free: list[int] = []
+    top = 0  # lanes below this one are held or free
+
+    def take(lane: int, sha: str) -> None:
+        held[lane] = sha
+        waiting.setdefault(sha, set()).add(lane)
+
+    def opened() -> int:
+        nonlocal top
+        while free:
+            if (lane := heapq.heappop(free)) < top and lane not in held:
+                return lane
+        top += 1
+        return top - 1
+
     for sha, parents in commits:
-        if sha in open_:
-            lane = open_.index(sha)
-        elif None in open_:
-            lane = open_.index(None)
+        mine = waiting.pop(sha, set())
+        for x in mine:
+            del held[x]
+        if mine:
+            lane = min(mine)
+            for x in mine - {lane}:
+                heapq.heappush(free, x)
         else:
-            lane = len(open_)
-            open_.append(None)
-        open_ = [None if x == sha else x for x in open_]
-        width = 0
-        for k, p in enumerate(parents):
-            if p in open_:
-                continue
-            if k == 0:
-                open_[lane] = p
-            elif None in open_:
-                open_[open_.index(None)] = p
-            else:
-                open_.append(p)
-        while open_ and open_[-1] is None:
-            open_.pop()
-        width = max(len(open_), lane + 1)
-        out.append((sha, lane, width))
-    return out
+            lane = opened()
+        width = max([lane, *mine]) + 1
+        if parents:
+            take(lane, parents[0])
+            for p in parents[1:]:
+                if not waiting.get(p):
+                    take(opened(), p)
+        else:
+            heapq.heappush(free, lane)
+        while top and top - 1 not in held:
+            top -= 1
+        yield sha, lane, max(width, top)
 
 
 def lanes(commits: DataFrame) -> DataFrame:
-    """(project, sha, lane, width) of commits (project, sha, parents, nr), newest first."""
+    """(project, sha, lane, width) of commits (project, sha, parents, nr), newest first; a task holds the open lanes of one log at a time."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("nr")
-        found = lanes_of([(s, list(p) if p is not None else []) for s, p in zip(rows["sha"], rows["parents"], strict=True)])
-        return pd.DataFrame([(rows["project"].iloc[0], *x) for x in found], columns=["project", "sha", "lane", "width"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("project", "sha", "parents")), strict=True)
+
+        def found():
+            for project, log in groupby(rows(), lambda r: r[0]):
+                for x in lanes_of((sha, parents or []) for _, sha, parents in log):
+                    yield project, *x
+
+        types = [("project", pa.string()), ("sha", pa.string()), ("lane", pa.int32()), ("width", pa.int32())]
+        rest = found()
+        while part := list(islice(rest, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, (_, t) in enumerate(types)], names=[n for n, _ in types])
 
-    return commits.groupBy("project").applyInPandas(run, "project string, sha string, lane int, width int")
+    rows = commits.select(F.col("project").cast("string"), "sha", "parents", "nr").repartition("project").sortWithinPartitions("project", "nr")
+    return rows.mapInArrow(run, "project string, sha string, lane int, width int")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.functions.staging import staged
+
 SAME, INSIDE = 0.6, 0.5
 
 
@@ -23,35 +26,55 @@ def match_scores(clusters: DataFrame, stored: DataFrame) -> DataFrame:
     return pairs.withColumn("score", score).where("score is not null").select("cluster", "group_id", "shared", "jaccard", "score")
 
 
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    taken_c, taken_g, out = set(), set(), []
-    for r in pairs.sort_values(["score", "position", "cluster", "group_id"], ascending=[False, True, True, True]).itertuples():
-        if r.cluster not in taken_c and r.group_id not in taken_g:
-            taken_c.add(r.cluster)
-            taken_g.add(r.group_id)
-            out.append((r.project, r.cluster, r.group_id, r.score))
-    return pd.DataFrame(out, columns=["project", "cluster", "group_id", "score"])
-
-
 def assigned(scores: DataFrame) -> DataFrame:
-    """(project, cluster, group_id, score): best pairs first, each cluster and each group once; one project's pairs at a time (as many as it has matches)."""
-    return scores.groupBy("project").applyInPandas(_greedy, "project string, cluster string, group_id string, score double")
+    """(project, cluster, group_id, score): best pairs first, by position, cluster and group where they tie; each cluster and each group once.
+
+    A round takes every pair that comes first for its cluster and for its group, which is what
+    taking the pairs one by one would do; so no project's pairs have to meet in one task.
+    """
+    key = ["project", "cluster", "group_id"]
+    left = staged(scores.select(*key, "score", F.struct((-F.col("score")).alias("s"), "position", F.col("cluster").alias("c"), F.col("group_id").alias("g")).alias("order")), "pairs")
+    taken = []
+    while not left.isEmpty():
+        by_c = left.groupBy("project", "cluster").agg(F.min("order").alias("order"))
+        by_g = left.groupBy("project", "group_id").agg(F.min("order").alias("order"))
+        now = left.join(by_c, ["project", "cluster", "order"], "left_semi").join(by_g, ["project", "group_id", "order"], "left_semi")
+        taken.append(staged(now.select(*key, "score"), "taken"))
+        left = left.join(taken[-1].select("project", "cluster"), ["project", "cluster"], "left_anti").join(taken[-1].select("project", "group_id"), ["project", "group_id"], "left_anti")
+        left = staged(left.select(*key, "score", "order"), "pairs")
+    return functools.reduce(DataFrame.unionByName, taken) if taken else left.select(*key, "score")
 
 
 def nested(groups: DataFrame) -> DataFrame:
-    """(group_id, n, parent, depth): the parent is the smallest group that holds all its files and more; depth counts the groups around."""
+    """(group_id, n, parent, depth): the parent is the smallest group that holds all its files and more; depth is the length of the chain of parents."""
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("n"))
     pairs = groups.alias("a").join(groups.select("path", F.col("group_id").alias("outer")), "path").where("group_id <> outer").groupBy("group_id", "outer").agg(F.count("*").alias("shared"))
     pairs = pairs.join(sizes, "group_id").join(sizes.select(F.col("group_id").alias("outer"), F.col("n").alias("n_outer")), "outer").where("shared = n and n_outer > n")
-    up = pairs.groupBy("group_id").agg(F.min(F.struct("n_outer", "outer")).alias("p"), F.count("*").alias("depth"))
-    return sizes.join(up, "group_id", "left").select("group_id", "n", F.col("p.outer").alias("parent"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+    up = staged(pairs.groupBy("group_id").agg(F.min(F.struct("n_outer", "outer")).alias("p")).select("group_id", F.col("p.outer").alias("parent")), "parents")
+    walk = up.select("group_id", "parent", F.col("parent").alias("at"), F.lit(1).cast("long").alias("depth"))
+    above = up.select(F.col("group_id").alias("at"), F.col("parent").alias("next"))
+    while True:
+        step = staged(walk.join(above, "at", "left"), "chains")
+        walk = step.select("group_id", "parent", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.col("next").isNotNull().cast("long")).alias("depth"))
+        if step.where("next is not null").isEmpty():
+            break
+    return sizes.join(walk, "group_id", "left").select("group_id", "n", "parent", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def partition(files: DataFrame, groups: DataFrame) -> DataFrame:
-    """(path, box): the first accepted group by rank and id that claims a file, else component:none."""
-    order = F.struct("rank", "group_id")
-    claims = groups.where("state = 'accepted'").groupBy("path").agg(F.min(order).alias("first"))
-    return files.select("path").join(claims, "path", "left").select("path", F.coalesce("first.group_id", F.lit("component:none")).alias("box"))
+    """(path, box): the group that claims a file, by rank and id, else component:none.
+
+    Groups without others inside (nobody's ``parent``) claim first, unless rejected; then outer ones
+    that are accepted claim what is left.
+    """
+    if "parent" not in groups.columns:
+        groups = groups.withColumn("parent", F.lit(None).cast("string"))
+    outer = groups.where("parent is not null").select(F.col("parent").alias("group_id"), F.lit(1).alias("is_outer")).distinct()
+    rows = groups.join(outer, "group_id", "left").withColumn("turn", F.coalesce("is_outer", F.lit(0)))
+    rows = rows.where("turn = 0 and state <> 'rejected' or turn = 1 and state = 'accepted'")
+    claims = rows.groupBy("path").agg(F.min(F.struct("turn", "rank", "group_id")).alias("first"))
+    box = F.concat(F.lit("component:"), F.coalesce("first.group_id", F.lit("none")))
+    return files.select("path").join(claims, "path", "left").select("path", box.alias("box"))
 
 
 def overlaps(groups: DataFrame) -> DataFrame:

@@ -102,14 +102,19 @@ def provides(edges: DataFrame, symbols: DataFrame, boxes: DataFrame, reaching: l
     return ranked.join(totals, "box").select("box", "symbol", "n_files", "guessed", "total", F.col("rank").cast("long").alias("rank"))
 
 
-def roots(edges: DataFrame, files: DataFrame, most: int = 12) -> DataFrame:
-    """(path, why, imports, total): files that no source file reaches, by what they import."""
+def roots(edges: DataFrame, files: DataFrame, most: int = 12, named: DataFrame | None = None) -> DataFrame:
+    """(path, why, imports, total): files that no source file reaches by any edge but contains, by how many files they import.
+
+    Tests, declaration files and named entry points (``named``: path) are none.
+    """
     test = files.select(F.col("path").alias("src_file"), "test")
     reached = edges.where("src_file <> dst_file and kind <> 'contains'").select("src_file", F.col("dst_file").alias("path")).distinct().join(test, "src_file")
     by_source = reached.where("not test").select("path").distinct()
     by_test = reached.where("test").select("path", F.lit(True).alias("tested")).distinct()
-    imports = edges.where("kind = 'imports'").groupBy(F.col("src_file").alias("path")).agg(F.count_distinct("dst_file").alias("imports"))
-    found = files.where("not test").select("path").join(by_source, "path", "left_anti").join(by_test, "path", "left").join(imports, "path", "left")
+    imports = edges.where("kind = 'imports' and src_file <> dst_file").groupBy(F.col("src_file").alias("path")).agg(F.count_distinct("dst_file").alias("imports"))
+    start = files.where("not test and path not like '%.d.ts'").select("path")
+    start = start if named is None else start.join(named.select("path"), "path", "left_anti")
+    found = start.join(by_source, "path", "left_anti").join(by_test, "path", "left").join(imports, "path", "left")
     found = found.select("path", F.when(F.col("tested"), "only tests reach it").otherwise("nothing reaches it").alias("why"), F.coalesce("imports", F.lit(0)).alias("imports"))
     total = found.agg(F.count("*").alias("total"))
     return found.orderBy(F.desc("imports"), "path").limit(most).crossJoin(F.broadcast(total))  # one row

@@ -150,10 +150,17 @@ def linked_members(edges: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array("src", "dst")).alias("symbol")).distinct()
 
 
-def tracking(kind: Column, path: Column, name: Column) -> Column:
-    """Whether what reaches a symbol is told in full: members, types, Java and computed names only in part."""
-    partial = kind.isin("method", "field", "interface", "type") | path.endswith(".java") | name.rlike(r"[\[.]")
-    return F.when(partial, "partial").otherwise("tracked")
+def handed_on(edges: DataFrame) -> DataFrame:
+    """(path, handed_on): files that another file imports which is imported itself."""
+    imports = edges.where("kind = 'imports'").select("src_file", F.col("dst_file").alias("path")).distinct()
+    through = imports.select(F.col("path").alias("src_file")).distinct()
+    return imports.where("src_file <> path").join(through, "src_file", "left_semi").select("path", F.lit(True).alias("handed_on")).distinct()
+
+
+def tracking(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """symbols with ``tracking``: members, types, Java, computed names and what its file's importers hand on are told only in part."""
+    partial = F.col("kind").isin("method", "field", "interface", "type") | F.col("path").endswith(".java") | F.col("name").rlike(r"[\[.]") | F.col("handed_on").isNotNull()
+    return symbols.join(handed_on(edges), "path", "left").withColumn("tracking", F.when(partial, "partial").otherwise("tracked")).drop("handed_on")
 
 
 def phrase(kind: Column, ownership: Column) -> Column:

@@ -52,14 +52,14 @@ class Graph:
 
     @property
     def references(self) -> DataFrame:
-        """References before they are made one: src, kind, dst, their files, guess (boolean), day."""
+        """References before they are made one: src, kind, dst, their files, day, and first: their order with the lowest bit set for a guess."""
         side = lambda n: self.lines.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias(f"ln{n}"), F.col("path").alias(f"path{n}"), F.concat("path", F.lit("#s"), "l_suppkey").alias(f"sym{n}"), *([F.concat("l_returnflag", "l_linestatus").alias("k"), (F.col("l_discount") >= 0.05).alias("guess"), F.col("l_shipdate").alias("day")] if n == 1 else []))
         both = side(1).join(side(2), "o").where("ln1 + 1 = ln2")
         k = F.col("k")
         kind = F.when(k == "NO", "imports").when(k == "NF", "calls").when(k == "RO", "extends").when(k == "RF", "implements").when(k == "AO", "associates").otherwise("depends")
         both = both.withColumn("kind", kind)
         end = lambda n: F.when(F.col("kind") == "imports", F.col(f"path{n}")).otherwise(F.col(f"sym{n}"))
-        rows = both.select(end(1).alias("src"), "kind", end(2).alias("dst"), F.col("path1").alias("src_file"), F.col("path2").alias("dst_file"), "guess", "day")
+        rows = both.select(end(1).alias("src"), "kind", end(2).alias("dst"), F.col("path1").alias("src_file"), F.col("path2").alias("dst_file"), (F.col("o") * 16 + F.col("ln1") * 2 + F.col("guess").cast("long")).alias("first"), "day")
         return rows.where("src <> dst")
 
     @property
@@ -91,16 +91,19 @@ class Graph:
 
     @property
     def groups(self) -> DataFrame:
-        """Stored categories: (group_id, name, path, state, list_ord): a top directory and a noun; files lie in several."""
+        """Stored categories: (group_id, path, state, rank, parent): a noun, a directory of the second level, and the one above it; files lie in several."""
         rows = self.files.select("path", F.substring_index("path", "/", 1).alias("top"), F.regexp_extract("path", r"([^/.]+)\.[^.]+$", 1).alias("noun"))
-        a = rows.select(F.concat(F.lit("dir:"), "top").alias("group_id"), "path", F.lit("accepted").alias("state"), F.lit(2).alias("rank"))
-        b = rows.select(F.concat(F.lit("noun:"), "noun").alias("group_id"), "path", F.when(F.length("noun") % 3 == 0, "rejected").otherwise("accepted").alias("state"), F.lit(1).alias("rank"))
-        return a.unionByName(b)
+        none, top, second = F.lit(None).cast("string"), F.concat(F.lit("dir:"), "top"), F.substring_index("path", "/", 2)
+        a = rows.select(top.alias("group_id"), "path", F.lit("accepted").alias("state"), F.lit(3).alias("rank"), none.alias("parent"))
+        b = rows.select(F.concat(F.lit("brand:"), second).alias("group_id"), "path", F.when(second.endswith("1"), "rejected").otherwise("suggested").alias("state"), F.lit(2).alias("rank"), top.alias("parent"))
+        state = F.when(F.length("noun") % 3 == 0, "rejected").when(F.length("noun") % 3 == 1, "suggested").otherwise("accepted")
+        c = rows.select(F.concat(F.lit("noun:"), "noun").alias("group_id"), "path", state.alias("state"), F.lit(1).alias("rank"), none.alias("parent"))
+        return a.unionByName(b).unionByName(c)
 
 
 def one_edge(references: DataFrame) -> DataFrame:
-    """References to edges: one for each (src, kind, dst), no self-edges, guessed only if all were."""
-    return references.where("src <> dst").groupBy("src", "kind", "dst").agg(F.first("src_file").alias("src_file"), F.first("dst_file").alias("dst_file"), F.when(F.bool_and("guess"), True).alias("guessed"), F.count("*").alias("refs"))
+    """References to edges: one for each (src, kind, dst), no self-edges; the first reference says whether it is a guess."""
+    return references.where("src <> dst").groupBy("src", "kind", "dst").agg(F.first("src_file").alias("src_file"), F.first("dst_file").alias("dst_file"), F.when(F.min("first") % 2 == 1, True).alias("guessed"), F.count("*").alias("refs"))
 
 
 #: The same graph in DuckDB's SQL.
@@ -114,16 +117,17 @@ files AS (SELECT f.path, CASE regexp_extract(f.path, '[^.]*$') WHEN 'ts' THEN 't
 symbols AS (SELECT path || '#s' || l_suppkey AS id, path, 's' || l_suppkey AS name, (['class', 'interface', 'function', 'method', 'field', 'type'])[l_suppkey % 6 + 1] AS kind, min(l_partkey) % 500 + 1 AS start_line, l_suppkey AS symbol_ord
       FROM lines GROUP BY path, l_suppkey),
 refs0 AS (SELECT CASE a.l_returnflag || a.l_linestatus WHEN 'NO' THEN 'imports' WHEN 'NF' THEN 'calls' WHEN 'RO' THEN 'extends' WHEN 'RF' THEN 'implements' WHEN 'AO' THEN 'associates' ELSE 'depends' END AS kind,
-      a.path AS src_file, b.path AS dst_file, a.path || '#s' || a.l_suppkey AS s1, b.path || '#s' || b.l_suppkey AS s2, a.l_discount >= 0.05 AS guess, a.l_shipdate AS day
+      a.path AS src_file, b.path AS dst_file, a.path || '#s' || a.l_suppkey AS s1, b.path || '#s' || b.l_suppkey AS s2, a.l_orderkey * 16 + a.l_linenumber * 2 + CASE WHEN a.l_discount >= 0.05 THEN 1 ELSE 0 END AS first, a.l_shipdate AS day
       FROM lines a JOIN lines b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber),
-refs AS (SELECT * FROM (SELECT CASE WHEN kind = 'imports' THEN src_file ELSE s1 END AS src, kind, CASE WHEN kind = 'imports' THEN dst_file ELSE s2 END AS dst, src_file, dst_file, guess, day FROM refs0) WHERE src <> dst),
-edges AS (SELECT src, kind, dst, any_value(src_file) AS src_file, any_value(dst_file) AS dst_file, CASE WHEN bool_and(guess) THEN true END AS guessed, count(*) AS refs FROM refs GROUP BY src, kind, dst),
-before AS (SELECT src, kind, dst, any_value(src_file) AS src_file, any_value(dst_file) AS dst_file, CASE WHEN bool_and(guess) THEN true END AS guessed FROM refs WHERE day < '2000-01-01' GROUP BY src, kind, dst),
-after AS (SELECT src, kind, dst, any_value(src_file) AS src_file, any_value(dst_file) AS dst_file, CASE WHEN bool_and(guess) THEN true END AS guessed FROM refs WHERE day >= '1997-01-01' GROUP BY src, kind, dst),
+refs AS (SELECT * FROM (SELECT CASE WHEN kind = 'imports' THEN src_file ELSE s1 END AS src, kind, CASE WHEN kind = 'imports' THEN dst_file ELSE s2 END AS dst, src_file, dst_file, first, day FROM refs0) WHERE src <> dst),
+edges AS (SELECT src, kind, dst, any_value(src_file) AS src_file, any_value(dst_file) AS dst_file, CASE WHEN min(first) % 2 = 1 THEN true END AS guessed, count(*) AS refs FROM refs GROUP BY src, kind, dst),
+before AS (SELECT src, kind, dst, any_value(src_file) AS src_file, any_value(dst_file) AS dst_file, CASE WHEN min(first) % 2 = 1 THEN true END AS guessed FROM refs WHERE day < '2000-01-01' GROUP BY src, kind, dst),
+after AS (SELECT src, kind, dst, any_value(src_file) AS src_file, any_value(dst_file) AS dst_file, CASE WHEN min(first) % 2 = 1 THEN true END AS guessed FROM refs WHERE day >= '1997-01-01' GROUP BY src, kind, dst),
 status AS (SELECT path, min_by(CASE o_orderstatus WHEN 'F' THEN 'modified' WHEN 'O' THEN 'added' ELSE 'renamed' END, o_orderkey) AS status, sum(o_custkey % 50)::BIGINT AS added, sum(o_custkey % 20)::BIGINT AS deleted
-      FROM orders JOIN paths ON o_orderkey * 7 % 2000 = part WHERE o_orderkey % 40 = 0 GROUP BY path),
-cov AS (SELECT path, l_partkey % 500 + 1 AS line, max(CASE WHEN l_quantity > 25 THEN l_quantity::BIGINT ELSE 0 END) AS hits FROM lines WHERE l_linenumber <= 3 GROUP BY ALL),
-grp AS (SELECT 'dir:' || split_part(path, '/', 1) AS group_id, path, 'accepted' AS state, 2 AS rank FROM files
-      UNION ALL SELECT 'noun:' || regexp_extract(path, '([^/.]+)\.[^.]+$', 1), path, CASE WHEN length(regexp_extract(path, '([^/.]+)\.[^.]+$', 1)) % 3 = 0 THEN 'rejected' ELSE 'accepted' END, 1 FROM files),
+      FROM orders JOIN paths ON o_orderkey * 7 % (SELECT count(*) FROM part) = part GROUP BY path),
+cov AS (SELECT path, l_partkey % 500 + 1 AS line, max(CASE WHEN l_quantity > 25 THEN l_quantity::BIGINT ELSE 0 END) AS hits FROM lines GROUP BY ALL),
+grp AS (SELECT 'dir:' || split_part(path, '/', 1) AS group_id, path, 'accepted' AS state, 3 AS rank, NULL AS parent FROM files
+      UNION ALL SELECT 'brand:' || split_part(path, '/', 1) || '/' || split_part(path, '/', 2), path, CASE WHEN ends_with(split_part(path, '/', 2), '1') THEN 'rejected' ELSE 'suggested' END, 2, 'dir:' || split_part(path, '/', 1) FROM files
+      UNION ALL SELECT 'noun:' || regexp_extract(path, '([^/.]+)\.[^.]+$', 1), path, CASE length(regexp_extract(path, '([^/.]+)\.[^.]+$', 1)) % 3 WHEN 0 THEN 'rejected' WHEN 1 THEN 'suggested' ELSE 'accepted' END, 1, NULL FROM files),
 lifted AS (SELECT src_file, kind, dst_file, count(*) AS weight, CASE WHEN bool_and(coalesce(guessed, false)) THEN true END AS guessed FROM edges WHERE src_file <> dst_file GROUP BY ALL)
 """

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import text as P
+from plinth.functions.staging import staged
 from plinth.operators import derive, diff, folds, groups, lift, notes, resolve, search, views
 from plinth.plans.graph import DRAWN, REACHING, SQL, Graph
 from plinth.sources import extract
@@ -185,12 +186,22 @@ def provides(g: Graph) -> DataFrame:
     return lift.provides(g.edges, g.symbols, views.scope_boxes(g.files), REACHING)
 
 
-@query(""", ge AS (SELECT * FROM edges WHERE kind = 'imports' AND guessed), rc AS (SELECT DISTINCT src_file, dst_file AS path FROM ge WHERE src_file <> dst_file), rt AS (SELECT path, bool_or(NOT test) AS by_source, bool_or(test) AS by_test FROM rc JOIN (SELECT path AS src_file, test FROM files) USING (src_file) GROUP BY path),
- im AS (SELECT src_file AS path, count(DISTINCT dst_file) AS imports FROM ge GROUP BY 1),
- f AS (SELECT path, CASE WHEN by_test THEN 'only tests reach it' ELSE 'nothing reaches it' END AS why, coalesce(imports, 0) AS imports FROM files LEFT JOIN rt USING (path) LEFT JOIN im USING (path) WHERE NOT test AND NOT coalesce(by_source, false))
+@query(""", rc AS (SELECT DISTINCT src_file, dst_file AS path FROM edges WHERE src_file <> dst_file AND kind <> 'contains'), rt AS (SELECT path, bool_or(NOT test) AS by_source, bool_or(test) AS by_test FROM rc JOIN (SELECT path AS src_file, test FROM files) USING (src_file) GROUP BY path),
+ im AS (SELECT src_file AS path, count(DISTINCT dst_file) AS imports FROM edges WHERE kind = 'imports' AND src_file <> dst_file GROUP BY 1),
+ f AS (SELECT path, CASE WHEN by_test THEN 'only tests reach it' ELSE 'nothing reaches it' END AS why, coalesce(imports, 0) AS imports FROM files LEFT JOIN rt USING (path) LEFT JOIN im USING (path) WHERE NOT test AND path NOT LIKE '%.d.ts' AND NOT coalesce(by_source, false))
  SELECT path, why, imports, count(*) OVER () AS total FROM f ORDER BY imports DESC, path LIMIT 12""")
 def roots(g: Graph) -> DataFrame:
-    return lift.roots(g.edges.where("kind = 'imports'"), g.files)
+    return lift.roots(g.edges, g.files)
+
+
+@query(""", ge AS (SELECT * FROM after ANTI JOIN before USING (src, kind, dst)), rc AS (SELECT DISTINCT src_file, dst_file AS path FROM ge WHERE src_file <> dst_file AND kind = 'imports'), rt AS (SELECT path, bool_or(NOT test) AS by_source, bool_or(test) AS by_test FROM rc JOIN (SELECT path AS src_file, test FROM files) USING (src_file) GROUP BY path),
+ im AS (SELECT src_file AS path, count(DISTINCT dst_file) AS imports FROM ge WHERE kind = 'imports' AND src_file <> dst_file GROUP BY 1),
+ f AS (SELECT path, CASE WHEN by_test THEN 'only tests reach it' ELSE 'nothing reaches it' END AS why, coalesce(imports, 0) AS imports FROM files LEFT JOIN rt USING (path) LEFT JOIN im USING (path) WHERE NOT test AND path NOT LIKE '%.ts' AND NOT coalesce(by_source, false))
+ SELECT path, why, imports, count(*) OVER () AS total FROM f ORDER BY imports DESC, path LIMIT 12""")
+def roots_of_additions(g: Graph) -> DataFrame:
+    """Files that no import added between two snapshots reaches; scripts are named entry points."""
+    added = g.snapshot(True).where("kind = 'imports'").join(g.snapshot(False), ["src", "kind", "dst"], "left_anti")
+    return lift.roots(added, g.files, named=g.files.where("path like '%.ts'").select("path"))
 
 
 @query(""", r AS (SELECT src_file, dst_file, CASE WHEN composed AND NOT handed THEN 'composition' WHEN handed AND NOT composed THEN 'aggregation' END AS own FROM (SELECT src_file, dst_file, refs % 2 = 1 AS composed, coalesce(guessed, false) AS handed FROM edges WHERE kind = 'associates' AND src_file <> dst_file))
@@ -207,9 +218,10 @@ def linked_members(g: Graph) -> DataFrame:
     return views.linked_members(g.edges)
 
 
-@query(" SELECT id, kind, CASE WHEN kind IN ('method', 'field', 'interface', 'type') OR ends_with(path, '.java') THEN 'partial' ELSE 'tracked' END AS tracking FROM symbols")
+@query(""", im AS (SELECT DISTINCT src_file, dst_file FROM edges WHERE kind = 'imports'), ho AS (SELECT dst_file FROM im WHERE src_file <> dst_file AND src_file IN (SELECT dst_file FROM im))
+ SELECT id, kind, CASE WHEN kind IN ('method', 'field', 'interface', 'type') OR ends_with(path, '.java') OR path IN (FROM ho) THEN 'partial' ELSE 'tracked' END AS tracking FROM symbols""")
 def tracking(g: Graph) -> DataFrame:
-    return g.symbols.select("id", "kind", views.tracking(F.col("kind"), F.col("path"), F.col("name")).alias("tracking"))
+    return views.tracking(g.symbols, g.edges).select("id", "kind", "tracking")
 
 
 @query(""", m AS (SELECT path, string_agg(name || ':' || kind, ',' ORDER BY symbol_ord) AS members, count(*) AS n FROM symbols WHERE kind IN ('class', 'function') GROUP BY path) SELECT path, n, members FROM m""")
@@ -382,9 +394,9 @@ def _nodes(g: Graph) -> DataFrame:
     return derive.nodes(rows.select("file", s.alias("ord"), name.alias("name"), F.get(kinds, (s % 6).cast("int")).alias("kind"), owner.alias("owner"), F.when(F.col("p") % 3 == 0, s % 2 == 0).alias("exported")))
 
 
-def _links(g: Graph) -> DataFrame:
+def _links(edges: DataFrame) -> DataFrame:
     """Import edges between files, in an order: (file, ord, target)."""
-    rows = g.edges.where("kind = 'imports'").select(F.col("src").alias("file"), F.col("dst").alias("target"))
+    rows = edges.where("kind = 'imports'").select(F.col("src").alias("file"), F.col("dst").alias("target"))
     return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("target")).alias("ord"), "target")  # imports of one file
 
 
@@ -428,11 +440,12 @@ REF_SQL = DECL_SQL + """, im AS (SELECT DISTINCT src AS file, dst AS target FROM
 
 def _lookup(g: Graph) -> tuple[DataFrame, DataFrame]:
     """References by name, looked up: files with paths of even length bind what they import by name, the others only import."""
-    rows, imports = _nodes(g), _links(g)
+    rows, edges = staged(_nodes(g), "nodes"), staged(g.edges.select("src", "kind", "dst", "src_file"), "edges")  # each is read several times
+    imports = _links(edges)
     exports = derive.exported_names(rows)
     binds = imports.where(F.length("file") % 2 == 0).join(exports.select(F.col("file").alias("target"), F.col("name").alias("imported")), "target").select("file", "ord", F.col("imported").alias("local"), "target", "imported")
-    number = F.regexp_extract("dst", r"#s(\d+)$", 1).cast("long") % 15
-    refs = g.edges.where("kind <> 'imports'").select(F.col("src_file").alias("file"), "src", F.lit(0).alias("ord"), "kind", F.concat(F.lit("s"), number.cast("string")).alias("name"))
+    number = F.regexp_extract("dst", r"#s(\d+)$", 1).try_cast("long") % 15
+    refs = edges.where("kind <> 'imports'").select(F.col("src_file").alias("file"), "src", F.lit(0).alias("ord"), "kind", F.concat(F.lit("s"), number.cast("string")).alias("name"))
     return derive.lookup(refs, rows, exports, binds, imports), rows
 
 
@@ -466,13 +479,13 @@ def mere_dependence(g: Graph) -> DataFrame:
 @query()
 def reexports(g: Graph) -> DataFrame:
     """Names after re-exports: a quarter of all imports pass everything on. A fixpoint, held against brute force in the tests."""
-    stars = _links(g).where(F.length("file") % 4 == 0).select("file", "ord", "target", F.lit(True).alias("is_star"), F.lit(None).cast("string").alias("exported"), F.lit(None).cast("string").alias("local"))
+    stars = _links(g.edges).where(F.length("file") % 4 == 0).select("file", "ord", "target", F.lit(True).alias("is_star"), F.lit(None).cast("string").alias("exported"), F.lit(None).cast("string").alias("local"))
     return derive.reexported(derive.exported_names(_nodes(g)), stars)
 
 
 # --- categories and folds -----------------------------------------------------------------------------------------
 
-MATCH_SQL = """, cl AS (SELECT path, CASE WHEN language IN ('go', 'java') THEN 'dir:' || split_part(path, '/', 1) ELSE 'c:' || split_part(path, '/', 1) END AS cluster FROM files WHERE file_ord % 5 <> 0),
+MATCH_SQL = """, cl AS (SELECT path, CASE WHEN language IN ('go', 'java') THEN 'dir:' || split_part(path, '/', 1) ELSE 'c:' || split_part(path, '/', 1) END AS cluster FROM files),
  ms AS (SELECT cluster, group_id, count(*) AS shared FROM cl JOIN grp USING (path) GROUP BY ALL),
  mj AS (SELECT *, shared::DOUBLE / (nc + ng - shared)::DOUBLE AS jaccard, ng FROM ms JOIN (SELECT cluster, count(*) AS nc FROM cl GROUP BY 1) USING (cluster) JOIN (SELECT group_id, count(*) AS ng FROM grp GROUP BY 1) USING (group_id)),
  sc AS (SELECT cluster, group_id, shared, jaccard, CASE WHEN cluster = group_id THEN 2.0::DOUBLE WHEN jaccard >= 0.6 OR shared = ng AND jaccard >= 0.5 THEN jaccard END AS score FROM mj)"""
@@ -491,6 +504,7 @@ def group_matches(g: Graph) -> DataFrame:
 
 @query()
 def group_assignment(g: Graph) -> DataFrame:
+    """Best pairs first, each cluster and each group once; held against brute force in the tests."""
     scores = _scores(g).select(F.lit("p").alias("project"), F.lit(0).alias("position"), "cluster", "group_id", "score")
     return groups.assigned(scores)
 
@@ -500,14 +514,19 @@ def orphans(g: Graph) -> DataFrame:
     return groups.orphans(g.groups, _scores(g))
 
 
-@query(""", sz AS (SELECT group_id, count(*) AS n FROM grp GROUP BY 1), pr AS (SELECT a.group_id, b.group_id AS outer_id, count(*) AS shared FROM grp a JOIN grp b USING (path) WHERE a.group_id <> b.group_id GROUP BY ALL),
- up AS (SELECT pr.group_id, min({'n': o.n, 'g': outer_id}) AS p, count(*) AS depth FROM pr JOIN sz s ON s.group_id = pr.group_id JOIN sz o ON o.group_id = outer_id WHERE shared = s.n AND o.n > s.n GROUP BY 1)
- SELECT sz.group_id, n, p.g AS parent, coalesce(depth, 0) AS depth FROM sz LEFT JOIN up USING (group_id)""")
+@query(""", gn AS (SELECT group_id, path FROM grp UNION ALL SELECT 'tests:' || regexp_replace(path, '/tests/.*$', ''), path FROM files WHERE contains(path, '/tests/') UNION ALL SELECT 'size:' || length(path) || regexp_extract(path, '[^/]*$'), path FROM files),
+ sz AS (SELECT group_id, count(*) AS n FROM gn GROUP BY 1), pr AS (SELECT a.group_id, b.group_id AS outer_id, count(*) AS shared FROM gn a JOIN gn b USING (path) WHERE a.group_id <> b.group_id GROUP BY ALL),
+ up AS (SELECT pr.group_id, min({'n': o.n, 'g': outer_id}).g AS parent FROM pr JOIN sz s ON s.group_id = pr.group_id JOIN sz o ON o.group_id = outer_id WHERE shared = s.n AND o.n > s.n GROUP BY 1)
+ SELECT sz.group_id, n, parent, coalesce(depth, 0)::BIGINT AS depth FROM sz LEFT JOIN up USING (group_id) LEFT JOIN (WITH RECURSIVE walk AS (SELECT group_id, parent AS at_, 1 AS depth FROM up UNION ALL SELECT w.group_id, up.parent, w.depth + 1 FROM walk w JOIN up ON up.group_id = w.at_) SELECT group_id, max(depth) AS depth FROM walk GROUP BY 1) USING (group_id)""")
 def group_nesting(g: Graph) -> DataFrame:
-    return groups.nested(g.groups.select("group_id", "path"))
+    """Stored categories, test folders and files alike in name and length of path, nested by what they hold."""
+    more = g.files.where("test").select(F.concat(F.lit("tests:"), F.regexp_replace("path", "/tests/.*$", "")).alias("group_id"), "path")
+    alike = g.files.select(F.concat(F.lit("size:"), F.length("path").cast("string"), P.base_name(F.col("path"))).alias("group_id"), "path")
+    return groups.nested(g.groups.select("group_id", "path").unionByName(more).unionByName(alike))
 
 
-PART_SQL = ", pt AS (SELECT f.path, coalesce(min_by(group_id, rank::VARCHAR || group_id), 'component:none') AS box FROM files f LEFT JOIN (SELECT * FROM grp WHERE state = 'accepted') USING (path) GROUP BY f.path)"
+PART_SQL = """, claims AS (SELECT *, CASE WHEN group_id IN (SELECT parent FROM grp WHERE parent IS NOT NULL) THEN 1 ELSE 0 END AS turn FROM grp),
+ pt AS (SELECT f.path, 'component:' || coalesce(min({'t': turn, 'r': rank, 'g': group_id}).g, 'none') AS box FROM files f LEFT JOIN (SELECT * FROM claims WHERE turn = 0 AND state <> 'rejected' OR turn = 1 AND state = 'accepted') USING (path) GROUP BY f.path)"""
 
 
 @query(PART_SQL + " SELECT * FROM pt")
@@ -534,30 +553,58 @@ def clusters(g: Graph) -> DataFrame:
 
 @query()
 def lanes(g: Graph) -> DataFrame:
-    """Lanes of a log for each market segment; parents are the customer's orders before."""
-    o = g.table("orders").join(g.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("project")), "o_custkey")
-    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    o = o.withColumn("parent", before)
-    nr = -F.col("o_orderdate").cast("timestamp").cast("double") * 1e6 - F.col("o_orderkey")
-    return folds.lanes(o.select("project", F.col("o_orderkey").cast("string").alias("sha"), F.when(F.col("parent").isNotNull(), F.array(F.col("parent").cast("string"))).alias("parents"), nr.alias("nr")))
+    """Lanes of a log for each customer: an order follows the one before, every fourth one the one before that; every third one also merges the third before."""
+    of = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")  # one customer's orders
+    back = lambda n: F.lag("o_orderkey", n).over(of).cast("string")
+    first = F.when(F.col("o_orderkey") % 4 == 0, F.coalesce(back(2), back(1))).otherwise(back(1))
+    o = g.table("orders").select(F.col("o_custkey").cast("string").alias("project"), F.col("o_orderkey").cast("string").alias("sha"), F.array_compact(F.array(first, F.when(F.col("o_orderkey") % 3 == 0, back(3)))).alias("parents"), (-F.row_number().over(of)).alias("nr"))
+    return folds.lanes(o)
 
 
 # --- search -------------------------------------------------------------------------------------------------------
 
 
 @query(r""", c AS (SELECT p_partkey AS id, p_name, lower(p_name) AS low, instr(lower(p_name), 'lt') AS pos FROM part), d AS (SELECT *, CASE WHEN pos > 0 THEN 1000 - 2 * (pos - 1) - (length(p_name) - 2)
- WHEN instr(low, 'l') > 0 AND instr(substring(low, instr(low, 'l') + 1), 't') > 0 THEN 500 - 3 * CASE WHEN instr(substring(low, instr(low, 'l') + 1), 't') > 1 THEN 1 ELSE 0 END - (instr(low, 'l') - 1) - (length(p_name) - 2) END AS score FROM c)
+ WHEN instr(low, 'l') > 0 AND instr(substring(low, instr(low, 'l') + 1), 't') > 0 THEN 500 - 3 * (instr(low, 'l') + instr(substring(low, instr(low, 'l') + 1), 't') - 2) - (instr(low, 'l') - 1) - (length(p_name) - 2) END AS score FROM c)
  SELECT id, score::INT AS score FROM d WHERE score IS NOT NULL""")
 def match_scores(g: Graph) -> DataFrame:
     """Every name that holds the letters l and t in this order, and how well."""
     return g.table("part").select(F.col("p_partkey").alias("id"), search.score(F.col("p_name"), "lt").cast("int").alias("score")).where("score is not null")
 
 
-@query(""", m AS (SELECT id, 1000 - (length(name) - 3) AS score, name = 's42' AS exact, contains(path, '/tests/') AS test, path, name, symbol_ord FROM symbols WHERE starts_with(name, 's42'))
- SELECT id, score::INT AS score, exact FROM m ORDER BY exact DESC, test, score DESC, length(path), length(name), symbol_ord, id LIMIT 30""")
+SEARCH_SQL = """, nd AS (SELECT id, kind, name, path, name AS hay, symbol_ord AS ord FROM symbols UNION ALL SELECT path, 'file', regexp_extract(path, '[^/]*$'), path, path, file_ord FROM files),
+ p AS (SELECT *, instr(lower(hay), '{q}') AS at_, {places} FROM nd), sc AS (SELECT *, CASE WHEN at_ > 0 THEN 1000 - 2 * (at_ - 1) - (length(hay) - {n}) WHEN {found} THEN 500 - 3 * ({last} - {n}) - (p1 - 1) - (length(hay) - {n}) END AS score,
+  lower(name) = '{q}' OR instr(name, '.') > 1 AND split_part(lower(name), '.', 1) = '{q}' AS exact FROM p)
+ SELECT id, score::INT AS score, exact FROM sc WHERE score IS NOT NULL ORDER BY exact DESC, contains(path, '/tests/') OR ends_with(path, '.d.ts'), score DESC, length(path), length(name), ord, id LIMIT 30"""
+
+
+def _search_sql(q: str) -> str:
+    """The places of the letters, each after the one before, as columns p1, p2, ...: 0 where a letter is missing."""
+    places = ["instr(lower(hay), '%s') AS p1" % q[0]]
+    for i, c in enumerate(q[1:], 2):
+        places.append(f"CASE WHEN p{i - 1} > 0 AND instr(substring(lower(hay), p{i - 1} + 1), '{c}') > 0 THEN p{i - 1} + instr(substring(lower(hay), p{i - 1} + 1), '{c}') ELSE 0 END AS p{i}")
+    return SEARCH_SQL.format(q=q, n=len(q), places=", ".join(places), found=f"p{len(q)} > 0", last=f"p{len(q)}")
+
+
+def _search_nodes(g: Graph) -> DataFrame:
+    own = g.symbols.select("id", "kind", "name", "path", F.col("symbol_ord").alias("ord"))
+    return own.unionByName(g.files.select(F.col("path").alias("id"), F.lit("file").alias("kind"), P.base_name(F.col("path")).alias("name"), "path", F.col("file_ord").alias("ord")))
+
+
+@query(_search_sql("s42"))
 def symbol_search(g: Graph) -> DataFrame:
-    rows = g.symbols.select("id", "name", "path", P.is_test(F.col("path")).alias("test"), F.col("symbol_ord").alias("ord"))
-    return search.search(rows, "s42").select("id", F.col("score").cast("int").alias("score"), "exact")
+    return search.search(_search_nodes(g), "s42").select("id", F.col("score").cast("int").alias("score"), "exact")
+
+
+@query(_search_sql("bolt"))
+def file_search(g: Graph) -> DataFrame:
+    return search.search(_search_nodes(g), "bolt").select("id", F.col("score").cast("int").alias("score"), "exact")
+
+
+@query(_search_sql("prbt"))
+def scattered_search(g: Graph) -> DataFrame:
+    """Letters that lie apart in paths."""
+    return search.search(_search_nodes(g), "prbt").select("id", F.col("score").cast("int").alias("score"), "exact")
 
 
 # --- live changes (events stand for them) ------------------------------------------------------------------------
@@ -572,16 +619,16 @@ def _changes(g: Graph) -> DataFrame:
 CHANGE_SQL = "WITH ch AS (SELECT event_id AS id, ts AS at_, 'f' || user_id % 40 AS path, CASE WHEN event_type = 'error' THEN 'removed' ELSE 'changed' END AS kind, CASE WHEN event_id % 3 = 0 THEN event_type END AS agent FROM events)"
 
 
-@query(CHANGE_SQL + """, s AS (SELECT *, CASE WHEN at_ - lag(at_) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM ch WINDOW w AS (PARTITION BY path ORDER BY at_)), t AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY at_) AS k FROM s)
- SELECT path, epoch_us(min(at_)) AS start_us, max_by(kind, at_) AS kind, arg_max(agent, at_) FILTER (agent IS NOT NULL) AS agent, count(*) AS n FROM t GROUP BY path, k""", graph=False)
+@query(CHANGE_SQL + """, s AS (SELECT *, CASE WHEN at_ - lag(at_) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM ch WINDOW w AS (ORDER BY at_)), t0 AS (SELECT *, sum(new) OVER (ORDER BY at_) AS k FROM s), t AS (SELECT *, min(at_) OVER (PARTITION BY k) AS begins FROM t0)
+ SELECT path, epoch_us(min(begins)) AS start_us, max_by(kind, at_) AS kind, arg_max(agent, at_) FILTER (agent IS NOT NULL) AS agent, count(*) AS n FROM t GROUP BY path, k""", graph=False)
 def debounced(g: Graph) -> DataFrame:
-    rows = live.debounced(_changes(g), "30 minutes")
+    rows = live.debounced(_changes(g), "10 minutes")
     return rows.select("path", F.unix_micros("start").alias("start_us"), "kind", "agent", "n")
 
 
-@query(CHANGE_SQL + " SELECT id, path, coalesce(agent, CASE WHEN epoch_ms(at_) - epoch_ms(lag(at_) OVER w) <= 3600000 THEN lag(agent) OVER w END) AS writer FROM ch WINDOW w AS (PARTITION BY path ORDER BY at_, id)", graph=False)
+@query(CHANGE_SQL + " SELECT id, path, CASE WHEN epoch_ms(at_) - epoch_ms(last_value(CASE WHEN agent IS NOT NULL THEN at_ END IGNORE NULLS) OVER w) <= 14400000 THEN last_value(agent IGNORE NULLS) OVER w END AS writer FROM ch WINDOW w AS (PARTITION BY path ORDER BY at_, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", graph=False)
 def writers(g: Graph) -> DataFrame:
-    return live.writers(_changes(g), 3_600_000).select("id", "path", "writer")
+    return live.writers(_changes(g), 14_400_000).select("id", "path", "writer")
 
 
 @query(CHANGE_SQL + " SELECT id, path FROM ch ORDER BY at_ DESC, id DESC LIMIT 200", graph=False)

@@ -30,17 +30,34 @@ def attribution(name: Column, event: Column, session: Column) -> Column:
 
 
 def debounced(events: DataFrame, gap: str = "80 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """(path, start, end, kind, agent, n): events of a path closer than the gap are one; the last kind and the last name given hold. Stream or at rest."""
-    rows = events.withWatermark("at", late) if events.isStreaming else events
-    out = rows.groupBy(F.session_window("at", gap).alias("w"), "path").agg(F.max_by("kind", "at").alias("kind"), F.max_by("agent", F.when(F.col("agent").isNotNull(), F.col("at"))).alias("agent"), F.count("*").alias("n"))
-    return out.select("path", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "kind", "agent", "n")
+    """(path, start, end, kind, agent, n): one timer runs for all paths, so a burst ends when nothing comes for the gap.
+
+    Of each path in a burst, the last kind and the last name given hold. Stream or at rest. A
+    stream holds one burst; at rest, what is ordered are spans of the gap's length that have events, not events.
+    """
+    last = [F.max_by("kind", "at").alias("kind"), F.max_by("agent", F.when(F.col("agent").isNotNull(), F.col("at"))).alias("agent"), F.count("*").alias("n")]
+    if events.isStreaming:
+        # one key for all paths, as a streaming session needs one
+        burst = events.withWatermark("at", late).groupBy(F.session_window("at", gap).alias("w"), F.pmod(F.hash("path"), F.lit(1)).alias("all_paths")).agg(F.array_sort(F.collect_list(F.struct("at", "path", "kind", "agent"))).alias("all"))
+        one = burst.select("w", "all", F.explode(F.array_distinct("all.path")).alias("path")).withColumn("mine", F.expr("filter(all, x -> x.path = path)"))
+        named = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.expr("transform(filter(mine, x -> x.agent is not null), x -> x.agent)")), -1)
+        return one.select("path", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.element_at("mine", -1)["kind"].alias("kind"), named.alias("agent"), F.size("mine").cast("long").alias("n"))
+    width = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"interval {gap}"))
+    rows = events.withColumn("_span", F.floor(F.unix_micros("at") / width))
+    spans = rows.groupBy("_span").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    order = Window.orderBy("_span")
+    before = F.lag("b").over(order)
+    spans = spans.withColumn("begins", before.isNull() | (F.unix_micros("a") - F.unix_micros(before) >= width)).withColumn("burst", F.sum(F.col("begins").cast("int")).over(order))
+    whole = spans.groupBy("burst").agg(F.min("a").alias("start"), (F.max("b") + F.expr(f"interval {gap}")).alias("end"))
+    out = rows.join(spans.select("_span", "burst"), "_span").groupBy("burst", "path").agg(*last).join(whole, "burst")
+    return out.select("path", "start", "end", "kind", "agent", "n")
 
 
 def writers(events: DataFrame, grace_ms: int = 1000) -> DataFrame:
-    """events with ``writer``: the name given, or that of the event before on the path if it came within the grace; at rest."""
-    before = Window.partitionBy("path").orderBy("at", "id")  # one file's changes
-    recent = F.unix_millis("at") - F.unix_millis(F.lag("at").over(before)) <= grace_ms
-    return events.withColumn("writer", F.coalesce("agent", F.when(recent, F.lag("agent").over(before))))
+    """events with ``writer``: the name given, or the last one given on the path if that was within the grace; at rest."""
+    so_far = Window.partitionBy("path").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, 0)  # one file's changes
+    named = F.last(F.when(F.col("agent").isNotNull(), F.col("at")), ignorenulls=True).over(so_far)
+    return events.withColumn("writer", F.when(F.unix_millis("at") - F.unix_millis(named) <= grace_ms, F.last("agent", ignorenulls=True).over(so_far)))
 
 
 def _follow(grace_ms: int):
@@ -52,7 +69,7 @@ def _follow(grace_ms: int):
                 now = r.at.value // 1_000_000
                 given = r.agent if isinstance(r.agent, str) else None
                 rows.append((r.id, key[0], given or (name if at is not None and now - at <= grace_ms else None)))
-                name, at = given, now
+                name, at = (given, now) if given else (name, at)
             yield pd.DataFrame(rows, columns=["id", "path", "writer"])
         state.update((name, at))
 

@@ -68,9 +68,11 @@ def test_two_triangles():
 
 
 def test_lanes(spark):
-    assert folds.lanes_of([("c", ["b"]), ("b", ["a"]), ("a", [])]) == [("c", 0, 1), ("b", 0, 1), ("a", 0, 1)]
-    merge = folds.lanes_of([("m", ["a", "b"]), ("b", ["r"]), ("a", ["r"]), ("r", [])])
-    assert [(s, lane) for s, lane, _ in merge] == [("m", 0), ("b", 1), ("a", 0), ("r", 1)]
+    assert list(folds.lanes_of([("c", ["b"]), ("b", ["a"]), ("a", [])])) == [("c", 0, 1), ("b", 0, 1), ("a", 0, 1)]
+    merge = list(folds.lanes_of([("m", ["a", "b"]), ("b", ["r"]), ("a", ["r"]), ("r", [])]))
+    assert [(s, lane) for s, lane, _ in merge] == [("m", 0), ("b", 1), ("a", 0), ("r", 0)]
+    assert list(folds.lanes_of([("m", ["b", "d"]), ("b", ["a"]), ("d", ["a"]), ("a", [])])) == [("m", 0, 2), ("b", 0, 2), ("d", 1, 2), ("a", 0, 2)]
+    assert [x[1] for x in folds.lanes_of([("A", ["C"]), ("B", ["C"]), ("D", ["E"]), ("C", []), ("E", [])])] == [0, 1, 2, 0, 2]
     df = frame(spark, [("p", "c", ["b"], 1.0), ("p", "b", [], 2.0)], "project string, sha string, parents array<string>, nr double")
     assert got(folds.lanes(df)) == [("p", "b", 0, 1), ("p", "c", 0, 1)]
 
@@ -93,6 +95,8 @@ def test_group_matches(spark):
 
 
 def test_nesting_and_names(spark):
+    apart = frame(spark, members(spark, A="x", B="xy", C="xzv"), "group_id string, path string")
+    assert got(groups.nested(apart).select("group_id", F.coalesce("parent", F.lit("-")), "depth")) == [("A", "B", 1), ("B", "-", 0), ("C", "-", 0)]
     g = frame(spark, members(spark, a="xyz", b="xy", c="x", d="w"), "group_id string, path string")
     assert got(groups.nested(g).select("group_id", F.coalesce("parent", F.lit("-")), "depth")) == [("a", "-", 0), ("b", "a", 1), ("c", "b", 2), ("d", "-", 0)]
     names = groups.distinct_names(frame(spark, [("core", 1), ("core", 2), ("ui", 3)], "name string, ord int"), "name", "ord")
@@ -175,12 +179,16 @@ def test_focus_bundles(spark):
 
 
 def test_search_order(spark):
-    rows = [("1", "session", "src/session.ts", False, 0), ("2", "session", "tests/session.ts", True, 1), ("3", "openSession", "src/a.ts", False, 2), ("4", "s_e_s_sion", "src/b.ts", False, 3), ("5", "other", "src/c.ts", False, 4)]
-    df = frame(spark, rows, "id string, name string, path string, test boolean, ord int")
-    assert [r.id for r in search.search(df, "Session").collect()] == ["1", "2", "3", "4"]
+    rows = [("1", "class", "session", "src/session.ts", 0), ("2", "class", "session", "tests/session.ts", 1), ("3", "class", "openSession", "src/a.ts", 2), ("4", "class", "s_e_s_sion", "src/b.ts", 3), ("5", "class", "other", "src/c.ts", 4)]
+    rows += [("f", "file", "session.ts", "src/session.ts", 0), ("d", "file", "session.d.ts", "lib/session.d.ts", 5)]
+    df = frame(spark, rows, "id string, kind string, name string, path string, ord int")
+    assert [r.id for r in search.search(df, " Session ").collect()] == ["1", "f", "2", "d", "3", "4"]
+    assert search.search(df, " ").count() == 0
+    assert one(spark, search.score(F.lit("xlaaat"), "lt")) == 483
     assert one(spark, search.score(F.lit("abc"), "abc")) == 1000
     assert one(spark, search.score(F.lit("xabc"), "abc")) == 997
     assert one(spark, search.score(F.lit("axbc"), "abc")) == 500 - 3 - 0 - 1
+    assert one(spark, search.score(F.lit("xaxbxxc"), "abc")) == 500 - 3 * 4 - 1 - 4
     assert one(spark, search.score(F.lit("acb"), "abc")) is None
 
 
@@ -308,7 +316,7 @@ def test_writers_stream_agrees_with_rest(spark, tmp_path):
     q = live.writers_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("wr").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
-    want = {1: "me", 2: "me", 3: None, 4: None, 5: None, 6: "you", 7: "you"}
+    want = {1: "me", 2: "me", 3: "me", 4: None, 5: None, 6: "you", 7: "you"}
     assert {r.id: r.writer for r in live.writers(events).collect()} == want
     assert {r.id: r.writer for r in spark.table("wr").collect()} == want
 
