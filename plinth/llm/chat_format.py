@@ -14,8 +14,8 @@ conversation is one string in the result, so its turns have to meet.
 
 Defined cases: a null text counts as empty; a null role as the role ''. Rows with one turn
 number are put in the order of role and text, null turns first; all of them are written. A
-conversation that breaks the order of roles is written and marked (``valid`` false). A null
-conv_id is a conversation of its own. Extra columns are left alone.
+conversation that breaks the order of roles is written and marked (``valid`` false). Each row
+with a null conv_id is a conversation of its own, so that such rows don't meet. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -60,7 +60,8 @@ def formatted(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     """conv_id, formatted (string), segments (start, length, role, loss), valid and broken_at (the first turn out of order)."""
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
     one = F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    convs = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    rows = turns.select("conv_id", one.alias("one"), F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("apart"))
+    convs = rows.groupBy("conv_id", "apart").agg(F.array_sort(F.collect_list("one")).alias("turns")).drop("apart")
     convs = convs.withColumn("turns", F.transform("turns", lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), template.escaped(t["role"]).alias("head"), template.escaped(t["text"]).alias("body"))))
 
     # the machine: states and roles as one map, 'failed' for any other pair
@@ -116,9 +117,9 @@ def chat_report(conversations: DataFrame, template: Template = TEMPLATE) -> Data
 
 
 REPORT_SQL = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-n AS (SELECT *, row_number() OVER w - 1 AS k, lag(role) OVER w AS before FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS apart, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, row_number() OVER w - 1 AS k, lag(role) OVER w AS before FROM t WINDOW w AS (PARTITION BY conv_id, apart ORDER BY turn NULLS FIRST, role, text)),
 s AS (SELECT *, CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user'
               WHEN before = 'user' THEN role = 'assistant' ELSE false END AND (role <> 'system' OR k = 0) AS ok,
        CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
@@ -126,5 +127,5 @@ s AS (SELECT *, CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN be
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
        sum(length(loss))::BIGINT AS loss_chars, sha256(string_agg(loss, '' ORDER BY k)) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars,
        bool_and(ok) AND max_by(role, k) = 'assistant' AS valid, min(CASE WHEN NOT ok THEN k END)::BIGINT AS broken_at
-FROM s GROUP BY conv_id
+FROM s GROUP BY conv_id, apart
 """

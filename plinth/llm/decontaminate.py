@@ -1,14 +1,18 @@
 """Benchmark decontamination: one Aho-Corasick automaton scans each text once.
 
-The texts of benchmark items (questions and answers) are normalised to words, cut into
-windows of ``window`` words (an item of fewer words is one window), and all windows become
-the patterns of an automaton over normalised text. A document's text is normalised the same
-way and scanned once; matches are mapped to word positions and from there to offsets in the
-original text.
-
-Scale: documents are only mapped, never shuffled. The automaton is built on the driver from
-the benchmark, whose size is measured first: up to ``max_chars`` characters of items make one
-automaton. A larger benchmark is dealt by a hash of item_id to several automata of that size;
+The texts of benchmark items (questions and answers) are normalised to words. A window is
+``window`` consecutive words of an item (an item of fewer words is one window). Every window
+holds one of the item's chunks of half its length that start at multiples of that length, so
+these chunks, once each, are the patterns of an automaton over normalised text. A document's
+text is normalised the same way and scanned once; where a chunk is met, its run is followed
+to both sides, word by word, and a run of a whole window hits. Matches are mapped to word positions
+and from there to offsets in the original text.
+
+Scale: documents are only mapped, never shuffled. The automaton is built from the benchmark,
+once for each Python worker process: about 50 bytes of memory for each character of items. Its size is
+measured first: up to ``max_chars`` characters of items make one
+automaton. A larger benchmark is dealt by a hash of item_id to several automata of that size, which the driver
+sends out one after the other;
 every automaton scans all documents and the hits of a document are put together afterwards.
 
 Defined cases: a null text or one without words has no words, hits or items and is not
@@ -19,6 +23,7 @@ several items count for all of them. Extra columns are left alone.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW = 13
-#: Characters of benchmark text in one automaton; about 60 bytes of memory each.
+#: Characters of benchmark text in one automaton; about 50 bytes of memory each.
 MAX_CHARS = 4_000_000
 
 #: ASCII bytes outside words (all but digits and letters).
@@ -40,47 +45,76 @@ def normalise(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE)
 
 
-def windows(text: str | None, window: int = WINDOW) -> list[bytes]:
-    words = normalise(text).split()
-    if not words:
-        return []
-    return [b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
-
-
-def automaton(items: list[tuple[str | None, str | None]], window: int = WINDOW):
-    """An automaton whose values are (number of words, indexes of items); None without windows."""
-    import ahocorasick
-
-    patterns: dict[bytes, set[int]] = {}
-    for index, (_, text) in enumerate(items):
-        for x in windows(text, window):
-            patterns.setdefault(x, set()).add(index)
-    if not patterns:
-        return None
-    built = ahocorasick.Automaton()
-    for x, indexes in patterns.items():
-        built.add_word(f" {x.decode()} ", (x.count(b" ") + 1, tuple(indexes)))
-    built.make_automaton()
-    return built
-
-
-def scan(text: str | None, built) -> tuple[int, np.ndarray, set[int], list[tuple[int, int]]]:
+class Items:
+    """The words of items, and an automaton over their chunks whose values are (words, places (item, word) of the chunk)."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
+        import ahocorasick
+
+        self.window, self.ids, self.words = window, [i for i, _ in items], []
+        chunk, same, places = (window + 1) // 2, {}, {}
+        for index, (_, text) in enumerate(items):
+            words = [same.setdefault(w, w) for w in normalise(text).split()]  # one object for each word
+            self.words.append(words)
+            size = chunk if len(words) >= window else len(words)
+            for at in range(0, len(words) - size + 1, size) if size else ():
+                places.setdefault(b" ".join(words[at : at + size]), []).append((index, at))
+        self.automaton = ahocorasick.Automaton() if places else None
+        while places:
+            x, where = places.popitem()
+            self.automaton.add_word(f" {x.decode('utf-8', 'surrogatepass')} ", (x.count(b" ") + 1, tuple(where)))
+        if self.automaton:
+            self.automaton.make_automaton()
+
+    def runs(self, words: list[bytes], last: int, size: int, places, done: dict) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of the runs around a chunk that ends before word ``last``, if they hold a window."""
+        for index, at in places:
+            own = self.words[index]
+            a, p = last - size, at
+            line = (index, a - p)
+            if done.get(line, 0) >= last:
+                continue  # in a run that was followed
+            b, q = last, at + size
+            while a and p and words[a - 1] == own[p - 1]:
+                a, p = a - 1, p - 1
+            while b < len(words) and q < len(own) and words[b] == own[q]:
+                b, q = b + 1, q + 1
+            done[line] = b
+            if b - a >= min(self.window, len(own)):
+                yield index, a, b
+
+
+#: The last items that were built in this process, by the name of their broadcast.
+_BUILT: dict[str, Items] = {}
+
+
+def _built(name: str, items, window: int) -> Items:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Items(items.value, window)
+    return _BUILT[name]
+
+
+def scan(text: str | None, built: Items) -> tuple[int, np.ndarray, set[int], list[tuple[int, int]]]:
     """Words, positions of hit words, indexes of items, and character spans of hits in the original text."""
     flat = normalise(text)
     words = flat.split()
-    if built is None or not words:
+    if not built.automaton or not words:
         return len(words), np.zeros(0, np.int64), set(), []
     joined = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-    found = list(built.iter(joined))
+    found = list(built.automaton.iter(joined))
     if not found:
         return len(words), np.zeros(0, np.int64), set(), []
     blanks = np.flatnonzero(np.array(list(joined)) == " ")
-    cover, items = np.zeros(len(words) + 1, np.int64), set()
-    for end, (size, indexes) in found:
+    cover, items, done = np.zeros(len(words) + 1, np.int64), set(), {}
+    for end, (size, places) in found:
         last = int(np.searchsorted(blanks, end))  # the blank after the last word
-        cover[last - size] += 1
-        cover[last] -= 1
-        items.update(indexes)
+        for index, a, b in built.runs(words, last, size, places, done):
+            cover[a] += 1
+            cover[b] -= 1
+            items.add(index)
+    if not items:
+        return len(words), np.zeros(0, np.int64), set(), []
     hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
     inside = np.frombuffer(flat, np.uint8) != 0x20
     starts = np.flatnonzero(inside & ~np.r_[False, inside[:-1]])
@@ -91,17 +125,16 @@ def scan(text: str | None, built) -> tuple[int, np.ndarray, set[int], list[tuple
     return len(words), hit, items, spans
 
 
-def _scanner(items: list[tuple[str | None, str | None]], window: int, positions: bool):
-    """For mapInArrow. The automaton is built once for each task, from the broadcast items."""
+def _scanner(items, window: int, positions: bool):
+    """For mapInArrow. items: (name, broadcast)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = items.value
-        built = automaton(given, window)
+        built = _built(*items, window)
         for batch in batches:
             rows = []
             for doc_id, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), batch.column("text"), strict=True):
                 n, hit, indexes, spans = scan(text.as_py(), built)
-                rows.append({"doc_id": doc_id, "row_key": key, "n_words": n, "n_hit": len(hit), "items": sorted({given[i][0] for i in indexes if given[i][0] is not None}), "spans": [{"start": a, "end": b} for a, b in spans], "hit": hit.tolist() if positions else []})
+                rows.append({"doc_id": doc_id, "row_key": key, "n_words": n, "n_hit": len(hit), "items": sorted({built.ids[i] for i in indexes if built.ids[i] is not None}), "spans": [{"start": a, "end": b} for a, b in spans], "hit": hit.tolist() if positions else []})
             yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     return run
@@ -112,13 +145,13 @@ _DDL = "doc_id long, row_key long, n_words long, n_hit long, items array<string>
 
 
 def _item_groups(docs: DataFrame, benchmark: DataFrame, max_chars: int) -> list:
-    """Broadcast items, in as many groups as their measured size needs."""
+    """(name, broadcast) of the items, in as many groups as their measured size needs."""
     spark: SparkSession = docs.sparkSession
     given = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where(F.col("text").isNotNull())
     total = given.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // max_chars))
     parts = [given if n == 1 else given.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == g) for g in range(n)]
-    return [spark.sparkContext.broadcast([tuple(x) for x in part.collect()]) for part in parts]
+    return [(uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(x) for x in part.toLocalIterator()])) for part in parts]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -128,11 +161,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     parts = [rows.mapInArrow(_scanner(items, window, len(groups) > 1), _DDL) for items in groups]
     if len(parts) == 1:
         return parts[0].drop("hit")
-    merged = parts[0]
-    for x in parts[1:]:
+    # repeated rows are one first, so that what meets is one list for each automaton
+    once = [x.groupBy("doc_id", "row_key").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("n_words", "hit", "items", "spans"))) for x in parts]
+    merged = once[0]
+    for x in once[1:]:
         merged = merged.unionByName(x)
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)  # noqa: E731  one list for each automaton
-    merged = merged.groupBy("doc_id", "row_key").agg(F.count("*").alias("n"), F.max("n_words").alias("n_words"), union("hit"), union("items"), union("spans"))
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    merged = merged.groupBy("doc_id", "row_key").agg(F.sum("n").alias("n"), F.max("n_words").alias("n_words"), union("hit"), union("items"), union("spans"))
     copies = F.explode(F.sequence(F.lit(1), (F.col("n") / len(parts)).cast("int")))
     return merged.select("doc_id", "row_key", "n_words", F.size("hit").cast("long").alias("n_hit"), "items", "spans", copies.alias("copy")).drop("copy")
 
@@ -150,7 +185,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
         return docs.join(found, docs["doc_id"].eqNullSafe(found["_doc"]) & (F.xxhash64(docs["text"]) == found["_key"]), "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = automaton(groups[0].value, window)
+        built = _built(*groups[0], window)
         for batch in batches:
             found = (scan(text.as_py(), built) for text in batch.column("text"))
             yield batch.filter(pa.array([not (len(hit) and 20 * len(hit) >= n) for n, hit, _, _ in found], pa.bool_()))

@@ -2,25 +2,28 @@
 
 For each document, the logarithms of these are summed over the languages that were learned:
 
-* the likelihood of its text under byte trigrams, tempered: a text of more than ``FULL``
-  trigrams counts as that many, as neighbouring trigrams don't speak independently;
+* the likelihood of its text (of a page: without its tags) under byte trigrams, tempered: n
+  trigrams count as n ** ``TEMPER``, as neighbouring trigrams don't speak independently;
 * the declared language of its markup (``<html lang=...>``), if there is one;
 * the language that its address suffix (or first path part) suggests, if there is one;
-* the prior of its host: how its documents' texts look, counted by grouped aggregation and
-  smoothed towards the host's domain, which is smoothed towards all documents.
+* the prior of its host: how its other documents' texts look, counted by grouped aggregation and
+  smoothed towards the host's domain, which is smoothed towards all documents. The document itself is
+  taken out of all three counts.
 
-The trigram model is fitted on labelled rows, about ``SAMPLE`` of them, chosen by a hash of
-their id; scoring and priors cover every row and every whole text. A document is rejected if
+The trigram model is fitted on labelled rows, about ``SAMPLE`` of them, in equal parts for each
+label and chosen by a hash of id and text (a label of fewer rows gives all of them); scoring and priors
+cover every row and every whole text. Every label is learned. A document is rejected if
 its text has no letters, or if the best language's posterior stays under ``LEAST``.
 
 Scale: texts are only mapped. What is joined are a few numbers for each document with one row
 for each host; hosts are aggregated with partial sums, so a hot host meets in no task. The
-model has ``BUCKETS`` x at most ``LANGUAGES`` numbers.
+model has ``BUCKETS`` x labels numbers; labels are meant to be names of languages, some hundreds at most.
 
 Defined cases: a null text, or one without letters, is rejected with language null and
-confidence 0; a null host has the prior of all documents. Without labelled rows nothing is
-learned and every document is rejected. Repeated rows each give a row. Extra columns are left
-alone.
+confidence 0; a null host has the prior of all documents. Where two languages are equally likely, the
+first by name is said. Without labelled rows nothing is
+learned and every document is rejected. Repeated rows each give a row, and count as other documents of
+their host. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -38,9 +41,7 @@ from plinth.llm.common import staged, text_slices
 #: Labelled rows for fitting, about.
 SAMPLE = 4_000
 BUCKETS = 1 << 14
-#: Most languages that are learned, the commonest labels first.
-LANGUAGES = 64
-FULL = 60
+TEMPER = 0.75
 LEAST = 0.5
 #: Documents that a host's, and a domain's, parent counts for.
 STRENGTH = 10.0
@@ -48,7 +49,12 @@ STRENGTH = 10.0
 MARKUP_RIGHT, ADDRESS_RIGHT = 0.9, 0.8
 
 #: Languages that address suffixes suggest.
-SUFFIXES = {"at": "de", "ch": "de", "de": "de", "es": "es", "mx": "es", "fr": "fr", "uk": "en", "us": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh"}
+SUFFIXES = {
+    "ar": "es", "at": "de", "au": "en", "be": "nl", "bg": "bg", "bo": "es", "br": "pt", "by": "be", "ca": "en", "ch": "de", "cl": "es", "cn": "zh", "co": "es", "cr": "es", "cz": "cs", "de": "de", "dk": "da",
+    "do": "es", "ec": "es", "ee": "et", "eg": "ar", "es": "es", "fi": "fi", "fr": "fr", "gr": "el", "hr": "hr", "hu": "hu", "id": "id", "ie": "en", "il": "he", "ir": "fa", "is": "is", "it": "it", "jp": "ja",
+    "kr": "ko", "li": "de", "lt": "lt", "lv": "lv", "ma": "ar", "mx": "es", "my": "ms", "nl": "nl", "no": "no", "nz": "en", "pe": "es", "pl": "pl", "pt": "pt", "py": "es", "ro": "ro", "rs": "sr", "ru": "ru",
+    "sa": "ar", "se": "sv", "si": "sl", "sk": "sk", "sn": "fr", "th": "th", "tn": "ar", "tr": "tr", "tw": "zh", "ua": "uk", "uk": "en", "us": "en", "uy": "es", "ve": "es", "vn": "vi", "za": "en",
+}
 
 
 @dataclass
@@ -90,16 +96,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> Model:
-    """Trigram probabilities from about ``sample`` labelled rows."""
-    given = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
-    sizes = given.groupBy(F.col(label).alias("label")).count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()
-    languages = sorted(r["label"] for r in sizes)
-    part = min(1.0, sample / max(1, sum(r["count"] for r in sizes)))
-    chosen = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).where(F.col(label).isin(languages))
-    rows = chosen.select(F.col(label).alias("label"), "text").mapInArrow(_counted, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    """Trigram probabilities from about ``sample`` labelled rows, as many of each label where it has them."""
+    given = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col(label).alias("label"))
+    sizes = {r["label"]: r["count"] for r in given.groupBy("label").count().collect()}
+    languages = sorted(sizes)
     counts = np.full((BUCKETS, len(languages)), 0.5)
-    where = {x: i for i, x in enumerate(languages)}
-    counts[rows["bucket"].to_numpy(np.int64), rows["label"].map(where).to_numpy(np.int64)] += rows["n"].to_numpy(float)
+    if languages:
+        # the lowest hashes of a label, as many as make its part; a label's rows are all taken if they are few
+        part = {x: sample / len(languages) / n for x, n in sizes.items()}
+        limits = F.create_map(*[F.lit(v) for x in languages for v in (x, 2**63 - 1 if part[x] >= 1 else int((2 * part[x] - 1) * 2**63))])
+        chosen = given.where(F.xxhash64("doc_id", "text") <= F.element_at(limits, F.col("label")))
+        rows = chosen.select("label", "text").mapInArrow(_counted, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        where = {x: i for i, x in enumerate(languages)}
+        counts[rows["bucket"].to_numpy(np.int64), rows["label"].map(where).to_numpy(np.int64)] += rows["n"].to_numpy(float)
     return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
@@ -117,7 +126,7 @@ def _scored(shared):
                 rows = end - row
                 n = np.bincount(text, minlength=rows)
                 total = np.stack([np.bincount(text, weights[bucket, i], minlength=rows) for i in range(width)], axis=1).astype(float) if width else np.zeros((rows, 0))
-                total *= (np.minimum(n, FULL) / np.maximum(n, 1))[:, None]
+                total *= (np.maximum(n, 1) ** (TEMPER - 1))[:, None]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(total.ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, rows) for c in ("doc_id", "row_key", "host", "markup", "address")), pa.array(n.astype(np.int64)), lists], schema=_SCORES)
 
@@ -144,28 +153,38 @@ def identified(docs: DataFrame, model: Model, host: str | None = None, url: str
         address = F.when(path.isin(names), path)
     suffixes = F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair])
     address = F.coalesce(address, F.when(of.contains("."), F.try_element_at(suffixes, F.substring_index(of, ".", -1))))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("row_key"), body.alias("text"), of.alias("host"), markup.alias("markup"), address.alias("address"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("row_key"), F.when(body.contains("<html"), F.regexp_replace(body, r"<[^>]*>", " ")).otherwise(body).alias("text"), of.alias("host"), markup.alias("markup"), address.alias("address"))
     scores = staged(rows.mapInArrow(_scored(spark.sparkContext.broadcast(model)), _SCORES_DDL), "scores")
     if not width:
         return scores.select("doc_id", "row_key", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), "n_grams", F.lit(False).alias("kept"))
 
-    # priors: text alone, summed for each host, for each domain and for all
-    looks = scores.where("n_grams > 0").withColumn("p", _normalised(F.col("scores"))).withColumn("domain", F.substring_index("host", ".", -2))
-    sums = [F.sum(F.get("p", F.lit(i))).alias(f"p{i}") for i in range(width)]
-    hosts = staged(looks.where("host is not null").groupBy("host", "domain").agg(*sums), "hosts")
-    domains = hosts.groupBy("domain").agg(*[F.sum(f"p{i}").alias(f"d{i}") for i in range(width)])
-    total = [x or 0.0 for x in looks.agg(*sums).first()]
-    flat = [(x + 1.0) / (sum(total) + width) for x in total]
-    n_d, n_h = (sum((F.col(f"{c}{i}") for i in range(width)), F.lit(0.0)) for c in "dp")
-    above = [(F.col(f"d{i}") + STRENGTH * flat[i]) / (n_d + STRENGTH) for i in range(width)]
-    priors = hosts.join(domains, "domain").select("host", F.array(*[F.log((F.col(f"p{i}") + STRENGTH * above[i]) / (n_h + STRENGTH)) for i in range(width)]).alias("prior"))
+    # priors: text alone, summed for each host, for each domain and for all; each document's own part is taken out again
+    own = F.when(F.col("n_grams") > 0, _normalised(F.col("scores"))).otherwise(F.array_repeat(F.lit(0.0), width))
+    looks = scores.select("host", F.substring_index("host", ".", -2).alias("domain"), own.alias("own"))
+    sums = F.array(*[F.sum(F.get("own", F.lit(i))) for i in range(width)])
+    hosts = staged(looks.where("host is not null").groupBy("host", "domain").agg(sums.alias("of_host")), "hosts")
+    domains = hosts.groupBy("domain").agg(F.array(*[F.sum(F.get("of_host", F.lit(i))) for i in range(width)]).alias("of_domain"))
+    total = [x or 0.0 for x in looks.agg(sums.alias("t")).first()["t"]]
+    counted = hosts.join(domains, "domain").select("host", "of_host", "of_domain")
+
+    def without_own(counts, above, strength: float):
+        """Shares of counts without the document's own part, smoothed towards those above."""
+        left = F.zip_with(counts, F.col("own"), lambda x, o: F.greatest(x - o, F.lit(0.0)))
+        n = F.aggregate(left, F.lit(0.0), lambda a, x: a + x) + strength
+        return F.zip_with(left, above, lambda x, y: (x + strength * y) / n)
+
+    joined = scores.join(counted, "host", "left").withColumn("own", own)
+    flat = F.array_repeat(F.lit(1.0 / width), width)
+    joined = joined.withColumn("p_all", without_own(F.array(*map(F.lit, total)), flat, float(width)))
+    joined = joined.withColumn("p_domain", F.when(F.col("of_domain").isNotNull(), without_own(F.col("of_domain"), F.col("p_all"), STRENGTH)).otherwise(F.col("p_all")))
+    joined = joined.withColumn("prior", F.when(F.col("of_host").isNotNull(), without_own(F.col("of_host"), F.col("p_domain"), STRENGTH)).otherwise(F.col("p_all")))
 
     def speaks(column: str, right: float):
         wrong = (1 - right) / max(1, width - 1)
         return [F.when(F.col(column).isin(names), F.when(F.col(column) == x, np.log(right)).otherwise(float(np.log(wrong)))).otherwise(0.0) for x in names]
 
-    evidence = [F.get("scores", F.lit(i)) + F.coalesce(F.get("prior", F.lit(i)), F.lit(float(np.log(flat[i])))) + a + b for i, (a, b) in enumerate(zip(speaks("markup", MARKUP_RIGHT), speaks("address", ADDRESS_RIGHT), strict=True))]
-    joined = scores.join(priors, "host", "left").withColumn("logs", F.array(*evidence)).withColumn("p", _normalised(F.col("logs")))
+    evidence = [F.get("scores", F.lit(i)) + F.log(F.get("prior", F.lit(i))) + a + b for i, (a, b) in enumerate(zip(speaks("markup", MARKUP_RIGHT), speaks("address", ADDRESS_RIGHT), strict=True))]
+    joined = joined.withColumn("logs", F.array(*evidence)).withColumn("p", _normalised(F.col("logs")))
     best = F.array_max("p")
     said = F.col("n_grams") > 0
     language = F.when(said, F.element_at(F.array(*map(F.lit, names)), F.array_position("p", best).cast("int")))
@@ -173,6 +192,11 @@ def identified(docs: DataFrame, model: Model, host: str | None = None, url: str
     return joined.select("doc_id", "row_key", language.alias("language"), confidence.alias("confidence"), "n_grams", (said & (best >= LEAST)).alias("kept"))
 
 
+def page_languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """Languages of pages, by text, markup, address and host; the model is that of the labelled documents."""
+    return identified(pages, fit(docs), url="url", text="html", key="page_id").select(F.col("doc_id").alias("page_id"), "language", "confidence", "n_grams", "kept")
+
+
 def language_report(docs: DataFrame) -> DataFrame:
     """Languages of documents; their source is their host."""
     return identified(docs, fit(docs), host="source").drop("row_key")

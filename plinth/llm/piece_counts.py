@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from plinth.llm.sentencepiece_bpe import BLANK, NORMAL, read_model
 
-CACHE = 400_000
+#: Words that a worker remembers, of at most so many characters each; longer ones are counted anew.
+CACHE, LONGEST = 400_000, 64
 INITIAL, CONTINUED = 0, 1
 
 
@@ -86,7 +87,9 @@ class Automaton:
             if (k := known.get(w)) is None:
                 if len(known) >= CACHE:
                     known.clear()
-                k = known[w] = self.count(w)
+                k = self.count(w)
+                if len(w) <= LONGEST:
+                    known[w] = k
             n += k or 1
             unknown += not k
         return len(words), n, unknown

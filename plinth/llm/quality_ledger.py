@@ -56,27 +56,31 @@ def _joined(column: str, step: int) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """docs and the measurements of each text."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    # names for the steps that no column of docs begins with
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    df = docs.withColumn("_words", words).withColumn("n_words", F.size("_words").cast("long"))
+    df = docs.withColumn(f"{mark}words", words).withColumn("n_words", F.size(f"{mark}words").cast("long"))
     df = df.withColumn("word_chars", F.length(F.regexp_replace(text, SPACE, "")).cast("long"))
     df = df.withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
     df = df.withColumn("n_letters", F.length(F.regexp_replace(text, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", "")).cast("long"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("_lines", lines).withColumn("n_lines", F.size("_lines").cast("long"))
-    df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
+    df = df.withColumn(f"{mark}lines", lines).withColumn("n_lines", F.size(f"{mark}lines").cast("long"))
+    df = df.withColumn("n_dup_lines", (F.size(f"{mark}lines") - F.size(F.array_distinct(f"{mark}lines"))).cast("long"))
 
     # windows of 1, 2, 4 and then GRAM words
-    df = df.withColumn("_h1", F.when(F.col("n_words") > GRAM, F.transform("_words", lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("_h2", _joined("_h1", 1)).withColumn("_h4", _joined("_h2", 2)).withColumn("_grams", _joined("_h4", 4))
+    df = df.withColumn(f"{mark}h1", F.when(F.col("n_words") > GRAM, F.transform(f"{mark}words", lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn(f"{mark}h2", _joined(f"{mark}h1", 1)).withColumn(f"{mark}h4", _joined(f"{mark}h2", 2)).withColumn(f"{mark}grams", _joined(f"{mark}h4", 4))
     # only texts with some repeated window go on to find out which words they cover
-    some = F.size("_grams") > F.size(F.array_distinct("_grams"))
-    df = df.withColumn("_sorted", F.when(some, F.array_sort(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
-    at = lambda k: F.get(F.col("_sorted"), k)["g"]
-    twice = F.filter("_sorted", lambda x, k: F.coalesce(x["g"] == at(k - 1), F.lit(False)) | F.coalesce(x["g"] == at(k + 1), F.lit(False)))
-    df = df.withColumn("_at", F.array_sort(F.transform(twice, lambda x: x["i"])))
-    covered = F.aggregate("_at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, i: F.struct((a["n"] + i + GRAM - F.greatest(a["end"], i)).alias("n"), (i + GRAM).alias("end")), lambda a: a["n"])
+    some = F.size(f"{mark}grams") > F.size(F.array_distinct(f"{mark}grams"))
+    df = df.withColumn(f"{mark}sorted", F.when(some, F.array_sort(F.transform(f"{mark}grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
+    at = lambda k: F.get(F.col(f"{mark}sorted"), k)["g"]
+    twice = F.filter(f"{mark}sorted", lambda x, k: F.coalesce(x["g"] == at(k - 1), F.lit(False)) | F.coalesce(x["g"] == at(k + 1), F.lit(False)))
+    df = df.withColumn(f"{mark}at", F.array_sort(F.transform(twice, lambda x: x["i"])))
+    covered = F.aggregate(f"{mark}at", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, i: F.struct((a["n"] + i + GRAM - F.greatest(a["end"], i)).alias("n"), (i + GRAM).alias("end")), lambda a: a["n"])
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return df.drop("_words", "_lines", "_h1", "_h2", "_h4", "_grams", "_sorted", "_at")
+    return df.drop(f"{mark}words", f"{mark}lines", f"{mark}h1", f"{mark}h2", f"{mark}h4", f"{mark}grams", f"{mark}sorted", f"{mark}at")
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters"]
@@ -122,6 +126,11 @@ def quality_report(docs: DataFrame) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & verdict(F.col("failed"))).alias("kept"), "failed")
 
 
+def ablation_report(docs: DataFrame) -> DataFrame:
+    """What each rule of the strict policy rejects, and what only it rejects, over all documents."""
+    return ablations(ledger(docs.select("doc_id", "text")).select("failed"))
+
+
 _CLEAN = r"[\x20\x09-\x0D]+"
 REPORT_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -142,3 +151,6 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
        + CASE WHEN n_words > 0 AND n_letters = 0 THEN 64 ELSE 0 END)::BIGINT AS failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed & 64 = 0 AS kept, failed FROM b
 """
+
+ABLATION_SQL = f"""SELECT rule, sum(CASE WHEN failed & bit <> 0 THEN 1 ELSE 0 END)::BIGINT AS n_failed, sum(CASE WHEN failed = bit THEN 1 ELSE 0 END)::BIGINT AS n_only
+FROM ({REPORT_SQL}) CROSS JOIN (VALUES {", ".join(f"('{name}', {bit(name)}::BIGINT)" for name in RULES)}) r(rule, bit) GROUP BY rule"""

@@ -80,3 +80,16 @@ def op3_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ledger.ablation_report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["rule_ablations"] = quality_ledger.ABLATION_SQL

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-#: Parts that a worker remembers.
-CACHE = 500_000
+#: Parts that a worker remembers, of at most so many characters each; longer ones are encoded anew.
+CACHE, LONGEST = 500_000, 64
 #: Adjacent pairs whose compatibility a worker remembers.
 PAIRS = 500_000
 
@@ -204,7 +204,9 @@ class Encoder:
                 if len(self.subparts) >= CACHE // 2:
                     self.subparts.clear()
                 got = self.part(x)
-                found = self.subparts[x] = (",".join(map(str, got)), self.glued(got))
+                found = (",".join(map(str, got)), self.glued(got))
+                if len(x) <= LONGEST:
+                    self.subparts[x] = found
             ids.append(found[0])
             back.append(found[1])
         return ",".join(ids), "".join(back)
@@ -221,7 +223,9 @@ class Encoder:
                         x = self.looked_up(BLANK + w)
                     if len(self.known) >= CACHE // 2:
                         self.older, self.known = self.known, {}
-                    found[k] = self.known[w] = x
+                    found[k] = x
+                    if len(w) <= LONGEST:
+                        self.known[w] = x
         return found
 
     def digest(self, text: str | None) -> tuple[int, str, str]:

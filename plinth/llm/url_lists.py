@@ -22,7 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+#: A host, or an IPv6 address in brackets.
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)"
+ADDRESS = r"^(\[.*\]|\d+\.\d+\.\d+\.\d+)$"
 
 
 def host_of(url: Column) -> Column:
@@ -30,10 +32,10 @@ def host_of(url: Column) -> Column:
 
 
 def domains_of(host: Column) -> Column:
-    """The host and each domain above it, of two labels at least."""
+    """The host and each domain above it, of two labels at least; addresses have none above."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n), "."))).otherwise(F.array(host))
+    return F.when((n > 1) & ~host.rlike(ADDRESS), F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n), "."))).otherwise(F.array(host))
 
 
 def intervals(changes: DataFrame) -> DataFrame:
@@ -57,14 +59,16 @@ def judged(captures: DataFrame, lists: DataFrame) -> DataFrame:
     verdicts = hits.groupBy("host", "fetched").agg(F.count("*").alias("n_active"), best)
     told = ["host", "n_active", "entry", "blocked"]
     kept = [c for c in captures.columns if c not in told]
-    out = rows.select(*kept, "host").join(verdicts.select("host", "fetched", F.col("n_active").alias("_n"), F.col("best").alias("_best")), ["host", "fetched"], "left")
-    return out.select(*kept, "host", F.coalesce("_n", F.lit(0)).cast("long").alias("n_active"), F.col("_best.entry").alias("entry"), F.coalesce(~F.col("_best.allow"), F.lit(False)).alias("blocked"))
+    # the captures as one column, so that none of theirs meets a name used here
+    whole = rows.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), "host", "fetched")
+    out = whole.join(verdicts, ["host", "fetched"], "left")
+    return out.select(*(F.col("row")[c].alias(c) for c in kept), "host", F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), F.col("best.entry").alias("entry"), F.coalesce(~F.col("best.allow"), F.lit(False)).alias("blocked"))
 
 
 def demo_feed(pages: DataFrame) -> DataFrame:
     """A feed that grows with the pages: each page changes its host's entry, and that of its domain, on a day of its own."""
     host = host_of(F.col("url"))
-    rows = pages.select(host.alias("host"), F.substring_index(host, ".", -2).alias("domain"), (F.col("page_id") * 37 % 365).alias("day"), (F.col("page_id") % 3 != 0).alias("added"))
+    rows = pages.select(host.alias("host"), F.when(host.rlike(ADDRESS), host).otherwise(F.substring_index(host, ".", -2)).alias("domain"), (F.col("page_id") * 37 % 365).alias("day"), (F.col("page_id") % 3 != 0).alias("added"))
     hosts = rows.select(F.when(F.length("host") % 5 == 0, "allow").otherwise("block").alias("list"), F.col("host").alias("entry"), "day", "added")
     domains = rows.select(F.lit("block").alias("list"), F.col("domain").alias("entry"), "day", (F.col("added") & (F.col("day") % 4 == 0)).alias("added"))
     return hosts.unionByName(domains)
@@ -77,15 +81,15 @@ def url_report(pages: DataFrame) -> DataFrame:
 
 
 REPORT_SQL = r"""
-WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)', 1)), '') AS host,
                   page_id % 365 AS fetched, page_id * 37 % 365 AS day, page_id % 3 <> 0 AS added FROM pages),
 c AS (SELECT CASE WHEN length(host) % 5 = 0 THEN 'allow' ELSE 'block' END AS list, host AS entry, day, added FROM p
-      UNION ALL SELECT 'block', array_to_string(list_slice(string_split(host, '.'), -2, -1), '.'), day, added AND day % 4 = 0 FROM p),
+      UNION ALL SELECT 'block', CASE WHEN regexp_matches(host, '^(\[.*\]|\d+\.\d+\.\d+\.\d+)$') THEN host ELSE array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') END, day, added AND day % 4 = 0 FROM p),
 s AS (SELECT list, entry, day, bool_or(added) AS added FROM c WHERE entry IS NOT NULL AND day IS NOT NULL GROUP BY ALL),
 t AS (SELECT *, lag(added) OVER w AS before FROM s WINDOW w AS (PARTITION BY list, entry ORDER BY day)),
 u AS (SELECT *, lead(day) OVER (PARTITION BY list, entry ORDER BY day) AS until FROM t WHERE added <> coalesce(before, false)),
 i AS (SELECT * FROM u WHERE added),
-h AS (SELECT p.page_id, i.list, i.entry FROM p JOIN i ON (p.host = i.entry OR ends_with(p.host, '.' || i.entry)) AND i.day <= p.fetched AND (i.until IS NULL OR p.fetched < i.until)),
+h AS (SELECT p.page_id, i.list, i.entry FROM p JOIN i ON (p.host = i.entry OR ends_with(p.host, '.' || i.entry) AND NOT regexp_matches(p.host, '^(\[.*\]|\d+\.\d+\.\d+\.\d+)$')) AND i.day <= p.fetched AND (i.until IS NULL OR p.fetched < i.until)),
 b AS (SELECT page_id, count(*) AS n, arg_max(entry, length(entry) * 2 + (list = 'allow')::INT) AS entry, arg_max(list, length(entry) * 2 + (list = 'allow')::INT) AS list FROM h GROUP BY page_id)
 SELECT p.page_id, p.host, p.fetched, coalesce(b.n, 0)::BIGINT AS n_active, b.entry, coalesce(b.list = 'block', false) AS blocked FROM p LEFT JOIN b USING (page_id)
 """

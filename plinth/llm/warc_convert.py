@@ -5,9 +5,11 @@ five fields (URL, address, date, type, length), version 2 lines ten (URL, addres
 status, checksum, location, offset, file name, length); a ``filedesc`` record at the start of
 each archive names the version. The converter reads the declared lengths, never the content,
 to find the next record, and gives each record what WARC asks for: an identifier derived from
-its digest and place, an ISO timestamp, a type, and block and payload digests. Of records with
+its digest and place, an ISO timestamp, a type, and block and payload digests. Recorded HTTP answers and
+name look-ups become responses, filedesc records warcinfo, anything else resources. Of HTTP answers with
 one payload digest (and at least ``least_bytes`` of payload), that with the smallest key is
-the response; the others become revisits that refer to it and carry no payload.
+the response; the others become revisits that refer to it and carry no payload. The key is a header of
+archives that ``write_arc`` made; records of other archives go by date and place, after those with a key.
 
 Scale: archives are files of bounded size, written by Spark's text writer (the record ends
 that it adds are the format's own) and read back as binary files, one at a time in a task.
@@ -18,7 +20,8 @@ Defined cases: a null payload counts as empty; a null URL is written as ``-``. R
 key are written with the key ``-`` and come back as null; among equal payloads they are never
 the response of another. Repeated rows are records of their own: the first copy of the smallest
 key is the response, the others refer to it. White space inside a URL is percent-encoded.
-Extra columns are left alone.
+A header line that can't be read is passed over up to the next one that can, and a last record that is
+shorter than it declares is left out; ``convert`` returns what it left out. Extra columns are left alone.
 """
 
 from __future__ import annotations
@@ -76,29 +79,41 @@ def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url
     rows.select(value.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
 
 
-def arc_records(content: bytes) -> Iterator[dict]:
-    """Records of one ARC archive (gzip or plain), by declared lengths; filedesc records only tell the version."""
-    at, version = 0, 1
+def _head(line: str, names: list[str]) -> dict | None:
+    """The fields of a header line; blanks inside an address belong to it. None if it isn't one."""
+    fields = line.rstrip("\r").split(" ")
+    more = len(fields) - len(names)
+    if more < 0:
+        return None
+    head = dict(zip(names, ["%20".join(fields[: more + 1]), *fields[more + 1 :]], strict=True))
+    return head if head["length"].isdecimal() and head["date"].isdecimal() else None
+
+
+def arc_records(content: bytes, skipped: list | None = None) -> Iterator[dict]:
+    """Records of one ARC archive, by declared lengths; a filedesc record tells the version. skipped: takes (place, reason) of what can't be read."""
+    at, version, lost = 0, 1, False
+    skipped = [] if skipped is None else skipped
     while at < len(content):
         if content[at] in b"\r\n":
             at += 1
             continue
-        end = content.index(b"\n", at)
-        fields = content[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        names = ARC_FIELDS[version]
-        if fields[0].startswith("filedesc://"):
-            names = ARC_FIELDS[2] if len(fields) == 10 else ARC_FIELDS[1]
-        if len(fields) != len(names):
-            raise ValueError(f"an ARC {version} header line has {len(names)} fields, not {len(fields)}")
-        head = dict(zip(names, fields, strict=True))
-        size = int(head["length"])
+        end = content.find(b"\n", at)
+        line = content[at : end if end >= 0 else len(content)].decode("utf-8", "replace")
+        about = line.startswith("filedesc://")
+        head = _head(line, ARC_FIELDS[2 if line.rstrip("\r").count(" ") == 9 else 1] if about else ARC_FIELDS[version]) if end >= 0 else None
+        if head is None:
+            if not lost:
+                skipped.append((at, f"no ARC {version} header line"))
+            lost, at = True, end + 1 if end >= 0 else len(content)
+            continue
+        size, lost = int(head["length"]), False
         block = content[end + 1 : end + 1 + size]
         if len(block) != size:
-            raise ValueError("an ARC record is shorter than it declares")
+            skipped.append((at, "shorter than it declares"))
+            return
         at = end + 1 + size
-        if fields[0].startswith("filedesc://"):
-            version = int(block[:1])
-            continue
+        if about:
+            version = 2 if block[:1] == b"2" else 1
         yield head | {"block": block}
 
 
@@ -111,6 +126,12 @@ def response_parts(block: bytes) -> tuple[bytes, bytes]:
     return (block[: at + 4], block[at + 4 :]) if at >= 0 else (b"", block)
 
 
+def kind_of(url: str, block: bytes) -> str:
+    if url.startswith("filedesc:"):
+        return "warcinfo"
+    return "response" if block.startswith(b"HTTP/") else "look-up" if url.startswith("dns:") else "resource"
+
+
 def header(head: bytes, name: bytes) -> str | None:
     for line in head.split(b"\r\n"):
         if line[: len(name) + 1].lower() == name.lower() + b":":
@@ -118,8 +139,8 @@ def header(head: bytes, name: bytes) -> str | None:
     return None
 
 
-_CAPTURES = pa.schema([("file", pa.string()), ("nr", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("key", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("block", pa.binary())])
-_CAPTURES_DDL = "file string, nr long, url string, ip string, date string, key long, digest string, payload_bytes long, block binary"
+_CAPTURES = pa.schema([("file", pa.string()), ("nr", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("type", pa.string()), ("kind", pa.string()), ("key", pa.int64()), ("has_key", pa.bool_()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("block", pa.binary())])
+_CAPTURES_DDL = "file string, nr long, url string, ip string, date string, type string, kind string, key long, has_key boolean, digest string, payload_bytes long, block binary"
 
 
 def _plain(content: bytes) -> bytes:
@@ -139,7 +160,7 @@ def _batched(rows: Iterator[dict], schema: pa.Schema, size: str, most: int = 4 <
     held, n = [], 0
     for row in rows:
         held.append(row)
-        n += len(row[size] or b"") + 200
+        n += len(row.get(size) or b"") + 200
         if n >= most:
             yield pa.RecordBatch.from_pylist(held, schema=schema)
             held, n = [], 0
@@ -152,10 +173,15 @@ def _read_arc(with_block: bool):
         def rows():
             for batch in batches:
                 for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                    for nr, r in enumerate(arc_records(_plain(content.as_py()))):
-                        head, payload = response_parts(r["block"])
+                    file, skipped = path.as_py().rpartition("/")[2], []
+                    for nr, r in enumerate(arc_records(_plain(content.as_py()), skipped)):
+                        kind = kind_of(r["url"], r["block"])
+                        head, payload = response_parts(r["block"]) if kind == "response" else (b"", r["block"])
                         key = header(head, b"X-Record-Key")
-                        yield {"file": path.as_py().rpartition("/")[2], "nr": nr, "url": r["url"], "ip": r["ip"], "date": r["date"], "key": int(key) if key and key != "-" else None, "digest": hashlib.sha256(payload).hexdigest(), "payload_bytes": len(payload), "block": r["block"] if with_block else b""}
+                        yield {"file": file, "nr": nr, "url": r["url"], "ip": r["ip"], "date": r["date"], "type": r["type"], "kind": kind, "key": int(key) if key and key != "-" else None, "has_key": key is not None, "digest": hashlib.sha256(payload).hexdigest(), "payload_bytes": len(payload), "block": r["block"] if with_block else b""}
+                    if not with_block:
+                        for at, reason in skipped:
+                            yield {"file": file, "nr": at, "kind": "skipped", "type": reason}
 
         return _batched(rows(), _CAPTURES, "block")
 
@@ -166,26 +192,26 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def warc_record(kind: str, url: str, date: str, ip: str, digest: str, identity: str, head: bytes, payload: bytes, refers: str | None) -> bytes:
+def warc_record(kind: str, url: str, date: str, ip: str, digest: str, identity: str, head: bytes, payload: bytes, refers: str | None, content_type: str = "application/http; msgtype=response") -> bytes:
     """One record, without the two line ends after it."""
-    block = head + (payload if kind == "response" else b"")
+    block = head + (payload if kind != "revisit" else b"")
+    date = date.ljust(14, "0")
     fields = [
         ("WARC-Type", kind),
         ("WARC-Record-ID", f"<urn:uuid:{identity}>"),
         ("WARC-Date", f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"),
-        ("WARC-Target-URI", url),
-        ("WARC-IP-Address", ip),
+        *([("WARC-Filename", url.partition("://")[2])] if kind == "warcinfo" else [("WARC-Target-URI", url), ("WARC-IP-Address", ip)]),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("WARC-Block-Digest", "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()),
         *([("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:uuid:{refers}>")] if refers else []),
-        ("Content-Type", "application/http; msgtype=response"),
+        ("Content-Type", content_type),
         ("Content-Length", str(len(block))),
     ]
     return ("WARC/1.0\r\n" + "".join(f"{a}: {b}\r\n" for a, b in fields) + "\r\n").encode() + block
 
 
-def identifier(key: int | None, copy: int, digest: str) -> str:
-    """A version 5 UUID from a record's key, its number among rows with that key, and its digest."""
+def identifier(key: int | str | None, copy: int, digest: str) -> str:
+    """A version 5 UUID from what identifies a record (its key, or address, date and place), its number among rows with that key, and its digest."""
     return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{key}/{copy}/{digest}"))
 
 
@@ -193,32 +219,42 @@ _REVISIT = "X-Revisit-Of"
 
 
 def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def name(r: dict) -> int | str | None:
+        return r["key"] if r["has_key"] else f"{r['url']} {r['date']} {r['file']} {r['nr']}"
+
     def rows():
         for batch in batches:
             for r in batch.to_pylist():
+                first, about = r["first"], (r["url"], r["date"], r["ip"], r["digest"], identifier(name(r), r["copy"] if r["has_key"] else 0, r["digest"]))
+                if r["kind"] != "response":
+                    yield {"value": warc_record("response" if r["kind"] == "look-up" else r["kind"], *about, b"", r["block"], None, "text/dns" if r["kind"] == "look-up" else r["type"])}
+                    continue
                 head, payload = response_parts(r["block"])
-                if r["first_key"] is None:
-                    yield {"value": warc_record("response", r["url"], r["date"], r["ip"], r["digest"], identifier(r["key"], r["copy"], r["digest"]), head, payload, None)}
+                if first is None:
+                    yield {"value": warc_record("response", *about, head, payload, None)}
                     continue
                 # the length and the response's key are kept in headers of the revisit, which has no payload
-                more = head[:-2] + f"Content-Length: {len(payload)}\r\n{_REVISIT}: {r['first_key']}\r\n\r\n".encode()
-                yield {"value": warc_record("revisit", r["url"], r["date"], r["ip"], r["digest"], identifier(r["key"], r["copy"], r["digest"]), more, b"", identifier(r["first_key"], 0, r["digest"]))}
+                of = "" if first["key"] is None else f"{_REVISIT}: {first['key']}\r\n"
+                more = (head[:-2] or b"HTTP/1.1 200 OK\r\n") + f"X-Payload-Length: {len(payload)}\r\n{of}\r\n".encode()
+                yield {"value": warc_record("revisit", *about, more, b"", identifier(name(first), 0, r["digest"]))}
 
     return _batched(rows(), pa.schema([("value", pa.binary())]), "value")
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = LEAST_BYTES) -> None:
-    """Reads the ARC archives under one path and writes WARC archives under another."""
-    seen = staged(_files(spark, arc_path).mapInArrow(_read_arc(False), _CAPTURES_DDL).drop("block", "url", "ip", "date"), "captures")
-    large = seen.where(F.col("payload_bytes") >= least_bytes)
-    firsts = large.where("key is not null").groupBy("digest").agg(F.min(F.struct("key", "file", "nr")).alias("first"), F.count("*").alias("n"))
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """Reads the ARC archives under one path and writes WARC archives under another. Returns (file, place, reason) of what could not be read."""
+    seen = staged(_files(spark, arc_path).mapInArrow(_read_arc(False), _CAPTURES_DDL).drop("block", "ip"), "captures")
+    large = seen.where((F.col("kind") == "response") & (F.col("payload_bytes") >= least_bytes) & (F.col("key").isNotNull() | ~F.col("has_key")))
+    first = F.struct((~F.col("has_key")).alias("late"), "key", "date", "file", "nr", "url", "has_key")
+    firsts = large.groupBy("digest").agg(F.min(first).alias("first"), F.count("*").alias("n"))
     firsts = staged(firsts.where("n > 1").select("digest", "first"), "responses")
     place = (F.col("file") == F.col("first.file")) & (F.col("nr") == F.col("first.nr"))
-    revisits = large.join(firsts, "digest").where(~place & F.col("key").isNotNull()).select("file", "nr", F.col("first.key").alias("first_key"))
+    revisits = large.join(firsts, "digest").where(~place).select("file", "nr", "first")
     whole = _files(spark, arc_path).mapInArrow(_read_arc(True), _CAPTURES_DDL)
-    marked = whole.join(revisits, ["file", "nr"], "left").withColumn("copy", F.when(F.col("first_key").isNull(), F.lit(0)).otherwise(F.xxhash64("file", "nr")))
+    marked = whole.join(revisits, ["file", "nr"], "left").withColumn("copy", F.when(F.col("first").isNull(), F.lit(0)).otherwise(F.xxhash64("file", "nr")))
     records = marked.mapInArrow(_to_warc, "value binary")
     records.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
+    return seen.where("kind = 'skipped'").select("file", F.col("nr").alias("place"), F.col("type").alias("reason"))
 
 
 # --- WARC to rows -----------------------------------------------------------------------------------------
@@ -249,14 +285,15 @@ def _read_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
                 for fields, block in warc_records(_plain(content.as_py())):
-                    head, payload = response_parts(block)
-                    key, of = header(head, b"X-Record-Key"), header(head, _REVISIT.encode())
                     revisit = fields["warc-type"] == "revisit"
+                    http = revisit or block.startswith(b"HTTP/")
+                    head, payload = response_parts(block) if http else (b"", block)
+                    key, of = header(head, b"X-Record-Key"), header(head, _REVISIT.encode())
                     digest = fields["warc-payload-digest"].removeprefix("sha256:")
                     if not revisit and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError("a payload doesn't match its digest")
-                    size = int(header(head, b"Content-Length")) if revisit else len(payload)
-                    yield {"page_id": int(key) if key and key != "-" else None, "payload_bytes": size, "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": int(of) if revisit else None, "record_id": fields["warc-record-id"], "warc_date": fields["warc-date"], "url": fields["warc-target-uri"]}
+                    size = int(header(head, b"X-Payload-Length")) if revisit else len(payload)
+                    yield {"page_id": int(key) if key and key != "-" else None, "payload_bytes": size, "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": int(of) if of else None, "record_id": fields["warc-record-id"], "warc_date": fields["warc-date"], "url": fields.get("warc-target-uri")}
 
     return _batched(rows(), _ROWS, "payload_digest")
 
@@ -272,7 +309,7 @@ def converted(pages: DataFrame) -> DataFrame:
     arc, warc = new_folder(spark, "arc"), new_folder(spark, "warc")
     write_arc(pages.select(F.col("page_id").cast("long"), "url", "html"), arc)
     convert(spark, arc, warc)
-    return read_warc(spark, warc)
+    return read_warc(spark, warc).where("record_type in ('response', 'revisit')")
 
 
 REPORT_SQL = """

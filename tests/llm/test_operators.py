@@ -288,10 +288,51 @@ def test_contamination(spark, docs, rows, empty):
 
 def test_spans_lie_in_the_original():
     text = "Hé! ÜBER den-Wolken muß"
-    _, hit, _, spans = decontaminate.scan(text, decontaminate.automaton([("1", "den wolken")]))
+    _, hit, _, spans = decontaminate.scan(text, decontaminate.Items([("1", "den wolken")]))
     assert [text[a:b] for a, b in spans] == ["den-Wolken"] and len(hit) == 2
 
 
+def test_windows_by_chunks():
+    """Runs that overlap, repeat and nest, against all windows."""
+    r = random.Random(2)
+    for window in (1, 2, 3, 5, 13):
+        items = [(str(i), " ".join(r.choice("abc") for _ in range(r.randint(0, 30)))) for i in range(12)]
+        built = decontaminate.Items(items, window)
+        for _ in range(30):
+            words = [r.choice("abc") for _ in range(r.randint(0, 60))]
+            n, hit, found, _ = decontaminate.scan(" ".join(words), built)
+            want, ids = set(), set()
+            for i, (_, t) in enumerate(items):
+                own = t.split()
+                size = min(window, len(own))
+                for a in range(len(own) - size + 1) if own else ():
+                    for b in range(len(words) - size + 1):
+                        if own[a : a + size] == words[b : b + size]:
+                            want.update(range(b, b + size))
+                            ids.add(i)
+            assert (n, set(hit.tolist()), found) == (len(words), want, ids)
+
+
+def test_memory_of_a_large_benchmark():
+    """A full automaton of 4,000,000 characters stays under 500 MB."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from plinth.llm import decontaminate as d
+r = random.Random(1)
+vocab = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(20000)]
+items = [(str(i), " ".join(r.choice(vocab) for _ in range(300))) for i in range(d.MAX_CHARS // 1950)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+built = d.Items(items)
+assert len(d.scan(items[7][1], built)[1]) == 300
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    used = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()[-1])
+    assert used < 500, used
+
+
 # --- 6 and 3
 
 
@@ -387,6 +428,50 @@ def test_host_priors_decide_what_a_text_leaves_open(spark):
     assert (got[100], got[101]) == ("de", "en")
 
 
+def test_posterior_by_hand(spark):
+    """Likelihood, markup, address and the priors without the document's own part, recomputed row by row."""
+    import numpy as np
+
+    r = random.Random(8)
+    say = {"en": ["the", "and", "house"], "de": ["der", "und", "haus"], "fr": ["les", "avec", "maison"]}
+    train = spark.createDataFrame([(i, " ".join(r.choice(say[x]) for _ in range(20)), x) for i, x in enumerate(list(say) * 15)], "doc_id long, text string, lang string")
+    model = language_id.fit(train)
+    hosts = [None, "a.de", "b.de", "x.a.org", "y.a.org"]
+    rows = [(i, r.choice(hosts), r.choice(["", '<html lang="fr">', '<html lang="xx">']) + " ".join(r.choice(say[r.choice(list(say))]) for _ in range(r.randint(0, 6)))) for i in range(60)] + [(60, "a.de", None), (61, "a.de", "123"), (5, hosts[3], "der und")]
+    got = language_id.identified(spark.createDataFrame(rows, "doc_id long, h string, text string"), model, host="h").collect()
+    names, width = model.languages, 3
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    facts = []
+    for i, h, t in rows:
+        raw = np.frombuffer(re.sub("<[^>]*>", " ", t or "").encode(), np.uint8)
+        _, bucket = language_id.trigrams(raw, np.array([0, len(raw)]))
+        score = model.weights[bucket].sum(axis=0).astype(float) * max(1, len(bucket)) ** (language_id.TEMPER - 1)
+        facts.append((i, h, t, len(bucket), score, soft(score) if len(bucket) else np.zeros(width)))
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    want = Counter()
+    for a, (i, h, t, n, score, _) in enumerate(facts):
+        others = [f for b, f in enumerate(facts) if b != a]
+        share = lambda keep, above, s: (sum((f[5] for f in others if keep(f)), np.zeros(width)) + s * above) / (sum(f[5].sum() for f in others if keep(f)) + s)
+        prior = share(lambda f: True, np.full(width, 1 / width), width)
+        if h:
+            prior = share(lambda f: f[1] and domain(f[1]) == domain(h), prior, language_id.STRENGTH)  # noqa: B023
+            prior = share(lambda f: f[1] == h, prior, language_id.STRENGTH)  # noqa: B023
+        log = score + np.log(prior)
+        for said, right in ((re.search('lang="(..)"', t or ""), language_id.MARKUP_RIGHT), (h and re.search(r"(de)$", h), language_id.ADDRESS_RIGHT)):
+            if said and said[1] in names:
+                log += [np.log(right) if x == said[1] else np.log((1 - right) / 2) for x in names]
+        p = soft(log)
+        want[(i, names[int(p.argmax())] if n else None, round(float(p.max()), 4) if n else 0.0, n, bool(n and p.max() >= language_id.LEAST))] += 1
+    assert Counter((x.doc_id, x.language, round(x.confidence, 4), x.n_grams, x.kept) for x in got) == want
+
+
+def test_rare_labels_are_learned(spark):
+    df = spark.createDataFrame([(i, "the and this " * 3, "en") for i in range(3000)] + [(5000 + i, "und der nicht " * 3, "de") for i in range(2)], "doc_id long, text string, lang string")
+    model = language_id.fit(df, sample=50)
+    assert model.languages == ["de", "en"]
+    assert {x.language for x in language_id.identified(df.where("lang = 'de'"), model).collect()} == {"de"}
+
+
 # --- 1
 
 
@@ -406,10 +491,27 @@ def test_warc_round_trip(spark):
 def test_arc_lengths_are_what_counts():
     one = b"filedesc://x 0.0.0.0 20240101000000 text/plain 6\n1 0 X\n\n" + b"http://a 1.2.3.4 20240102030405 text/html 12\nab\nhttp://b \n\n"
     two = b"filedesc://x 0.0.0.0 20240101000000 text/plain 200 - - 0 f 6\n2 0 X\n\n" + b"http://a 1.2.3.4 20240102030405 text/html 200 - - 0 f 3\nabc\n"
-    assert [r["block"] for r in warc_convert.arc_records(one)] == [b"ab\nhttp://b "]
-    assert [(r["status"], r["block"]) for r in warc_convert.arc_records(two)] == [("200", b"abc")]
-    with pytest.raises(ValueError, match="shorter"):
-        list(warc_convert.arc_records(two[:-3]))
+    assert [r["block"] for r in warc_convert.arc_records(one)][1:] == [b"ab\nhttp://b "]
+    assert [(r["status"], r["block"]) for r in warc_convert.arc_records(two)][1:] == [("200", b"abc")]
+    skipped = []
+    assert list(warc_convert.arc_records(two[:-3], skipped))[1:] == [] and skipped[0][1] == "shorter than it declares"
+
+
+def test_archives_of_other_makers(spark, tmp_path):
+    """No private header, blanks in an address, a name look-up, a broken line, a tail that is cut off."""
+    page = b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n" + b"same words " * 20
+    record = lambda url, date, kind, block: b"%s 1.2.3.4 %s %s %d\n%s\n" % (url, date, kind, len(block), block)
+    about = b"1 0 X\nURL IP-address Archive-date Content-type Archive-length\n"
+    body = record(b"filedesc://old.arc", b"19990101000000", b"text/plain", about) + record(b"dns:a.org", b"19990101000000", b"text/dns", b"a.org A 1.2.3.4")
+    body += record(b"http://a.org/x y", b"19990103000000", b"text/html", page) + b"what is this\nand this\n" + record(b"http://b.org/", b"19990102000000", b"text/html", page) + record(b"gopher://c.org/", b"19990102000000", b"text/plain", b"words")
+    body += b"http://d.org/ 1.2.3.4 19990102000000 text/html 500\ncut"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "old.arc").write_bytes(body)
+    lost = warc_convert.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    assert [r.reason for r in lost.orderBy("place").collect()] == ["no ARC 1 header line", "shorter than it declares"]
+    got = {r.url: r for r in warc_convert.read_warc(spark, str(tmp_path / "warc")).collect()}
+    assert {u: r.record_type for u, r in got.items()} == {None: "warcinfo", "dns:a.org": "response", "http://a.org/x%20y": "revisit", "http://b.org/": "response", "gopher://c.org/": "resource"}
+    assert got["http://a.org/x%20y"].payload_bytes == 220 and got["http://b.org/"].warc_date == "1999-01-02T00:00:00Z"
 
 
 # --- 2, 8, 10
@@ -471,3 +573,29 @@ def test_clashing_columns(spark, docs, model_path):
     pages = spark.createDataFrame([(1, "http://a.org/", 3, "mine", "mine")], "id long, url string, fetched long, host string, entry string")
     lists = url_lists.intervals(spark.createDataFrame([("block", "a.org", 1, True)], "list string, entry string, day long, added boolean"))
     assert url_lists.judged(pages, lists).first().entry == "a.org"
+    odd = pages.select("id", "url", "fetched", *(F.lit("mine").alias(c) for c in ("_n", "_best", "n_active", "best", "list", "valid", "row")))
+    assert url_lists.judged(odd, lists).columns == ["id", "url", "fetched", "_n", "_best", "best", "list", "valid", "row", "host", "n_active", "entry", "blocked"]
+    assert url_lists.judged(odd, lists).select("best", "row", "blocked").first() == ("mine", "mine", True)
+    own = more.select("doc_id", "text", *(F.lit("mine").alias(c) for c in ("_words", "_lines", "_at", "__h1", "_grams")))
+    assert all(r["_words"] == r["__h1"] == r["_at"] == "mine" for r in quality_ledger.ledger(own).collect())
+
+
+def test_hosts_and_addresses(spark):
+    urls = ["http://[2001:DB8::1]:80/x", "http://10.1.2.3/x", "https://u:p@A.b.Org:1/", "mailto:x", None, "http://org/"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string").select("i", url_lists.host_of(F.col("url")).alias("h"))
+    got = {r.i: (r.h, r.d) for r in df.select("i", "h", url_lists.domains_of(F.col("h")).alias("d")).collect()}
+    assert got == {0: ("[2001:db8::1]", ["[2001:db8::1]"]), 1: ("10.1.2.3", ["10.1.2.3"]), 2: ("a.b.org", ["a.b.org", "b.org"]), 3: (None, [None]), 4: (None, [None]), 5: ("org", ["org"])}
+
+
+def test_native_operators_on_empty_tables_and_odd_rows(spark, empty):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_lists.url_report(pages).count() == 0
+    assert quality_ledger.quality_report(empty).count() == quality_ledger.ablation_report(empty).count() == 0
+    turns = "conv_id long, turn long, role string, text string, valid string"
+    assert chat_format.formatted(spark.createDataFrame([], turns)).count() == 0
+    rows = [(None, 0, "user", "a", "x"), (None, 0, "user", "a", "x"), (1, 0, "user", "q", "x"), (1, 1, "assistant", "a", "x"), (1, 1, "assistant", "a", "x")]
+    got = chat_format.read_back(chat_format.formatted(spark.createDataFrame(rows, turns))).collect()
+    assert sorted((r.conv_id or 0, len(r.turns), r.valid) for r in got) == [(0, 1, False), (0, 1, False), (1, 3, False)]
+    long = " ".join(f"w{i}" for i in range(60_000))
+    df = spark.createDataFrame([(1, long), (1, long), (2, f"{long} {long}")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_repeat_words) for r in quality_ledger.quality_report(df).collect()) == [(1, 60_000, 0), (1, 60_000, 0), (2, 120_000, 120_000)]
