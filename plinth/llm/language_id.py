@@ -112,11 +112,13 @@ def fit(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> Model:
     return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
 
-_SCORES = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("host", pa.string()), ("markup", pa.string()), ("address", pa.string()), ("n_grams", pa.int64()), ("scores", pa.list_(pa.float64()))])
-_SCORES_DDL = "doc_id long, row_key long, host string, markup string, address string, n_grams long, scores array<double>"
+_SCORES = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("host", pa.string()), ("markup", pa.string()), ("address", pa.string()), ("n_grams", pa.int64()), ("scores", pa.list_(pa.float64())), ("own", pa.list_(pa.float64()))])
+_SCORES_DDL = "doc_id long, row_key long, host string, markup string, address string, n_grams long, scores array<double>, own array<double>"
 
 
 def _scored(shared):
+    """For mapInArrow: the text's log likelihoods, and ``own``, the languages' shares in it by text alone (all 0 without letters)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value.weights
         width = weights.shape[1]
@@ -127,19 +129,14 @@ def _scored(shared):
                 n = np.bincount(text, minlength=rows)
                 total = np.stack([np.bincount(text, weights[bucket, i], minlength=rows) for i in range(width)], axis=1).astype(float) if width else np.zeros((rows, 0))
                 total *= (np.maximum(n, 1) ** (TEMPER - 1))[:, None]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(total.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, rows) for c in ("doc_id", "row_key", "host", "markup", "address")), pa.array(n.astype(np.int64)), lists], schema=_SCORES)
+                own = np.exp(total - total.max(axis=1, keepdims=True)) if width else total
+                own *= ((n > 0) / own.sum(axis=1))[:, None] if width else 1
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(x.ravel())) for x in (total, own)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, rows) for c in ("doc_id", "row_key", "host", "markup", "address")), pa.array(n.astype(np.int64)), *lists], schema=_SCORES)
 
     return run
 
 
-def _normalised(logs):
-    """Probabilities from their logarithms, but for a factor."""
-    top = F.array_max(logs)
-    raw = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(raw, lambda x: x / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
-
-
 def identified(docs: DataFrame, model: Model, host: str | None = None, url: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, row_key, language, confidence, n_grams and kept of each row. host: a column of hosts; url: one of addresses."""
     spark = docs.sparkSession
@@ -158,37 +155,37 @@ def identified(docs: DataFrame, model: Model, host: str | None = None, url: str
     if not width:
         return scores.select("doc_id", "row_key", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), "n_grams", F.lit(False).alias("kept"))
 
-    # priors: text alone, summed for each host, for each domain and for all; each document's own part is taken out again
-    own = F.when(F.col("n_grams") > 0, _normalised(F.col("scores"))).otherwise(F.array_repeat(F.lit(0.0), width))
-    looks = scores.select("host", F.substring_index("host", ".", -2).alias("domain"), own.alias("own"))
-    sums = F.array(*[F.sum(F.get("own", F.lit(i))) for i in range(width)])
-    hosts = staged(looks.where("host is not null").groupBy("host", "domain").agg(sums.alias("of_host")), "hosts")
-    domains = hosts.groupBy("domain").agg(F.array(*[F.sum(F.get("of_host", F.lit(i))) for i in range(width)]).alias("of_domain"))
-    total = [x or 0.0 for x in looks.agg(sums.alias("t")).first()["t"]]
-    counted = hosts.join(domains, "domain").select("host", "of_host", "of_domain")
-
-    def without_own(counts, above, strength: float):
-        """Shares of counts without the document's own part, smoothed towards those above."""
-        left = F.zip_with(counts, F.col("own"), lambda x, o: F.greatest(x - o, F.lit(0.0)))
-        n = F.aggregate(left, F.lit(0.0), lambda a, x: a + x) + strength
-        return F.zip_with(left, above, lambda x, y: (x + strength * y) / n)
-
-    joined = scores.join(counted, "host", "left").withColumn("own", own)
-    flat = F.array_repeat(F.lit(1.0 / width), width)
-    joined = joined.withColumn("p_all", without_own(F.array(*map(F.lit, total)), flat, float(width)))
-    joined = joined.withColumn("p_domain", F.when(F.col("of_domain").isNotNull(), without_own(F.col("of_domain"), F.col("p_all"), STRENGTH)).otherwise(F.col("p_all")))
-    joined = joined.withColumn("prior", F.when(F.col("of_host").isNotNull(), without_own(F.col("of_host"), F.col("p_domain"), STRENGTH)).otherwise(F.col("p_all")))
+    # priors: shares by text alone, summed for each host, for each domain and for all; each document's own part is taken out again
+    own = [F.get("own", F.lit(i)) for i in range(width)]
+    looks = scores.where("n_grams > 0").withColumn("domain", F.substring_index("host", ".", -2))
+    hosts = staged(looks.where("host is not null").groupBy("host", "domain").agg(F.count("*").alias("n_h"), *[F.sum(x).alias(f"h{i}") for i, x in enumerate(own)]), "hosts")
+    domains = hosts.groupBy("domain").agg(F.sum("n_h").alias("n_d"), *[F.sum(f"h{i}").alias(f"d{i}") for i in range(width)])
+    n_all, *total = (x or 0.0 for x in looks.agg(F.count("*"), *[F.sum(x) for x in own]).first())
+    mine = F.when(F.col("n_grams") > 0, 1).otherwise(0)  # how many documents own is
+
+    def others(i: int, counts, n, above, strength: float):
+        """The share of language i among the other documents, smoothed towards the share above."""
+        return (F.greatest(counts - own[i], F.lit(0.0)) + strength * above) / (n - mine + strength)
+
+    def prior(i: int):
+        p = others(i, F.lit(total[i]), F.lit(n_all), F.lit(1.0 / width), float(width))
+        p = others(i, F.coalesce(f"d{i}", own[i]), F.coalesce("n_d", mine), p, STRENGTH)
+        return F.log(others(i, F.coalesce(f"h{i}", own[i]), F.coalesce("n_h", mine), p, STRENGTH))
 
     def speaks(column: str, right: float):
         wrong = (1 - right) / max(1, width - 1)
         return [F.when(F.col(column).isin(names), F.when(F.col(column) == x, np.log(right)).otherwise(float(np.log(wrong)))).otherwise(0.0) for x in names]
 
-    evidence = [F.get("scores", F.lit(i)) + F.log(F.get("prior", F.lit(i))) + a + b for i, (a, b) in enumerate(zip(speaks("markup", MARKUP_RIGHT), speaks("address", ADDRESS_RIGHT), strict=True))]
-    joined = joined.withColumn("logs", F.array(*evidence)).withColumn("p", _normalised(F.col("logs")))
-    best = F.array_max("p")
-    said = F.col("n_grams") > 0
-    language = F.when(said, F.element_at(F.array(*map(F.lit, names)), F.array_position("p", best).cast("int")))
-    confidence = F.when(said, F.round(best, 6)).otherwise(0.0)
+    joined = scores.join(hosts.join(domains, "domain"), "host", "left")
+    logs = [F.get("scores", F.lit(i)) + prior(i) + a + b for i, (a, b) in enumerate(zip(speaks("markup", MARKUP_RIGHT), speaks("address", ADDRESS_RIGHT), strict=True))]
+    joined = joined.select("doc_id", "row_key", "n_grams", *[x.alias(f"l{i}") for i, x in enumerate(logs)])
+    each = [F.col(f"l{i}") for i in range(width)]
+    joined = joined.withColumn("top", F.greatest(*each) if width > 1 else each[0])
+    said, language = F.col("n_grams") > 0, F.lit(names[-1])
+    for name, x in reversed(list(zip(names, each, strict=True))):
+        language = F.when(x == F.col("top"), name).otherwise(language)
+    joined = joined.withColumn("best", 1 / sum((F.exp(x - F.col("top")) for x in each), F.lit(0.0)))
+    best, language, confidence = F.col("best"), F.when(said, language), F.when(said, F.round("best", 6)).otherwise(0.0)
     return joined.select("doc_id", "row_key", language.alias("language"), confidence.alias("confidence"), "n_grams", (said & (best >= LEAST)).alias("kept"))
 
 
