@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.llm.common import trimmed
+
 WINDOW = 13
 #: Characters of benchmark text in one automaton; about 50 bytes of memory each.
 MAX_CHARS = 4_000_000
@@ -128,6 +130,7 @@ def scan(text: str | None, built: Items) -> tuple[int, np.ndarray, set[int], lis
 def _scanner(items, window: int, positions: bool):
     """For mapInArrow. items: (name, broadcast)."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = _built(*items, window)
         for batch in batches:
@@ -184,6 +187,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
         found = contamination(docs, benchmark, window, max_chars).where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"))
         return docs.join(found, docs["doc_id"].eqNullSafe(found["_doc"]) & (F.xxhash64(docs["text"]) == found["_key"]), "left_anti")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = _built(*groups[0], window)
         for batch in batches:

@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import WHITE, Words, joined, lookup, mix, staged, text_slices, window_hashes, word_hashes, words_of
+from plinth.llm.common import WHITE, Words, joined, lookup, mix, staged, text_slices, trimmed, window_hashes, word_hashes, words_of
 from plinth.llm.components import components
 
 #: Pairs of one search block.
@@ -129,6 +129,7 @@ def may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent
 
 
 def _frequent(k: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text"), SLICE):
@@ -177,6 +178,7 @@ def _profiles(k: int, percent: int, summary):
     """Size and signature of each text's set, how many of its lists are counted, and as many of the others as may be needed, in order."""
     limit = np.uint64(int(counted_part(percent) * (2**64 - 1)))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in text_slices(batch.column("text"), SLICE):
@@ -211,6 +213,7 @@ def _counted_lists(k: int, percent: int, summary):
     """(shingle, doc_id): the counted lists."""
     limit = np.uint64(int(counted_part(percent) * (2**64 - 1)))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -329,6 +332,7 @@ def _block_links(rows: list, k: int, percent: int) -> list[tuple[int, int]]:
 def _search_blocks(k: int, percent: int):
     """For mapInArrow over rows sorted by block."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, rows = None, []
 
@@ -350,6 +354,7 @@ def _search_blocks(k: int, percent: int):
     return run
 
 
+@trimmed
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (q, x, n), sorted, to blocks: (block, cid, targets), where a query has targets and a target has none."""
     number = TaskContext.get().partitionId() << 33
@@ -390,6 +395,7 @@ _PAIRS = "q long, x long, n long"
 def _near(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Of pairs (q, x), those whose sizes and sketches let them link."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_q", "n_x"))
@@ -415,6 +421,7 @@ def _across(percent: int):
                 out += [(q, x, m + y) for x, y in zip(ids[good].tolist(), n[good].tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["q", "x", "n"])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
@@ -473,6 +480,7 @@ def _linked(lists: DataFrame, texts: DataFrame, links: DataFrame, k: int, percen
 def _texts(rows: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     """(cid, rep, n, sketch, text) of the chosen classes, one row each."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = sets_of(batch.column("text"), k)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import staged, text_slices
+from plinth.llm.common import staged, text_slices, trimmed
 
 #: Labelled rows for fitting, about.
 SAMPLE = 4_000
@@ -84,6 +84,7 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return text[:-2][ok], code[ok].astype(np.int64)
 
 
+@trimmed
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels = np.array(batch.column("label").to_pylist(), dtype=object)
@@ -119,6 +120,7 @@ _SCORES_DDL = "doc_id long, row_key long, host string, markup string, address st
 def _scored(shared):
     """For mapInArrow: the text's log likelihoods, and ``own``, the languages' shares in it by text alone (all 0 without letters)."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value.weights
         width = weights.shape[1]

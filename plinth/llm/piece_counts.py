@@ -23,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plinth.llm.common import trimmed
 from plinth.llm.sentencepiece_bpe import BLANK, NORMAL, read_model
 
 #: Words that a worker remembers, of at most so many characters each; longer ones are counted anew.
-CACHE, LONGEST = 400_000, 64
+CACHE, LONGEST = 200_000, 64
 INITIAL, CONTINUED = 0, 1
 
 
@@ -112,6 +113,7 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_words, n_tokens (an unknown word is one) and n_unknown of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(*vocabulary(shared.value))
         for batch in batches:

@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from plinth.llm.common import trimmed
+
 #: Parts that a worker remembers, of at most so many characters each; longer ones are encoded anew.
-CACHE, LONGEST = 500_000, 64
+CACHE, LONGEST = 200_000, 64
 #: Adjacent pairs whose compatibility a worker remembers.
-PAIRS = 500_000
+PAIRS = 200_000
 
 #: The sign for a blank, and the kinds of pieces in the model file.
 BLANK = "▁"
@@ -291,6 +293,7 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     docs = docs.drop("ids")
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
@@ -305,6 +308,7 @@ def decoded(df: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
     df = df.drop("decoded")
     shared = df.sparkSession.sparkContext.broadcast(read_model(model_path))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
@@ -319,6 +323,7 @@ def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import WHITE, Words, joined, lookup, mix, normal_text, staged, text_slices, window_hashes, word_hashes, words_of
+from plinth.llm.common import WHITE, Words, joined, lookup, mix, normal_text, staged, text_slices, trimmed, window_hashes, word_hashes, words_of
 
 WINDOW = 50
 SEED = 10
@@ -100,6 +100,7 @@ _OCCURRENCES = pa.schema([(c, pa.int64()) for c in ("seed", "span", "doc_id", "r
 
 
 def _occurrences(window: int, seed: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("row_key").to_numpy(zero_copy_only=False)
@@ -118,6 +119,7 @@ _EDGES = pa.schema([(c, pa.int64()) for c in ("seed", "span", "doc_id", "da", "d
 def _edges(window: int):
     """For the super-k-mers (seed, span, at, n, branches) that are asked for: the digest of the span (k: -1), and those of its single k-mers if it branches."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, asked = batch.column("doc_id").to_pylist(), batch.column("asked")
@@ -198,6 +200,7 @@ _REPORT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remove
 def dedup_report(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -218,6 +221,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     names, schema = docs.columns, docs.schema
     at = names.index("text")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [cut(t.as_py(), s, window) if s else t.as_py() for t, s in zip(batch.column("text"), batch.column(SPANS).to_pylist(), strict=True)]
