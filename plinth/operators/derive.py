@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.staging import staged
+from plinth.functions.text import dir_name
 
 OWNERS = ["class", "interface"]
 TYPES = ["interface", "type"]
@@ -124,6 +125,36 @@ def method_calls(calls: DataFrame, found_owners: DataFrame, found_members: DataF
     return calls.join(who, "owner_id", "left").join(what, ["owner_file", "owner", "member"], "left").drop("owner_file", "owner")
 
 
+def member_of(calls: DataFrame, rows: DataFrame, files: DataFrame) -> DataFrame:
+    """calls (owner_id, member) with ``dst``: the member in the file of its class or interface; for Go also in another file of its directory and package.
+
+    ``files`` is (path, language, package). Of several other files the first path is taken.
+    """
+    who = rows.where(F.col("kind").isin(OWNERS)).select(F.col("id").alias("owner_id"), F.col("file").alias("owner_file"), F.col("name").alias("owner"))
+    asked = calls.select("owner_id", "member").distinct().join(who, "owner_id")
+    there = members(rows).select("file", "owner", F.col("name").alias("member"), F.col("id").alias("dst"))
+    own = asked.join(there.withColumnRenamed("file", "owner_file"), ["owner_file", "owner", "member"]).select("owner_id", "member", "dst", F.lit("").alias("file"))
+    package = files.where("language = 'go' and package is not null").select(F.col("path").alias("file"), dir_name(F.col("path")).alias("dir"), "package")
+    near = asked.join(package.withColumnRenamed("file", "owner_file"), "owner_file").join(there.join(package, "file"), ["dir", "package", "owner", "member"]).where("file <> owner_file")
+    best = own.unionByName(near.select("owner_id", "member", "dst", "file")).groupBy("owner_id", "member").agg(F.min_by("dst", "file").alias("dst"))
+    return calls.join(best, ["owner_id", "member"], "left")
+
+
+def could_be_ours(references: DataFrame, rows: DataFrame) -> DataFrame:
+    """The references whose name, or what follows its last dot, is declared anywhere in the project."""
+    tail = lambda c: F.when(F.instr(c, ".") > 1, F.substring_index(c, ".", -1)).otherwise(F.col(c))
+    known = rows.select(F.explode(F.array("name", tail("name"))).alias("known")).distinct()
+    hit = references.select("name", F.explode(F.array_distinct(F.array("name", tail("name")))).alias("known")).distinct().join(known, "known", "left_semi").select("name").distinct()
+    return references.join(hit, "name", "left_semi")
+
+
+def file_calls(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """(src, kind, dst, guessed): calls outside any symbol, from the file (src is its path) to what another file declares."""
+    home = rows.select(F.col("id").alias("dst"), F.col("file").alias("dst_file"))
+    far = found.where("kind = 'calls' and dst is not null").join(home, "dst").where("dst_file <> file")
+    return edges(far.select(F.col("file").alias("src"), "kind", "ord", "dst", "guessed"))
+
+
 def callable_end(found: DataFrame, rows: DataFrame) -> DataFrame:
     """Calls that land on a type go to its value twin, or nowhere."""
     kinds = rows.select(F.col("id").alias("dst"), F.col("kind").alias("dst_kind"), "file", "name")

@@ -34,6 +34,25 @@ def node_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return added.unionByName(removed).unionByName(touched)
 
 
+def graph_diff(before_nodes: DataFrame, after_nodes: DataFrame, before_edges: DataFrame, after_edges: DataFrame) -> DataFrame:
+    """(id, kind, change) of nodes (id, kind, path, and what they declare): added, removed, and files touched.
+
+    A file that both graphs have is touched if one of its symbols comes, goes or declares something else, if it does so
+    itself, or if one of its outgoing edges comes or goes. ``modified_at`` is a clock, and no part of a declaration.
+    """
+    told = [c for c in before_nodes.columns if c not in ("id", "path", "modified_at")]
+    a = before_nodes.select("id", F.struct("path", *told).alias("old"))
+    b = after_nodes.select("id", F.struct("path", *told).alias("new"))
+    one = F.coalesce("new", "old")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(~F.struct(*[F.col(f"old.{c}") for c in told]).eqNullSafe(F.struct(*[F.col(f"new.{c}") for c in told])), "changed")
+    rows = a.join(b, "id", "full_outer").select("id", one["kind"].alias("kind"), one["path"].alias("path"), change.alias("change")).where("change is not null")
+    inside = rows.where("kind <> 'file' or change = 'changed'").select("path")
+    moved = inside.unionByName(edge_diff(before_edges, after_edges).select(F.col("src_file").alias("path"))).distinct()
+    both = before_nodes.where("kind = 'file'").select("path").join(after_nodes.where("kind = 'file'").select("path"), "path", "left_semi")
+    touched = both.join(moved, "path", "left_semi").select(F.col("path").alias("id"), F.lit("file").alias("kind"), F.lit("touched").alias("change"))
+    return rows.where("change <> 'changed'").select("id", "kind", "change").unionByName(touched)
+
+
 def diff_lines(before: DataFrame, after: DataFrame) -> DataFrame:
     """(src_file, kind, dst_file, change, weight): changed edges, lifted for each change."""
     rows = edge_diff(before, after).where("src_file <> dst_file")

@@ -124,3 +124,24 @@ def in_and_out(lines: DataFrame) -> DataFrame:
     """(box, weight_in, weight_out) of each end of lines (src_box, dst_box, weight)."""
     ends = lines.select(F.col("src_box").alias("box"), F.lit(0).cast("long").alias("i"), F.col("weight").alias("o")).unionByName(lines.select(F.col("dst_box").alias("box"), F.col("weight").alias("i"), F.lit(0).cast("long").alias("o")))
     return ends.groupBy("box").agg(F.sum("i").alias("weight_in"), F.sum("o").alias("weight_out"))
+
+
+def line_roles(roles: DataFrame) -> DataFrame:
+    """(src_file, dst_file, roles, ownership): the roles (src, dst, src_file, dst_file, roles) behind each line, one after the other by src and dst, and the one ownership that they agree on."""
+    rows = roles.where("src_file <> dst_file").groupBy("src_file", "dst_file").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "roles"))).alias("r"))
+    rows = rows.select("src_file", "dst_file", F.flatten(F.col("r.roles")).alias("roles"))
+    said = F.array_distinct(F.array_compact(F.col("roles.ownership")))
+    return rows.withColumn("ownership", F.when(F.size(said) == 1, F.get(said, F.lit(0))))
+
+
+def box_unresolved(boxes: DataFrame, counts: DataFrame) -> DataFrame:
+    """(box, imports, calls): sums of counts (file, imports, calls) over a box's files; no row where they add up to nothing."""
+    rows = boxes.select("box", F.col("path").alias("file")).distinct().join(counts, "file")
+    return rows.groupBy("box").agg(F.sum("imports").alias("imports"), F.sum("calls").alias("calls")).where("imports + calls > 0")
+
+
+def scoped_warnings(boxes: DataFrame, facts: DataFrame) -> DataFrame:
+    """One row (parse_errors, imports, calls) over the distinct files behind boxes (path, external) that aren't external; facts are (path, parse_error, imports, calls)."""
+    drawn = boxes.where("not external").select("path").distinct().join(facts, "path")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("imports", "calls")]
+    return drawn.agg(F.count_if("parse_error").alias("parse_errors"), *sums)

@@ -43,18 +43,22 @@ def script_relative(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def script_alias(imports: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Aliases (pattern, target, nr), with one '*' at the end or none: an exact one, else that with the longest prefix; its targets in order."""
-    prefix = F.regexp_replace("pattern", r"\*.*$", "")
-    table = aliases.withColumn("prefix", prefix).withColumn("star", F.col("pattern").contains("*"))
+    """Aliases (pattern, target, nr), with one '*' or none: an exact one, else that with the longest text before its star, of equal ones the first.
+
+    Its targets are tried by how many leading parts of their paths the importing file shares, then in their order.
+    """
+    star = F.col("pattern").contains("*")
+    table = aliases.select("pattern", "target", "nr", star.alias("star"), F.substring_index("pattern", "*", 1).alias("prefix"), F.when(star, F.substring_index("pattern", "*", -1)).otherwise("").alias("suffix"))
     # the prefixes that a specifier has, met by equality
     rows = imports.select("file", "ord", "specifier", F.explode(F.transform(F.sequence(F.lit(0), F.length("specifier")), lambda n: F.substring(F.col("specifier"), F.lit(1), n))).alias("prefix"))
-    hits = rows.join(table, "prefix").where("star or prefix = specifier")
-    best = hits.groupBy("file", "ord").agg(F.max(F.struct((~F.col("star")).alias("exact"), F.length("prefix").alias("n"))).alias("b"))
-    chosen = hits.join(best, ["file", "ord"]).where((F.length("prefix") == F.col("b.n")) & (~F.col("star") == F.col("b.exact")))
-    rest = F.expr("substring(specifier, length(prefix) + 1)")
-    path = F.when(F.col("star"), F.concat(F.regexp_replace("target", r"\*.*$", ""), rest)).otherwise(F.col("target"))
-    tried = chosen.select("file", "ord", "nr", F.posexplode(_tried(normalised(path))).alias("j", "path"))
-    return _first(tried.select("file", "ord", (F.col("nr") * 1000 + F.col("j")).alias("k"), "path"), files)
+    hits = rows.join(table, "prefix").where("if(star, endswith(specifier, suffix) and length(specifier) >= length(prefix) + length(suffix), prefix = specifier)")
+    best = hits.groupBy("file", "ord").agg(F.max(F.struct(~F.col("star"), F.length("prefix"), -F.col("nr"), "pattern")).alias("b")).select("file", "ord", "b.pattern")
+    inner = F.expr("substring(specifier, length(prefix) + 1, length(specifier) - length(prefix) - length(suffix))")
+    chosen = hits.join(best, ["file", "ord", "pattern"]).select("file", "ord", "nr", F.when(F.col("star"), F.replace("target", F.lit("*"), inner)).otherwise(F.col("target")).alias("to"))
+    below = lambda c: F.concat(c, F.lit("/x"))
+    near = chosen.withColumn("far", -shared_depth(below(F.col("file")), below(F.col("to"))))
+    tried = near.select("file", "ord", "far", "nr", F.posexplode(_tried(normalised(F.col("to")))).alias("j", "path"))
+    return _first(tried.select("file", "ord", F.struct("far", "nr", "j").alias("k"), "path"), files)
 
 
 def workspace(imports: DataFrame, files: DataFrame, packages: DataFrame) -> DataFrame:
@@ -81,12 +85,84 @@ def java(imports: DataFrame, files: DataFrame) -> DataFrame:
     return nearest(met.select("file", "ord", "target", F.struct("nr", "target").alias("nr")))
 
 
-def go(imports: DataFrame, files: DataFrame, module: str) -> DataFrame:
-    """A package's directory below the module; its first file that isn't a test stands for it."""
-    rows = imports.where((F.col("specifier") == module) | F.col("specifier").startswith(module + "/"))
-    rows = rows.select("file", "ord", F.substring("specifier", F.lit(len(module) + 2), F.length("specifier")).alias("dir"))
-    heads = files.where(F.col("path").endswith(".go") & ~F.col("path").endswith("_test.go")).groupBy(dir_name(F.col("path")).alias("dir")).agg(F.min("path").alias("target"))
-    return rows.join(heads, "dir").select("file", "ord", "target")
+def go(imports: DataFrame, files: DataFrame, module: str, declarations: DataFrame | None = None, packages: DataFrame | None = None) -> DataFrame:
+    """A package's directory below the module, or the declarations of the own package.
+
+    'module/dir': the file named after the package, else the first that isn't a test. 'module/dir#Name': the one file
+    there, tests apart, that declares the name (``declarations``: path, name), else as before. 'package:Name': the one
+    other file of the directory and package clause (``packages``: path, package) that declares it. Where two declare it, none does.
+    """
+    path, spec = F.col("path"), F.substring_index("specifier", "#", 1)
+    mine = files.where(path.endswith(".go")).select("path", dir_name(path).alias("dir"), path.endswith("_test.go").alias("test"))
+    rows = imports.where((spec == module) | spec.startswith(module + "/"))
+    rows = rows.select("file", "ord", F.substring(spec, F.lit(len(module) + 2), F.length(spec)).alias("dir"), F.when(F.col("specifier").contains("#"), F.expr("substring(specifier, instr(specifier, '#') + 1)")).alias("name"))
+    package = F.when(F.col("dir") == "", module.rsplit("/", 1)[-1]).otherwise(base_name(F.col("dir")))
+    heads = mine.groupBy("dir").agg(F.min(F.struct("test", (base_name(path) != F.concat(package, F.lit(".go"))).alias("other"), "path")).alias("h")).select("dir", F.col("h.path").alias("head"))
+    found = rows.join(heads, "dir", "left")
+    if declarations is None:
+        return found.where("head is not null").select("file", "ord", F.col("head").alias("target"))
+    told = mine.join(declarations.select("path", "name").distinct(), "path")
+    only = told.where("not test").groupBy("dir", "name").agg(F.count("*").alias("n"), F.min("path").alias("declaring")).where("n = 1").drop("n")
+    found = found.join(only, ["dir", "name"], "left").select("file", "ord", F.coalesce("declaring", "head").alias("target")).where("target is not null")
+    if packages is None:
+        return found
+    own = imports.where(F.col("specifier").startswith("package:")).select("file", "ord", dir_name(F.col("file")).alias("dir"), F.expr("substring(specifier, 9)").alias("name"))
+    own = own.join(packages.select(path.alias("file"), "package"), "file")
+    beside = own.join(told.join(packages.select("path", "package"), "path"), ["dir", "package", "name"]).where("path <> file")
+    return found.unionByName(beside.groupBy("file", "ord").agg(F.count("*").alias("n"), F.min("path").alias("target")).where("n = 1").drop("n"))
+
+
+def kotlin(imports: DataFrame, files: DataFrame, declarations: DataFrame) -> DataFrame:
+    """'a.b.C', '|' between several, what follows '#' apart: the longest leading part that is a package of ``files`` (path, package; null is the default one), and in it the file that declares the next part.
+
+    Of several files that named after the declaration is taken, then the nearest, then the first path. A package without the name ends the search.
+    """
+    rows = imports.select("file", "ord", F.posexplode(F.split(F.substring_index("specifier", "#", 1), r"\|")).alias("nr", "name")).withColumn("parts", F.split("name", r"\."))
+    rows = rows.select("file", "ord", "nr", "parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("cut"))
+    rows = rows.select("file", "ord", "nr", "cut", F.array_join(F.slice("parts", F.lit(1), F.col("cut")), ".").alias("package"), F.get("parts", F.col("cut")).alias("simple"))
+    known = files.where(F.col("path").rlike(r"\.(kt|java)$")).select("path", F.coalesce("package", F.lit("")).alias("package"))
+    real = rows.join(known.select("package").distinct(), "package", "left_semi").groupBy("file", "ord", "nr").agg(F.max_by(F.struct("package", "simple"), "cut").alias("b"))
+    told = known.join(declarations.select("path", F.col("name").alias("simple")).distinct(), "path")
+    met = real.select("file", "ord", "nr", "b.package", "b.simple").join(told, ["package", "simple"])
+    other = ~base_name(F.col("path")).isin(F.concat("simple", F.lit(".kt")), F.concat("simple", F.lit(".java")))
+    below = lambda c: F.concat(c, F.lit("/x"))
+    rank = F.struct("nr", other.alias("other"), (-shared_depth(below(F.col("file")), below(F.col("path")))).alias("far"), "path")
+    return met.groupBy("file", "ord").agg(F.min(rank).alias("b")).select("file", "ord", F.col("b.path").alias("target"))
+
+
+#: Namespaces that every C# file sees.
+IMPLICIT = ["System", "System.Collections.Generic", "System.IO", "System.Linq", "System.Net.Http", "System.Threading", "System.Threading.Tasks"]
+
+
+def csharp(imports: DataFrame, files: DataFrame, scopes: DataFrame, usings: DataFrame, shared: DataFrame) -> DataFrame:
+    """A type, with or without a namespace, to the file named after it, if the importing file can see that file's namespace.
+
+    ``scopes``, ``usings`` and ``shared`` (global usings, for all files below) are (path, namespace). A bare name sees the
+    global namespace, the enclosing ones, the usings and IMPLICIT; a qualified one what it says, alone or below an
+    enclosing one. Of several files the only one of the own namespace is taken, else the only nearest one, else none.
+    """
+    name = F.substring_index("specifier", ".", -1)
+    refs = imports.select("file", "ord", name.alias("name"), F.when(F.col("specifier").contains("."), F.expr("substring(specifier, 1, length(specifier) - length(substring_index(specifier, '.', -1)) - 1)")).alias("qualifier"))
+    parts = F.split("namespace", r"\.")
+    enclosing = scopes.where("namespace <> ''").select(F.col("path").alias("file"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("namespace")).distinct()
+    askers = imports.select("file").distinct()
+    always = askers.select("file", F.explode(F.array(F.lit(""), *map(F.lit, IMPLICIT))).alias("namespace"))
+    below = askers.select("file", F.explode(F.concat(F.array(F.lit("")), ancestors(F.col("file")))).alias("under"))
+    general = below.join(shared.select(dir_name(F.col("path")).alias("under"), "namespace"), "under").select("file", "namespace")
+    seen = always.unionByName(enclosing).unionByName(usings.select(F.col("path").alias("file"), "namespace")).unionByName(general).distinct()
+    bare = refs.where("qualifier is null").join(seen, "file").select("file", "ord", "name", "namespace")
+    long = refs.where("qualifier is not null")
+    inner = long.join(enclosing, "file").select("file", "ord", "name", F.concat("namespace", F.lit("."), "qualifier").alias("namespace"))
+    wanted = bare.unionByName(long.select("file", "ord", "name", F.col("qualifier").alias("namespace"))).unionByName(inner)
+    named = files.where(F.col("path").endswith(".cs")).select("path", F.regexp_replace(base_name(F.col("path")), r"\.cs$", "").alias("name")).join(scopes, "path")
+    met = wanted.join(named, ["name", "namespace"]).select("file", "ord", "path").distinct()
+    twins = scopes.select(F.col("path").alias("file"), "namespace").join(imports.select("file").distinct(), "file", "left_semi")
+    same = met.join(scopes, "path").join(twins, ["file", "namespace"], "left_semi").select("file", "ord", "path", F.lit(1).alias("own")).distinct()
+    far = -shared_depth(F.col("file"), F.col("path"))
+    rows = met.join(same, ["file", "ord", "path"], "left").withColumn("far", far)
+    both = rows.groupBy("file", "ord").agg(F.count("own").alias("n"), F.max(F.when(F.col("own") == 1, F.col("path"))).alias("kin"), F.min(F.struct("far", "path")).alias("a"), F.max(F.struct((-F.col("far")).alias("near"), "path")).alias("b"))
+    target = F.when(F.col("n") == 1, F.col("kin")).when(F.col("a.path") == F.col("b.path"), F.col("a.path"))
+    return both.select("file", "ord", target.alias("target")).where("target is not null")
 
 
 def python(imports: DataFrame, files: DataFrame, roots: tuple[str, ...] = ("",)) -> DataFrame:

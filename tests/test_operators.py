@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plinth.functions import text as P
-from plinth.operators import derive, diff, folds, groups, notes, resolve, search, views
+from plinth.operators import derive, diff, folds, groups, lists, notes, resolve, search, views
 from plinth.sources import extract, project, reports
 from plinth.streaming import live
 
@@ -360,3 +360,82 @@ def test_project_facade(spark):
     assert p.view(views.Spec(diff=True), before=g.edges).lines.count() == 0
     assert set(p.detail(start)) == {"imports", "imported_by", "pass_throughs"} and p.overview().count() == 1
     assert p.blind_spots().count() > 0 and p.search("s1").count() > 0
+
+
+# --- resolvers by package, members, lists
+
+
+def test_go_packages(spark):
+    files = frame(spark, [("g/a.go",), ("g/g.go",), ("g/g_test.go",), ("t/x_test.go",), ("a.go",), ("m.go",)], "path string")
+    told = frame(spark, [("g/a.go", "One"), ("g/g.go", "Two"), ("g/a.go", "Two"), ("g/g_test.go", "One"), ("g/g.go", "Own")], "path string, name string")
+    packages = frame(spark, [("g/a.go", "g"), ("g/g.go", "g"), ("g/g_test.go", "g_test")], "path string, package string")
+    said = ["ex/m/g", "ex/m/g#One", "ex/m/g#Two", "ex/m/t", "ex/m", "ex/mine", "package:Own", "package:One", "ex/m/none"]
+    im = frame(spark, [("g/a.go", i, x) for i, x in enumerate(said)], "file string, ord int, specifier string")
+    got = {r["ord"]: r["target"] for r in resolve.go(im, files, "ex/m", told, packages).collect()}
+    assert got == {0: "g/g.go", 1: "g/a.go", 2: "g/g.go", 3: "t/x_test.go", 4: "m.go", 6: "g/g.go"}
+
+
+def test_kotlin_packages(spark):
+    files = frame(spark, [("s/Dns.kt", "ok"), ("s/Request.kt", "ok"), ("t/Http.kt", "ok.net"), ("s/Http.kt", "ok.net"), ("s/top.kt", None)], "path string, package string")
+    told = frame(spark, [("s/Dns.kt", "Request"), ("s/Request.kt", "Request"), ("t/Http.kt", "Code"), ("s/Http.kt", "Code"), ("s/top.kt", "run"), ("s/Dns.kt", "net")], "path string, name string")
+    said = ["ok.Request", "ok.Request.Body", "ok.net.Code", "ok.net.Missing", "run", "no.Such|ok.Request#x", "other.Thing"]
+    im = frame(spark, [("t/Main.kt", i, x) for i, x in enumerate(said)], "file string, ord int, specifier string")
+    got = {r["ord"]: r["target"] for r in resolve.kotlin(im, files, told).collect()}
+    assert got == {0: "s/Request.kt", 1: "s/Request.kt", 2: "t/Http.kt", 4: "s/top.kt", 5: "s/Request.kt"}
+
+
+def test_csharp_namespaces(spark):
+    scopes = [("a/Main.cs", "N.App"), ("a/Log.cs", "N"), ("b/Log.cs", "Other"), ("b/Timer.cs", "Far.Away"), ("c/Timer.cs", "Far.Away"), ("a/Event.cs", "N.Events"), ("g/Wide.cs", "Wide"), ("a/x/Deep.cs", "Far.Away"), ("b/Deep.cs", "Far.Away"), ("z/Plain.cs", "")]
+    table = lambda rows: frame(spark, rows, "path string, namespace string")
+    files = frame(spark, [(p,) for p, _ in scopes], "path string")
+    said = ["Log", "Timer", "Events.Event", "N.Events.Event", "Event", "Wide", "Deep", "Plain", "Nothing"]
+    im = frame(spark, [("a/Main.cs", i, x) for i, x in enumerate(said)], "file string, ord int, specifier string")
+    out = resolve.csharp(im, files, table(scopes), table([("a/Main.cs", "Far.Away")]), table([("Global.cs", "Wide"), ("b/Global.cs", "Other")]))
+    got = {r["ord"]: r["target"] for r in out.collect()}
+    assert got == {0: "a/Log.cs", 2: "a/Event.cs", 3: "a/Event.cs", 5: "g/Wide.cs", 6: "a/x/Deep.cs", 7: "z/Plain.cs"}
+
+
+def test_aliases_prefer_the_importer(spark):
+    files = frame(spark, [("p/a/src/u.ts",), ("p/b/src/u.ts",), ("gen/u.view.ts",)], "path string")
+    aliases = frame(spark, [("@/*", "p/a/src/*", 0), ("@/*", "p/b/src/*", 1), ("@/*.view", "gen/*.view.ts", 2), ("@/u", "gen/u.view.ts", 3)], "pattern string, target string, nr int")
+    im = frame(spark, [("p/b/src/m.ts", 0, "@/u.js"), ("p/c/m.ts", 1, "@/u.js"), ("p/b/src/m.ts", 2, "@/u")], "file string, ord int, specifier string")
+    got = {r["ord"]: r["target"] for r in resolve.script_alias(im, files, aliases).collect()}
+    assert got == {0: "p/b/src/u.ts", 1: "p/a/src/u.ts", 2: "gen/u.view.ts"}
+
+
+def test_held_order_against_brute_force(spark):
+    rng = random.Random(5)
+    held, now, want = [], [], []
+    for view in range(40):
+        ids = [f"r{i}" for i in range(10)]
+        was, is_ = rng.sample(ids, rng.randint(0, 8)), rng.sample(ids, rng.randint(0, 9))
+        held += [(view, x, i) for i, x in enumerate(was)]
+        now += [(view, x, i) for i, x in enumerate(is_)]
+        out = [x for x in was if x in is_]
+        for x in is_:
+            if x not in out:
+                lower = [i for i, y in enumerate(out) if is_.index(y) < is_.index(x)]
+                out.insert(max(lower, default=-1) + 1, x)
+        want += [(view, x, i) for i, x in enumerate(out)]
+    got = lists.held_order(frame(spark, held, "view int, id string, position long"), frame(spark, now, "view int, id string, position long"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_list_sorts_and_commands(spark):
+    rows = frame(spark, [("v", "a", "b.ts", False, "file", None, 0), ("v", "b", "a.ts", True, "file", "deleted", 0), ("v", "c", "d", False, "folder", None, 3), ("v", "d", "c.ts", False, "file", "modified", 0)], "view string, id string, label string, external boolean, kind string, status string, git_changed int")
+    order = lambda key, down: [r["id"] for r in lists.sorted_rows(rows, key, down).orderBy("position").collect()]
+    assert order("name", False) == ["a", "d", "c", "b"] and order("name", True) == ["b", "c", "d", "a"]
+    assert order("git", True) == ["d", "b", "c", "a"] and order("kind", False) == ["a", "d", "b", "c"]
+    commands = frame(spark, [("View", "Go"), ("Go", "Back"), ("Edit", "Undo"), ("Edit", "Good")], "menu string, label string")
+    assert [r["title"] for r in lists.rank_commands(commands, " GO ").collect()] == ["View: Go", "Go: Back", "Edit: Good"]
+    assert lists.rank_commands(commands, "").count() == 4
+
+
+def test_graph_diff_counts_declarations(spark):
+    schema = "id string, kind string, path string, start_line int, modified_at int"
+    a = frame(spark, [("f", "file", "f", None, 1), ("f#x", "class", "f", 1, None), ("g", "file", "g", None, 1), ("g#y", "class", "g", 1, None), ("h", "file", "h", None, 1)], schema)
+    b = frame(spark, [("f", "file", "f", None, 2), ("f#x", "class", "f", 1, None), ("g", "file", "g", None, 2), ("g#y", "class", "g", 5, None), ("i", "file", "i", None, 1), ("i#z", "class", "i", 1, None)], schema)
+    none = frame(spark, [], "src string, kind string, dst string, src_file string, dst_file string")
+    got = sorted(map(tuple, diff.graph_diff(a, b, none, none).collect()))
+    assert got == [("g", "file", "touched"), ("h", "file", "removed"), ("i", "file", "added"), ("i#z", "class", "added")]
+    assert diff.graph_diff(a, a, none, none).isEmpty()
