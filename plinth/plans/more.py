@@ -232,7 +232,7 @@ def owned_members(g: Graph) -> DataFrame:
     return derive.member_of(calls, rows, files).select("owner_id", "member", "dst")
 
 
-@query(DECL_SQL + """, rf AS (SELECT src, kind, dst, substring(dst, strpos(dst, '#s') + 2)::BIGINT % 40 AS n FROM edges WHERE kind <> 'imports') SELECT src, kind, dst FROM rf WHERE EXISTS (SELECT 1 FROM nodes WHERE name = 's' || n)""")
+@query(DECL_SQL + """, rf AS (SELECT src, kind, dst, substring(dst, strpos(dst, '#s') + 2)::BIGINT % 40 AS n FROM edges WHERE kind <> 'imports') SELECT src, kind, dst FROM rf WHERE EXISTS (SELECT 1 FROM nodes WHERE nodes.name = 's' || rf.n)""")
 def ours(g: Graph) -> DataFrame:
     """References to names of which the project declares some, every second one behind a dot."""
     number = F.regexp_extract("dst", r"#s(\d+)$", 1).try_cast("long") % 40
