@@ -32,8 +32,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from plinth.llm.common import trimmed
 
-#: Parts that a worker remembers, of at most so many characters each; longer ones are encoded anew.
-CACHE, LONGEST = 200_000, 64
+#: Parts that a worker remembers with their ids, of at most so many characters each, where the ids decode to the part
+#: itself; others are encoded and decoded anew. An entry takes about 200 bytes.
+CACHE, LONGEST = 600_000, 64
 #: Adjacent pairs whose compatibility a worker remembers.
 PAIRS = 200_000
 
@@ -115,7 +116,7 @@ class Encoder:
         self.alphabet = {p for p in model.ids if len(p) == 1}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known, self.older = {}, {}  # texts after a blank; the older half goes when the newer is full
-        self.subparts: dict[str, tuple[str, str]] = {}
+        self.subparts: dict[str, bytes] = {}
 
     def fits(self, left: str, right: str) -> bool:
         """Whether the two can stand side by side: merging them again gives just them."""
@@ -196,61 +197,71 @@ class Encoder:
                 out.append(" ⁇ " if kinds[i] == UNKNOWN else pieces[i].replace(BLANK, " "))
         return "".join(out)
 
-    def looked_up(self, part: str) -> tuple[str, str]:
+    def looked_up(self, part: str) -> tuple[bytes, str]:
         """The ids (with commas) and the decoded text of a part, from those of its own parts."""
         ids, back = [], []
         for x in self.cut.split(part):
             if not x:
                 continue
+            said = x.replace(BLANK, " ")
             if (found := self.subparts.get(x)) is None:
-                if len(self.subparts) >= CACHE // 2:
-                    self.subparts.clear()
                 got = self.part(x)
-                found = (",".join(map(str, got)), self.glued(got))
-                if len(x) <= LONGEST:
+                found, text = ",".join(map(str, got)).encode(), self.glued(got)
+                if text == said and len(x) <= LONGEST:
+                    if len(self.subparts) >= CACHE // 2:
+                        self.subparts.clear()
                     self.subparts[x] = found
-            ids.append(found[0])
-            back.append(found[1])
-        return ",".join(ids), "".join(back)
+                said = text
+            ids.append(found)
+            back.append(said)
+        return b",".join(ids), "".join(back)
 
-    def after_blanks(self, words: list[str]) -> list[tuple[str, str]]:
-        """looked_up() of each word with a blank before it."""
+    def after_blanks(self, words: list[str]) -> tuple[list[bytes], str]:
+        """The ids of each word with a blank before it, and what they all decode to."""
         get = self.known.get
-        found = [get(w) for w in words]
+        found, odd = [get(w) for w in words], {}
         if None in found:
             for k, x in enumerate(found):
                 if x is None:
                     w = words[k]
                     if (x := self.older.get(w)) is None:
-                        x = self.looked_up(BLANK + w)
-                    if len(self.known) >= CACHE // 2:
-                        self.older, self.known = self.known, {}
+                        x, back = self.looked_up(BLANK + w)
+                        if back != " " + w:
+                            odd[k] = back
                     found[k] = x
-                    if len(w) <= LONGEST:
+                    if k not in odd and len(w) <= LONGEST:
+                        if len(self.known) >= CACHE // 2:
+                            self.older, self.known = self.known, {}
                         self.known[w] = x
-        return found
+        if odd:
+            return found, "".join([odd.get(k, " " + w) for k, w in enumerate(words)])
+        return found, " " + " ".join(words) if words else ""
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, their digest, and the digest of the text that they decode to."""
         text = text or ""
-        if self.model.prefix and text and "\n" not in self.model.ids and "  " not in text and BLANK not in text:
-            parts = []
+        ids, back = [], []
+        if self.model.prefix and text and text[0] != " " and "\n" not in self.model.ids and "  " not in text and BLANK not in text:
             for k, line in enumerate(text.split("\n")):  # a line end is a piece of its own and takes no blank after it
                 words = line.split(" ")
-                if not k:
-                    parts += self.after_blanks(words)  # the model's own blank comes first
-                    continue
-                parts.append(self.looked_up("\n" + words[0]))
-                parts += self.after_blanks(words[1:])
-            if text[0] == " ":  # that blank and the text's stand together
-                parts = [self.looked_up(x) for x in self.parts(text)]
+                if k:
+                    found, said = self.looked_up("\n" + words[0])
+                    ids.append(found)
+                    back.append(said)
+                    del words[0]
+                found, said = self.after_blanks(words)  # the model's own blank comes first
+                ids += found
+                back.append(said)
         else:
-            parts = [self.looked_up(x) for x in self.parts(text)]
-        ids, whole = ",".join([x[0] for x in parts]), "".join([x[1] for x in parts])
-        if self.model.prefix and parts:  # parts then begin with the model's own blank
+            for x in self.parts(text):
+                found, said = self.looked_up(x)
+                ids.append(found)
+                back.append(said)
+        joined, whole = b",".join(ids), "".join(back)
+        if self.model.prefix and ids:  # parts then begin with the model's own blank
             whole = whole[1:]
-        n = ids.count(",") + 1 if ids else 0
-        return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(whole.encode("utf-8", "surrogatepass")).hexdigest()
+        n = joined.count(b",") + 1 if joined else 0
+        return n, hashlib.sha256(joined).hexdigest(), hashlib.sha256(whole.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def utf8(data: bytes) -> str:
