@@ -77,6 +77,22 @@ def partition(files: DataFrame, groups: DataFrame) -> DataFrame:
     return files.select("path").join(claims, "path", "left").select("path", box.alias("box"))
 
 
+def smallest_claims(groups: DataFrame) -> DataFrame:
+    """(path, group_id): of the accepted groups that hold a file, the smallest; the first by rank and id where sizes tie."""
+    rows = groups.where("state = 'accepted'")
+    rows = rows.join(rows.groupBy("group_id").agg(F.count("*").alias("n")), "group_id")
+    return rows.groupBy("path").agg(F.min(F.struct("n", "rank", "group_id")).alias("b")).select("path", F.col("b.group_id").alias("group_id"))
+
+
+def reaching_into(edges: DataFrame, files: DataFrame, groups: DataFrame, kinds: list[str]) -> DataFrame:
+    """(path, own, crossed): the accepted group that claims a file, as partition() deals them, and the others that its edges lead into."""
+    own = partition(files, groups.where("state = 'accepted'")).where("box <> 'component:none'").select("path", F.expr("substring(box, 11)").alias("own"))
+    pairs = edges.where(F.col("kind").isin(kinds)).select("src_file", "dst_file").distinct()
+    there = pairs.join(own.select(F.col("path").alias("src_file"), "own"), "src_file").join(own.select(F.col("path").alias("dst_file"), F.col("own").alias("there")), "dst_file").where("own <> there")
+    crossed = there.groupBy(F.col("src_file").alias("path")).agg(F.array_sort(F.collect_set("there")).alias("crossed"))
+    return own.join(crossed, "path", "left").select("path", "own", F.coalesce("crossed", F.array().cast("array<string>")).alias("crossed"))
+
+
 def overlaps(groups: DataFrame) -> DataFrame:
     """(a, b, shared, size_a, size_b) of groups that share files."""
     sizes = groups.groupBy("group_id").agg(F.count("*").alias("n"))

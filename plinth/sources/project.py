@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plinth.functions.text import LANGUAGES, base_name, dir_name, extension, in_ignored_dir
+from plinth.functions.staging import staged
+from plinth.functions.text import LANGUAGES, ancestors, base_name, dir_name, extension, in_ignored_dir, normalised
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
@@ -81,6 +84,53 @@ def entry_points(manifests: DataFrame, files: DataFrame) -> DataFrame:
     return claims.unionByName(by_name).groupBy("path").agg(F.min(F.struct("k", "why")).alias("c")).select("path", F.col("c.why").alias("why")).orderBy("path")
 
 
+# --- script configurations: rows (path, text) -------------------------------------------------------------------
+
+_CONFIG = "extends string, compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>"
+
+
+def jsonc(text: Column) -> Column:
+    """JSON without its comments and trailing commas; strings stay as they are."""
+    string = r'("(?:[^"\\]++|\\.)*+")'
+    plain = F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), string + r"|//[^\n]*|/\*[\s\S]*?(?:\*/|\z)", "$1")
+    return F.regexp_replace(plain, string + r"|,(?=\s*[}\]])", "$1")
+
+
+def script_aliases(configs: DataFrame) -> DataFrame:
+    """(pattern, target, nr): path aliases of configurations and of what they extend; nr is a target's place in its pattern.
+
+    A table of paths replaces the whole table of what is extended, of several the last; its targets are seen from the
+    base directory in force, or from the file that holds it. What leads out of the project or to installed packages is left
+    out. A configuration that can't be read, and a chain that comes back to itself, add nothing.
+    """
+    plain = staged(configs.select("path", jsonc(F.col("text")).alias("text")).where(F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT")), "configs")
+    known = plain.select("path", dir_name(F.col("path")).alias("dir"), F.from_json("text", _CONFIG).alias("p"))
+    said = F.when(F.col("p.extends").startswith("["), F.from_json("p.extends", "array<string>")).otherwise(F.array("p.extends"))
+    named = known.select("path", "dir", F.posexplode(said).alias("nr", "to")).where("to is not null")
+    near = normalised(F.concat_ws("/", "dir", "to"))
+    up = F.reverse(F.concat(F.array(F.lit("")), ancestors(F.col("path"))))
+    installed = F.transform(up, lambda d: F.concat_ws("/", F.nullif(d, F.lit("")), F.lit("node_modules"), F.col("to")))
+    packaged = F.flatten(F.transform(installed, lambda b: F.array(b, F.concat(b, F.lit(".json")), F.concat(b, F.lit("/tsconfig.json")))))
+    tried = F.when(F.col("to").startswith("."), F.array(near, F.concat(near, F.lit(".json")))).otherwise(packaged)
+    found = named.select("path", "nr", F.posexplode(tried).alias("k", "base")).join(known.select(F.col("path").alias("base")), "base", "left_semi")
+    links = staged(found.groupBy(F.col("path").alias("at"), "nr").agg(F.min_by("base", "k").alias("next")), "bases")
+    steps = [known.select("path", F.col("path").alias("at"), F.array("path").alias("trail"), F.array().cast("array<int>").alias("rank"))]
+    while True:  # a round for each step of the longest chain
+        onward = steps[-1].join(links, "at").where(~F.array_contains("trail", F.col("next")))
+        steps.append(staged(onward.select("path", F.col("next").alias("at"), F.concat("trail", F.array("next")).alias("trail"), F.concat("rank", F.array("nr")).alias("rank")), "chains"))
+        if steps[-1].isEmpty():
+            break
+    reached = functools.reduce(DataFrame.unionByName, steps).join(known.select(F.col("path").alias("at"), "dir", "p.compilerOptions"), "at")
+    key = F.concat("rank", F.array(F.lit(2**31 - 1)))  # what extends comes before what is extended, later ones before earlier ones
+    url, paths = F.col("compilerOptions.baseUrl"), F.map_filter("compilerOptions.paths", lambda _, v: F.size(v) > 0)
+    base = F.when(url.startswith("/"), "..").otherwise(normalised(F.concat_ws("/", "dir", url)))
+    ruled = reached.groupBy("path").agg(F.max_by(base, F.when(url.isNotNull(), key)).alias("url"), F.max_by(F.struct("dir", paths.alias("paths")), F.when(F.size(paths) > 0, key)).alias("t"))
+    rows = ruled.where("t is not null").select("path", F.coalesce("url", "t.dir").alias("base"), F.explode("t.paths").alias("pattern", "targets")).select("path", "base", "pattern", F.posexplode("targets").alias("j", "to"))
+    rows = rows.where("to not like '/%'").withColumn("target", normalised(F.concat_ws("/", "base", "to"))).where(~F.col("target").rlike(r"^\.\.(/|$)|(^|/)node_modules(/|$)"))
+    first = rows.groupBy("pattern", "target").agg(F.min(F.struct("path", "j")).alias("o"))
+    return first.select("pattern", "target", (F.row_number().over(Window.partitionBy("pattern").orderBy("o")) - 1).alias("nr"))
+
+
 # --- stored rows -------------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plinth.functions import text as P
-from plinth.operators import derive, diff, folds, groups, lists, notes, resolve, search, views
+from plinth.operators import derive, diff, folds, groups, lists, notes, proposals, resolve, search, views
 from plinth.sources import extract, project, reports
 from plinth.streaming import live
 
@@ -439,3 +439,28 @@ def test_graph_diff_counts_declarations(spark):
     got = sorted(map(tuple, diff.graph_diff(a, b, none, none).collect()))
     assert got == [("g", "file", "touched"), ("h", "file", "removed"), ("i", "file", "added"), ("i#z", "class", "added")]
     assert diff.graph_diff(a, a, none, none).isEmpty()
+
+
+def test_configuration_chains(spark):
+    configs = [
+        ("tsconfig.json", '{"extends": "./base", "compilerOptions": {"baseUrl": "src"}}'),
+        ("base.json", '{"compilerOptions": {"paths": {"@/*": ["*", "../out/*"], "empty": []}}}'),
+        ("a/tsconfig.json", '{"extends": ["../base.json", "kit/strict"]} // kit wins'),
+        ("node_modules/kit/strict.json", '{"compilerOptions": {"paths": {"kit": ["../../lib/kit.ts", "./own.ts"],}}}'),
+        ("b/tsconfig.json", "{not json"),
+        ("c/one.json", '{"extends": "./two", "compilerOptions": {"paths": {"c": ["one"]}}}'),
+        ("c/two.json", '{"extends": "./one"}'),
+        ("d/tsconfig.json", '{"extends": "../b/tsconfig.json", "x": "a // b, }", "compilerOptions": {"paths": "wrong"}}'),
+        ("e/tsconfig.json", None),
+    ]
+    got = sorted(map(tuple, project.script_aliases(frame(spark, configs, "path string, text string")).collect()))
+    assert got == [("@/*", "*", 0), ("@/*", "out/*", 2), ("@/*", "src/*", 1), ("c", "c/one", 0), ("kit", "lib/kit.ts", 0)]
+    assert project.script_aliases(frame(spark, [], "path string, text string")).isEmpty()
+
+
+def test_replies_that_cannot_be_read(spark):
+    said = ['{"result":"[{\\"id\\":\\"a\\"}]"}', '{"is_error":true,"result":"Please log in"}', "nope", '{"subtype":"error_max_structured_output_retries"}', '{"structured_output":"{\\"suggestions\\":[1]}"}', '{"structured_output":null,"result":"{\\"a\\":1}"}', '{"subtype":"error","result":"boom"}', None, '{"result":"say {\\"suggestions\\":[]} no"}']
+    rows = proposals.read(frame(spark, list(enumerate(said)), "run int, stdout string"), "suggestions")
+    got = {r["run"]: (r["problem"], r["n"]) for r in rows.selectExpr("run", "problem", "size(items) as n").collect()}
+    assert [got[i][0] for i in range(9)] == [None, "auth", "unreadable", "unreadable", None, "unreadable", "failed", "unreadable", None]
+    assert got[0][1] == 1 and got[4][1] == 1 and got[8][1] == 0
