@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import chat_format, decontaminate, jaccard_join, language_id, piece_counts, quality_ledger, sentencepiece_bpe, substring_dedup, url_lists, warc_convert
+from plinth.llm import chat_format, decontaminate, jaccard_join, language_id, packing, piece_counts, prefix_trie, quality_ledger, sentencepiece_bpe, structure_repair, substring_dedup, url_lists, warc_convert
 from plinth.llm.common import table
 
 QUERIES: dict = {}
@@ -93,3 +93,18 @@ def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["rule_ablations"] = quality_ledger.ABLATION_SQL
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair_report(table(spark, sf_dir, "conversations"))
