@@ -8,7 +8,7 @@ hold end to end; full windows are emitted, and less than one is left. These rest
 So no window is padded, and most documents of less than a window are in one piece.
 
 Ids are those of the tokenizers library for the whole text. Its normaliser and its words never reach across
-ASCII white space, so the stretches between are encoded once each and remembered; a slice of texts is
+ASCII white space, nor from a letter or digit to a stop, so the stretches between are encoded once each and remembered; a slice of texts is
 looked up by its distinct stretches.
 
 Scale: a map over the documents without a shuffle, whatever their sources; what is written between is
@@ -31,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.llm.common import WHITE, lookup, normal_text, staged, text_slices, trimmed, words_of
+from plinth.llm.common import WHITE, Words, lookup, normal_text, staged, text_slices, trimmed, words_of
 
 #: Tokens of a window, windows that are open at once, and the rests that are merged together.
 WINDOW, OPEN, TOGETHER = 4096, 64, 256
 #: Bytes of text that are encoded at once; stretches that a worker remembers, all their ids, and the bytes of the longest of them.
-SLICE, WORDS, POOL, LONGEST = 4 << 20, 600_000, 16 << 20, 64
+SLICE, WORDS, POOL, LONGEST = 4 << 20, 1_000_000, 16 << 20, 64
+#: Signs that never go on a word of letters or digits in ASCII before them, and one that is an id of its own between blanks.
+STOPS, ALNUM, SIGN = b".,;:!?", b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "\x01"
 #: Bits of a sequence_id for the number inside a task.
 TASK = 32
 
@@ -53,44 +55,59 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(content)
-        self.inside = lookup(WHITE)
+        self.inside, self.alnum, self.stop = lookup(WHITE), ~lookup(ALNUM), ~lookup(STOPS)
+        (self.sign,) = self.tokenizer.encode(SIGN, add_special_tokens=False).ids
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.n = 0
-        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
-
-    def _add(self, word: bytes, ids: list[int]) -> int:
-        k, self.n = self.n, self.n + 1
-        if len(word) <= LONGEST:
-            self.known[word] = k
-        if k >= len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.at, self.size))
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-        self.at[k], self.size[k] = self.used, len(ids)
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        return k
+        self.n, self.at, self.size, self.pool = 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _add(self, words: list[bytes]) -> list[int]:
+        """Encodes stretches that aren't known: joined into one text, with a sign between them that is an id of its own."""
+        alone = [i for i, w in enumerate(words) if SIGN.encode() in w]
+        apart = {i: self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids for i in alone}
+        text = f" {SIGN} ".join(["" if i in apart else w.decode() for i, w in enumerate(words)])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.append(np.flatnonzero(ids == self.sign), len(ids))
+        size = np.diff(ends, prepend=-1) - 1
+        ids = ids[ids != self.sign]
+        if apart:
+            parts = np.split(ids, np.cumsum(size)[:-1])
+            for i, x in apart.items():
+                parts[i], size[i] = np.array(x, np.uint32), len(x)
+            ids = np.concatenate(parts)
+        m = len(words)
+        self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.pool = np.concatenate([self.pool, ids])
+        found = range(self.n, self.n + m)
+        self.known.update((w, k) for w, k in zip(words, found, strict=True) if len(w) <= LONGEST)
+        self.n += m
+        return list(found)
 
     def slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): ids of text i are ids[first[i]:first[i + 1]]."""
         words = words_of(data, offsets, self.inside)
         if not len(words.starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        start, end = np.zeros(len(data), bool), np.zeros(len(data) + 1, bool)
+        start[1:] = self.alnum[data[:-1]] & self.stop[data[1:]]
+        end[1:-1] = start[1:]
+        start[words.starts] = end[words.ends] = True
+        starts = np.flatnonzero(start)
+        words = Words(data, starts, np.flatnonzero(end), np.searchsorted(starts, offsets))
         text, starts, _ = normal_text(words)
         bounds = np.append(starts, len(text))
         column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(text)]).dictionary_encode()
         distinct = column.dictionary.to_pylist()
-        if self.n + len(distinct) > WORDS or self.used > POOL:
+        if self.n + len(distinct) > WORDS or len(self.pool) > POOL:
             self._clear()
         found = [self.known.get(w, -1) for w in distinct]
         new = [i for i, k in enumerate(found) if k < 0]
         if new:
-            for i, e in zip(new, self.tokenizer.encode_batch_fast([distinct[i].decode() for i in new], add_special_tokens=False), strict=True):
-                found[i] = self._add(distinct[i], e.ids)
+            for i, k in zip(new, self._add([distinct[i] for i in new]), strict=True):
+                found[i] = k
         which = np.array(found, np.int64)[column.indices.to_numpy()]
         at, size = self.at[which], self.size[which]
         ends = np.cumsum(size)
