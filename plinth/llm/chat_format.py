@@ -10,7 +10,8 @@ escape sign and a digit, so that no text can hold a mark of the template or of t
 foreign formats; the reverse replacement gives the text back.
 
 Scale: DataFrame functions only. One shuffle groups the turns of a conversation; a
-conversation is one string in the result, so its turns have to meet.
+conversation is one string in the result, so its turns have to meet. Work is linear in them: places
+are a running sum, and no step looks at a conversation again for each turn.
 
 Defined cases: a null text counts as empty; a null role as the role ''. Rows with one turn
 number are put in the order of role and text, null turns first; all of them are written. A
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,12 +58,16 @@ PROBE = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[IN
 
 
 def formatted(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
-    """conv_id, formatted (string), segments (start, length, role, loss), valid and broken_at (the first turn out of order)."""
+    """conv_id, formatted (string), segments (start, length, role, loss, at: where its turn begins), valid and broken_at (the first turn out of order)."""
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
-    one = F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    rows = turns.select("conv_id", one.alias("one"), F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("apart"))
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("apart"))
+    rows = rows.withColumn("head", template.escaped(F.col("role"))).withColumn("body", template.escaped(F.col("text")))
+    # places of turns by a running sum, which the grouping needs no other shuffle for
+    order = Window.partitionBy("conv_id", "apart").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    chars = F.length("head") + F.length("body") + len(template.begin + template.middle + template.end)
+    end = F.sum(chars.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.select("conv_id", "apart", F.struct(F.row_number().over(order).alias("k"), (end - chars).alias("at"), "role", "head", "body").alias("one"))
     convs = rows.groupBy("conv_id", "apart").agg(F.array_sort(F.collect_list("one")).alias("turns")).drop("apart")
-    convs = convs.withColumn("turns", F.transform("turns", lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), template.escaped(t["role"]).alias("head"), template.escaped(t["text"]).alias("body"))))
 
     # the machine: states and roles as one map, 'failed' for any other pair
     pairs = [F.lit(x) for state, to in template.moves.items() for role_, then in to.items() for x in (f"{state}\n{role_}", then)]
@@ -75,22 +80,23 @@ def formatted(turns: DataFrame, template: Template = TEMPLATE) -> DataFrame:
 
     convs = convs.withColumn("_end", F.aggregate("turns", begin, move))
     pieces = F.transform("turns", lambda t: F.concat(F.lit(template.begin), t["head"], F.lit(template.middle), t["body"], F.lit(template.end)))
-    lengths = F.transform("turns", lambda t: F.length(t["head"]) + F.length(t["body"]) + len(template.begin + template.middle + template.end))
-    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    convs = convs.withColumn("formatted", F.array_join(pieces, "")).withColumn("_starts", starts)
+    begins = len(template.begin + template.middle)
     segments = F.transform(
         "turns",
-        lambda t, k: F.struct((F.get(F.col("_starts"), k) + len(template.begin + template.middle) + F.length(t["head"])).alias("start"), F.length(t["body"]).alias("length"), t["role"].alias("role"), t["role"].isin(*template.loss).alias("loss")),
+        lambda t: F.struct((t["at"] + begins + F.length(t["head"])).alias("start"), F.length(t["body"]).cast("long").alias("length"), t["role"].alias("role"), t["role"].isin(*template.loss).alias("loss"), t["at"].alias("at")),
     )
+    convs = convs.withColumn("formatted", F.array_join(pieces, ""))
     return convs.select("conv_id", "formatted", segments.alias("segments"), F.col("_end.state").isin(*template.final).alias("valid"), F.col("_end.broken").alias("broken_at"))
 
 
 def read_back(chats: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     """chats and ``turns`` (role, text), read from the formatted string, and ``loss_text``, read from it by the segments with loss."""
-    parts = F.filter(F.split("formatted", "\\Q" + template.begin + "\\E"), lambda x: x != "")
-    turns = F.transform(parts, lambda x: F.struct(template.unescaped(F.substring_index(x, template.middle, 1)).alias("role"), template.unescaped(_body(x, template)).alias("text")))
-    loss = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: template.unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["length"])))
-    return chats.withColumn("turns", turns).withColumn("loss_text", F.array_join(loss, ""))
+    # what a begin mark leads, one for each segment: a segment's place is then looked for in its own part, not from the string's start
+    chats = chats.withColumn("_parts", F.filter(F.split("formatted", "\\Q" + template.begin + "\\E"), lambda x: x != ""))
+    turns = F.transform("_parts", lambda x: F.struct(template.unescaped(F.substring_index(x, template.middle, 1)).alias("role"), template.unescaped(_body(x, template)).alias("text")))
+    here = lambda p, s: F.substring(p, (s["start"] - s["at"] - len(template.begin) + 1).cast("int"), s["length"].cast("int"))
+    loss = F.zip_with("_parts", "segments", lambda p, s: F.when(s["loss"], template.unescaped(here(p, s))).otherwise(""))
+    return chats.withColumn("turns", turns).withColumn("loss_text", F.array_join(loss, "")).drop("_parts")
 
 
 def _body(part: Column, template: Template) -> Column:

@@ -2,7 +2,7 @@
 
 For each document, the logarithms of these are summed over the languages that were learned:
 
-* the likelihood of its text (of a page: without its tags) under byte trigrams, tempered: n
+* the likelihood of its text (of a page: without tags, scripts, styles and comments) under byte trigrams, tempered: n
   trigrams count as n ** ``TEMPER``, as neighbouring trigrams don't speak independently;
 * the declared language of its markup (``<html lang=...>``), if there is one;
 * the language that its address suffix (or first path part) suggests, if there is one;
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.common import staged, text_slices, trimmed
+from plinth.llm.url_lists import host_of
 
 #: Labelled rows for fitting, about.
 SAMPLE = 4_000
@@ -48,6 +49,10 @@ STRENGTH = 10.0
 #: How often the markup, and the address, name a page's language rightly.
 MARKUP_RIGHT, ADDRESS_RIGHT = 0.9, 0.8
 
+#: What tells a page from a plain text, and what of it isn't text: scripts, styles and comments, to their end or the page's.
+PAGE = r"(?i)<(?:html|!doctype\s+html)[\s>]"
+UNSEEN = r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)"
+
 #: Languages that address suffixes suggest.
 SUFFIXES = {
     "ar": "es", "at": "de", "au": "en", "be": "nl", "bg": "bg", "bo": "es", "br": "pt", "by": "be", "ca": "en", "ch": "de", "cl": "es", "cn": "zh", "co": "es", "cr": "es", "cz": "cs", "de": "de", "dk": "da",
@@ -144,15 +149,16 @@ def identified(docs: DataFrame, model: Model, host: str | None = None, url: str
     spark = docs.sparkSession
     names, width = model.languages, len(model.languages)
     body = F.col(text)
-    markup = F.when(body.contains("<html"), F.nullif(F.lower(F.regexp_extract(body, r"(?is)<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit("")))
+    is_page = body.rlike(PAGE)
+    markup = F.when(is_page, F.nullif(F.lower(F.regexp_extract(body, r"(?is)<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit("")))
     address, of = F.lit(None).cast("string"), F.col(host) if host else F.lit(None).cast("string")
     if url:
-        of = F.coalesce(of, F.nullif(F.lower(F.regexp_extract(url, r"://([^/?#:]+)", 1)), F.lit("")))
+        of = F.coalesce(of, host_of(F.col(url)))
         path = F.nullif(F.regexp_extract(url, r"://[^/?#]+/([a-z]{2})(?:[/?#]|$)", 1), F.lit(""))
         address = F.when(path.isin(names), path)
     suffixes = F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair])
     address = F.coalesce(address, F.when(of.contains("."), F.try_element_at(suffixes, F.substring_index(of, ".", -1))))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("row_key"), F.when(body.contains("<html"), F.regexp_replace(body, r"<[^>]*>", " ")).otherwise(body).alias("text"), of.alias("host"), markup.alias("markup"), address.alias("address"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("row_key"), F.when(is_page, F.regexp_replace(F.regexp_replace(body, UNSEEN, " "), r"<[^>]*>", " ")).otherwise(body).alias("text"), of.alias("host"), markup.alias("markup"), address.alias("address"))
     scores = staged(rows.mapInArrow(_scored(spark.sparkContext.broadcast(model)), _SCORES_DDL), "scores")
     if not width:
         return scores.select("doc_id", "row_key", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), "n_grams", F.lit(False).alias("kept"))

@@ -8,7 +8,7 @@ Scale: DataFrame functions only, row by row and without a shuffle; ablations are
 aggregate. Repeated windows are found inside a text's own arrays of hashes.
 
 Defined cases: a null text has no words and fails ``few_words``. Repeated rows each give a
-row. Extra columns are left alone; in a ledger, measurements replace columns of the same name.
+row. Extra columns are left alone; in a ledger, measurements replace columns of the same name, in any case of letters.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: White space between words, and signs that count as symbols.
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>[]"
+SYMBOLS = "#*$%&|<>"
 #: Words of a window whose repetition counts.
 GRAM = 8
 
@@ -137,7 +137,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t F
 w AS (SELECT rid, doc_id, t, list_filter(string_split_regex(t, '{_CLEAN}'), lambda x: x <> '') AS words,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 m AS (SELECT rid, doc_id, words, len(words)::BIGINT AS n_words, length(regexp_replace(t, '{_CLEAN}', '', 'g'))::BIGINT AS word_chars,
-             (length(t) - length(regexp_replace(t, '[#*$%&|<>\[\]]', '', 'g')))::BIGINT AS n_symbols,
+             (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines)::BIGINT AS n_lines,
              length(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]+', '', 'g'))::BIGINT AS n_letters FROM w),
 g AS (SELECT rid, i, array_to_string(words[i:i + 7], ' ') AS gram FROM (SELECT rid, words, unnest(range(1, n_words - 6)) AS i FROM m WHERE n_words >= 8)),

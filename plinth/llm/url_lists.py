@@ -14,7 +14,7 @@ Defined cases: a null or unreadable URL, or a null day, matches nothing and is n
 Two changes of an entry on one day: it is active if one of them adds it. A removal without an
 addition before it does nothing; an entry that is never removed stays active. Repeated rows
 each give a row. Extra columns are left alone; host, n_active, entry and blocked replace columns
-of those names.
+of those names, in any case of letters (as Spark compares names).
 """
 
 from __future__ import annotations
@@ -49,7 +49,10 @@ def intervals(changes: DataFrame) -> DataFrame:
 
 def judged(captures: DataFrame, lists: DataFrame) -> DataFrame:
     """captures (with url and fetched, a day), host, n_active, entry (that decides) and blocked. lists: of intervals(), list 'block' or 'allow'."""
-    rows = captures.withColumn("host", host_of(F.col("url")))
+    told = ["host", "n_active", "entry", "blocked"]
+    kept = [c for c in captures.columns if c.lower() not in told]
+    # the captures as one column, so that none of theirs meets a name used here
+    rows = captures.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), host_of(F.col("url")).alias("host"), "fetched")
     # a host's captures of one day are judged once
     asked = rows.where("host is not null and fetched is not null").select("host", "fetched").distinct()
     keys = asked.select("host", "fetched", F.explode(domains_of(F.col("host"))).alias("entry"))
@@ -57,11 +60,7 @@ def judged(captures: DataFrame, lists: DataFrame) -> DataFrame:
     hits = keys.join(lists, "entry").where(active)
     best = F.max(F.struct(F.length("entry").alias("n"), (F.col("list") == "allow").alias("allow"), F.col("entry").alias("entry"))).alias("best")
     verdicts = hits.groupBy("host", "fetched").agg(F.count("*").alias("n_active"), best)
-    told = ["host", "n_active", "entry", "blocked"]
-    kept = [c for c in captures.columns if c not in told]
-    # the captures as one column, so that none of theirs meets a name used here
-    whole = rows.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), "host", "fetched")
-    out = whole.join(verdicts, ["host", "fetched"], "left")
+    out = rows.join(verdicts, ["host", "fetched"], "left")
     return out.select(*(F.col("row")[c].alias(c) for c in kept), "host", F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), F.col("best.entry").alias("entry"), F.coalesce(~F.col("best.allow"), F.lit(False)).alias("blocked"))
 
 

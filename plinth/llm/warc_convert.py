@@ -11,8 +11,8 @@ one payload digest (and at least ``least_bytes`` of payload), that with the smal
 the response; the others become revisits that refer to it and carry no payload. The key is a header of
 archives that ``write_arc`` made; records of other archives go by date and place, after those with a key.
 
-Scale: archives are files of bounded size, written by Spark's text writer (the record ends
-that it adds are the format's own) and read back as binary files, one at a time in a task.
+Scale: archives are closed by running size, so none holds more than ARCHIVE_BYTES and one record; Spark's text writer
+writes each as a file, and they are read back as binary files, one at a time in a task.
 Which records are revisits is an aggregate on digests joined back; payloads are never part of
 a shuffle by digest.
 
@@ -20,19 +20,23 @@ Defined cases: a null payload counts as empty; a null URL is written as ``-``. R
 key are written with the key ``-`` and come back as null; among equal payloads they are never
 the response of another. Repeated rows are records of their own: the first copy of the smallest
 key is the response, the others refer to it. White space inside a URL is percent-encoded.
-A header line that can't be read is passed over up to the next one that can, and a last record that is
-shorter than it declares is left out; ``convert`` returns what it left out. Extra columns are left alone.
+A blank inside a content type belongs to it. After a header line that can't be read, nothing is a record up to a full header
+line (scheme, IP address, date) whose block ends where the archive does or another header line follows, so that no
+line of a payload becomes one; a last record that is
+shorter than it declares is left out. ``convert`` returns what it left out. A key that isn't a 64-bit number is none. Extra columns are left alone.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,40 +57,87 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-dig
 # --- pages to ARC -------------------------------------------------------------------------------------
 
 
-def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html") -> None:
+def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes an ARC record for each row, without a shuffle: version 1 archives from one half of the partitions, version 2 from the other.
 
-    Each file holds as many records as make about ARCHIVE_BYTES, and starts with a filedesc
+    Each file ends with the record that brings it to ``archive_bytes``, and starts with a filedesc
     record. The key is a header of the recorded response.
     """
-    size, rows = pages.agg(F.coalesce(F.sum(F.octet_length(payload)), F.lit(0)), F.count("*")).first()
-    most = max(1, ARCHIVE_BYTES * rows // max(1, size)) if rows else 1
     body = F.coalesce(F.col(payload), F.lit(""))
     block = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Record-Key: "), F.coalesce(F.col(key).cast("string"), F.lit("-")), F.lit("\r\n\r\n"), body)
     place = F.regexp_replace(F.coalesce(F.nullif(F.col(url), F.lit("")), F.lit("-")), r"\s", "%20")
     day = F.date_format(F.expr(f"timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(pmod(coalesce({key}, 0), 365) as int))"), "yyyyMMddHHmmss")
-    nr = F.monotonically_increasing_id()
-    rows = pages.select(nr.alias("nr"), place.alias("place"), day.alias("day"), block.alias("block"))
-    common, length = [F.col("place"), F.lit("0.0.0.0"), F.col("day"), F.lit("text/html")], F.octet_length("block").cast("string")
-    second = F.shiftright("nr", 33) % 2 == 1  # of every other partition
-    lines, heads = [], []
-    for version, title, more in ((1, VERSION_1_TITLE, ""), (2, VERSION_2_TITLE, "200 - - 0 legacy.arc ")):
+    rows = pages.select(*(x.cast("binary").alias(c) for c, x in (("place", place), ("day", day), ("block", block))))
+    # a row is an archive
+    rows.mapInArrow(_archives(archive_bytes), "value string").write.option("lineSep", "\n").option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+
+
+def _archives(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        version = 1 + TaskContext.get().partitionId() % 2
+        title, more = ((VERSION_1_TITLE, ""), (VERSION_2_TITLE, "200 - - 0 legacy.arc "))[version - 1]
         about = f"{version} 0 Plinth\n{title}\n"
-        heads.append(F.lit(f"filedesc://legacy.arc 0.0.0.0 20240101000000 text/plain {more}{len(about)}\n{about}\n"))
-        lines.append(F.concat(F.concat_ws(" ", *common), F.lit(f" {more}"), length, F.lit("\n"), F.col("block")))
-    begins = F.col("nr").bitwiseAND(F.lit((1 << 33) - 1)) % most == 0
-    value = F.concat(F.when(begins, F.when(second, heads[1]).otherwise(heads[0])).otherwise(F.lit("")), F.when(second, lines[1]).otherwise(lines[0]))
-    rows.select(value.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
+        first = f"filedesc://legacy.arc 0.0.0.0 20240101000000 text/plain {more}{len(about)}\n{about}".encode()
+        held, size = [first], 0
+        whole = lambda: pa.RecordBatch.from_arrays([pa.array([b"\n".join(held)], pa.string())], names=["value"])
+        for batch in batches:
+            for place, day, block in zip(*(batch.column(c) for c in ("place", "day", "block")), strict=True):
+                block = block.as_py()
+                held.append(b"%b 0.0.0.0 %b text/html %b%d\n%b" % (place.as_py(), day.as_py(), more.encode(), len(block), block))
+                size += len(held[-1])
+                if size >= most:
+                    yield whole()
+                    held, size = [first], 0
+        if size:
+            yield whole()
+
+    return run
+
+
+ADDRESS = re.compile(r"[0-9A-Fa-f.:]+|-")
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+
 
+def _head(line: str, names: list[str], strict: bool = False) -> dict | None:
+    """The fields of a header line; blanks inside an address or a content type belong to it. None if it isn't one.
 
-def _head(line: str, names: list[str]) -> dict | None:
-    """The fields of a header line; blanks inside an address belong to it. None if it isn't one."""
+    strict: of a line that nothing says is a header: its address has a scheme, its IP address and its date are such.
+    """
     fields = line.rstrip("\r").split(" ")
-    more = len(fields) - len(names)
-    if more < 0:
+    tail = len(names) - 4  # fields after the type
+    # the last date after an IP address; what stands between it and the tail is the type
+    ends = range(len(fields) - tail - 2, 1, -1)
+    at = next((i for i in ends if fields[i].isdecimal() and 8 <= len(fields[i]) <= 14 and ADDRESS.fullmatch(fields[i - 1])), None)
+    if at is None:
+        at = len(fields) - tail - 2
+        if at < 2 or strict or not fields[at].isdecimal():
+            return None
+    head = dict(zip(names, ["%20".join(fields[: at - 1]), fields[at - 1], fields[at], " ".join(fields[at + 1 : len(fields) - tail]), *fields[len(fields) - tail :]], strict=True))
+    if not head["length"].isdecimal() or len(head["length"]) > 18 or strict and not SCHEME.match(head["url"]):
         return None
-    head = dict(zip(names, ["%20".join(fields[: more + 1]), *fields[more + 1 :]], strict=True))
-    return head if head["length"].isdecimal() and head["date"].isdecimal() else None
+    return head
+
+
+def _line(content: bytes, at: int) -> tuple[str, int]:
+    """The line at a place, and where it ends (-1: at the archive's end)."""
+    end = content.find(b"\n", at)
+    return content[at : end if end >= 0 else len(content)].decode("utf-8", "replace"), end
+
+
+def _found_again(content: bytes, at: int, names: list[str]) -> bool:
+    """Whether a record begins here for sure: a full header line whose block ends where the archive does, or another header line follows."""
+    line, end = _line(content, at)
+    head = _head(line, names, True) if end >= 0 else None
+    if head is None:
+        return False
+    after = end + 1 + int(head["length"])
+    if after >= len(content):
+        return after == len(content)
+    if content[after] not in b"\r\n":
+        return False
+    while after < len(content) and content[after] in b"\r\n":
+        after += 1
+    return after == len(content) or _head(_line(content, after)[0], names, True) is not None
 
 
 def arc_records(content: bytes, skipped: list | None = None) -> Iterator[dict]:
@@ -97,10 +148,10 @@ def arc_records(content: bytes, skipped: list | None = None) -> Iterator[dict]:
         if content[at] in b"\r\n":
             at += 1
             continue
-        end = content.find(b"\n", at)
-        line = content[at : end if end >= 0 else len(content)].decode("utf-8", "replace")
+        line, end = _line(content, at)
         about = line.startswith("filedesc://")
-        head = _head(line, ARC_FIELDS[2 if line.rstrip("\r").count(" ") == 9 else 1] if about else ARC_FIELDS[version]) if end >= 0 else None
+        names = ARC_FIELDS[2 if line.rstrip("\r").count(" ") == 9 else 1] if about else ARC_FIELDS[version]
+        head = _head(line, names) if end >= 0 and (not lost or _found_again(content, at, names)) else None
         if head is None:
             if not lost:
                 skipped.append((at, f"no ARC {version} header line"))
@@ -139,6 +190,17 @@ def header(head: bytes, name: bytes) -> str | None:
     return None
 
 
+def number(said: str | None) -> int | None:
+    """A 64-bit number, null for anything else."""
+    return int(said) if said and re.fullmatch(r"-?[0-9]{1,19}", said) and -(2**63) <= int(said) < 2**63 else None
+
+
+def key_of(head: bytes) -> tuple[int | None, bool]:
+    """The key in a response's head, and whether there is one (``-`` is a null one). What isn't a number is another maker's."""
+    said = header(head, b"X-Record-Key")
+    return number(said), said == "-" or number(said) is not None
+
+
 _CAPTURES = pa.schema([("file", pa.string()), ("nr", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("type", pa.string()), ("kind", pa.string()), ("key", pa.int64()), ("has_key", pa.bool_()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("block", pa.binary())])
 _CAPTURES_DDL = "file string, nr long, url string, ip string, date string, type string, kind string, key long, has_key boolean, digest string, payload_bytes long, block binary"
 
@@ -177,8 +239,8 @@ def _read_arc(with_block: bool):
                     for nr, r in enumerate(arc_records(_plain(content.as_py()), skipped)):
                         kind = kind_of(r["url"], r["block"])
                         head, payload = response_parts(r["block"]) if kind == "response" else (b"", r["block"])
-                        key = header(head, b"X-Record-Key")
-                        yield {"file": file, "nr": nr, "url": r["url"], "ip": r["ip"], "date": r["date"], "type": r["type"], "kind": kind, "key": int(key) if key and key != "-" else None, "has_key": key is not None, "digest": hashlib.sha256(payload).hexdigest(), "payload_bytes": len(payload), "block": r["block"] if with_block else b""}
+                        key, has_key = key_of(head)
+                        yield {"file": file, "nr": nr, "url": r["url"], "ip": r["ip"], "date": r["date"], "type": r["type"], "kind": kind, "key": key, "has_key": has_key, "digest": hashlib.sha256(payload).hexdigest(), "payload_bytes": len(payload), "block": r["block"] if with_block else b""}
                     if not with_block:
                         for at, reason in skipped:
                             yield {"file": file, "nr": at, "kind": "skipped", "type": reason}
@@ -288,12 +350,12 @@ def _read_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     revisit = fields["warc-type"] == "revisit"
                     http = revisit or block.startswith(b"HTTP/")
                     head, payload = response_parts(block) if http else (b"", block)
-                    key, of = header(head, b"X-Record-Key"), header(head, _REVISIT.encode())
+                    key, of = key_of(head)[0], number(header(head, _REVISIT.encode()))
                     digest = fields["warc-payload-digest"].removeprefix("sha256:")
                     if not revisit and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError("a payload doesn't match its digest")
                     size = int(header(head, b"X-Payload-Length")) if revisit else len(payload)
-                    yield {"page_id": int(key) if key and key != "-" else None, "payload_bytes": size, "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": int(of) if of else None, "record_id": fields["warc-record-id"], "warc_date": fields["warc-date"], "url": fields.get("warc-target-uri")}
+                    yield {"page_id": key, "payload_bytes": size, "payload_digest": digest, "record_type": fields["warc-type"], "refers_to": of, "record_id": fields["warc-record-id"], "warc_date": fields["warc-date"], "url": fields.get("warc-target-uri")}
 
     return _batched(rows(), _ROWS, "payload_digest")
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -33,7 +34,7 @@ def corpus():
             words[SEED.randrange(120)] = SEED.choice(vocab)
         rows.append((i, " ".join(words)))
     rows += [(i, f"{say(30)} {passage} {say(i)}") for i in range(30, 45)]
-    rows += [(45, say(4000)), (46, "a b " * 200), (47, "x\n" * 40), (None, " ".join(base)), (8, rows[8][1])]
+    rows += [(45, say(4000)), (46, "a b " * 200), (47, "x\n" * 40), (48, "[a] # b [c] <d> " + say(20)), (None, " ".join(base)), (8, rows[8][1])]
     return rows
 
 
@@ -420,6 +421,25 @@ def test_language_evidence_of_pages(spark):
     assert [got[i] for i in (1, 2, 3, 4)] == ["de", "de", "de", "en"]
 
 
+def test_pages_in_any_markup(spark):
+    """Scripts, styles and comments are no text; markup counts in any case; a user's name is no part of a host."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs)
+    german = "Die Verantwortung liegt in den Händen der ersten Einheiten und über die Entstehung der Arbeit wird berichtet"
+    script = "<script>" + "the function of this thing is that the other one and then there\n" * 40 + "</script>"
+    bodies = {
+        1: f"<html><head>{script}</head><body>{german}</body></html>",
+        2: f"<HTML LANG='de'><HEAD><STYLE>{'the other thing and then ' * 40}</STYLE></HEAD><!-- {'that there is the thing ' * 40} --><BODY><P>ab</P></BODY></HTML>",
+        3: f"<!DOCTYPE html><body>{german}<script>{'and the other thing is there ' * 40}",
+    }
+    pages = spark.createDataFrame([(i, "http://the.user@host.example:80/x", t) for i, t in bodies.items()], "page_id long, url string, html string")
+    got = {r.doc_id: r for r in language_id.identified(pages, model, url="url", text="html", key="page_id").collect()}
+    plain = spark.createDataFrame([(1, f" {german} ")], "doc_id long, text string")
+    assert got[1].n_grams == got[3].n_grams == language_id.identified(plain, model).first().n_grams
+    assert {got[i].language for i in got} == {"de"}
+    assert got[2].n_grams == 2
+
+
 def test_host_priors_decide_what_a_text_leaves_open(spark):
     train = spark.createDataFrame([(i, t * 9, x) for i, (t, x) in enumerate([("the and this with ", "en"), ("der und nicht haus ", "de")] * 10)], "doc_id long, text string, lang string")
     model = language_id.fit(train)
@@ -517,6 +537,45 @@ def test_archives_of_other_makers(spark, tmp_path):
 # --- 2, 8, 10
 
 
+def arc(records, version=1):
+    head = lambda r: f"{r[0]} 1.2.3.4 20010203040506 {r[1]} {'200 - - 0 f ' if version == 2 else ''}{r[2] if len(r) > 3 else len(r[2])}"
+    about = f"{version} 0 x\n"
+    return b"\n".join([f"filedesc://f 0 20010203040506 text/plain {'200 - - 0 f ' if version == 2 else ''}{len(about)}\n{about}".encode(), *(head(r).encode() + b"\n" + r[-1] for r in records)]) + b"\n"
+
+
+def test_lost_headers_invent_no_records():
+    page = b"HTTP/1.1 200 OK\r\n\r\nlook:\nGET a 20000101 b 5\nabcde\n\nhttp://x.org/ 1.2.3.4 20010203040506 text/html 3\nabcd"
+    records = [("http://a.org/", "text/html", b"one"), ("http://b.org/", "text/html", "many", page), ("http://c.org/", "text/html; charset=utf-8", b"three"), ("http://d.org/a b", "x", b"four")]
+    for version in (1, 2):
+        skipped = []
+        got = list(warc_convert.arc_records(arc(records, version), skipped))[1:]
+        assert [(r["url"], r["type"], r["block"]) for r in got] == [("http://a.org/", "text/html", b"one"), ("http://c.org/", "text/html; charset=utf-8", b"three"), ("http://d.org/a%20b", "x", b"four")]
+        assert len(skipped) == 1
+        # the last record is found again too, and a header in a page that is read by its length is never looked at
+        got = list(warc_convert.arc_records(arc([records[1], ("http://e.org/", "x", page)], version)))[1:]
+        assert [(r["url"], r["block"]) for r in got] == [("http://e.org/", page)]
+
+
+def test_keys_of_other_makers(spark, tmp_path):
+    said = [b"abc", b"9" * 30, b"12", b"-"]
+    blocks = [b"HTTP/1.1 200 OK\r\nX-Record-Key: " + k + b"\r\n\r\n" + b"p" * 200 for k in said]
+    (tmp_path / "arcs").mkdir()
+    (tmp_path / "arcs" / "a.arc").write_bytes(arc([(f"http://{i}.org/", "text/html", b) for i, b in enumerate(blocks)]))
+    assert warc_convert.convert(spark, f"file://{tmp_path}/arcs", f"file://{tmp_path}/warcs").collect() == []
+    got = sorted((r.url, r.page_id, r.record_type, r.refers_to) for r in warc_convert.read_warc(spark, f"file://{tmp_path}/warcs").where("url is not null").collect())
+    assert got == [("http://0.org/", None, "revisit", 12), ("http://1.org/", None, "revisit", 12), ("http://2.org/", 12, "response", None), ("http://3.org/", None, "response", None)]
+
+
+def test_archives_end_by_size(spark, tmp_path):
+    """A run of long pages makes short archives, whatever the mean is."""
+    pages = spark.createDataFrame([(i, "http://a.org/", "x" * (5000 if i > 90 else 10)) for i in range(100)], "page_id long, url string, html string").coalesce(1)
+    warc_convert.write_arc(pages, f"file://{tmp_path}/arcs", archive_bytes=8000)
+    sizes = [len(warc_convert._plain(f.read_bytes())) for f in (tmp_path / "arcs").glob("*.gz")]
+    assert len(sizes) > 5 and max(sizes) < 8000 + 5200
+    warc_convert.convert(spark, f"file://{tmp_path}/arcs", f"file://{tmp_path}/warcs")
+    assert sorted(r.page_id for r in warc_convert.read_warc(spark, f"file://{tmp_path}/warcs").where("record_type <> 'warcinfo'").collect()) == list(range(100))
+
+
 def test_url_lists(spark):
     changes = [("block", "b.org", 3, True), ("block", "b.org", 9, False), ("allow", "a.b.org", 5, True), ("block", "c.org", 4, False), ("block", "x.b.org", 1, True), ("block", "x.b.org", 1, False), ("block", None, 1, True)]
     lists = url_lists.intervals(spark.createDataFrame(changes, "list string, entry string, day long, added boolean"))
@@ -539,6 +598,21 @@ def test_chat_format(spark):
     assert chat_format.chat_report(df.limit(0)).count() == 1  # the probe
 
 
+def test_a_long_chat(spark):
+    """Work grows with the turns, not with their square."""
+    n = 20_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<é"), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    got = {r.conv_id: r for r in chat_format.chat_report(rows).collect()}
+    assert time.time() - began < 60
+    turns = [("user" if i % 2 == 0 else "assistant", f"<é{i}") for i in range(n)]
+    assert got[1].n_turns == n and got[1].valid
+    assert got[1].turns_sha256 == sha("".join(f"{r}\n{t}\n" for r, t in turns))
+    assert got[1].loss_sha256 == sha("".join(t for r, t in turns if r == "assistant"))
+    whole = chat_format.formatted(rows).first()
+    assert all(whole.formatted[s.start : s.start + s.length] == f"~1é{i}" for i, s in enumerate(whole.segments))
+
+
 def test_quality_ledger(docs, rows):
     def brute(text):
         t = text or ""
@@ -546,7 +620,7 @@ def test_quality_ledger(docs, rows):
         grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
         cover = {i + k for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for k in range(8)}
         lines = [x for x in t.split("\n") if WORD.search(x)]
-        return len(w), sum(map(len, w)), sum(c in "#*$%&|<>[]" for c in t), len(lines) - len(set(lines)), len(cover)
+        return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover)
 
     got = quality_ledger.quality_report(docs).collect()
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == Counter((i, *brute(t)) for i, t in rows)
@@ -573,6 +647,12 @@ def test_clashing_columns(spark, docs, model_path):
     pages = spark.createDataFrame([(1, "http://a.org/", 3, "mine", "mine")], "id long, url string, fetched long, host string, entry string")
     lists = url_lists.intervals(spark.createDataFrame([("block", "a.org", 1, True)], "list string, entry string, day long, added boolean"))
     assert url_lists.judged(pages, lists).first().entry == "a.org"
+    # Spark's names know no case: a column Host is one of that name, and no other is touched
+    cased = url_lists.judged(pages.withColumnRenamed("host", "Host").withColumnRenamed("entry", "ENTRY").withColumn("Row", F.lit("mine")), lists)
+    assert cased.columns == ["id", "url", "fetched", "Row", "host", "n_active", "entry", "blocked"]
+    assert tuple(cased.first()) == (1, "http://a.org/", 3, "mine", "a.org", 1, "a.org", True)
+    counted = quality_ledger.ledger(docs.where("doc_id = 4").withColumn("N_Words", F.lit("mine")).withColumn("_words", F.lit("mine"))).first()
+    assert (counted.n_words, counted._words) == (2, "mine")
     odd = pages.select("id", "url", "fetched", *(F.lit("mine").alias(c) for c in ("_n", "_best", "n_active", "best", "list", "valid", "row")))
     assert url_lists.judged(odd, lists).columns == ["id", "url", "fetched", "_n", "_best", "best", "list", "valid", "row", "host", "n_active", "entry", "blocked"]
     assert url_lists.judged(odd, lists).select("best", "row", "blocked").first() == ("mine", "mine", True)
