@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.text import base_name, dir_name
-from plinth.operators import diff, folds, groups, lift, notes, search, views
+from plinth.operators import diff, diffview, folds, groups, lift, notes, search, views
 
 REACHING = ["calls", "extends", "implements", "associates"]
 
@@ -32,8 +32,29 @@ class Project:
     status: DataFrame | None = None
     groups: DataFrame | None = None
 
+    def missing(self, spec: views.Spec) -> str | None:
+        """What a spec asks for that isn't there: a file, a category or a directory; asked of everything, whatever the filter keeps."""
+        if spec.diff:
+            return None
+        if spec.focus is not None:
+            return f"no such file: {spec.focus}" if self.files.where(F.col("path") == spec.focus).isEmpty() else None
+        if spec.category is not None:
+            state = None if self.groups is None else self.groups.where(F.col("group_id") == spec.category).select("state").first()
+            return f"no such category: {spec.category}" if state is None else f"category {spec.category} was rejected" if state[0] == "rejected" else None
+        scope = spec.scope.strip("/")
+        return f"no such directory: {scope}" if scope and self.files.where(F.col("path").startswith(scope + "/")).isEmpty() else None
+
+    def diff_view(self, spec: views.Spec, before: Project) -> diffview.DiffView:
+        """The view of what changed since another state of the project: ghosts among what stayed, lines for each change, far ends."""
+        nodes = lambda p: p.symbols.select("id", "kind", "path", *[c for c in ("owner", "start_line") if c in p.symbols.columns]).unionByName(p.files.select(F.col("path").alias("id"), F.lit("file").alias("kind"), "path"), allowMissingColumns=True)
+        named = diff.graph_diff(nodes(before), nodes(self), before.edges, self.edges).where("kind = 'file'").select(F.col("id").alias("path"), "change")
+        rows = lambda p: p.symbols.select(F.col("path").alias("file"), "id", "ord", "name", "kind", F.col("owner") if "owner" in p.symbols.columns else F.lit(None).cast("string").alias("owner"))
+        return diffview.diff_view(named, (rows(before), before.edges), (rows(self), self.edges), spec.filter, list(spec.edges))
+
     def view(self, spec: views.Spec, before: DataFrame | None = None) -> View:
-        """A view by its spec: a difference (needs the edges before), a focus, a category or a scope."""
+        """A view by its spec: a difference (needs the edges before), a focus, a category or a scope. LookupError for one that isn't there."""
+        if what := self.missing(spec):
+            raise LookupError(what)
         kept = views.keep_files(self.files, spec.filter, self.status)
         edges = self.edges.where(F.col("kind").isin(*spec.edges))
         lines = lift.without_told_imports(lift.between(lift.lift_to_files(edges), kept))

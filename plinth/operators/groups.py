@@ -100,9 +100,12 @@ def overlaps(groups: DataFrame) -> DataFrame:
     return pairs.join(sizes.select(F.col("group_id").alias("a"), F.col("n").alias("size_a")), "a").join(sizes.select(F.col("group_id").alias("b"), F.col("n").alias("size_b")), "b")
 
 
-def orphans(stored: DataFrame, matches: DataFrame) -> DataFrame:
-    """Accepted groups that no cluster matches any more."""
-    return stored.where("state = 'accepted'").select("group_id").distinct().join(matches.select("group_id"), "group_id", "left_anti")
+def orphans(stored: DataFrame, taken: DataFrame) -> DataFrame:
+    """Accepted groups that weren't drawn by hand and that no cluster was assigned: taken is of assigned()."""
+    rows = stored.where("state = 'accepted'")
+    if "origin" in stored.columns:
+        rows = rows.where("not origin <=> 'manual'")
+    return rows.select("group_id").distinct().join(taken.select("group_id"), "group_id", "left_anti")
 
 
 def newest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:

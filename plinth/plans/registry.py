@@ -502,16 +502,26 @@ def group_matches(g: Graph) -> DataFrame:
     return _scores(g)
 
 
-@query()
+#: One pair after the other, best first: a pair is taken if neither of its ends is.
+TAKEN_SQL = MATCH_SQL + """, od AS (SELECT row_number() OVER (ORDER BY score DESC, cluster, group_id) AS k, * FROM sc WHERE score IS NOT NULL),
+ wk AS (WITH RECURSIVE w AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS cs, []::VARCHAR[] AS gs UNION ALL SELECT od.k, CASE WHEN list_contains(cs, cluster) OR list_contains(gs, group_id) THEN cs ELSE list_append(cs, cluster) END,
+  CASE WHEN list_contains(cs, cluster) OR list_contains(gs, group_id) THEN gs ELSE list_append(gs, group_id) END FROM w JOIN od ON od.k = w.k + 1) SELECT arg_max(cs, k) AS cs, arg_max(gs, k) AS gs FROM w),
+ tk AS (SELECT unnest(cs) AS cluster, unnest(gs) AS group_id FROM wk)"""
+
+
+def _assigned(g: Graph) -> DataFrame:
+    return groups.assigned(_scores(g).select(F.lit("p").alias("project"), F.lit(0).alias("position"), "cluster", "group_id", "score"))
+
+
+@query(TAKEN_SQL + " SELECT 'p' AS project, cluster, group_id, score FROM tk JOIN sc USING (cluster, group_id)")
 def group_assignment(g: Graph) -> DataFrame:
-    """Best pairs first, each cluster and each group once; held against brute force in the tests."""
-    scores = _scores(g).select(F.lit("p").alias("project"), F.lit(0).alias("position"), "cluster", "group_id", "score")
-    return groups.assigned(scores)
+    """Best pairs first, each cluster and each group once."""
+    return _assigned(g)
 
 
-@query(MATCH_SQL + " SELECT DISTINCT group_id FROM grp WHERE state = 'accepted' AND group_id NOT IN (SELECT group_id FROM sc WHERE score IS NOT NULL)")
+@query(TAKEN_SQL + " SELECT DISTINCT group_id FROM grp WHERE state = 'accepted' AND group_id NOT IN (SELECT group_id FROM tk)")
 def orphans(g: Graph) -> DataFrame:
-    return groups.orphans(g.groups, _scores(g))
+    return groups.orphans(g.groups, _assigned(g))
 
 
 @query(""", gn AS (SELECT group_id, path FROM grp UNION ALL SELECT 'tests:' || regexp_replace(path, '/tests/.*$', ''), path FROM files WHERE contains(path, '/tests/') UNION ALL SELECT 'size:' || length(path) || regexp_extract(path, '[^/]*$'), path FROM files),

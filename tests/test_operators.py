@@ -311,7 +311,7 @@ def test_debounce_stream_agrees_with_rest(spark, tmp_path):
 
 def test_writers_stream_agrees_with_rest(spark, tmp_path):
     rows = [(1, 0, "f", "me"), (2, 500, "f", None), (3, 700, "f", None), (4, 100, "g", None), (5, 5000, "f", None), (6, 6000, "f", "you"), (7, 6900, "f", None)]
-    events = frame(spark, rows, "id long, ms long, path string, agent string").select("id", F.timestamp_millis("ms").alias("at"), "path", "agent")
+    events = frame(spark, rows, "id long, ms long, path string, agent string").select("id", F.timestamp_millis(F.col("ms") + 86_400_000).alias("at"), "path", "agent")  # a watermark begins at 0
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
     q = live.writers_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("wr").outputMode("append").start()
     q.processAllAvailable()
