@@ -220,7 +220,8 @@ def declared_coverage(g: Graph) -> DataFrame:
 # --- members, names and lines ------------------------------------------------------------------------------------
 
 MEMBER_SQL = DECL_SQL + """, ask AS (SELECT id AS owner_id, file, name AS owner, member FROM nodes, (SELECT unnest(['s3', 's4', 's9', 's10']) AS member) WHERE kind IN ('class', 'interface')), mb AS (SELECT file, owner, name AS member, min_by(id, ord) AS id FROM nodes WHERE owner IS NOT NULL GROUP BY ALL),
- oth AS (SELECT owner_id, ask.member, min_by(mb.id, mb.file) AS id FROM ask JOIN mb ON mb.owner = ask.owner AND mb.member = ask.member AND mb.file <> ask.file AND mb.file LIKE '%.go' AND ask.file LIKE '%.go' AND regexp_replace(mb.file, '/[^/]*$', '') = regexp_replace(ask.file, '/[^/]*$', '') AND length(mb.file) % 2 = length(ask.file) % 2 GROUP BY ALL)"""
+ gm AS (SELECT regexp_replace(file, '/[^/]*$', '') AS dir, length(file) % 2 AS package, owner, member, arg_min(id, file, 2) AS ids, min(file, 2) AS homes FROM mb WHERE file LIKE '%.go' GROUP BY ALL),
+ oth AS (SELECT owner_id, ask.member, CASE WHEN homes[1] <> ask.file THEN ids[1] ELSE ids[2] END AS id FROM ask JOIN gm ON gm.dir = regexp_replace(ask.file, '/[^/]*$', '') AND gm.package = length(ask.file) % 2 AND gm.owner = ask.owner AND gm.member = ask.member WHERE ask.file LIKE '%.go')"""
 
 
 @query(MEMBER_SQL + " SELECT owner_id, ask.member, coalesce(mb.id, oth.id) AS dst FROM ask LEFT JOIN mb USING (file, owner, member) LEFT JOIN oth USING (owner_id, member)")
