@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.text import ancestors, base_name, dir_name, normalised, shared_depth
+from plinth.operators.nearby import nearest_first, tails
 
 #: What is tried after a path without a known suffix, in order.
 SCRIPT_SUFFIXES = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".d.ts", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
@@ -70,19 +71,19 @@ def workspace(imports: DataFrame, files: DataFrame, packages: DataFrame) -> Data
     return _first(_exploded(rows, options), files)
 
 
-def nearest(candidates: DataFrame) -> DataFrame:
-    """(file, ord, target): of candidates (file, ord, target, nr), that which shares most directories; the first keeps a tie."""
-    rows = candidates.withColumn("depth", shared_depth(F.col("file"), F.col("target")))
-    return rows.groupBy("file", "ord").agg(F.min(F.struct((-F.col("depth")).alias("d"), "nr", "target")).alias("b")).select("file", "ord", F.col("b.target").alias("target"))
+def java(imports: DataFrame, files: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """'a.b.C', or several with '|': the first name, and its longest part before a type, that a file has; the nearest file, ties to the first.
 
-
-def java(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """'a.b.C', or several with '|': files of that name whose directories end with the package; the nearest, ties to the first."""
-    rows = imports.select("file", "ord", F.posexplode(F.split("specifier", r"\|")).alias("nr", "name"))
-    rows = rows.select("file", "ord", "nr", F.concat(F.regexp_replace("name", r"\.", "/"), F.lit(".java")).alias("suffix")).withColumn("base", base_name(F.col("suffix")))
-    known = files.where(F.col("path").endswith(".java")).select(F.col("path").alias("target"), base_name(F.col("path")).alias("base"))
-    met = rows.join(known, "base").where("target = suffix or endswith(target, concat('/', suffix))")
-    return nearest(met.select("file", "ord", "target", F.struct("nr", "target").alias("nr")))
+    A file answers for its name in the package that it declares (``packages``: path, package); one that isn't listed there for every ending of its directory.
+    A name without a package means no file.
+    """
+    known = files.where(F.col("path").endswith(".java")).select("path", F.expr("substring(path, 1, length(path) - 5)").alias("type"))
+    known = known.join(packages.select("path", "package"), "path", "left") if packages is not None else known.withColumn("package", F.lit(None).cast("string"))
+    said = F.concat(F.replace("package", F.lit("."), F.lit("/")), F.lit("/"), base_name(F.col("type")))
+    index = known.select("path", F.explode(F.when(F.col("package").isNotNull(), F.array(said)).otherwise(tails(F.col("type")))).alias("key")).where("contains(key, '/')")
+    cuts = lambda n: F.reverse(F.transform(F.sequence(F.lit(1), F.size(F.split(n, r"\."))), lambda i: F.array_join(F.slice(F.split(n, r"\."), F.lit(1), i), "/")))
+    wanted = imports.select("file", "ord", F.posexplode(F.flatten(F.transform(F.split("specifier", r"\|"), cuts))).alias("rank", "key"))
+    return nearest_first(wanted.where("contains(key, '/')"), index)
 
 
 def go(imports: DataFrame, files: DataFrame, module: str, declarations: DataFrame | None = None, packages: DataFrame | None = None) -> DataFrame:
@@ -194,13 +195,39 @@ def cpp(imports: DataFrame, files: DataFrame, roots: tuple[str, ...] = ("include
     return _first(_exploded(imports, F.transform(dirs, lambda d: normalised(F.concat(d, F.lit("/"), name)))), files)
 
 
-def php(imports: DataFrame, files: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """PSR-4 (prefix, dir): the longest prefix whose directory has the class."""
-    name = F.regexp_replace("specifier", r"^\\+", "")
-    cut = F.transform(F.sequence(F.lit(0), F.length(name)), lambda n: F.substring(name, F.lit(1), n))
-    rows = imports.select("file", "ord", name.alias("name"), F.explode(cut).alias("prefix")).join(prefixes, "prefix")
-    path = normalised(F.concat("dir", F.lit("/"), F.regexp_replace(F.expr("substring(name, length(prefix) + 1)"), r"\\", "/"), F.lit(".php")))
-    return _first(rows.select("file", "ord", (-F.length("prefix")).alias("k"), path.alias("path")), files)
+def php(imports: DataFrame, files: DataFrame, prefixes: DataFrame, declarations: DataFrame | None = None, namespaces: DataFrame | None = None) -> DataFrame:
+    """Names, or several with '|': the first that has a file. PSR-4 (prefix, dir) comes first: the longest prefix whose directory has the class.
+
+    Else, given ``declarations`` (path, name) and ``namespaces`` (path, namespace), the nearest file: one named after the class whose namespace it is (a read file
+    without a namespace answers only for what it declares, one that wasn't read for every ending of its directory), then any of the namespace that declares the name.
+    """
+    rows = imports.select("file", "ord", F.posexplode(F.split("specifier", r"\|")).alias("nr", "name")).withColumn("name", F.regexp_replace("name", r"^\\+", ""))
+    parts = F.split("name", r"\\")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "\\"))
+    known = prefixes.select(F.rtrim("prefix", F.lit("\\")).alias("prefix"), "dir")
+    mapped = rows.select("file", "ord", "nr", "name", F.explode(above).alias("prefix")).join(known, "prefix")
+    rest = F.when(F.col("prefix") == "", F.col("name")).otherwise(F.expr("substring(name, length(prefix) + 2)"))
+    path = normalised(F.concat("dir", F.lit("/"), F.replace(rest, F.lit("\\"), F.lit("/")), F.lit(".php")))
+    psr4 = mapped.select("file", "ord", "nr", (-F.length("prefix")).alias("k"), path.alias("path")).join(files.select("path"), "path", "left_semi")
+    psr4 = psr4.groupBy("file", "ord").agg(F.min(F.struct("nr", "k", "path")).alias("b")).select("file", "ord", F.col("b.nr").alias("nr"), F.col("b.path").alias("target"))
+    if declarations is None or namespaces is None:
+        return psr4.select("file", "ord", "target")
+    key = lambda kind, space, name: F.concat_ws("\n", F.lit(kind), space, name)
+    told = declarations.where(F.col("path").endswith(".php")).select("path", "name").distinct().join(namespaces.select("path", "namespace"), "path", "left")
+    stem = F.expr("substring(path, 1, length(path) - 4)")
+    mine = files.where(F.col("path").endswith(".php")).select("path", stem.alias("stem"), base_name(stem).alias("name")).join(namespaces.select("path", "namespace"), "path", "left")
+    open_ = mine.where("namespace is null")
+    unread = open_.join(told.select("path"), "path", "left_anti").select("path", "name", F.explode(tails(F.col("stem"))).alias("tail"))
+    spaced = unread.where("contains(tail, '/')").select("path", key("file", F.replace(dir_name(F.col("tail")), F.lit("/"), F.lit("\\")), F.col("name")).alias("key"))
+    topmost = unread.where("path = concat(tail, '.php') and not contains(path, '/')").select("path", key("top", F.lit(""), F.col("name")).alias("key"))
+    index = mine.where("namespace is not null").select("path", key("file", F.col("namespace"), F.col("name")).alias("key"))
+    index = index.unionByName(open_.join(told.select("path", "name"), ["path", "name"], "left_semi").select("path", key("file", F.lit(""), F.col("name")).alias("key")))
+    index = index.unionByName(spaced).unionByName(topmost).unionByName(told.select("path", key("any", F.coalesce("namespace", F.lit("")), F.col("name")).alias("key")))
+    space, simple = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "\\"), F.element_at(parts, -1)
+    keys = F.array(F.struct((F.col("nr") * 2).alias("rank"), key("file", space, simple).alias("key")), F.struct((F.col("nr") * 2).alias("rank"), key("top", F.lit(""), simple).alias("key")), F.struct((F.col("nr") * 2 + 1).alias("rank"), key("any", space, simple).alias("key")))
+    early = rows.join(psr4.select("file", "ord", F.col("nr").alias("done")), ["file", "ord"], "left").where("done is null or nr < done")
+    found = nearest_first(early.select("file", "ord", F.inline(keys)), index)
+    return found.unionByName(psr4.join(found, ["file", "ord"], "left_anti").select("file", "ord", "target"))
 
 
 def rust(imports: DataFrame, files: DataFrame) -> DataFrame:

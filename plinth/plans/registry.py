@@ -690,17 +690,6 @@ def page_links(g: Graph) -> DataFrame:
     return extract.links(g.table("pages")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-@query(""", im AS (SELECT DISTINCT src AS file, dst FROM edges WHERE kind = 'imports' AND src LIKE '%.java' AND dst LIKE '%.java'), tg AS (SELECT file, regexp_replace(dst, '^.*/', '') AS base, row_number() OVER (PARTITION BY file ORDER BY dst) AS ord FROM im),
- c AS (SELECT tg.file, ord, f.path AS target, CASE WHEN split_part(tg.file, '/', 1) <> split_part(f.path, '/', 1) THEN 0 WHEN split_part(tg.file, '/', 2) <> split_part(f.path, '/', 2) THEN 1 WHEN contains(tg.file, '/tests/') AND contains(f.path, '/tests/') THEN 3 ELSE 2 END AS depth FROM tg JOIN files f ON ends_with(f.path, '/' || base))
- SELECT file, ord, arg_min(target, (10 - depth)::VARCHAR || target) AS target FROM c GROUP BY ALL""")
-def resolved_java(g: Graph) -> DataFrame:
-    """Imports by class name alone: the nearest file of that name."""
-    im = g.edges.where("kind = 'imports' and src like '%.java' and dst like '%.java'").select(F.col("src").alias("file"), "dst")
-    ord_ = F.row_number().over(Window.partitionBy("file").orderBy("dst"))  # imports of one file
-    im = im.withColumn("ord", ord_).select("file", "ord", F.regexp_replace(P.base_name(F.col("dst")), r"\.java$", "").alias("specifier"))
-    return resolve.java(im, g.files).select("file", "ord", "target")
-
-
 @query(""", im AS (SELECT DISTINCT src AS file, dst FROM edges WHERE kind = 'imports' AND src LIKE '%.ts' AND dst LIKE '%.ts') SELECT file, dst AS target FROM im""")
 def resolved_scripts(g: Graph) -> DataFrame:
     """Relative specifiers, made of import edges, lead back to the files."""
