@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.functions.text import base_name, dir_name
+from plinth.functions.text import base_name, dir_name, named
 from plinth.operators import diff, diffview, folds, groups, lift, notes, search, views
 
 REACHING = ["calls", "extends", "implements", "associates"]
@@ -85,7 +85,7 @@ class Project:
         imports = self.edges.where("kind = 'imports'").select("src_file", "dst_file").distinct()
         importers = imports.where(F.col("dst_file") == path).select(F.col("src_file").alias("path"))
         wide = imports.groupBy(F.col("dst_file").alias("path")).agg(F.count("*").alias("reach"))
-        return {"imports": imports.where(F.col("src_file") == path).select(F.col("dst_file").alias("path")), "imported_by": importers, "pass_throughs": importers.join(wide, "path").orderBy(F.desc("reach"), "path")}
+        return {"imports": imports.where(F.col("src_file") == path).select(F.col("dst_file").alias("path")), "imported_by": importers, "pass_throughs": importers.join(wide, "path").orderBy(F.desc("reach"), named(F.col("path")))}
 
     def folder(self, path: str) -> dict[str, DataFrame]:
         """Imports that cross a folder's edge, both ways."""

@@ -93,5 +93,15 @@ def line_count(text: Column) -> Column:
     return (ends + ((F.length(text) > 0) & ~text.endswith("\n")).cast("int")).cast("long")
 
 
+def named(name: Column) -> Column:
+    """A name as a reader's list orders it: by the Unicode collation (letters before case and accents, signs before digits), not by code unit. For sorting only."""
+    return F.collate(name, "UNICODE")
+
+
+def in_names_order(names: Column) -> Column:
+    """An array of names in that order; names that it doesn't tell apart by code unit."""
+    return F.transform(F.array_sort(F.transform(F.array_sort(names), named)), lambda x: F.collate(x, "UTF8_BINARY"))
+
+
 def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "-"), "^-|-$", "")

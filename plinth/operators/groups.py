@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.staging import staged
+from plinth.functions.text import in_names_order
 
 SAME, INSIDE = 0.6, 0.5
 
@@ -89,7 +90,7 @@ def reaching_into(edges: DataFrame, files: DataFrame, groups: DataFrame, kinds:
     own = partition(files, groups.where("state = 'accepted'")).where("box <> 'component:none'").select("path", F.expr("substring(box, 11)").alias("own"))
     pairs = edges.where(F.col("kind").isin(kinds)).select("src_file", "dst_file").distinct()
     there = pairs.join(own.select(F.col("path").alias("src_file"), "own"), "src_file").join(own.select(F.col("path").alias("dst_file"), F.col("own").alias("there")), "dst_file").where("own <> there")
-    crossed = there.groupBy(F.col("src_file").alias("path")).agg(F.array_sort(F.collect_set("there")).alias("crossed"))
+    crossed = there.groupBy(F.col("src_file").alias("path")).agg(in_names_order(F.collect_set("there")).alias("crossed"))
     return own.join(crossed, "path", "left").select("path", "own", F.coalesce("crossed", F.array().cast("array<string>")).alias("crossed"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.functions.text import named as by_name
+
 
 def all_guessed() -> Column:
     """Holds for a line only while every reference was a guess; otherwise it is absent."""
@@ -117,7 +119,7 @@ def roots(edges: DataFrame, files: DataFrame, most: int = 12, named: DataFrame |
     found = start.join(by_source, "path", "left_anti").join(by_test, "path", "left").join(imports, "path", "left")
     found = found.select("path", F.when(F.col("tested"), "only tests reach it").otherwise("nothing reaches it").alias("why"), F.coalesce("imports", F.lit(0)).alias("imports"))
     total = found.agg(F.count("*").alias("total"))
-    return found.orderBy(F.desc("imports"), "path").limit(most).crossJoin(F.broadcast(total))  # one row
+    return found.orderBy(F.desc("imports"), by_name(F.col("path")), "path").limit(most).crossJoin(F.broadcast(total))  # one row
 
 
 def in_and_out(lines: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Lists: the order of their rows, how it holds when they change, and the ranking of commands. A list is a view; names go by code unit."""
+"""Lists: the order of their rows, how it holds when they change, and the ranking of commands. A list is a view; names go by the Unicode collation."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.functions.text import named
 from plinth.operators import search
 
 #: Kinds of rows and states of files in the order of a list.
@@ -28,7 +29,7 @@ def measure(key: str) -> Column:
 
 def sorted_rows(rows: DataFrame, key: str, descending: bool) -> DataFrame:
     """rows (view, id, label, external, ...) with ``position`` from 0; ties by name, those outside the scope last, then by id."""
-    names = [F.col("external"), F.col("label"), F.col("id")]
+    names = [F.col("external"), named(F.col("label")), F.col("id")]
     turned = [c.desc() if descending else c.asc() for c in (names[:2] if key == "name" else [measure(key)])]
     order = Window.partitionBy("view").orderBy(*turned, *names)  # the rows of one list
     return rows.withColumn("position", (F.row_number().over(order) - 1).cast("long"))
@@ -56,4 +57,4 @@ def rank_commands(commands: DataFrame, query: str) -> DataFrame:
     low = F.lower("title")
     first = F.when(F.instr(low, needle) > 0, F.instr(low, needle)).otherwise(F.instr(low, needle[0])) - 1
     rows = rows.select("title", search.score(F.col("title"), needle).cast("int").alias("score"), (F.lower("label") == needle).alias("exact"), (first >= F.length("menu") + 2).alias("in_label"))
-    return rows.where("score is not null").orderBy(F.desc("exact"), F.desc("score"), F.desc("in_label"), "title")
+    return rows.where("score is not null").orderBy(F.desc("exact"), F.desc("score"), F.desc("in_label"), named(F.col("title")))

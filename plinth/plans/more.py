@@ -308,13 +308,13 @@ def _rows(g: Graph) -> DataFrame:
     return rows.select(P.dir_name(F.col("path")).alias("view"), F.col("path").alias("id"), P.base_name(F.col("path")).alias("label"), F.lit(False).alias("external"), F.coalesce("n", F.lit(0)).alias("weight_in"), F.coalesce("m", F.lit(0)).alias("weight_out"), "status", F.lit(0).alias("git_changed"))
 
 
-@query(LIST_SQL + " SELECT view, id, row_number() OVER (PARTITION BY view ORDER BY CASE status WHEN 'modified' THEN 200 WHEN 'added' THEN 199 WHEN 'renamed' THEN 197 ELSE 0 END DESC, label) - 1 AS position FROM ro")
+@query(LIST_SQL + " SELECT view, id, row_number() OVER (PARTITION BY view ORDER BY CASE status WHEN 'modified' THEN 200 WHEN 'added' THEN 199 WHEN 'renamed' THEN 197 ELSE 0 END DESC, label COLLATE en_us) - 1 AS position FROM ro")
 def list_order(g: Graph) -> DataFrame:
     """The files of each directory by what happened to them."""
     return lists.sorted_rows(_rows(g), "git", True).select("view", "id", "position")
 
 
-@query(LIST_SQL + """, hl AS (SELECT view, id, row_number() OVER (PARTITION BY view ORDER BY m DESC, label) - 1 AS at_ FROM ro WHERE n % 3 <> 0), nw AS (SELECT view, id, row_number() OVER (PARTITION BY view ORDER BY n, label) - 1 AS rank FROM ro WHERE n % 4 <> 1),
+@query(LIST_SQL + """, hl AS (SELECT view, id, row_number() OVER (PARTITION BY view ORDER BY m DESC, label COLLATE en_us) - 1 AS at_ FROM ro WHERE n % 3 <> 0), nw AS (SELECT view, id, row_number() OVER (PARTITION BY view ORDER BY n, label COLLATE en_us) - 1 AS rank FROM ro WHERE n % 4 <> 1),
  x AS (SELECT nw.*, at_, coalesce((SELECT max(h.at_) FROM hl h JOIN nw o ON o.id = h.id WHERE h.view = nw.view AND o.rank < nw.rank), -1) AS after FROM nw LEFT JOIN hl USING (view, id)) SELECT view, id, row_number() OVER (PARTITION BY view ORDER BY coalesce(at_, after), at_ IS NULL, rank) - 1 AS position FROM x""")
 def held_order(g: Graph) -> DataFrame:
     """Lists that were sorted by guesses and are now sorted by imports, with rows that came and went."""

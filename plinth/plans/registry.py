@@ -189,7 +189,7 @@ def provides(g: Graph) -> DataFrame:
 @query(""", rc AS (SELECT DISTINCT src_file, dst_file AS path FROM edges WHERE src_file <> dst_file AND kind <> 'contains'), rt AS (SELECT path, bool_or(NOT test) AS by_source, bool_or(test) AS by_test FROM rc JOIN (SELECT path AS src_file, test FROM files) USING (src_file) GROUP BY path),
  im AS (SELECT src_file AS path, count(DISTINCT dst_file) AS imports FROM edges WHERE kind = 'imports' AND src_file <> dst_file GROUP BY 1),
  f AS (SELECT path, CASE WHEN by_test THEN 'only tests reach it' ELSE 'nothing reaches it' END AS why, coalesce(imports, 0) AS imports FROM files LEFT JOIN rt USING (path) LEFT JOIN im USING (path) WHERE NOT test AND path NOT LIKE '%.d.ts' AND NOT coalesce(by_source, false))
- SELECT path, why, imports, count(*) OVER () AS total FROM f ORDER BY imports DESC, path LIMIT 12""")
+ SELECT path, why, imports, count(*) OVER () AS total FROM f ORDER BY imports DESC, path COLLATE en_us, path LIMIT 12""")
 def roots(g: Graph) -> DataFrame:
     return lift.roots(g.edges, g.files)
 
@@ -197,7 +197,7 @@ def roots(g: Graph) -> DataFrame:
 @query(""", ge AS (SELECT * FROM after ANTI JOIN before USING (src, kind, dst)), rc AS (SELECT DISTINCT src_file, dst_file AS path FROM ge WHERE src_file <> dst_file AND kind = 'imports'), rt AS (SELECT path, bool_or(NOT test) AS by_source, bool_or(test) AS by_test FROM rc JOIN (SELECT path AS src_file, test FROM files) USING (src_file) GROUP BY path),
  im AS (SELECT src_file AS path, count(DISTINCT dst_file) AS imports FROM ge WHERE kind = 'imports' AND src_file <> dst_file GROUP BY 1),
  f AS (SELECT path, CASE WHEN by_test THEN 'only tests reach it' ELSE 'nothing reaches it' END AS why, coalesce(imports, 0) AS imports FROM files LEFT JOIN rt USING (path) LEFT JOIN im USING (path) WHERE NOT test AND path NOT LIKE '%.ts' AND NOT coalesce(by_source, false))
- SELECT path, why, imports, count(*) OVER () AS total FROM f ORDER BY imports DESC, path LIMIT 12""")
+ SELECT path, why, imports, count(*) OVER () AS total FROM f ORDER BY imports DESC, path COLLATE en_us, path LIMIT 12""")
 def roots_of_additions(g: Graph) -> DataFrame:
     """Files that no import added between two snapshots reaches; scripts are named entry points."""
     added = g.snapshot(True).where("kind = 'imports'").join(g.snapshot(False), ["src", "kind", "dst"], "left_anti")
@@ -330,7 +330,7 @@ def changes_by_status(g: Graph) -> DataFrame:
 @query(" SELECT path, status, (path IN (SELECT path FROM symbols)) AS in_graph FROM status ORDER BY 3 DESC, 1")
 def changed_in_graph(g: Graph) -> DataFrame:
     known = g.symbols.select("path", F.lit(True).alias("k")).distinct()
-    return g.status.join(known, "path", "left").select("path", "status", F.coalesce("k", F.lit(False)).alias("in_graph")).orderBy(F.desc("in_graph"), "path")
+    return g.status.join(known, "path", "left").select("path", "status", F.coalesce("k", F.lit(False)).alias("in_graph")).orderBy(F.desc("in_graph"), P.named(F.col("path")))
 
 
 @query(" SELECT path, count(line) AS lines, count(*) FILTER (hits > 0) AS covered FROM files LEFT JOIN cov USING (path) GROUP BY path HAVING count(line) > 0")

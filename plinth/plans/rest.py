@@ -61,7 +61,7 @@ def smallest_claims(g: Graph) -> DataFrame:
 
 @query(""", ac AS (SELECT * FROM grp WHERE state = 'accepted'), ow AS (SELECT path, arg_min(group_id, (CASE WHEN group_id IN (SELECT parent FROM ac WHERE parent IS NOT NULL) THEN 1 ELSE 0 END, rank, group_id)) AS own FROM ac GROUP BY path),
  cr AS (SELECT DISTINCT e.src_file AS path, b.own AS there FROM edges e JOIN ow a ON a.path = e.src_file JOIN ow b ON b.path = e.dst_file WHERE kind IN ('imports', 'calls', 'extends', 'implements', 'associates') AND a.own <> b.own)
- SELECT ow.path, own, coalesce(string_agg(there, ',' ORDER BY there), '') AS crossed FROM ow LEFT JOIN cr USING (path) GROUP BY ALL""")
+ SELECT ow.path, own, coalesce(string_agg(there, ',' ORDER BY there COLLATE en_us, there), '') AS crossed FROM ow LEFT JOIN cr USING (path) GROUP BY ALL""")
 def reaching_into(g: Graph) -> DataFrame:
     out = groups.reaching_into(g.edges, g.files, g.groups, ["imports", *REACHING])
     return out.select("path", "own", F.array_join("crossed", ",").alias("crossed"))

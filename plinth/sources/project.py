@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.staging import staged
-from plinth.functions.text import LANGUAGES, ancestors, base_name, dir_name, extension, in_ignored_dir, normalised
+from plinth.functions.text import LANGUAGES, ancestors, base_name, dir_name, extension, in_ignored_dir, named, normalised
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
@@ -44,7 +44,7 @@ def unread_kinds(names: DataFrame) -> DataFrame:
     """(ext, n): kinds of files that no reader knows, most frequent first."""
     ext = extension(F.col("path"))
     rows = names.where(~ext.isin(*LANGUAGES))
-    return rows.groupBy(F.when(ext == "", "(no extension)").otherwise(ext).alias("ext")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ext")
+    return rows.groupBy(F.when(ext == "", "(no extension)").otherwise(ext).alias("ext")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), named(F.col("ext")))
 
 
 # --- manifests: rows (path, text) ---------------------------------------------------------------------------------
@@ -81,7 +81,7 @@ def entry_points(manifests: DataFrame, files: DataFrame) -> DataFrame:
     said = pk.select("dir", F.explode(F.array(F.struct(F.lit(1).alias("k"), F.lit("main of its package").alias("why"), F.col("p.main").alias("to")), F.struct(F.lit(2).alias("k"), F.lit("command of its package").alias("why"), F.col("p.bin").alias("to")))).alias("c")).where("c.to is not null")
     claims = said.select(F.concat_ws("/", F.nullif(F.col("dir"), F.lit("")), F.regexp_replace("c.to", r"^\./", "")).alias("path"), "c.k", "c.why").join(files.select("path"), "path", "left_semi")
     by_name = files.select("path", F.when(name == "__main__.py", F.struct(F.lit(3).alias("k"), F.lit("run as a module").alias("why"))).when((name == "main.go") | F.col("path").rlike(r"(^|/)src/(main|bin/[^/]+)\.rs$"), F.struct(F.lit(4).alias("k"), F.lit("program").alias("why"))).when(F.col("path").rlike(r"(^|/)(app|pages)/(.*/)?(page|layout|route|index)\.[jt]sx?$"), F.struct(F.lit(5).alias("k"), F.lit("page").alias("why"))).alias("c")).where("c is not null").select("path", "c.k", "c.why")
-    return claims.unionByName(by_name).groupBy("path").agg(F.min(F.struct("k", "why")).alias("c")).select("path", F.col("c.why").alias("why")).orderBy("path")
+    return claims.unionByName(by_name).groupBy("path").agg(F.min(F.struct("k", "why")).alias("c")).select("path", F.col("c.why").alias("why")).orderBy(named(F.col("path")))
 
 
 # --- script configurations: rows (path, text) -------------------------------------------------------------------
