@@ -74,16 +74,6 @@ def crates(manifests: DataFrame) -> DataFrame:
     return rows.select(F.regexp_extract("text", r"(?ms)^\[package\][^\[]*?^name\s*=\s*\"([^\"]+)\"", 1).alias("name"), dir_name(F.col("path")).alias("dir")).where("name <> ''")
 
 
-def entry_points(manifests: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, why): files that something outside starts; the first claim holds."""
-    name = base_name(F.col("path"))
-    pk = manifests.where(name == "package.json").select(dir_name(F.col("path")).alias("dir"), F.from_json("text", _PACKAGE).alias("p"))
-    said = pk.select("dir", F.explode(F.array(F.struct(F.lit(1).alias("k"), F.lit("main of its package").alias("why"), F.col("p.main").alias("to")), F.struct(F.lit(2).alias("k"), F.lit("command of its package").alias("why"), F.col("p.bin").alias("to")))).alias("c")).where("c.to is not null")
-    claims = said.select(F.concat_ws("/", F.nullif(F.col("dir"), F.lit("")), F.regexp_replace("c.to", r"^\./", "")).alias("path"), "c.k", "c.why").join(files.select("path"), "path", "left_semi")
-    by_name = files.select("path", F.when(name == "__main__.py", F.struct(F.lit(3).alias("k"), F.lit("run as a module").alias("why"))).when((name == "main.go") | F.col("path").rlike(r"(^|/)src/(main|bin/[^/]+)\.rs$"), F.struct(F.lit(4).alias("k"), F.lit("program").alias("why"))).when(F.col("path").rlike(r"(^|/)(app|pages)/(.*/)?(page|layout|route|index)\.[jt]sx?$"), F.struct(F.lit(5).alias("k"), F.lit("page").alias("why"))).alias("c")).where("c is not null").select("path", "c.k", "c.why")
-    return claims.unionByName(by_name).groupBy("path").agg(F.min(F.struct("k", "why")).alias("c")).select("path", F.col("c.why").alias("why")).orderBy(named(F.col("path")))
-
-
 # --- script configurations: rows (path, text) -------------------------------------------------------------------
 
 _CONFIG = "extends string, compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>"

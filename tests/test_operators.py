@@ -249,8 +249,6 @@ def test_walk_and_manifests(spark, tmp_path):
     assert got(project.packages(manifests)) == [("@s/x", "packages/x"), ("root", "")]
     assert got(project.psr4(manifests)) == [("App\\", "src")]
     assert project.go_module(manifests).first()[0] == "ex.com/m" and got(project.crates(manifests)) == [("kit", "")]
-    known = frame(spark, [("src/a.ts",), ("packages/x/cli.ts",), ("cmd/main.go",), ("p/__main__.py",)], "path string")
-    assert {r.path for r in project.entry_points(manifests, known).collect()} == {"src/a.ts", "packages/x/cli.ts", "cmd/main.go", "p/__main__.py"}
     stored = frame(spark, [("p", '[{"id":"g","name":"G","state":"accepted","files":["a","b"]}]'), ("q", "nonsense")], "project string, text string")
     assert project.stored_groups(stored).count() == 2
 
