@@ -1,4 +1,4 @@
-"""Registered query with its SQL twin: entry points. Each second directory of scripts is a package."""
+"""Registered queries with their SQL twins: entry points (each second directory of scripts is a package), placements of boxes."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from plinth.functions import text as P
 from plinth.plans.graph import Graph
 from plinth.plans.registry import query
 from plinth.sources import entries
+from plinth.streaming import placements
 
 START_SQL = r""", f AS (SELECT path, file_ord AS o, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS dir, regexp_extract(path, '([^/.]+)\.[^.]+$', 1) AS noun FROM files),
  s AS (SELECT * FROM f WHERE ends_with(path, '.ts') OR ends_with(path, '.js')), nx AS (SELECT * FROM s WHERE right(dir, 1)::INT % 2 = 0),
@@ -35,3 +36,14 @@ def entry_points(g: Graph) -> DataFrame:
     known = rows.select("path").unionByName(app).unionByName(api).distinct()
     head = F.when(o % 4 == 1, "// start\npackage main\n\nfunc main() {}").when(o % 4 == 2, "package main\nfunc help() {}").otherwise("package lib\nfunc main() {}")
     return entries.entry_points(manifests, known, rows.where(path.endswith(".go")).select("path", head.alias("text")))
+
+
+@query(""", ev AS (SELECT l_suppkey // 10 AS owner, l_returnflag AS project, 'v' || l_linenumber % 2 AS view, path AS box, l_orderkey * 8 + l_linenumber AS seq, l_partkey % 900 AS w, l_quantity AS x FROM lines WHERE l_linestatus = 'O' OR l_quantity > 10),
+ b AS (SELECT owner, project, view, box, max(seq) AS last, arg_max(w, (seq, x, CASE WHEN w % 4 <> 0 THEN w ELSE -1 END)) AS w, arg_max(x, (seq, x)) AS x FROM ev GROUP BY ALL)
+ SELECT owner::VARCHAR AS owner, project, view, box, floor(x + 0.5)::BIGINT AS x, CASE WHEN w % 4 <> 0 THEN greatest(160, least(720, w)) END::BIGINT AS width FROM b QUALIFY row_number() OVER (PARTITION BY owner, project, view ORDER BY last DESC, box DESC) <= 200""")
+def kept_placements(g: Graph) -> DataFrame:
+    """Line items as placements: ten suppliers are an owner, return flags projects; their views hold more boxes than they may keep. Some are refused."""
+    rows = g.lines.select(F.expr("string(l_suppkey div 10)").alias("owner"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), F.lit("place").alias("op"), F.col("l_returnflag").alias("project"), F.concat(F.lit("v"), (F.col("l_linenumber") % 2).cast("string")).alias("view"), F.col("path").alias("box"), "l_quantity", "l_linestatus", (F.col("l_partkey") % 900).alias("w"))
+    fits = (F.col("l_linestatus") == "O") | (F.col("l_quantity") > 10)
+    ops = rows.select("owner", "seq", "op", "project", "view", "box", F.col("l_quantity").alias("x"), F.when(fits, 1.0).otherwise(float("nan")).alias("y"), F.when(F.col("w") % 4 != 0, F.col("w")).alias("width"))
+    return placements.placed(placements.applied(ops)).select("owner", "project", "view", "box", "x", "width")
