@@ -9,7 +9,7 @@ from plinth.functions import text as P
 from plinth.functions.staging import staged
 from plinth.operators import derive, diff, folds, groups, lift, notes, resolve, search, views
 from plinth.plans.graph import DRAWN, REACHING, SQL, Graph
-from plinth.sources import extract
+from plinth.sources import extract, project
 from plinth.streaming import live
 
 QUERIES: dict = {}
@@ -41,13 +41,16 @@ def language_counts(g: Graph) -> DataFrame:
     return g.files.groupBy("language").agg(F.count("*").alias("n_files"), F.count_if("test").alias("n_tests")).orderBy(F.desc("n_files"), "language")
 
 
-@query(""", x AS (SELECT unnest(string_split(text, ' ')) AS w FROM documents), e AS (SELECT lower(regexp_extract(w, '[^.\n]\\.([A-Za-z]{1,4})$', 1)) AS ext FROM x)
- SELECT CASE WHEN ext = '' THEN '(no extension)' ELSE ext END AS ext, count(*) AS n FROM e GROUP BY 1""".replace("\\\\", "\\"))
+def _listed(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+@query(f""", x AS (SELECT unnest(string_split(text, ' ')) AS w FROM documents), b AS (SELECT w, lower(regexp_extract(w, '[^/]*$')) AS name, string_split(w, '/')[:-2] AS dirs FROM x),
+ e AS (SELECT *, regexp_extract(name, '\\.([^.]*)$', 1) AS s FROM b WHERE len(list_filter(dirs, lambda d: d IN {_listed(P.IGNORED_DIRS)} OR (length(d) > 1 AND starts_with(d, '.')))) = 0)
+ SELECT CASE WHEN regexp_full_match(s, '[a-z0-9]+') THEN '.' || s ELSE '(no extension)' END AS ext, count(*) AS n FROM e WHERE s NOT IN {_listed(list(P.LANGUAGES))} AND s NOT IN {_listed(project.NOT_SOURCE)} AND NOT starts_with(name, '.') AND name NOT IN {_listed(project.NOT_SOURCE_NAMES)} GROUP BY 1""")
 def unread_census(g: Graph) -> DataFrame:
     """Kinds of names that no reader knows, counted: here the words of documents stand for names."""
-    words = g.table("documents").select(F.explode(F.split("text", " ")).alias("w"))
-    ext = F.lower(F.regexp_extract("w", r"[^.\n]\.([A-Za-z]{1,4})$", 1))
-    return words.groupBy(F.when(ext == "", "(no extension)").otherwise(ext).alias("ext")).agg(F.count("*").alias("n"))
+    return project.unread_kinds(g.table("documents").select(F.explode(F.split("text", " ")).alias("path")))
 
 
 @query(" SELECT path FROM files WHERE path LIKE 'promo/%' AND NOT contains(path, 'bolt') AND NOT test AND (modified_at IS NULL OR modified_at >= TIMESTAMP '2001-06-01' - INTERVAL 90 DAY)")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.staging import staged
-from plinth.functions.text import LANGUAGES, ancestors, base_name, dir_name, extension, in_ignored_dir, named, normalised
+from plinth.functions.text import LANGUAGES, ancestors, base_name, dir_name, extension, in_ignored_dir, language_of, named, normalised
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
@@ -40,11 +40,34 @@ def revealed(files: DataFrame, removed: DataFrame) -> DataFrame:
     return unshadowed(left).join(unshadowed(files).select("path"), "path", "left_anti")
 
 
+#: Suffixes of what is no source: prose, data and configuration, images, fonts, archives and built things, media.
+NOT_SOURCE = [
+    "md", "markdown", "mdx", "rst", "adoc", "asciidoc", "txt", "rtf", "pdf",
+    "json", "jsonc", "json5", "yaml", "yml", "toml", "xml", "csv", "tsv", "ini", "cfg", "conf", "properties", "env", "plist", "po", "pot", "lock", "sum", "log", "patch", "diff",
+    "png", "jpg", "jpeg", "gif", "svg", "ico", "icns", "webp", "bmp", "tif", "tiff", "psd", "ai",
+    "woff", "woff2", "ttf", "otf", "eot",
+    "zip", "gz", "tgz", "tar", "bz2", "xz", "zst", "7z", "rar", "jar", "war", "dmg", "exe", "dll", "so", "dylib", "a", "o", "obj", "lib", "wasm", "node", "class", "pyc", "bin", "dat", "db", "sqlite", "map", "snap",
+    "mp3", "mp4", "wav", "ogg", "webm", "mov", "avi", "flac", "m4a",
+]
+#: Names that are prose or a manifest.
+NOT_SOURCE_NAMES = [
+    "license", "licence", "copying", "notice", "authors", "contributors", "changelog", "changes", "readme", "install", "todo", "version", "codeowners",
+    "maintainers", "owners", "copyright", "patents", "news", "history", "go.mod", "go.sum", "go.work",
+]
+
+
+def unread_kind(path: Column) -> Column:
+    """'.sh' and the like, '(no extension)' without one worth a name; null for what a language reads, hidden names, and what is no source."""
+    name = F.lower(base_name(path))
+    suffix = F.regexp_extract(name, r"\.([^.]*)$", 1)
+    kind = F.when(suffix.isin(NOT_SOURCE), F.lit(None)).when(suffix.rlike("^[a-z0-9]+$"), F.concat(F.lit("."), suffix)).otherwise("(no extension)")
+    return F.when(language_of(path).isNull() & ~name.startswith(".") & ~name.isin(NOT_SOURCE_NAMES), kind)
+
+
 def unread_kinds(names: DataFrame) -> DataFrame:
-    """(ext, n): kinds of files that no reader knows, most frequent first."""
-    ext = extension(F.col("path"))
-    rows = names.where(~ext.isin(*LANGUAGES))
-    return rows.groupBy(F.when(ext == "", "(no extension)").otherwise(ext).alias("ext")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), named(F.col("ext")))
+    """(ext, n): kinds of files that no reader knows, outside ignored directories, most frequent first."""
+    rows = names.where(~in_ignored_dir(F.col("path"))).select(unread_kind(F.col("path")).alias("ext")).where("ext is not null")
+    return rows.groupBy("ext").agg(F.count("*").alias("n")).orderBy(F.desc("n"), named(F.col("ext")))
 
 
 # --- manifests: rows (path, text) ---------------------------------------------------------------------------------

@@ -2,7 +2,9 @@
 
 import json
 
-from plinth.sources import entries
+from pyspark.sql import functions as F
+
+from plinth.sources import entries, project
 
 MANIFESTS = {
     "package.json": json.dumps({"main": "./src/a.js", "bin": {"x": "cli.ts", "n": 5, "y": "tools/y.mjs"}, "exports": {".": {"import": ["./lib/é\"x.js", {"types": "./lib/t.d.ts"}], "require": None}, "./gone": "./gone.js", "cli.ts": "./none"}, "scripts": {"b": "tsx 'scripts/run.ts' --flag=x.ts $HOME/z.ts", "a": "node scripts/run.ts && node src/a.ts plain", "n": 7}}),
@@ -32,3 +34,11 @@ def test_each_kind_of_claim(spark):
     assert {r.path: r.detail for r in got if r.detail} == {"scripts/run.ts": "b"}
     assert entries.entry_points(manifests.limit(0), files, sources.limit(0)).count() == 1
     assert entries.entry_points(manifests, files.limit(0), sources).count() == 0
+
+
+def test_kinds_that_are_not_read(spark):
+    want = {"a/run.sh": ".sh", "Makefile": "(no extension)", "x.png": None, ".gitignore": None, "d/.eslintrc.js": None, "LICENSE": None, "go.mod": None, "foo.txt,v": "(no extension)", "expect.git_one": "(no extension)", "A.PL": ".pl", "a.d.ts": None, "x.": "(no extension)", "Readme": None, "b.TS": None, "y.tar.gz": None}
+    rows = spark.createDataFrame([(p,) for p in want], "path string")
+    assert {r.path: r.kind for r in rows.select("path", project.unread_kind(F.col("path")).alias("kind")).collect()} == want
+    names = spark.createDataFrame([("a/run.sh",), ("node_modules/b.sh",), (".x/b.sh",), ("Makefile",), ("c.sh",), ("p.pl",), (None,)], "path string")
+    assert [tuple(r) for r in project.unread_kinds(names).collect()] == [(".sh", 2), (".pl", 1), ("(no extension)", 1)]  # a stop sorts before a bracket
