@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.text import base_name, dir_name, named
-from plinth.operators import diff, diffview, folds, groups, lift, notes, search, views
+from plinth.operators import diff, diffview, folds, frames, groups, lift, notes, search, views
 
 REACHING = ["calls", "extends", "implements", "associates"]
 
@@ -75,6 +75,12 @@ class Project:
     def _facts(self, spec: views.Spec, boxes: DataFrame) -> DataFrame:
         return boxes.agg(F.count_distinct("box").alias("n_boxes")).withColumn("presentation", spec.presentation(F.col("n_boxes")))
 
+    def frames(self, spec: views.Spec) -> frames.Frames:
+        """The folders around the files of a scope that a spec keeps, for frames.shut to fold."""
+        if what := self.missing(spec):
+            raise LookupError(what)
+        return frames.nest(views.keep_files(self.files, spec.filter, self.status), spec.scope.strip("/"))
+
     def components(self) -> View:
         """Categories as boxes; what none claims is component:none."""
         boxes = groups.partition(self.files, self.groups)
