@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.text import base_name, dir_name, named
-from plinth.operators import diff, diffview, folds, frames, groups, lift, notes, search, views
+from plinth.operators import coupling, diff, diffview, folds, frames, groups, lift, listing, notes, search, views
 
 REACHING = ["calls", "extends", "implements", "associates"]
 
@@ -127,4 +127,16 @@ class Project:
         return views.tracking(self.symbols, self.edges).select("id", "tracking").where("tracking = 'partial'")
 
     def notes(self) -> DataFrame:
-        return notes.coupling_notes(self.edges, REACHING)
+        """What to tell of each file that depends on others or is depended on; with categories where groups have names."""
+        named = self.groups if self.groups is not None and "name" in self.groups.columns else None
+        return coupling.file_notes(self.edges, self.files, self.symbols, REACHING, named)
+
+    def _nodes(self) -> DataFrame:
+        return self.symbols.unionByName(self.files.select(F.col("path").alias("id"), F.lit("file").alias("kind"), base_name(F.col("path")).alias("name"), "path"), allowMissingColumns=True)
+
+    def kind_counts(self) -> DataFrame:
+        return listing.kind_counts(self._nodes(), self.edges)
+
+    def write_json(self, path: str) -> None:
+        """The whole graph as lines of JSON, in a folder that isn't there yet."""
+        listing.write_graph(self._nodes(), self.edges, path)
