@@ -15,23 +15,29 @@ def row_delta(before: DataFrame, after: DataFrame, key: list[str], fields: list[
     return both.select(*key, op.alias("op")).where("op is not null")
 
 
+def _sides(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(src, kind, dst, old, new): each edge with its files in either graph. Both are read once and meet in one aggregation."""
+    files = F.struct("src_file", "dst_file")
+    rows = lambda g, old: g.select("src", "kind", "dst", (files if old else F.lit(None)).alias("old"), (F.lit(None) if old else files).alias("new"))
+    return rows(before, True).unionByName(rows(after, False)).groupBy("src", "kind", "dst").agg(F.first("old", ignorenulls=True).alias("old"), F.first("new", ignorenulls=True).alias("new"))
+
+
 def edge_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(src, kind, dst, src_file, dst_file, change) of edges that only one graph has."""
-    key = ["src", "kind", "dst"]
-    gone = before.where("kind <> 'contains'").join(after.select(*key), key, "left_anti").withColumn("change", F.lit("removed"))
-    new = after.where("kind <> 'contains'").join(before.select(*key), key, "left_anti").withColumn("change", F.lit("added"))
-    return gone.unionByName(new).select(*key, "src_file", "dst_file", "change")
+    one = _sides(before.where("kind <> 'contains'"), after.where("kind <> 'contains'")).where("old is null or new is null")
+    files = F.coalesce("new", "old")
+    return one.select("src", "kind", "dst", files["src_file"].alias("src_file"), files["dst_file"].alias("dst_file"), F.when(F.col("new").isNull(), "removed").otherwise("added").alias("change"))
 
 
 def node_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, change) of files (path) that come, go, or stay with another outgoing edge; incoming edges never touch a file."""
-    ends = lambda g: g.select(F.explode(F.array("src_file", "dst_file")).alias("path")).distinct()
-    a, b = ends(before), ends(after)
-    added = b.join(a, "path", "left_anti").withColumn("change", F.lit("added"))
-    removed = a.join(b, "path", "left_anti").withColumn("change", F.lit("removed"))
-    moved = edge_diff(before, after).select(F.col("src_file").alias("path")).distinct()
-    touched = a.join(b, "path", "left_semi").join(moved, "path", "left_semi").withColumn("change", F.lit("touched"))
-    return added.unionByName(removed).unionByName(touched)
+    one = _sides(before, after)
+    moved = (F.col("old").isNull() | F.col("new").isNull()) & (F.col("kind") != "contains")
+    end = lambda side, file: F.struct(F.col(side)[file].alias("path"), F.lit(side == "old").alias("was"), (moved if file == "src_file" else F.lit(False)).alias("moved"))
+    ends = one.select(F.explode(F.array(*[end(side, file) for side in ("old", "new") for file in ("src_file", "dst_file")])).alias("e")).select("e.*").where("path is not null")
+    paths = ends.groupBy("path").agg(F.bool_or("was").alias("was"), F.bool_or(~F.col("was")).alias("here"), F.bool_or("moved").alias("moved"))
+    change = F.when(~F.col("was"), "added").when(~F.col("here"), "removed").when(F.col("moved"), "touched")
+    return paths.select("path", change.alias("change")).where("change is not null")
 
 
 def graph_diff(before_nodes: DataFrame, after_nodes: DataFrame, before_edges: DataFrame, after_edges: DataFrame) -> DataFrame:
