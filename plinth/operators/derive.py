@@ -103,19 +103,22 @@ def lookup(references: DataFrame, rows: DataFrame, exports: DataFrame, bindings:
     exports the name, which is a guess.
     """
     refs = references.select("file", "src", "ord", "kind", "name").distinct()
+    asked = references.select("file", "name").distinct()  # what a name means depends on the file alone, not on who refers to it
     ties = bound(bindings, exports)
-    key = ["file", "src", "ord", "kind", "name"]
-    dotted = refs.where(F.col("name").contains(".")).withColumn("local", F.substring_index("name", ".", 1)).withColumn("rest", F.expr("substring(name, length(local) + 2)"))
+    dotted = asked.where(F.col("name").contains(".")).withColumn("local", F.substring_index("name", ".", 1)).withColumn("rest", F.expr("substring(name, length(local) + 2)"))
     out_of = exports.select(F.col("file").alias("target"), F.col("name").alias("rest"), F.col("id").alias("dst"))
-    one = dotted.join(ties.where("id is null").select("file", "local", "target"), ["file", "local"]).join(out_of, ["target", "rest"]).select(*key, "dst", F.lit(1).alias("prio"), F.lit(0).alias("k"))
-    two = refs.join(top_names(rows).withColumnRenamed("id", "dst"), ["file", "name"]).select(*key, "dst", F.lit(2).alias("prio"), F.lit(0).alias("k"))
+    ranked = lambda rows, prio: rows.select("file", "name", "dst", F.lit(prio).alias("prio"))
+    one = ranked(dotted.join(ties.where("id is null").select("file", "local", "target"), ["file", "local"]).join(out_of, ["target", "rest"]), 1)
+    two = ranked(top_names(rows).withColumnRenamed("id", "dst").join(asked, ["file", "name"], "left_semi"), 2)
     default = exports.where("name = 'default'").select(F.col("file").alias("target"), F.col("id").alias("default"))
     direct = ties.join(default, "target", "left").select("file", F.col("local").alias("name"), F.coalesce("id", "default").alias("dst")).where("dst is not null")
-    three = refs.join(direct, ["file", "name"]).select(*key, "dst", F.lit(3).alias("prio"), F.lit(0).alias("k"))
-    loose = refs.join(bindings.select("file").distinct(), "file", "left_anti")
-    four = loose.join(imports.select("file", F.col("ord").alias("k"), "target"), "file").join(exports.select(F.col("file").alias("target"), "name", F.col("id").alias("dst")), ["target", "name"]).select(*key, "dst", F.lit(4).alias("prio"), "k")
-    best = one.unionByName(two).unionByName(three).unionByName(four).groupBy(*key).agg(F.min(F.struct("prio", "k", "dst")).alias("b"))
-    return refs.join(best, key, "left").select(*key, F.col("b.dst").alias("dst"), F.when(F.col("b.prio") == 4, True).alias("guessed"))
+    three = ranked(direct.join(asked, ["file", "name"], "left_semi"), 3)
+    known = staged(one.unionByName(two).unionByName(three).groupBy("file", "name").agg(F.min(F.struct("prio", "dst")).alias("b")).select("file", "name", "b.dst", F.lit(None).cast("boolean").alias("guessed")), "known")
+    # imports are tried only for names that nothing else knows, once for each file
+    loose = asked.join(known, ["file", "name"], "left_anti").join(bindings.select("file").distinct(), "file", "left_anti")
+    found = loose.join(imports.select("file", F.col("ord").alias("k"), "target"), "file").join(exports.select(F.col("file").alias("target"), "name", F.col("id").alias("dst")), ["target", "name"])
+    four = found.groupBy("file", "name").agg(F.min(F.struct("k", "dst")).alias("b")).select("file", "name", "b.dst", F.lit(True).alias("guessed"))
+    return refs.join(known.unionByName(four), ["file", "name"], "left").select("file", "src", "ord", "kind", "name", "dst", "guessed")
 
 
 def method_calls(calls: DataFrame, found_owners: DataFrame, found_members: DataFrame) -> DataFrame:
@@ -150,18 +153,18 @@ def could_be_ours(references: DataFrame, rows: DataFrame) -> DataFrame:
 
 def file_calls(found: DataFrame, rows: DataFrame) -> DataFrame:
     """(src, kind, dst, guessed): calls outside any symbol, from the file (src is its path) to what another file declares."""
+    far = edges(found.where("kind = 'calls'").select(F.col("file").alias("src"), "kind", "ord", "dst", "guessed"))
     home = rows.select(F.col("id").alias("dst"), F.col("file").alias("dst_file"))
-    far = found.where("kind = 'calls' and dst is not null").join(home, "dst").where("dst_file <> file")
-    return edges(far.select(F.col("file").alias("src"), "kind", "ord", "dst", "guessed"))
+    return far.join(home, "dst").where("dst_file <> src").select("src", "kind", "dst", "guessed")
 
 
 def callable_end(found: DataFrame, rows: DataFrame) -> DataFrame:
     """Calls that land on a type go to its value twin, or nowhere."""
-    kinds = rows.select(F.col("id").alias("dst"), F.col("kind").alias("dst_kind"), "file", "name")
+    kinds = rows.where(F.col("kind").isin(TYPES)).select(F.col("id").alias("dst"), "file", "name")
     twins = value_twins(rows).select("file", "name", F.col("id").alias("twin"))
-    land = kinds.join(twins, ["file", "name"], "left").select("dst", "dst_kind", "twin")
+    land = kinds.join(twins, ["file", "name"], "left").select("dst", F.lit(True).alias("on_type"), "twin")
     out = found.join(land, "dst", "left")
-    return out.withColumn("dst", F.when((F.col("kind") == "calls") & F.col("dst_kind").isin(TYPES), F.col("twin")).otherwise(F.col("dst"))).drop("dst_kind", "twin")
+    return out.withColumn("dst", F.when((F.col("kind") == "calls") & F.col("on_type"), F.col("twin")).otherwise(F.col("dst"))).drop("on_type", "twin")
 
 
 def edges(found: DataFrame) -> DataFrame:
