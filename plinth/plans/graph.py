@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plinth.functions.staging import staged
 from plinth.functions.text import is_test, language_of
 
 REACHING = ["calls", "extends", "implements", "associates"]
 DRAWN = ["imports", "extends", "implements"]
+#: What an edge is: its ends and the files that they lie in.
+EDGE = ["src", "kind", "dst", "src_file", "dst_file"]
+#: The two spans of time, of a reference's day.
+SPANS = {"before": "day < '2000-01-01'", "after": "day >= '1997-01-01'"}
 SYMBOL_KINDS = ["class", "interface", "function", "method", "field", "type"]
 
 
@@ -52,15 +57,19 @@ class Graph:
 
     @property
     def references(self) -> DataFrame:
-        """References before they are made one: src, kind, dst, their files, day, and first: their order with the lowest bit set for a guess."""
-        side = lambda n: self.lines.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias(f"ln{n}"), F.col("path").alias(f"path{n}"), F.concat("path", F.lit("#s"), "l_suppkey").alias(f"sym{n}"), *([F.concat("l_returnflag", "l_linestatus").alias("k"), (F.col("l_discount") >= 0.05).alias("guess"), F.col("l_shipdate").alias("day")] if n == 1 else []))
-        both = side(1).join(side(2), "o").where("ln1 + 1 = ln2")
-        k = F.col("k")
+        """References before they are made one: src, kind, dst, their files, day, and first: their order with the lowest bit set for a guess.
+
+        A line item refers to those of the next number in its order. They meet in a window, so line items are shuffled by order once.
+        """
+        k, nr = F.concat("l_returnflag", "l_linestatus"), F.col("l_linenumber")
         kind = F.when(k == "NO", "imports").when(k == "NF", "calls").when(k == "RO", "extends").when(k == "RF", "implements").when(k == "AO", "associates").otherwise("depends")
-        both = both.withColumn("kind", kind)
-        end = lambda n: F.when(F.col("kind") == "imports", F.col(f"path{n}")).otherwise(F.col(f"sym{n}"))
-        rows = both.select(end(1).alias("src"), "kind", end(2).alias("dst"), F.col("path1").alias("src_file"), F.col("path2").alias("dst_file"), (F.col("o") * 16 + F.col("ln1") * 2 + F.col("guess").cast("long")).alias("first"), "day")
-        return rows.where("src <> dst")
+        next_ones = F.collect_list(F.struct("path", "l_suppkey")).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(1, 1))  # one order
+        rows = self.lines.where("l_orderkey is not null and l_linenumber is not null").select("l_orderkey", "l_linenumber", "path", "l_suppkey", "l_discount", "l_shipdate", kind.alias("kind"))
+        both = rows.withColumn("to", next_ones).withColumn("to", F.explode("to"))
+        end = lambda path, key: F.when(F.col("kind") == "imports", F.col(path)).otherwise(F.concat(F.col(path), F.lit("#s"), F.col(key)))
+        first = F.col("l_orderkey") * 16 + nr * 2 + (F.col("l_discount") >= 0.05).cast("long")
+        found = both.select(end("path", "l_suppkey").alias("src"), "kind", end("to.path", "to.l_suppkey").alias("dst"), F.col("path").alias("src_file"), F.col("to.path").alias("dst_file"), first.alias("first"), F.col("l_shipdate").alias("day"))
+        return found.where("src <> dst")
 
     @property
     def edges(self) -> DataFrame:
@@ -71,10 +80,23 @@ class Graph:
     def contains(self) -> DataFrame:
         return self.symbols.select(F.col("path").alias("src"), F.lit("contains").alias("kind"), F.col("id").alias("dst"))
 
-    def snapshot(self, after: bool) -> DataFrame:
-        """Edges of two overlapping spans of time."""
-        day = F.col("day")
-        return one_edge(self.references.where(day >= "1997-01-01" if after else day < "2000-01-01"))
+    def snapshots(self) -> tuple[DataFrame, DataFrame]:
+        """Edges of two overlapping spans of time, for those who read each once."""
+        before, after = (one_edge(self.references.where(s)) for s in SPANS.values())
+        return before, after
+
+    def staged_snapshots(self) -> tuple[DataFrame, DataFrame]:
+        """The same for those who read them several times: counted in one pass over the references, and staged."""
+        both = self.references.groupBy(*EDGE).agg(*[F.min(F.when(F.expr(s), F.col("first"))).alias(f"first_{n}") for n, s in SPANS.items()], *[F.count_if(F.expr(s)).alias(n) for n, s in SPANS.items()])
+        both = staged(both.where("before + after > 0"), "snapshots")
+        before, after = (both.where(F.col(n) > 0).select(*EDGE, F.when(F.col(f"first_{n}") % 2 == 1, True).alias("guessed"), F.col(n).alias("refs")) for n in SPANS)
+        return before, after
+
+    def symbol_spans(self) -> DataFrame:
+        """(path, l_suppkey, before, after): the symbols of those two spans by their smallest part in each, staged; null outside a span."""
+        day, part = F.col("l_shipdate"), F.col("l_partkey")
+        rows = self.lines.groupBy("path", "l_suppkey").agg(F.min(F.when(day < "2000-01-01", part)).alias("before"), F.min(F.when(day >= "1997-01-01", part)).alias("after"))
+        return staged(rows, "symbols")
 
     @property
     def status(self) -> DataFrame:
@@ -102,8 +124,8 @@ class Graph:
 
 
 def one_edge(references: DataFrame) -> DataFrame:
-    """References to edges: one for each (src, kind, dst), no self-edges; the first reference says whether it is a guess."""
-    return references.where("src <> dst").groupBy("src", "kind", "dst").agg(F.first("src_file").alias("src_file"), F.first("dst_file").alias("dst_file"), F.when(F.min("first") % 2 == 1, True).alias("guessed"), F.count("*").alias("refs"))
+    """References to edges: one for each (src, kind, dst), no self-edges; the first reference says whether it is a guess. An end says its file, so files are part of the key."""
+    return references.where("src <> dst").groupBy(*EDGE).agg(F.when(F.min("first") % 2 == 1, True).alias("guessed"), F.count("*").alias("refs"))
 
 
 #: The same graph in DuckDB's SQL.

@@ -282,18 +282,21 @@ def scoped_warnings(g: Graph) -> DataFrame:
 NODE_SQL = ", nb AS (SELECT path || '#s' || l_suppkey AS id, path, min(l_partkey) % 500 + 1 AS at_ FROM lines WHERE l_shipdate < '2000-01-01' GROUP BY path, l_suppkey), na AS (SELECT path || '#s' || l_suppkey AS id, path, min(l_partkey) % 500 + 1 AS at_ FROM lines WHERE l_shipdate >= '1997-01-01' GROUP BY path, l_suppkey)"
 
 
-def _snapshot(g: Graph, after: bool) -> DataFrame:
-    """Files and symbols of a span of time: (id, kind, path, start_line)."""
-    rows = g.lines.where(F.col("l_shipdate") >= "1997-01-01" if after else F.col("l_shipdate") < "2000-01-01")
-    symbols = rows.groupBy("path", "l_suppkey").agg((F.min("l_partkey") % 500 + 1).alias("start_line")).select(F.concat("path", F.lit("#s"), F.col("l_suppkey").cast("string")).alias("id"), F.lit("class").alias("kind"), "path", "start_line")
-    return symbols.unionByName(rows.select(F.col("path").alias("id"), F.lit("file").alias("kind"), "path", F.lit(None).cast("long").alias("start_line")).distinct())
+def _snapshots(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files and symbols (id, kind, path, start_line) of two spans of time, from ``symbol_spans``."""
+    def side(part: str) -> DataFrame:
+        rows = spans.where(F.col(part).isNotNull())
+        symbols = rows.select(F.concat("path", F.lit("#s"), F.col("l_suppkey").cast("string")).alias("id"), F.lit("class").alias("kind"), "path", (F.col(part) % 500 + 1).alias("start_line"))
+        return symbols.unionByName(rows.select(F.col("path").alias("id"), F.lit("file").alias("kind"), "path", F.lit(None).cast("long").alias("start_line")).distinct())
+
+    return side("before"), side("after")
 
 
 @query(NODE_SQL + """, ec AS (SELECT src_file FROM before b WHERE NOT EXISTS (SELECT 1 FROM after a WHERE a.src = b.src AND a.kind = b.kind AND a.dst = b.dst) UNION SELECT src_file FROM after b WHERE NOT EXISTS (SELECT 1 FROM before a WHERE a.src = b.src AND a.kind = b.kind AND a.dst = b.dst)),
  j AS (SELECT id, coalesce(nb.path, na.path) AS path, CASE WHEN nb.id IS NULL THEN 'added' WHEN na.id IS NULL THEN 'removed' WHEN nb.at_ <> na.at_ THEN 'changed' END AS change FROM nb FULL JOIN na USING (id)), t AS (SELECT path FROM j WHERE change IS NOT NULL UNION SELECT src_file FROM ec), fb AS (SELECT DISTINCT path FROM nb), fa AS (SELECT DISTINCT path FROM na)
  SELECT id, 'class' AS kind, change FROM j WHERE change IN ('added', 'removed') UNION ALL SELECT coalesce(fb.path, fa.path), 'file', CASE WHEN fb.path IS NULL THEN 'added' ELSE 'removed' END FROM fb FULL JOIN fa ON fa.path = fb.path WHERE fb.path IS NULL OR fa.path IS NULL UNION ALL SELECT path, 'file', 'touched' FROM t WHERE path IN (FROM fb) AND path IN (FROM fa)""")
 def graph_diff(g: Graph) -> DataFrame:
-    return diff.graph_diff(_snapshot(g, False), _snapshot(g, True), g.snapshot(False), g.snapshot(True))
+    return diff.graph_diff(*_snapshots(g.symbol_spans()), *g.snapshots())
 
 
 # --- lists and commands ----------------------------------------------------------------------------------------------

@@ -203,7 +203,8 @@ def roots(g: Graph) -> DataFrame:
  SELECT path, why, imports, count(*) OVER () AS total FROM f ORDER BY imports DESC, path COLLATE en_us, path LIMIT 12""")
 def roots_of_additions(g: Graph) -> DataFrame:
     """Files that no import added between two snapshots reaches; scripts are named entry points."""
-    added = g.snapshot(True).where("kind = 'imports'").join(g.snapshot(False), ["src", "kind", "dst"], "left_anti")
+    before, after = g.snapshots()
+    added = after.where("kind = 'imports'").join(before, ["src", "kind", "dst"], "left_anti")
     return lift.roots(added, g.files, named=g.files.where("path like '%.ts'").select("path"))
 
 
@@ -283,7 +284,7 @@ def imported_by(g: Graph) -> DataFrame:
 
 @query(" SELECT src, kind, dst, src_file, dst_file, 'removed' AS change FROM before b WHERE NOT EXISTS (SELECT 1 FROM after a WHERE a.src = b.src AND a.kind = b.kind AND a.dst = b.dst) UNION ALL SELECT src, kind, dst, src_file, dst_file, 'added' FROM after a WHERE NOT EXISTS (SELECT 1 FROM before b WHERE a.src = b.src AND a.kind = b.kind AND a.dst = b.dst)")
 def edge_diff(g: Graph) -> DataFrame:
-    return diff.edge_diff(g.snapshot(False), g.snapshot(True))
+    return diff.edge_diff(*g.snapshots())
 
 
 DIFF_SQL = ", ed AS (SELECT src, kind, dst, src_file, dst_file, 'removed' AS change FROM before b ANTI JOIN after a USING (src, kind, dst) UNION ALL SELECT src, kind, dst, src_file, dst_file, 'added' FROM after a ANTI JOIN before b USING (src, kind, dst))"
@@ -292,34 +293,34 @@ DIFF_SQL = ", ed AS (SELECT src, kind, dst, src_file, dst_file, 'removed' AS cha
 @query(DIFF_SQL + """, a AS (SELECT DISTINCT unnest([src_file, dst_file]) AS path FROM before), b AS (SELECT DISTINCT unnest([src_file, dst_file]) AS path FROM after)
  SELECT path, 'added' AS change FROM b ANTI JOIN a USING (path) UNION ALL SELECT path, 'removed' FROM a ANTI JOIN b USING (path) UNION ALL SELECT path, 'touched' FROM a SEMI JOIN b USING (path) WHERE path IN (SELECT src_file FROM ed)""")
 def node_diff(g: Graph) -> DataFrame:
-    return diff.node_diff(g.snapshot(False), g.snapshot(True))
+    return diff.node_diff(*g.snapshots())
 
 
 @query(DIFF_SQL + " SELECT src_file, kind, dst_file, change, count(*) AS weight FROM ed WHERE src_file <> dst_file GROUP BY ALL")
 def diff_lines(g: Graph) -> DataFrame:
-    return diff.diff_lines(g.snapshot(False), g.snapshot(True))
+    return diff.diff_lines(*g.snapshots())
 
 
 @query(DIFF_SQL + " SELECT change, kind, count(*) AS n, count(DISTINCT src_file || '>' || dst_file) AS pairs FROM ed GROUP BY ALL")
 def change_buckets(g: Graph) -> DataFrame:
-    return diff.change_buckets(g.snapshot(False), g.snapshot(True))
+    return diff.change_buckets(*g.snapshots())
 
 
 @query(" SELECT coalesce(b.src, a.src) AS src, coalesce(b.kind, a.kind) AS kind, coalesce(b.dst, a.dst) AS dst, CASE WHEN a.src IS NULL THEN 'remove' ELSE 'upsert' END AS op FROM before b FULL JOIN after a USING (src, kind, dst) WHERE a.src IS NULL OR b.src IS NULL OR a.guessed IS DISTINCT FROM b.guessed")
 def store_delta(g: Graph) -> DataFrame:
-    return diff.row_delta(g.snapshot(False), g.snapshot(True), ["src", "kind", "dst"], ["guessed"])
+    return diff.row_delta(*g.snapshots(), ["src", "kind", "dst"], ["guessed"])
 
 
 @query(", a AS (SELECT kind AS metric, count(*) AS n FROM before GROUP BY 1), b AS (SELECT kind AS metric, count(*) AS n FROM after GROUP BY 1) SELECT metric, a.n AS was, b.n AS now, CASE WHEN coalesce(a.n, 0) = coalesce(b.n, 0) THEN 'same' WHEN metric NOT IN ('calls', 'imports') THEN 'moved' WHEN (metric = 'calls') = (coalesce(b.n, 0) > coalesce(a.n, 0)) THEN 'better' ELSE 'worse' END AS verdict FROM a FULL JOIN b USING (metric)")
 def baseline_compare(g: Graph) -> DataFrame:
     count = lambda e: e.groupBy(F.col("kind").alias("metric")).agg(F.count("*").alias("n"))
-    return diff.compare_counts(count(g.snapshot(False)), count(g.snapshot(True)), {"calls": "up", "imports": "down"})
+    return diff.compare_counts(*map(count, g.snapshots()), {"calls": "up", "imports": "down"})
 
 
 @query(""", x AS (SELECT kind, count(*) FILTER (a.src IS NOT NULL AND b.src IS NOT NULL) AS both_, count(*) FILTER (a.src IS NULL) AS only_ours, count(*) FILTER (b.src IS NULL) AS only_theirs FROM before b FULL JOIN after a USING (src, kind, dst) GROUP BY kind)
  SELECT kind, both_ AS "both", only_ours, only_theirs, CASE WHEN both_ + only_ours > 0 THEN both_::DOUBLE / (both_ + only_ours) END AS precision, CASE WHEN both_ + only_theirs > 0 THEN both_::DOUBLE / (both_ + only_theirs) END AS recall FROM x""")
 def edge_agreement(g: Graph) -> DataFrame:
-    return diff.edge_agreement(g.snapshot(False), g.snapshot(True))
+    return diff.edge_agreement(*g.snapshots())
 
 
 # --- reports: version control, coverage ----------------------------------------------------------------------

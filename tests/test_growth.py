@@ -3,6 +3,7 @@
 import pytest
 
 from plinth.operators import derive
+from plinth.plans.graph import Graph
 
 
 @pytest.fixture
@@ -35,3 +36,13 @@ def test_lookup_tries_imports_once_for_each_name(spark, shuffled):
     found, n = shuffled(lambda: derive.lookup(uses, rows, derive.exported_names(rows), binds, imports))
     assert len(found) == refs and {(r.dst, r.guessed) for r in found} == {("t0#g", True)}
     assert n < 10 * (refs + files) < refs * files
+
+
+def test_line_items_are_dealt_by_order_once(spark, shuffled, tmp_path):
+    n, parts = 4000, 50
+    spark.range(parts).selectExpr("id as p_partkey", "'Brand#1' as p_brand", "'SMALL' as p_type", "concat('a n', id) as p_name").write.parquet(f"{tmp_path}/part.parquet")
+    items = spark.range(n).selectExpr("id div 4 as l_orderkey", "id * 7 % 50 as l_partkey", "id % 9 as l_suppkey", "cast(id % 4 div 2 as int) as l_linenumber", "0.0d as l_discount", "'N' as l_returnflag", "'O' as l_linestatus", "timestamp_ntz'1998-01-01' as l_shipdate")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found, moved = shuffled(lambda: Graph(spark, str(tmp_path)).references)
+    assert len(found) == n  # two items of each number in an order: each refers to both of the next
+    assert moved < 2 * n + 10 * parts
