@@ -103,13 +103,16 @@ def lookup(references: DataFrame, rows: DataFrame, exports: DataFrame, bindings:
     exports the name, which is a guess.
     """
     refs = references.select("file", "src", "ord", "kind", "name").distinct()
-    asked = references.select("file", "name").distinct()  # what a name means depends on the file alone, not on who refers to it
-    ties = bound(bindings, exports)
+    asked = staged(references.select("file", "name").distinct(), "asked")  # what a name means depends on the file alone, not on who refers to it
     dotted = asked.where(F.col("name").contains(".")).withColumn("local", F.substring_index("name", ".", 1)).withColumn("rest", F.expr("substring(name, length(local) + 2)"))
     out_of = exports.select(F.col("file").alias("target"), F.col("name").alias("rest"), F.col("id").alias("dst"))
     ranked = lambda rows, prio: rows.select("file", "name", "dst", F.lit(prio).alias("prio"))
+    own = staged(top_names(rows).withColumnRenamed("id", "dst").join(asked, ["file", "name"], "left_semi"), "own")
+    # bindings are followed only for names that the file doesn't have itself, and for what stands before a dot
+    open_ = asked.join(own, ["file", "name"], "left_anti").select("file", F.col("name").alias("local")).unionByName(dotted.select("file", "local")).distinct()
+    ties = bound(bindings.join(staged(open_, "open"), ["file", "local"], "left_semi"), exports)
     one = ranked(dotted.join(ties.where("id is null").select("file", "local", "target"), ["file", "local"]).join(out_of, ["target", "rest"]), 1)
-    two = ranked(top_names(rows).withColumnRenamed("id", "dst").join(asked, ["file", "name"], "left_semi"), 2)
+    two = ranked(own, 2)
     default = exports.where("name = 'default'").select(F.col("file").alias("target"), F.col("id").alias("default"))
     direct = ties.join(default, "target", "left").select("file", F.col("local").alias("name"), F.coalesce("id", "default").alias("dst")).where("dst is not null")
     three = ranked(direct.join(asked, ["file", "name"], "left_semi"), 3)
@@ -118,7 +121,8 @@ def lookup(references: DataFrame, rows: DataFrame, exports: DataFrame, bindings:
     loose = asked.join(known, ["file", "name"], "left_anti").join(bindings.select("file").distinct(), "file", "left_anti")
     found = loose.join(imports.select("file", F.col("ord").alias("k"), "target"), "file").join(exports.select(F.col("file").alias("target"), "name", F.col("id").alias("dst")), ["target", "name"])
     four = found.groupBy("file", "name").agg(F.min(F.struct("k", "dst")).alias("b")).select("file", "name", "b.dst", F.lit(True).alias("guessed"))
-    return refs.join(known.unionByName(four), ["file", "name"], "left").select("file", "src", "ord", "kind", "name", "dst", "guessed")
+    meanings = known.unionByName(staged(four, "guesses"))  # both staged: where names are few, references aren't dealt out for them
+    return refs.join(meanings, ["file", "name"], "left").select("file", "src", "ord", "kind", "name", "dst", "guessed")
 
 
 def method_calls(calls: DataFrame, found_owners: DataFrame, found_members: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ REACHING = ["calls", "extends", "implements", "associates"]
 DRAWN = ["imports", "extends", "implements"]
 #: What an edge is: its ends and the files that they lie in.
 EDGE = ["src", "kind", "dst", "src_file", "dst_file"]
+#: The same, shorter: files, and numbers of symbols in them (null: the file itself). What is shuffled says each path once.
+ENDS = ["src_file", "src_nr", "kind", "dst_file", "dst_nr"]
 #: The two spans of time, of a reference's day.
 SPANS = {"before": "day < '2000-01-01'", "after": "day >= '1997-01-01'"}
 SYMBOL_KINDS = ["class", "interface", "function", "method", "field", "type"]
@@ -57,7 +59,7 @@ class Graph:
 
     @property
     def references(self) -> DataFrame:
-        """References before they are made one: src, kind, dst, their files, day, and first: their order with the lowest bit set for a guess.
+        """References before they are made one: src, kind, dst, their files and numbers, day, and first: their order with the lowest bit set for a guess.
 
         A line item refers to those of the next number in its order. They meet in a window, so line items are shuffled by order once.
         """
@@ -66,10 +68,11 @@ class Graph:
         next_ones = F.collect_list(F.struct("path", "l_suppkey")).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(1, 1))  # one order
         rows = self.lines.where("l_orderkey is not null and l_linenumber is not null").select("l_orderkey", "l_linenumber", "path", "l_suppkey", "l_discount", "l_shipdate", kind.alias("kind"))
         both = rows.withColumn("to", next_ones).withColumn("to", F.explode("to"))
-        end = lambda path, key: F.when(F.col("kind") == "imports", F.col(path)).otherwise(F.concat(F.col(path), F.lit("#s"), F.col(key)))
+        nr_of = lambda key: F.when(F.col("kind") != "imports", F.col(key))
         first = F.col("l_orderkey") * 16 + nr * 2 + (F.col("l_discount") >= 0.05).cast("long")
-        found = both.select(end("path", "l_suppkey").alias("src"), "kind", end("to.path", "to.l_suppkey").alias("dst"), F.col("path").alias("src_file"), F.col("to.path").alias("dst_file"), first.alias("first"), F.col("l_shipdate").alias("day"))
-        return found.where("src <> dst")
+        found = both.select(F.col("path").alias("src_file"), nr_of("l_suppkey").alias("src_nr"), "kind", F.col("to.path").alias("dst_file"), nr_of("to.l_suppkey").alias("dst_nr"), first.alias("first"), F.col("l_shipdate").alias("day"))
+        found = found.where("src_file <> dst_file and kind = 'imports' or kind <> 'imports' and src_file is not null and dst_file is not null and (src_file <> dst_file and src_nr is not null and dst_nr is not null or src_nr <> dst_nr)")
+        return with_ends(found)
 
     @property
     def edges(self) -> DataFrame:
@@ -87,8 +90,8 @@ class Graph:
 
     def staged_snapshots(self) -> tuple[DataFrame, DataFrame]:
         """The same for those who read them several times: counted in one pass over the references, and staged."""
-        both = self.references.groupBy(*EDGE).agg(*[F.min(F.when(F.expr(s), F.col("first"))).alias(f"first_{n}") for n, s in SPANS.items()], *[F.count_if(F.expr(s)).alias(n) for n, s in SPANS.items()])
-        both = staged(both.where("before + after > 0"), "snapshots")
+        both = self.references.groupBy(*ENDS).agg(*[F.min(F.when(F.expr(s), F.col("first"))).alias(f"first_{n}") for n, s in SPANS.items()], *[F.count_if(F.expr(s)).alias(n) for n, s in SPANS.items()])
+        both = staged(with_ends(both.where("before + after > 0")), "snapshots")
         before, after = (both.where(F.col(n) > 0).select(*EDGE, F.when(F.col(f"first_{n}") % 2 == 1, True).alias("guessed"), F.col(n).alias("refs")) for n in SPANS)
         return before, after
 
@@ -123,9 +126,16 @@ class Graph:
         return a.unionByName(b).unionByName(c)
 
 
+def with_ends(rows: DataFrame) -> DataFrame:
+    """rows and the ids that their files and numbers stand for: src and dst."""
+    end = lambda x: F.when(F.col("kind") == "imports", F.col(f"{x}_file")).otherwise(F.concat(f"{x}_file", F.lit("#s"), f"{x}_nr"))
+    return rows.withColumns({x: end(x) for x in ("src", "dst")})
+
+
 def one_edge(references: DataFrame) -> DataFrame:
-    """References to edges: one for each (src, kind, dst), no self-edges; the first reference says whether it is a guess. An end says its file, so files are part of the key."""
-    return references.where("src <> dst").groupBy(*EDGE).agg(F.when(F.min("first") % 2 == 1, True).alias("guessed"), F.count("*").alias("refs"))
+    """References to edges: one for each (src, kind, dst); the first reference says whether it is a guess. Ids are made after they are made one."""
+    one = references.groupBy(*ENDS).agg(F.when(F.min("first") % 2 == 1, True).alias("guessed"), F.count("*").alias("refs"))
+    return with_ends(one).select(*EDGE, "guessed", "refs")
 
 
 #: The same graph in DuckDB's SQL.

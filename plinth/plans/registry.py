@@ -400,7 +400,10 @@ def _nodes(g: Graph) -> DataFrame:
 
 def _links(edges: DataFrame) -> DataFrame:
     """Import edges between files, in an order: (file, ord, target)."""
-    rows = edges.where("kind = 'imports'").select(F.col("src").alias("file"), F.col("dst").alias("target"))
+    return _in_order(edges.where("kind = 'imports'").select(F.col("src").alias("file"), F.col("dst").alias("target")))
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
     return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("target")).alias("ord"), "target")  # imports of one file
 
 
@@ -444,12 +447,15 @@ REF_SQL = DECL_SQL + """, im AS (SELECT DISTINCT src AS file, dst AS target FROM
 
 def _lookup(g: Graph) -> tuple[DataFrame, DataFrame]:
     """References by name, looked up: files with paths of even length bind what they import by name, the others only import."""
-    rows, edges = staged(_nodes(g), "nodes"), staged(g.edges.select("src", "kind", "dst", "src_file"), "edges")  # each is read several times
-    imports = _links(edges)
-    exports = derive.exported_names(rows)
+    rows = staged(_nodes(g), "nodes")
+    # what an import reaches is a file, and what another reference names a name: each said once, in one pass over the references
+    name = F.concat(F.lit("s"), (F.col("dst_nr") % 15).cast("string"))
+    said = g.references.select(F.col("src_file").alias("file"), "src_nr", "kind", F.when(F.col("kind") == "imports", F.col("dst_file")).otherwise(name).alias("to")).distinct()
+    said = staged(said, "said")
+    imports = _in_order(said.where("kind = 'imports'").select("file", F.col("to").alias("target")))
+    exports = staged(derive.exported_names(rows).select("file", "name", "id"), "exported")
     binds = imports.where(F.length("file") % 2 == 0).join(exports.select(F.col("file").alias("target"), F.col("name").alias("imported")), "target").select("file", "ord", F.col("imported").alias("local"), "target", "imported")
-    number = F.regexp_extract("dst", r"#s(\d+)$", 1).try_cast("long") % 15
-    refs = edges.where("kind <> 'imports'").select(F.col("src_file").alias("file"), "src", F.lit(0).alias("ord"), "kind", F.concat(F.lit("s"), number.cast("string")).alias("name"))
+    refs = said.where("kind <> 'imports'").select("file", F.concat("file", F.lit("#s"), "src_nr").alias("src"), F.lit(0).alias("ord"), "kind", F.col("to").alias("name"))
     return derive.lookup(refs, rows, exports, binds, imports), rows
 
 

@@ -3,6 +3,7 @@
 import pytest
 
 from plinth.operators import derive
+from plinth.plans import registry
 from plinth.plans.graph import Graph
 
 
@@ -46,3 +47,14 @@ def test_line_items_are_dealt_by_order_once(spark, shuffled, tmp_path):
     found, moved = shuffled(lambda: Graph(spark, str(tmp_path)).references)
     assert len(found) == n  # two items of each number in an order: each refers to both of the next
     assert moved < 2 * n + 10 * parts
+
+
+def test_lookup_says_each_reference_once_and_by_number(spark, tmp_path):
+    n, parts = 400, 50
+    spark.range(parts).selectExpr("id as p_partkey", "'Brand#1' as p_brand", "'SMALL' as p_type", "concat('a n', id) as p_name").write.parquet(f"{tmp_path}/part.parquet")
+    items = spark.range(n).selectExpr("id div 4 as l_orderkey", "id * 7 % 50 as l_partkey", "-1 - id % 9 as l_suppkey", "cast(id % 4 as int) as l_linenumber", "0.0d as l_discount", "'A' as l_returnflag", "'F' as l_linestatus", "timestamp_ntz'1998-01-01' as l_shipdate")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = registry.QUERIES["lookup_chain"](spark, str(tmp_path)).collect()
+    keys = [(r.src, r.kind, r.name) for r in found]
+    assert len(set(keys)) == len(keys) > 0
+    assert {r.name for r in found} == {f"s-{k}" for k in range(1, 10)}
