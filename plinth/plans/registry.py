@@ -445,17 +445,21 @@ REF_SQL = DECL_SQL + """, im AS (SELECT DISTINCT src AS file, dst AS target FROM
 """
 
 
+def _said(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Imports of files in an order (file, ord, target), and references by name: each said once, from one staged pass over the references."""
+    name = F.concat(F.lit("s"), (F.col("dst_nr") % 15).cast("string"))
+    to = F.when(F.col("kind") == "imports", F.col("dst_file")).otherwise(name)
+    said = staged(g.references.select(F.col("src_file").alias("file"), "src_nr", "kind", to.alias("to")).distinct(), "said")
+    refs = said.where("kind <> 'imports'").select("file", F.concat("file", F.lit("#s"), "src_nr").alias("src"), F.lit(0).alias("ord"), "kind", F.col("to").alias("name"))
+    return _in_order(said.where("kind = 'imports'").select("file", F.col("to").alias("target"))), refs
+
+
 def _lookup(g: Graph) -> tuple[DataFrame, DataFrame]:
     """References by name, looked up: files with paths of even length bind what they import by name, the others only import."""
-    rows = staged(_nodes(g), "nodes")
-    # what an import reaches is a file, and what another reference names a name: each said once, in one pass over the references
-    name = F.concat(F.lit("s"), (F.col("dst_nr") % 15).cast("string"))
-    said = g.references.select(F.col("src_file").alias("file"), "src_nr", "kind", F.when(F.col("kind") == "imports", F.col("dst_file")).otherwise(name).alias("to")).distinct()
-    said = staged(said, "said")
-    imports = _in_order(said.where("kind = 'imports'").select("file", F.col("to").alias("target")))
+    rows = staged(_nodes(g), "nodes")  # read several times
+    imports, refs = _said(g)
     exports = staged(derive.exported_names(rows).select("file", "name", "id"), "exported")
     binds = imports.where(F.length("file") % 2 == 0).join(exports.select(F.col("file").alias("target"), F.col("name").alias("imported")), "target").select("file", "ord", F.col("imported").alias("local"), "target", "imported")
-    refs = said.where("kind <> 'imports'").select("file", F.concat("file", F.lit("#s"), "src_nr").alias("src"), F.lit(0).alias("ord"), "kind", F.col("to").alias("name"))
     return derive.lookup(refs, rows, exports, binds, imports), rows
 
 

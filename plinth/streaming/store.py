@@ -61,8 +61,10 @@ class Parsed:
 def _targets(rows: DataFrame, there: DataFrame) -> DataFrame:
     """rows with ``target``, the first candidate that is there; rows without one go."""
     key = [c for c in rows.columns if c != "candidates"]
-    each = rows.select(*key, F.posexplode("candidates").alias("k", "target")).join(there.select(F.col("file").alias("target")), "target", "left_semi")
-    return each.groupBy(*key).agg(F.min_by("target", "k").alias("target"))
+    # many rows (the bindings of an import) have the same candidates: each list is decided once
+    lists = rows.select("candidates").distinct().select("candidates", F.posexplode("candidates").alias("k", "target"))
+    first = lists.join(there.select(F.col("file").alias("target")), "target", "left_semi").groupBy("candidates").agg(F.min_by("target", "k").alias("target"))
+    return rows.join(staged(first, "targets"), "candidates").select(*key, "target")
 
 
 def derived(parsed: Parsed, there: DataFrame, of: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +80,7 @@ def derived(parsed: Parsed, there: DataFrame, of: DataFrame | None = None) -> tu
         if more.isEmpty():
             break
         asked = staged(asked.unionByName(more), "asked")
-    rows = derive.nodes(parsed.declarations.join(asked, "file", "left_semi"))
+    rows = staged(derive.nodes(parsed.declarations.join(asked, "file", "left_semi")), "nodes")  # read several times
     exports = derive.reexported(derive.exported_names(rows), reexports.join(asked, "file", "left_semi"))
     found = derive.callable_end(derive.lookup(mine.references, rows, exports, bindings, imports), rows)
     edges = found.where("dst is not null and src <> dst").groupBy("file", "src", "kind", "dst").agg(F.min(F.struct("ord", F.coalesce("guessed", F.lit(False)).alias("g"))).alias("f"))

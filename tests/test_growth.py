@@ -5,6 +5,7 @@ import pytest
 from plinth.operators import derive
 from plinth.plans import registry
 from plinth.plans.graph import Graph
+from plinth.streaming import store
 
 
 @pytest.fixture
@@ -58,3 +59,12 @@ def test_lookup_says_each_reference_once_and_by_number(spark, tmp_path):
     keys = [(r.src, r.kind, r.name) for r in found]
     assert len(set(keys)) == len(keys) > 0
     assert {r.name for r in found} == {f"s-{k}" for k in range(1, 10)}
+
+
+def test_lists_of_candidates_are_decided_once(spark, shuffled):
+    n = 3000
+    rows = spark.range(n).selectExpr("'a' as file", "id as ord", "concat('n', id) as local", "array('x', 'y', 'z') as candidates", "'g' as imported")
+    there = spark.createDataFrame([("z",), ("y",)], "file string")
+    found, moved = shuffled(lambda: store._targets(rows, there))
+    assert {(r.ord, r.target) for r in found} == {(k, "y") for k in range(n)}
+    assert moved < 1.5 * n
