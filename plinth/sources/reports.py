@@ -25,13 +25,15 @@ def lcov_lines(lines: DataFrame) -> DataFrame:
 
 def lcov_functions(lines: DataFrame) -> DataFrame:
     """(report, path, name, line, hits): the k-th FN of a name goes with its k-th FNDA."""
-    rows = lcov_records(lines)
+    line = F.col("line")
     take = lambda p, k: F.regexp_extract("line", p, k)
     fn, da = r"^FN:(\d+),(?:\d+,)?(.+)$", r"^FNDA:(\d+),(.+)$"
-    nth = F.row_number().over(Window.partitionBy("report", "path", "name").orderBy("nr"))
-    a = rows.where(F.col("line").rlike(fn)).select("report", "path", "nr", take(fn, 2).alias("name"), take(fn, 1).cast("long").alias("at")).withColumn("k", nth)
-    b = rows.where(F.col("line").rlike(da)).select("report", "path", "nr", take(da, 2).alias("name"), take(da, 1).cast("long").alias("hits")).withColumn("k", nth)
-    return a.join(b.drop("nr"), ["report", "path", "name", "k"], "left").select("report", "path", "name", F.col("at").alias("line"), "hits")
+    is_fn = line.rlike(fn)
+    rows = lcov_records(lines.where(line.startswith("SF:") | is_fn | line.rlike(da))).where(~line.startswith("SF:"))  # a report is dealt out once, without its other lines
+    rows = rows.select("report", "path", "nr", is_fn.alias("is_fn"), F.when(is_fn, take(fn, 2)).otherwise(take(da, 2)).alias("name"), F.when(is_fn, take(fn, 1)).otherwise(take(da, 1)).cast("long").alias("n"))
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("report", "path", "name", "is_fn").orderBy("nr")))
+    both = rows.groupBy("report", "path", "name", "k").agg(F.max("is_fn").alias("declared"), F.max(F.when(F.col("is_fn"), F.col("n"))).alias("line"), F.max(F.when(~F.col("is_fn"), F.col("n"))).alias("hits"))
+    return both.where("declared").select("report", "path", "name", "line", "hits")
 
 
 # --- istanbul: rows (report, json) ----------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ import pytest
 from plinth.operators import derive
 from plinth.plans import registry
 from plinth.plans.graph import Graph
+from plinth.sources import reports
 from plinth.streaming import store
 
 
@@ -68,3 +69,12 @@ def test_lists_of_candidates_are_decided_once(spark, shuffled):
     found, moved = shuffled(lambda: store._targets(rows, there))
     assert {(r.ord, r.target) for r in found} == {(k, "y") for k in range(n)}
     assert moved < 1.5 * n
+
+
+def test_function_lines_of_reports_are_dealt_out_once(spark, shuffled):
+    n = 1000
+    said = "array(concat('SF:f', id % 3), 'FN:7,g', 'FNDA:2,g', 'FN:9,h', 'DA:7,2', 'DA:8,1', 'end_of_record')"
+    lines = spark.range(n).selectExpr("id % 10 as report", "id", f"posexplode({said}) as (i, line)").selectExpr("report", "id * 10 + i as nr", "line")
+    found, moved = shuffled(lambda: reports.lcov_functions(lines))
+    assert sorted((r.name, r.line, r.hits) for r in found) == [("g", 7, 2)] * n + [("h", 9, None)] * n
+    assert moved < 4.5 * n
