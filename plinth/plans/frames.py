@@ -55,7 +55,7 @@ def shut_lines(g: Graph) -> DataFrame:
     deep = deep_files(g)
     f = frames.nest(deep)
     name = lambda side: deep.select(F.col("file").alias(f"{side}_file"), F.col("path").alias(f"{side}_box"))
-    lines = diff.diff_lines(*g.snapshots()).join(name("src"), "src_file").join(name("dst"), "dst_file")
+    lines = diff.diff_lines(*g.staged_snapshots()).join(name("src"), "src_file").join(name("dst"), "dst_file")
     return frames.shut(f, closed(f.folders), lines.select("src_box", "kind", "dst_box", "change", "weight")).lines
 
 

@@ -296,7 +296,7 @@ def _snapshots(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
  j AS (SELECT id, coalesce(nb.path, na.path) AS path, CASE WHEN nb.id IS NULL THEN 'added' WHEN na.id IS NULL THEN 'removed' WHEN nb.at_ <> na.at_ THEN 'changed' END AS change FROM nb FULL JOIN na USING (id)), t AS (SELECT path FROM j WHERE change IS NOT NULL UNION SELECT src_file FROM ec), fb AS (SELECT DISTINCT path FROM nb), fa AS (SELECT DISTINCT path FROM na)
  SELECT id, 'class' AS kind, change FROM j WHERE change IN ('added', 'removed') UNION ALL SELECT coalesce(fb.path, fa.path), 'file', CASE WHEN fb.path IS NULL THEN 'added' ELSE 'removed' END FROM fb FULL JOIN fa ON fa.path = fb.path WHERE fb.path IS NULL OR fa.path IS NULL UNION ALL SELECT path, 'file', 'touched' FROM t WHERE path IN (FROM fb) AND path IN (FROM fa)""")
 def graph_diff(g: Graph) -> DataFrame:
-    return diff.graph_diff(*_snapshots(g.symbol_spans()), *g.snapshots())
+    return diff.graph_diff(*_snapshots(g.symbol_spans()), *g.staged_snapshots())
 
 
 # --- lists and commands ----------------------------------------------------------------------------------------------
