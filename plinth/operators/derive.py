@@ -12,7 +12,7 @@ wins" is a minimum over them and every "last wins" a maximum.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.staging import staged
@@ -24,11 +24,19 @@ TYPES = ["interface", "type"]
 ROUNDS = 8
 
 
+def base_id(file: Column, owner: Column, name: Column) -> Column:
+    """What namesakes in one file share."""
+    return F.concat(file, F.lit("#"), F.when(owner.isNotNull(), F.concat(owner, F.lit("."))).otherwise(""), name)
+
+
 def nodes(declarations: DataFrame) -> DataFrame:
-    """declarations and ``id``: file#name or file#owner.name, with ~2, ~3 ... for later ones of that name."""
-    base = F.concat("file", F.lit("#"), F.when(F.col("owner").isNotNull(), F.concat("owner", F.lit("."))).otherwise(""), "name")
+    """declarations and ``id``: file#name or file#owner.name, with ~2, ~3 ... for later ones of that name.
+
+    Declarations that are dealt out by their ``base`` already bring it along, and aren't dealt out again.
+    """
+    rows = declarations if "base" in declarations.columns else declarations.withColumn("base", base_id(F.col("file"), F.col("owner"), F.col("name")))
     n = F.row_number().over(Window.partitionBy("base").orderBy("ord"))  # namesakes in one file
-    rows = declarations.withColumn("base", base).withColumn("n", n)
+    rows = rows.withColumn("n", n)
     return rows.withColumn("id", F.when(F.col("n") > 1, F.concat("base", F.lit("~"), "n")).otherwise(F.col("base"))).drop("base", "n")
 
 
@@ -40,8 +48,9 @@ def top_names(rows: DataFrame) -> DataFrame:
 def exported_names(rows: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
     """(file, name, id): exported names of files that mark any, all top names of the others; and 'default'."""
     marks = rows.groupBy("file").agg(F.max(F.col("exported").isNotNull()).alias("marks"))
-    open_ = rows.join(marks, "file").where("owner is null and (not marks or exported)")
-    names = open_.groupBy("file", "name").agg(F.min_by("id", "ord").alias("id"))
+    marked, all_ = F.min_by("id", F.when(F.col("exported"), F.col("ord"))).alias("marked"), F.min_by("id", "ord").alias("all")
+    tops = rows.where("owner is null").groupBy("file", "name").agg(marked, all_, (F.count_if("exported") > 0).alias("any"))  # marks meet names, not declarations
+    names = tops.join(marks, "file").where("not marks or any").select("file", "name", F.when(F.col("marks"), F.col("marked")).otherwise(F.col("all")).alias("id"))
     if defaults is None:
         return names
     given = defaults.join(top_names(rows), ["file", "name"]).select("file", F.lit("default").alias("name"), "id")
@@ -95,14 +104,15 @@ def bound(bindings: DataFrame, exports: DataFrame) -> DataFrame:
     return first.select("file", "local", "f.id", "f.target")
 
 
-def lookup(references: DataFrame, rows: DataFrame, exports: DataFrame, bindings: DataFrame, imports: DataFrame) -> DataFrame:
+def lookup(references: DataFrame, rows: DataFrame, exports: DataFrame, bindings: DataFrame, imports: DataFrame, said_once: bool = False) -> DataFrame:
     """references with ``dst`` and ``guessed``, by the first rule that knows the name; those that none knows have dst null.
 
     1 a member of a module that is bound whole; 2 the file's own names; 3 bindings, a module
     bound whole by its default; 4, only for files without bindings, the first import that
-    exports the name, which is a guess.
+    exports the name, which is a guess. References of which none is said twice (``said_once``) aren't dealt out to find the same ones.
     """
-    refs = references.select("file", "src", "ord", "kind", "name").distinct()
+    refs = references.select("file", "src", "ord", "kind", "name")
+    refs = refs if said_once else refs.distinct()
     asked = staged(references.select("file", "name").distinct(), "asked")  # what a name means depends on the file alone, not on who refers to it
     dotted = asked.where(F.col("name").contains(".")).withColumn("local", F.substring_index("name", ".", 1)).withColumn("rest", F.expr("substring(name, length(local) + 2)"))
     out_of = exports.select(F.col("file").alias("target"), F.col("name").alias("rest"), F.col("id").alias("dst"))

@@ -10,6 +10,8 @@ from plinth.functions.text import is_test, language_of
 
 REACHING = ["calls", "extends", "implements", "associates"]
 DRAWN = ["imports", "extends", "implements"]
+#: Kinds of references, by number.
+KINDS = ["imports", "calls", "extends", "implements", "associates", "depends"]
 #: What an edge is: its ends and the files that they lie in.
 EDGE = ["src", "kind", "dst", "src_file", "dst_file"]
 #: The same, shorter: files, and numbers of symbols in them (null: the file itself). What is shuffled says each path once.
@@ -64,10 +66,11 @@ class Graph:
         A line item refers to those of the next number in its order. They meet in a window, so line items are shuffled by order once.
         """
         k, nr = F.concat("l_returnflag", "l_linestatus"), F.col("l_linenumber")
-        kind = F.when(k == "NO", "imports").when(k == "NF", "calls").when(k == "RO", "extends").when(k == "RF", "implements").when(k == "AO", "associates").otherwise("depends")
+        kind_nr = F.when(k == "NO", 0).when(k == "NF", 1).when(k == "RO", 2).when(k == "RF", 3).when(k == "AO", 4).otherwise(5)  # short for the shuffle
+        kind = F.get(F.array(*map(F.lit, KINDS)), F.col("kind_nr"))
         next_ones = F.collect_list(F.struct("path", "l_suppkey")).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(1, 1))  # one order
-        rows = self.lines.where("l_orderkey is not null and l_linenumber is not null").select("l_orderkey", "l_linenumber", "path", "l_suppkey", "l_discount", "l_shipdate", kind.alias("kind"))
-        both = rows.withColumn("to", next_ones).withColumn("to", F.explode("to"))
+        rows = self.lines.where("l_orderkey is not null and l_linenumber is not null").select("l_orderkey", "l_linenumber", "path", "l_suppkey", "l_discount", "l_shipdate", kind_nr.alias("kind_nr"))
+        both = rows.withColumn("to", next_ones).withColumn("to", F.explode("to")).withColumn("kind", kind)
         nr_of = lambda key: F.when(F.col("kind") != "imports", F.col(key))
         first = F.col("l_orderkey") * 16 + nr * 2 + (F.col("l_discount") >= 0.05).cast("long")
         found = both.select(F.col("path").alias("src_file"), nr_of("l_suppkey").alias("src_nr"), "kind", F.col("to.path").alias("dst_file"), nr_of("to.l_suppkey").alias("dst_nr"), first.alias("first"), F.col("l_shipdate").alias("day"))

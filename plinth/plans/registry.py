@@ -389,13 +389,14 @@ DECL_SQL = """, decl AS (SELECT path AS file, l_suppkey AS ord, 's' || l_suppkey
 
 
 def _nodes(g: Graph) -> DataFrame:
-    """Declarations with namesakes, members and export marks, from line items."""
+    """Declarations with namesakes, members and export marks, from line items, which are dealt out once, by what namesakes share."""
     s = F.col("l_suppkey")
     name = F.concat(F.lit("s"), (s % 15).cast("string"))
     owner = F.when((s % 6).isin(3, 4), F.concat(F.lit("s"), (s % 7).cast("string")))
     kinds = F.array(*map(F.lit, ["class", "interface", "function", "method", "field", "type"]))
-    rows = g.lines.groupBy(F.col("path").alias("file"), "l_suppkey").agg(F.min("l_partkey").alias("p"))
-    return derive.nodes(rows.select("file", s.alias("ord"), name.alias("name"), F.get(kinds, (s % 6).cast("int")).alias("kind"), owner.alias("owner"), F.when(F.col("p") % 3 == 0, s % 2 == 0).alias("exported")))
+    lines = g.lines.select(F.col("path").alias("file"), "l_suppkey", "l_partkey", derive.base_id(F.col("path"), owner, name).alias("base"))
+    rows = lines.repartition("base").groupBy("base", "file", "l_suppkey").agg(F.min("l_partkey").alias("p"))
+    return derive.nodes(rows.select("base", "file", s.alias("ord"), name.alias("name"), F.get(kinds, (s % 6).cast("int")).alias("kind"), owner.alias("owner"), F.when(F.col("p") % 3 == 0, s % 2 == 0).alias("exported")))
 
 
 def _links(edges: DataFrame) -> DataFrame:
@@ -460,7 +461,7 @@ def _lookup(g: Graph) -> tuple[DataFrame, DataFrame]:
     imports, refs = _said(g)
     exports = staged(derive.exported_names(rows).select("file", "name", "id"), "exported")
     binds = imports.where(F.length("file") % 2 == 0).join(exports.select(F.col("file").alias("target"), F.col("name").alias("imported")), "target").select("file", "ord", F.col("imported").alias("local"), "target", "imported")
-    return derive.lookup(refs, rows, exports, binds, imports), rows
+    return derive.lookup(refs, rows, exports, binds, imports, said_once=True), rows
 
 
 @query(REF_SQL + " SELECT file, src, kind, name, dst, guessed FROM lk")

@@ -78,3 +78,32 @@ def test_function_lines_of_reports_are_dealt_out_once(spark, shuffled):
     found, moved = shuffled(lambda: reports.lcov_functions(lines))
     assert sorted((r.name, r.line, r.hits) for r in found) == [("g", 7, 2)] * n + [("h", 9, None)] * n
     assert moved < 4.5 * n
+
+
+def test_lookup_deals_references_said_once_no_further(spark, shuffled):
+    refs = 2000
+    rows = derive.nodes(spark.createDataFrame([("a", 0, "g", "function", None, True)], "file string, ord int, name string, kind string, owner string, exported boolean"))
+    uses = spark.range(refs).selectExpr("'a' as file", "concat('a#', id) as src", "0 as ord", "'calls' as kind", "'g' as name")
+    none = spark.createDataFrame([], "file string, ord int, local string, target string, imported string")
+    told = lambda **how: derive.lookup(uses, rows, derive.exported_names(rows), none, none, **how)
+    once, moved = shuffled(lambda: told(said_once=True))
+    again, more = shuffled(lambda: told())
+    assert sorted(once) == sorted(again) and {r.dst for r in once} == {"a#g"} and len(once) == refs
+    assert moved + 0.9 * refs < more
+
+
+def test_declarations_of_line_items_are_dealt_out_once(spark, shuffled, tmp_path):
+    n, parts = 4000, 50
+    spark.range(parts).selectExpr("id as p_partkey", "'Brand#1' as p_brand", "'SMALL' as p_type", "concat('a n', id) as p_name").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(n).selectExpr("id * 7 % 50 as l_partkey", "id as l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found, moved = shuffled(lambda: registry.QUERIES["unique_ids"](spark, str(tmp_path)))
+    assert len({r.id for r in found}) == len(found) == n
+    assert moved < 2 * n + 10 * parts  # once to their parts, once to their namesakes
+
+
+def test_marks_of_exports_meet_names_not_declarations(spark, shuffled):
+    n = 3000
+    decl = spark.range(n).selectExpr("if(id % 2 = 0, 'a', 'b') as file", "id as ord", "concat('n', id % 10) as name", "concat('i', id) as id", "if(id % 30 = 24, 'o', null) as owner", "if(id % 2 = 0, id > 100, null) as exported")
+    found, moved = shuffled(lambda: derive.exported_names(decl))
+    assert {(r.file, r.name): r.id for r in found} == {("a", "n2"): "i102", ("a", "n4"): "i104", ("a", "n6"): "i106", ("a", "n8"): "i108", ("a", "n0"): "i110", **{("b", f"n{k}"): f"i{k}" for k in (1, 3, 5, 7, 9)}}
+    assert moved < n / 5
