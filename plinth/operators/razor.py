@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.functions.staging import staged
 from plinth.functions.text import ancestors, base_name, dir_name, normalised
 from plinth.operators.nearby import nearest_only, tails
 
@@ -82,6 +83,7 @@ def types(imports: DataFrame, declarations: DataFrame, namespaces: DataFrame) ->
     """
     told = declarations.where(F.col("path").endswith(".cs")).select("path", "name").distinct()
     told = told.join(namespaces.select("path", "namespace"), "path", "left").withColumn("namespace", F.coalesce("namespace", F.lit("")))
+    told = staged(told, "declared")  # read for each kind of key
     key = lambda kind, *parts: F.concat_ws("\n", F.lit(kind), *parts)
     beside = told.where(F.col("path").endswith(".cshtml.cs")).select(key("beside", "path", "name").alias("key"), "path")
     parts = told.where(F.col("name").endswith("ViewComponent")).select(key("component", "name").alias("key"), "path")

@@ -28,7 +28,7 @@ def deep_files(g: Graph) -> DataFrame:
     """(file, path): each file deeper down, below a folder that holds only folders, and by its name's first letters."""
     base, folder = F.substring_index("path", "/", -1), F.regexp_replace("path", "/[^/]*$", "")
     third = F.when(F.length(base) % 2 == 0, F.concat(F.lit("/"), F.substring(base, 3, 1))).otherwise("")
-    return g.files.select(F.col("path").alias("file"), F.concat(folder, F.lit("/x/"), F.substring(base, 1, 1), F.lit("/"), F.substring(base, 2, 1), third, F.lit("/"), base).alias("path"))
+    return g.listed.select(F.col("path").alias("file"), F.concat(folder, F.lit("/x/"), F.substring(base, 1, 1), F.lit("/"), F.substring(base, 2, 1), third, F.lit("/"), base).alias("path"))
 
 
 def closed(folders: DataFrame) -> DataFrame:

@@ -43,11 +43,16 @@ class Graph:
         return self.table("lineitem").join(self.paths, F.col("l_partkey") == F.col("part"))
 
     @property
-    def files(self) -> DataFrame:
-        """path, language, test, modified_at (null if no line item names it), file_ord."""
+    def listed(self) -> DataFrame:
+        """path, language, test, file_ord: files without their times, for which no line item is read."""
         found = self.paths.groupBy("path").agg(F.min("part").alias("file_ord"))
+        return found.select("path", language_of(F.col("path")).alias("language"), is_test(F.col("path")).alias("test"), "file_ord")
+
+    @property
+    def files(self) -> DataFrame:
+        """path, language, test, modified_at (null if no line item names it), file_ord. Who doesn't ask for the time takes ``listed``."""
         times = self.lines.groupBy("path").agg(F.max("l_shipdate").alias("modified_at"))
-        return found.join(times, "path", "left").select("path", language_of(F.col("path")).alias("language"), is_test(F.col("path")).alias("test"), "modified_at", "file_ord")
+        return self.listed.join(times, "path", "left").select("path", "language", "test", "modified_at", "file_ord")
 
     @property
     def symbols(self) -> DataFrame:
@@ -120,7 +125,7 @@ class Graph:
     @property
     def groups(self) -> DataFrame:
         """Stored categories: (group_id, path, state, rank, parent): a noun, a directory of the second level, and the one above it; files lie in several."""
-        rows = self.files.select("path", F.substring_index("path", "/", 1).alias("top"), F.regexp_extract("path", r"([^/.]+)\.[^.]+$", 1).alias("noun"))
+        rows = self.listed.select("path", F.substring_index("path", "/", 1).alias("top"), F.regexp_extract("path", r"([^/.]+)\.[^.]+$", 1).alias("noun"))
         none, top, second = F.lit(None).cast("string"), F.concat(F.lit("dir:"), "top"), F.substring_index("path", "/", 2)
         a = rows.select(top.alias("group_id"), "path", F.lit("accepted").alias("state"), F.lit(3).alias("rank"), none.alias("parent"))
         b = rows.select(F.concat(F.lit("brand:"), second).alias("group_id"), "path", F.when(second.endswith("1"), "rejected").otherwise("suggested").alias("state"), F.lit(2).alias("rank"), top.alias("parent"))

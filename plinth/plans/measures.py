@@ -23,7 +23,7 @@ def _corpus(g: Graph) -> tuple[DataFrame, DataFrame]:
     rows = g.references.where("kind = 'imports'")
     second = lambda c: F.split(c, "/")[1]
     imports = rows.select(_project("src_file"), F.col("src_file").alias("path"), F.col("first").alias("ord"), P.base_name(F.col("dst_file")).alias("specifier"), (~F.col("dst_file").contains("/tests/")).alias("resolved"), (second("src_file") != second("dst_file")).alias("internal"))
-    return g.files.select(_project("path"), "path", "language"), imports
+    return g.listed.select(_project("path"), "path", "language"), imports
 
 
 @query(IMPORTS_SQL + """, u AS (SELECT project, count(*) AS n, count(*) FILTER (NOT resolved) AS u, count(*) FILTER (NOT resolved AND internal) AS i FROM im GROUP BY 1)
@@ -73,7 +73,7 @@ def isolated_boxes(g: Graph) -> DataFrame:
     """Directories, and the few lines of guessed inheritance between them."""
     rows = g.edges.where("kind = 'extends' and guessed and substring_index(src_file, '/', 1) = substring_index(dst_file, '/', 1) and length(concat(src_file, dst_file)) % 8 = 0")
     lines = rows.select(_project("src_file"), P.dir_name(F.col("src_file")).alias("src_box"), P.dir_name(F.col("dst_file")).alias("dst_box")).where("src_box <> dst_box").distinct()
-    return measures.isolated(g.files.select(_project("path"), P.dir_name(F.col("path")).alias("box")).distinct(), lines)
+    return measures.isolated(g.listed.select(_project("path"), P.dir_name(F.col("path")).alias("box")).distinct(), lines)
 
 
 @query(r""" SELECT doc_id, count(*) AS n_names, md5(string_agg(w, chr(10) ORDER BY w COLLATE en_us, w)) AS names_md5 FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS w FROM documents) GROUP BY doc_id""")

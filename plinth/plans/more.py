@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions import text as P
+from plinth.functions.staging import staged
 from plinth.operators import derive, diff, lift, lists, resolve
 from plinth.plans.graph import Graph
 from plinth.plans.registry import DECL_SQL, REF_SQL, _lookup, _nodes, query
@@ -15,9 +16,9 @@ from plinth.sources import project, reports
 
 
 def _imports(g: Graph, ext: str) -> DataFrame:
-    """(file, dst, ord) of import edges between files of one suffix; each edge is an import of its own."""
+    """(file, dst, ord) of import edges between files of one suffix; each edge is an import of its own. Staged: resolvers read them many times."""
     rows = g.edges.where(f"kind = 'imports' and src like '%.{ext}' and dst like '%.{ext}'")
-    return rows.select(F.col("src").alias("file"), "dst", F.col("dst").alias("ord"))
+    return staged(rows.select(F.col("src").alias("file"), "dst", F.col("dst").alias("ord")), "imports")
 
 
 def _im(ext: str) -> str:
@@ -30,7 +31,7 @@ def _noun(path: Column) -> Column:
 
 def _files(g: Graph, ext: str, to: str, root: str = "") -> DataFrame:
     """The files of one suffix, as files of another language."""
-    return g.files.where(F.col("path").endswith(f".{ext}")).select(_as("path", ext, to, root).alias("path"))
+    return g.listed.where(F.col("path").endswith(f".{ext}")).select(_as("path", ext, to, root).alias("path"))
 
 
 def _as(name: str, ext: str, to: str, root: str = "") -> Column:
@@ -43,9 +44,9 @@ def _as(name: str, ext: str, to: str, root: str = "") -> Column:
 def resolved_go(g: Graph) -> DataFrame:
     """A name of an imported package, and a name of the file's own package."""
     far = _imports(g, "go").select("file", "ord", F.concat(F.lit("ex.org/m/"), P.dir_name(F.col("dst")), F.lit("#s"), (F.length(F.concat("dst", "file")) % 40).cast("string")).alias("specifier"))
-    go = g.files.where("path like '%.go'")
+    go = g.listed.where("path like '%.go'")
     own = go.select(F.col("path").alias("file"), F.lit("own").alias("ord"), F.concat(F.lit("package:s"), (F.col("file_ord") % 40).cast("string")).alias("specifier"))
-    return resolve.go(far.unionByName(own), g.files, "ex.org/m", g.symbols.select("path", "name"), go.select("path", F.lit("main").alias("package")))
+    return resolve.go(far.unionByName(own), g.listed, "ex.org/m", g.symbols.select("path", "name"), go.select("path", F.lit("main").alias("package")))
 
 
 @query(_im("py") + """ SELECT im.file, dst AS ord, f.path AS target FROM im JOIN files f ON f.path = CASE WHEN length(dst) % 2 = 0 THEN here || '/' || noun || '.py' ELSE dst END""")
@@ -53,7 +54,7 @@ def resolved_python(g: Graph) -> DataFrame:
     """Half the imports name a sibling by a leading dot, the others the whole module."""
     im = _imports(g, "py")
     spec = F.when(F.length("dst") % 2 == 0, F.concat(F.lit("."), _noun(F.col("dst")))).otherwise(F.regexp_replace(F.regexp_replace("dst", r"\.py$", ""), "/", "."))
-    return resolve.python(im.select("file", "ord", spec.alias("specifier")), g.files).select("file", "ord", "target")
+    return resolve.python(im.select("file", "ord", spec.alias("specifier")), g.listed).select("file", "ord", "target")
 
 
 @query(_im("cs") + """ SELECT replace(file, '.cs', '.rs') AS file, dst AS ord, replace(f.path, '.cs', '.rs') AS target FROM im JOIN files f ON f.path = CASE WHEN length(dst) % 2 = 0 THEN here || '/' || noun || '.cs' ELSE replace(dst, 'tests/', '') END""")
@@ -89,8 +90,8 @@ def resolved_php(g: Graph) -> DataFrame:
 def resolved_packages(g: Graph) -> DataFrame:
     """Each directory of the second level is a package; test folders aren't reached by a package's name."""
     im = _imports(g, "ts").select("file", "ord", F.concat(F.lit("@w/"), F.split("dst", "/")[1], F.lit("/"), _noun(F.col("dst"))).alias("specifier"))
-    dirs = g.files.where("path like '%.ts'").select(F.concat(F.lit("@w/"), F.split("path", "/")[1]).alias("name"), F.substring_index("path", "/", 2).alias("dir")).distinct()
-    return resolve.workspace(im, g.files, dirs).select("file", "ord", "target")
+    dirs = g.listed.where("path like '%.ts'").select(F.concat(F.lit("@w/"), F.split("path", "/")[1]).alias("name"), F.substring_index("path", "/", 2).alias("dir")).distinct()
+    return resolve.workspace(im, g.listed, dirs).select("file", "ord", "target")
 
 
 @query(_im("ts") + """, al AS (SELECT * FROM (VALUES ('brand1', 0), ('brand2', 1), ('brand4', 2)) v(brand, nr)) SELECT file, dst AS ord, min({'far': split_part(file, '/', 2) <> brand, 'nr': nr, 'path': f.path}).path AS target FROM im CROSS JOIN al JOIN files f ON f.path = 'economy/' || brand || '/' || noun || '.ts' GROUP BY file, dst""")
@@ -98,7 +99,7 @@ def resolved_aliases(g: Graph) -> DataFrame:
     """One alias with three targets: the importing file's own directory first, then in order."""
     im = _imports(g, "ts").select("file", "ord", F.concat(F.lit("~/"), _noun(F.col("dst"))).alias("specifier"))
     aliases = g.spark.createDataFrame([("~/*", "economy/brand1/*", 0), ("~/*", "economy/brand2/*", 1), ("~/*", "economy/brand4/*", 2), ("*", "none/*", 3)], "pattern string, target string, nr int")
-    return resolve.script_alias(im, g.files, aliases).select("file", "ord", "target")
+    return resolve.script_alias(im, g.listed, aliases).select("file", "ord", "target")
 
 
 @query(_im("java") + """, nm AS (SELECT *, 's' || length(dst || file) % 40 AS name FROM im) SELECT nm.file, dst AS ord, coalesce(max(CASE WHEN s.path = nm.file THEN s.path END), min(s.path)) AS target FROM nm JOIN symbols s ON regexp_replace(s.path, '/[^/]*$', '') = there AND s.name = nm.name GROUP BY nm.file, dst""")
@@ -107,7 +108,7 @@ def resolved_kotlin(g: Graph) -> DataFrame:
     im = _imports(g, "java")
     package = lambda c: F.regexp_replace(P.dir_name(F.col(c)), "/", ".")
     spec = F.concat(package("dst"), F.lit(".s"), (F.length(F.concat("dst", "file")) % 40).cast("string"), F.when(F.length("file") % 2 == 0, ".CONST").otherwise(""))
-    files = g.files.where("path like '%.java'").select("path", package("path").alias("package"))
+    files = g.listed.where("path like '%.java'").select("path", package("path").alias("package"))
     return resolve.kotlin(im.select("file", "ord", spec.alias("specifier")), files, g.symbols.select("path", "name"))
 
 
@@ -120,16 +121,16 @@ def resolved_csharp(g: Graph) -> DataFrame:
     """Bare type names; directories are namespaces, and half the imports bring the namespace of what they name into sight."""
     im = _imports(g, "cs")
     space = lambda c: F.regexp_replace(P.dir_name(F.col(c)), "/", ".")
-    scopes = g.files.where("path like '%.cs'").select("path", space("path").alias("namespace"))
+    scopes = g.listed.where("path like '%.cs'").select("path", space("path").alias("namespace"))
     usings = im.where(F.length("dst") % 2 == 0).select(F.col("file").alias("path"), space("dst").alias("namespace"))
-    return resolve.csharp(im.select("file", "ord", _noun(F.col("dst")).alias("specifier")), g.files, scopes, usings, scopes.limit(0))
+    return resolve.csharp(im.select("file", "ord", _noun(F.col("dst")).alias("specifier")), g.listed, scopes, usings, scopes.limit(0))
 
 
 @query(""", d AS (SELECT path FROM files UNION ALL SELECT regexp_replace(path, '\\.[^.]+$', '') || '.d.ts' FROM files WHERE file_ord % 2 = 0) SELECT path FROM d WHERE NOT (path LIKE '%.d.ts' AND (replace(path, '.d.ts', '.ts') IN (SELECT path FROM files) OR replace(path, '.d.ts', '.js') IN (SELECT path FROM files)))""")
 def unshadowed_files(g: Graph) -> DataFrame:
     """Half the files have a declaration file beside them; those of scripts are shadowed by them."""
-    more = g.files.where("file_ord % 2 = 0").select(F.regexp_replace("path", r"\.[^.]+$", ".d.ts").alias("path"))
-    return project.unshadowed(g.files.select("path").unionByName(more))
+    more = g.listed.where("file_ord % 2 = 0").select(F.regexp_replace("path", r"\.[^.]+$", ".d.ts").alias("path"))
+    return project.unshadowed(g.listed.select("path").unionByName(more))
 
 
 # --- reports and listings ----------------------------------------------------------------------------------------
@@ -229,7 +230,7 @@ def owned_members(g: Graph) -> DataFrame:
     """Four names asked of each class and interface; Go packages are the files of a directory whose paths are both even or both odd in length."""
     rows = _nodes(g)
     calls = rows.where("kind in ('class', 'interface')").select(F.col("id").alias("owner_id"), F.explode(F.array(*map(F.lit, ["s3", "s4", "s9", "s10"]))).alias("member"))
-    files = g.files.select("path", "language", (F.length("path") % 2).cast("string").alias("package"))
+    files = g.listed.select("path", "language", (F.length("path") % 2).cast("string").alias("package"))
     return derive.member_of(calls, rows, files).select("owner_id", "member", "dst")
 
 
@@ -264,7 +265,7 @@ UNRESOLVED_SQL = REF_SQL + ", un AS (SELECT file AS path, 0::BIGINT AS imports,
 
 @query(UNRESOLVED_SQL + " SELECT regexp_replace(path, '/[^/]*$', '') AS box, sum(imports)::BIGINT AS imports, sum(calls)::BIGINT AS calls FROM un GROUP BY 1")
 def box_unresolved(g: Graph) -> DataFrame:
-    boxes = g.files.select("path", P.dir_name(F.col("path")).alias("box"))
+    boxes = g.listed.select("path", P.dir_name(F.col("path")).alias("box"))
     return lift.box_unresolved(boxes, derive.unresolved(_lookup(g)[0]))
 
 
@@ -272,9 +273,9 @@ def box_unresolved(g: Graph) -> DataFrame:
 def scoped_warnings(g: Graph) -> DataFrame:
     """Each file behind two boxes; one top folder is outside the scope."""
     top = F.substring_index("path", "/", 1)
-    boxes = g.files.select("path", F.explode(F.array(top, P.dir_name(F.col("path")))).alias("box"), (top == "promo").alias("external"))
+    boxes = g.listed.select("path", F.explode(F.array(top, P.dir_name(F.col("path")))).alias("box"), (top == "promo").alias("external"))
     counts = derive.unresolved(_lookup(g)[0]).withColumnRenamed("file", "path")
-    return lift.scoped_warnings(boxes, g.files.select("path", (F.col("file_ord") % 5 == 0).alias("parse_error")).join(counts, "path", "left"))
+    return lift.scoped_warnings(boxes, g.listed.select("path", (F.col("file_ord") % 5 == 0).alias("parse_error")).join(counts, "path", "left"))
 
 
 # --- differences of nodes and edges --------------------------------------------------------------------------------
@@ -307,7 +308,7 @@ LIST_SQL = ", ro AS (SELECT regexp_replace(path, '/[^/]*$', '') AS view, path AS
 def _rows(g: Graph) -> DataFrame:
     """The files of each directory as rows of a list, with the imports that reach them, sure ones or guesses."""
     n = g.edges.where("kind = 'imports'").groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("n"), F.count("guessed").alias("m"))
-    rows = g.files.select("path").join(n, "path", "left").join(g.status.select("path", "status"), "path", "left")
+    rows = g.listed.select("path").join(n, "path", "left").join(g.status.select("path", "status"), "path", "left")
     return rows.select(P.dir_name(F.col("path")).alias("view"), F.col("path").alias("id"), P.base_name(F.col("path")).alias("label"), F.lit(False).alias("external"), F.coalesce("n", F.lit(0)).alias("weight_in"), F.coalesce("m", F.lit(0)).alias("weight_out"), "status", F.lit(0).alias("git_changed"))
 
 

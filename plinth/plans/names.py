@@ -26,8 +26,8 @@ def resolved_java(g: Graph) -> DataFrame:
     """Names of two packages: that which half the files declare, and the last directory of the others, with an inner type."""
     noun = _noun(F.col("dst"))
     spec = F.concat(F.lit("decl."), noun, F.lit("|"), _last_dir("dst"), F.lit("."), noun, F.lit(".Inner"))
-    packages = g.files.where("file_ord % 2 = 0").select("path", F.lit("decl").alias("package"))
-    return resolve.java(_imports(g, "java").select("file", "ord", spec.alias("specifier")), g.files, packages).select("file", "ord", "target")
+    packages = g.listed.where("file_ord % 2 = 0").select("path", F.lit("decl").alias("package"))
+    return resolve.java(_imports(g, "java").select("file", "ord", spec.alias("specifier")), g.listed, packages).select("file", "ord", "target")
 
 
 @query(_im("cs") + f""", f AS (SELECT path, file_ord AS o, regexp_extract(path, '([^/.]+)\\.[^.]+$', 1) AS noun FROM files WHERE path LIKE '%.cs'),
@@ -39,7 +39,7 @@ def resolved_php_names(g: Graph) -> DataFrame:
     noun = _noun(F.col("dst"))
     first = F.when(F.length("dst") % 2 == 0, F.concat(F.lit("N\\"), noun)).otherwise(F.concat(F.lit("N\\s"), (F.length("dst") % 5).cast("string")))
     im = _imports(g, "cs").select(_as("file", "cs", "php").alias("file"), "ord", F.concat(first, F.lit("|"), _last_dir("dst"), F.lit("\\"), noun, F.lit("|\\"), noun).alias("specifier"))
-    files = g.files.where("path like '%.cs'").select(_as("path", "cs", "php").alias("path"), (F.col("file_ord") % 3).alias("k"), "file_ord")
+    files = g.listed.where("path like '%.cs'").select(_as("path", "cs", "php").alias("path"), (F.col("file_ord") % 3).alias("k"), "file_ord")
     name = F.when(F.col("k") == 0, F.concat(F.lit("s"), (F.col("file_ord") % 5).cast("string"))).when(F.col("file_ord") % 2 == 0, _noun(F.col("path"))).otherwise("Other")
     told = files.where("k < 2").select("path", name.alias("name"))
     prefixes = files.limit(0).select(F.col("path").alias("prefix"), F.col("path").alias("dir"))
@@ -54,7 +54,7 @@ RAZOR_NEAR = "CASE WHEN split_part(a.file, '/', 2) <> split_part(v.path, '/', 2)
 
 def _views(g: Graph) -> tuple[DataFrame, DataFrame]:
     """(files, imports) of views: a page for each class file, some of them shared; the class files import what their twins among pages do."""
-    rows = g.files.where("path like '%.cs'").select("path", "file_ord", P.dir_name(F.col("path")).alias("dir"), F.substring_index("path", "/", 2).alias("two"), _noun(F.col("path")).alias("noun"))
+    rows = g.listed.where("path like '%.cs'").select("path", "file_ord", P.dir_name(F.col("path")).alias("dir"), F.substring_index("path", "/", 2).alias("two"), _noun(F.col("path")).alias("noun"))
     files = rows.select(F.concat(F.when(F.col("file_ord") % 3 == 0, F.concat("two", F.lit("/Views/Shared/"), "noun")).otherwise(F.concat("dir", F.lit("/"), "noun")), F.lit(".cshtml")).alias("path"))
     noun, k = _noun(F.col("dst")), F.length("dst") % 5
     spec = F.when(k == 0, F.concat(F.lit("view:"), noun)).when(k == 1, F.concat(F.lit("view:~/"), _last_dir("dst"), F.lit("/"), noun))
@@ -78,7 +78,7 @@ def resolved_views(g: Graph) -> DataFrame:
 def resolved_view_types(g: Graph) -> DataFrame:
     """Types and components that views name; each second directory says its namespace, and one namespace is used from the top."""
     _, im = _views(g)
-    cs = g.files.where("path like '%.cs'").select("path", "file_ord", F.substring_index("path", "/", 2).alias("two"))
+    cs = g.listed.where("path like '%.cs'").select("path", "file_ord", F.substring_index("path", "/", 2).alias("two"))
     two = cs.select("two").distinct()
     facts = two.select(F.concat("two", F.lit("/_ViewImports.cshtml")).alias("file"), F.lit("1").alias("ord"), F.when(F.substring("two", -1, 1).cast("int") % 2 == 0, F.concat(F.lit("namespace:"), F.replace("two", F.lit("/"), F.lit(".")))).otherwise("tag:x").alias("specifier"))
     facts = facts.unionByName(two.select(F.concat(F.substring_index("two", "/", 1), F.lit("/_ViewImports.cshtml")).alias("file"), F.lit("1").alias("ord"), F.lit("using:standard.brand1").alias("specifier")).distinct())

@@ -38,7 +38,7 @@ def files(g: Graph) -> DataFrame:
 
 @query(" SELECT language, count(*) AS n_files, count(*) FILTER (test) AS n_tests FROM files GROUP BY language ORDER BY 2 DESC, 1")
 def language_counts(g: Graph) -> DataFrame:
-    return g.files.groupBy("language").agg(F.count("*").alias("n_files"), F.count_if("test").alias("n_tests")).orderBy(F.desc("n_files"), "language")
+    return g.listed.groupBy("language").agg(F.count("*").alias("n_files"), F.count_if("test").alias("n_tests")).orderBy(F.desc("n_files"), "language")
 
 
 def _listed(words: list[str]) -> str:
@@ -61,12 +61,12 @@ def filtered_files(g: Graph) -> DataFrame:
 
 @query(" SELECT path FROM files WHERE NOT test AND path IN (SELECT path FROM status)")
 def changed_files(g: Graph) -> DataFrame:
-    return views.keep_files(g.files, views.Filter(hide_tests=True, only_changed=True), g.status).select("path")
+    return views.keep_files(g.listed, views.Filter(hide_tests=True, only_changed=True), g.status).select("path")
 
 
 @query(" SELECT count(*) AS n FROM files WHERE test AND contains(path, '.ts')")
 def hidden_tests(g: Graph) -> DataFrame:
-    return views.keep_files(g.files, views.Filter(only_path=".ts")).where("test").agg(F.count("*").alias("n"))
+    return views.keep_files(g.listed, views.Filter(only_path=".ts")).where("test").agg(F.count("*").alias("n"))
 
 
 @query(" SELECT doc_id, (length(text) - length(replace(text, chr(10), '')) + CASE WHEN length(text) > 0 AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END)::BIGINT AS n_lines FROM documents")
@@ -85,7 +85,7 @@ def durations(g: Graph) -> DataFrame:
  CASE WHEN len(p) = 4 THEN p[1] || '>' || p[1] || '/' || p[2] || '>' || p[1] || '/' || p[2] || '/' || p[3] ELSE p[1] || '>' || p[1] || '/' || p[2] END AS above FROM t""")
 def path_parts(g: Graph) -> DataFrame:
     p = F.col("path")
-    return g.files.select("path", F.size(F.split(p, "/")).cast("long").alias("depth"), F.substring_index(p, "/", 1).alias("first_part"), P.base_name(p).alias("name"), F.array_join(P.ancestors(p), ">").alias("above"))
+    return g.listed.select("path", F.size(F.split(p, "/")).cast("long").alias("depth"), F.substring_index(p, "/", 1).alias("first_part"), P.base_name(p).alias("name"), F.array_join(P.ancestors(p), ">").alias("above"))
 
 
 # --- edges, lifting ---------------------------------------------------------------------------------------
@@ -103,7 +103,7 @@ def edge_kinds(g: Graph) -> DataFrame:
 
 @query(" SELECT kind, count(*) AS n FROM symbols GROUP BY kind UNION ALL SELECT 'file', count(*) FROM files")
 def node_kinds(g: Graph) -> DataFrame:
-    return g.symbols.groupBy("kind").agg(F.count("*").alias("n")).unionByName(g.files.agg(F.lit("file").alias("kind"), F.count("*").alias("n")))
+    return g.symbols.groupBy("kind").agg(F.count("*").alias("n")).unionByName(g.listed.agg(F.lit("file").alias("kind"), F.count("*").alias("n")))
 
 
 @query(" SELECT src_file, kind, dst_file, weight, guessed FROM lifted WHERE kind IN ('imports', 'extends', 'implements')")
@@ -113,7 +113,7 @@ def lifted(g: Graph) -> DataFrame:
 
 @query(" SELECT l.* FROM lifted l WHERE NOT contains(src_file, '/tests/') AND NOT contains(dst_file, '/tests/')")
 def lifted_filtered(g: Graph) -> DataFrame:
-    return lift.between(lift.lift_to_files(g.edges), views.keep_files(g.files, views.Filter(hide_tests=True))).select("src_file", "kind", "dst_file", "weight", "guessed")
+    return lift.between(lift.lift_to_files(g.edges), views.keep_files(g.listed, views.Filter(hide_tests=True))).select("src_file", "kind", "dst_file", "weight", "guessed")
 
 
 @query(""" SELECT l.* FROM lifted l WHERE kind <> 'imports' OR NOT EXISTS (SELECT 1 FROM lifted m WHERE m.kind IN ('calls', 'associates') AND m.src_file = l.src_file AND m.dst_file = l.dst_file)""")
@@ -127,25 +127,25 @@ BOXES_SQL = ", boxes AS (SELECT path, split_part(path, '/', 1) AS box FROM files
 @query(BOXES_SQL + " SELECT * FROM bl WHERE kind IN ('imports', 'extends', 'implements')")
 def scope_lines(g: Graph) -> DataFrame:
     """The root view: directory boxes and weighted lines."""
-    return lift.lift_to_boxes(lift.lift_to_files(g.edges, DRAWN), views.scope_boxes(g.files))
+    return lift.lift_to_boxes(lift.lift_to_files(g.edges, DRAWN), views.scope_boxes(g.listed))
 
 
 @query(""", b AS (SELECT path, CASE WHEN path LIKE 'promo/brand4/%' THEN path ELSE regexp_replace(path, '/[^/]*$', '') END AS box, CASE WHEN path LIKE 'promo/brand4/%' THEN 'file' ELSE 'external' END AS kind FROM files)
  SELECT box, kind, count(*) AS n_files FROM b GROUP BY ALL""")
 def scope_of_brand(g: Graph) -> DataFrame:
     """A small scope: its files are boxes, all others are external directories."""
-    return views.scope_boxes(g.files, "promo/brand4").groupBy("box", "kind").agg(F.count("*").alias("n_files"))
+    return views.scope_boxes(g.listed, "promo/brand4").groupBy("box", "kind").agg(F.count("*").alias("n_files"))
 
 
 @query(BOXES_SQL + """ SELECT box, count(*) AS n_files, CASE WHEN count(DISTINCT language) = 1 AND count(language) = count(*) THEN min(language) END AS language, bool_and(test) AS test, count(status) AS n_changed
  FROM boxes JOIN files USING (path) LEFT JOIN status USING (path) GROUP BY box""")
 def box_facts(g: Graph) -> DataFrame:
-    return lift.box_facts(views.scope_boxes(g.files), g.files, g.status)
+    return lift.box_facts(views.scope_boxes(g.listed), g.listed, g.status)
 
 
 @query(BOXES_SQL + " SELECT box, sum(i)::BIGINT AS weight_in, sum(o)::BIGINT AS weight_out FROM (SELECT src_box AS box, 0 AS i, weight AS o FROM bl UNION ALL SELECT dst_box, weight, 0 FROM bl) GROUP BY box")
 def list_rows(g: Graph) -> DataFrame:
-    return lift.in_and_out(lift.lift_to_boxes(lift.lift_to_files(g.edges), views.scope_boxes(g.files)))
+    return lift.in_and_out(lift.lift_to_boxes(lift.lift_to_files(g.edges), views.scope_boxes(g.listed)))
 
 
 LINKS_SQL = ", links AS (SELECT src_file, dst_file, sum(weight)::BIGINT AS weight FROM lifted WHERE kind <> 'depends' AND NOT contains(src_file, '/tests/') AND NOT contains(dst_file, '/tests/') GROUP BY ALL)"
@@ -153,25 +153,25 @@ LINKS_SQL = ", links AS (SELECT src_file, dst_file, sum(weight)::BIGINT AS weigh
 
 @query(LINKS_SQL + " SELECT * FROM links")
 def file_links(g: Graph) -> DataFrame:
-    return lift.file_links(g.edges, g.files)
+    return lift.file_links(g.edges, g.listed)
 
 
 @query(LINKS_SQL + """, w AS (SELECT src_file AS path, dst_file AS other, weight FROM links UNION ALL SELECT dst_file, src_file, weight FROM links)
  SELECT f.path, other, sum(weight)::BIGINT AS weight FROM files f LEFT JOIN w USING (path) WHERE NOT test GROUP BY ALL""")
 def neighbours(g: Graph) -> DataFrame:
-    return lift.neighbours(lift.file_links(g.edges, g.files), g.files)
+    return lift.neighbours(lift.file_links(g.edges, g.listed), g.listed)
 
 
 CLUSTER_SQL = LINKS_SQL + ", m AS (SELECT path, split_part(path, '/', 2) AS cluster FROM files WHERE NOT test)"
 
 
 def _clusters(g: Graph) -> DataFrame:
-    return g.files.where("not test").select("path", F.get(F.split("path", "/"), F.lit(1)).alias("cluster"))
+    return g.listed.where("not test").select("path", F.get(F.split("path", "/"), F.lit(1)).alias("cluster"))
 
 
 @query(CLUSTER_SQL + " SELECT least(a.cluster, b.cluster) AS low, greatest(a.cluster, b.cluster) AS high, sum(weight)::BIGINT AS weight FROM links JOIN m a ON src_file = a.path JOIN m b ON dst_file = b.path WHERE a.cluster <> b.cluster GROUP BY ALL")
 def crossings(g: Graph) -> DataFrame:
-    return lift.crossings(lift.file_links(g.edges, g.files), _clusters(g))
+    return lift.crossings(lift.file_links(g.edges, g.listed), _clusters(g))
 
 
 @query(CLUSTER_SQL + """, e AS (SELECT a.cluster AS a, b.cluster AS b, weight FROM links LEFT JOIN m a ON src_file = a.path LEFT JOIN m b ON dst_file = b.path),
@@ -179,14 +179,14 @@ def crossings(g: Graph) -> DataFrame:
  SELECT cluster, n_files, coalesce(i.n, 0)::BIGINT AS inside, coalesce(o.n, 0)::BIGINT AS leaving, CASE WHEN coalesce(i.n, 0) + coalesce(o.n, 0) > 0 THEN coalesce(i.n, 0)::DOUBLE / (coalesce(i.n, 0) + coalesce(o.n, 0))::DOUBLE ELSE 0.0 END AS cohesion
  FROM (SELECT cluster, count(*) AS n_files FROM m GROUP BY cluster) LEFT JOIN i USING (cluster) LEFT JOIN o USING (cluster)""")
 def cohesion(g: Graph) -> DataFrame:
-    return lift.cohesion(lift.file_links(g.edges, g.files), _clusters(g))
+    return lift.cohesion(lift.file_links(g.edges, g.listed), _clusters(g))
 
 
 @query(BOXES_SQL + """, p AS (SELECT b.box, dst AS symbol, count(DISTINCT src_file) AS n_files, CASE WHEN bool_and(coalesce(guessed, false)) THEN true END AS guessed FROM edges JOIN boxes a ON src_file = a.path JOIN boxes b ON dst_file = b.path
  WHERE kind IN ('calls', 'extends', 'implements', 'associates') AND a.box <> b.box GROUP BY ALL), r AS (SELECT *, count(*) OVER (PARTITION BY box) AS total, row_number() OVER (PARTITION BY box ORDER BY n_files DESC, symbol) AS rank FROM p)
  SELECT * FROM r WHERE rank <= 12""")
 def provides(g: Graph) -> DataFrame:
-    return lift.provides(g.edges, g.symbols, views.scope_boxes(g.files), REACHING)
+    return lift.provides(g.edges, g.symbols, views.scope_boxes(g.listed), REACHING)
 
 
 @query(""", rc AS (SELECT DISTINCT src_file, dst_file AS path FROM edges WHERE src_file <> dst_file AND kind <> 'contains'), rt AS (SELECT path, bool_or(NOT test) AS by_source, bool_or(test) AS by_test FROM rc JOIN (SELECT path AS src_file, test FROM files) USING (src_file) GROUP BY path),
@@ -194,7 +194,7 @@ def provides(g: Graph) -> DataFrame:
  f AS (SELECT path, CASE WHEN by_test THEN 'only tests reach it' ELSE 'nothing reaches it' END AS why, coalesce(imports, 0) AS imports FROM files LEFT JOIN rt USING (path) LEFT JOIN im USING (path) WHERE NOT test AND path NOT LIKE '%.d.ts' AND NOT coalesce(by_source, false))
  SELECT path, why, imports, count(*) OVER () AS total FROM f ORDER BY imports DESC, path COLLATE en_us, path LIMIT 12""")
 def roots(g: Graph) -> DataFrame:
-    return lift.roots(g.edges, g.files)
+    return lift.roots(g.edges, g.listed)
 
 
 @query(""", ge AS (SELECT * FROM after ANTI JOIN before USING (src, kind, dst)), rc AS (SELECT DISTINCT src_file, dst_file AS path FROM ge WHERE src_file <> dst_file AND kind = 'imports'), rt AS (SELECT path, bool_or(NOT test) AS by_source, bool_or(test) AS by_test FROM rc JOIN (SELECT path AS src_file, test FROM files) USING (src_file) GROUP BY path),
@@ -205,7 +205,7 @@ def roots_of_additions(g: Graph) -> DataFrame:
     """Files that no import added between two snapshots reaches; scripts are named entry points."""
     before, after = g.snapshots()
     added = after.where("kind = 'imports'").join(before, ["src", "kind", "dst"], "left_anti")
-    return lift.roots(added, g.files, named=g.files.where("path like '%.ts'").select("path"))
+    return lift.roots(added, g.listed, named=g.listed.where("path like '%.ts'").select("path"))
 
 
 @query(""", r AS (SELECT src_file, dst_file, CASE WHEN composed AND NOT handed THEN 'composition' WHEN handed AND NOT composed THEN 'aggregation' END AS own FROM (SELECT src_file, dst_file, refs % 2 = 1 AS composed, coalesce(guessed, false) AS handed FROM edges WHERE kind = 'associates' AND src_file <> dst_file))
@@ -358,14 +358,14 @@ def symbol_coverage(g: Graph) -> DataFrame:
  u AS (SELECT f.folder, max_by(g.folder, length(g.folder)) AS parent, count(*) AS n FROM f JOIN f g ON starts_with(f.folder, g.folder || '/') GROUP BY 1)
  SELECT folder, (coalesce(u.n, 0) + 1)::BIGINT AS depth, parent, n_files, direct, n_dirs, CASE WHEN parent IS NULL THEN folder ELSE substring(folder, length(parent) + 2) END AS label FROM f LEFT JOIN u USING (folder)""")
 def folder_frames(g: Graph) -> DataFrame:
-    return views.folders(g.files.select("path"))
+    return views.folders(g.listed.select("path"))
 
 
 @query(""", b AS (SELECT path, CASE WHEN path LIKE 'promo/%' THEN 'promo' WHEN path LIKE 'small/brand1/%' THEN 'small/brand1' ELSE regexp_replace(path, '/[^/]*$', '') END AS box FROM files)
  SELECT a.box AS src_box, kind, c.box AS dst_box, sum(weight)::BIGINT AS weight FROM lifted JOIN b a ON src_file = a.path JOIN b c ON dst_file = c.path WHERE a.box <> c.box GROUP BY ALL""")
 def folded(g: Graph) -> DataFrame:
     """Directory boxes with two folders shut."""
-    boxes = g.files.select("path", P.dir_name(F.col("path")).alias("box"))
+    boxes = g.listed.select("path", P.dir_name(F.col("path")).alias("box"))
     lines = lift.lift_to_boxes(lift.lift_to_files(g.edges), boxes)
     # a box that is itself shut keeps its name; boxes under a shut folder become it
     return views.fold(lines, ["promo", "promo/brand1", "small/brand1"])
@@ -373,7 +373,7 @@ def folded(g: Graph) -> DataFrame:
 
 @query(BOXES_SQL + " SELECT (SELECT count(*) FROM boxes) AS n_files, count(DISTINCT box) AS n_boxes, CASE WHEN count(DISTINCT box) > 30 THEN 'list' ELSE 'diagram' END AS presentation FROM boxes")
 def presentation(g: Graph) -> DataFrame:
-    boxes = views.scope_boxes(g.files)
+    boxes = views.scope_boxes(g.listed)
     n = boxes.agg(F.count("*").alias("n_files"), F.count_distinct("box").alias("n_boxes"))
     return n.withColumn("presentation", views.Spec().presentation(F.col("n_boxes")))
 
@@ -508,7 +508,7 @@ MATCH_SQL = """, cl AS (SELECT path, CASE WHEN language IN ('go', 'java') THEN '
 
 def _scores(g: Graph) -> DataFrame:
     top = F.substring_index("path", "/", 1)
-    cl = g.files.select("path", F.when(F.col("language").isin("go", "java"), F.concat(F.lit("dir:"), top)).otherwise(F.concat(F.lit("c:"), top)).alias("cluster"))
+    cl = g.listed.select("path", F.when(F.col("language").isin("go", "java"), F.concat(F.lit("dir:"), top)).otherwise(F.concat(F.lit("c:"), top)).alias("cluster"))
     return groups.match_scores(cl, g.groups.select("group_id", "path"))
 
 
@@ -545,8 +545,8 @@ def orphans(g: Graph) -> DataFrame:
  SELECT sz.group_id, n, parent, coalesce(depth, 0)::BIGINT AS depth FROM sz LEFT JOIN up USING (group_id) LEFT JOIN (WITH RECURSIVE walk AS (SELECT group_id, parent AS at_, 1 AS depth FROM up UNION ALL SELECT w.group_id, up.parent, w.depth + 1 FROM walk w JOIN up ON up.group_id = w.at_) SELECT group_id, max(depth) AS depth FROM walk GROUP BY 1) USING (group_id)""")
 def group_nesting(g: Graph) -> DataFrame:
     """Stored categories, test folders and files alike in name and length of path, nested by what they hold."""
-    more = g.files.where("test").select(F.concat(F.lit("tests:"), F.regexp_replace("path", "/tests/.*$", "")).alias("group_id"), "path")
-    alike = g.files.select(F.concat(F.lit("size:"), F.length("path").cast("string"), P.base_name(F.col("path"))).alias("group_id"), "path")
+    more = g.listed.where("test").select(F.concat(F.lit("tests:"), F.regexp_replace("path", "/tests/.*$", "")).alias("group_id"), "path")
+    alike = g.listed.select(F.concat(F.lit("size:"), F.length("path").cast("string"), P.base_name(F.col("path"))).alias("group_id"), "path")
     return groups.nested(g.groups.select("group_id", "path").unionByName(more).unionByName(alike))
 
 
@@ -556,12 +556,12 @@ PART_SQL = """, claims AS (SELECT *, CASE WHEN group_id IN (SELECT parent FROM g
 
 @query(PART_SQL + " SELECT * FROM pt")
 def partition(g: Graph) -> DataFrame:
-    return groups.partition(g.files, g.groups)
+    return groups.partition(g.listed, g.groups)
 
 
 @query(PART_SQL + " SELECT a.box AS src_box, kind, b.box AS dst_box, sum(weight)::BIGINT AS weight, CASE WHEN bool_and(coalesce(guessed, false)) THEN true END AS guessed FROM lifted JOIN pt a ON src_file = a.path JOIN pt b ON dst_file = b.path WHERE a.box <> b.box GROUP BY ALL")
 def component_lines(g: Graph) -> DataFrame:
-    return lift.lift_to_boxes(lift.lift_to_files(g.edges), groups.partition(g.files, g.groups))
+    return lift.lift_to_boxes(lift.lift_to_files(g.edges), groups.partition(g.listed, g.groups))
 
 
 @query(" SELECT a.group_id AS a, b.group_id AS b, count(*) AS shared, any_value(x.n) AS size_a, any_value(y.n) AS size_b FROM grp a JOIN grp b USING (path) JOIN (SELECT group_id, count(*) AS n FROM grp GROUP BY 1) x ON x.group_id = a.group_id JOIN (SELECT group_id, count(*) AS n FROM grp GROUP BY 1) y ON y.group_id = b.group_id WHERE a.group_id < b.group_id GROUP BY ALL")
@@ -572,7 +572,7 @@ def group_overlaps(g: Graph) -> DataFrame:
 @query()
 def clusters(g: Graph) -> DataFrame:
     """Clusters by label propagation over all links; the graph is one project, so it has to fit in one task."""
-    near = lift.neighbours(lift.file_links(g.edges, g.files), g.files)
+    near = lift.neighbours(lift.file_links(g.edges, g.listed), g.listed)
     return folds.clusters(near.select(F.lit("p").alias("project"), "path", "other", "weight"))
 
 
@@ -613,7 +613,7 @@ def _search_sql(q: str) -> str:
 
 def _search_nodes(g: Graph) -> DataFrame:
     own = g.symbols.select("id", "kind", "name", "path", F.col("symbol_ord").alias("ord"))
-    return own.unionByName(g.files.select(F.col("path").alias("id"), F.lit("file").alias("kind"), P.base_name(F.col("path")).alias("name"), "path", F.col("file_ord").alias("ord")))
+    return own.unionByName(g.listed.select(F.col("path").alias("id"), F.lit("file").alias("kind"), P.base_name(F.col("path")).alias("name"), "path", F.col("file_ord").alias("ord")))
 
 
 @query(_search_sql("s42"))
@@ -677,7 +677,7 @@ def marks(g: Graph) -> DataFrame:
  SELECT f.*, coalesce(x.inside, 0)::BIGINT AS inside, coalesce(x.leaving, 0)::BIGINT AS leaving, coalesce(y.n, 0) AS reached_from, coalesce(x.reaches, 0) AS reaches FROM f LEFT JOIN (SELECT group_id, sum(weight) FILTER (both_) AS inside, sum(weight) FILTER (NOT both_) AS leaving, count(DISTINCT dst_file) FILTER (NOT both_) AS reaches FROM o GROUP BY 1) x USING (group_id)
  LEFT JOIN (SELECT group_id, count(DISTINCT src_file) AS n FROM i GROUP BY 1) y USING (group_id)""")
 def group_evidence(g: Graph) -> DataFrame:
-    return notes.evidence(lift.file_links(g.edges, g.files), g.groups.select("group_id", "path"), g.files)
+    return notes.evidence(lift.file_links(g.edges, g.listed), g.groups.select("group_id", "path"), g.listed)
 
 
 @query(""", im AS (SELECT dst_file AS path, list_sort(list(DISTINCT src_file)) AS by_ FROM edges WHERE kind = 'imports' GROUP BY 1), rc AS (SELECT dst_file AS path, count(DISTINCT dst) AS symbols, count(DISTINCT src_file) AS nf FROM edges WHERE kind IN ('calls', 'extends', 'implements', 'associates') AND src_file <> dst_file GROUP BY 1),
@@ -690,7 +690,7 @@ def coupling_notes(g: Graph) -> DataFrame:
 @query(""" SELECT (SELECT count(*) FROM files) AS n_files, (SELECT count(*) FROM files WHERE test) AS n_tests, (SELECT count(DISTINCT language) FROM files) AS n_languages, count(*) FILTER (status = 'modified') AS modified, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'deleted') AS deleted, count(*) FILTER (status = 'untracked') AS untracked, count(*) FILTER (status = 'renamed') AS renamed,
  sum(added)::BIGINT AS lines_added, sum(deleted)::BIGINT AS lines_deleted, (SELECT count(DISTINCT group_id) FROM grp WHERE state = 'accepted') AS accepted, (SELECT count(DISTINCT group_id) FROM grp WHERE state = 'rejected') AS rejected FROM status""")
 def overview(g: Graph) -> DataFrame:
-    return notes.overview(g.files, g.status, g.groups)
+    return notes.overview(g.listed, g.status, g.groups)
 
 
 @query("SELECT doc_id, 'sha256:' || sha256(text || chr(10) || source) AS fingerprint, length(array_to_string(string_split(text, chr(10))[1:400], chr(10))[1:24000]) AS clip FROM documents", graph=False)
@@ -711,4 +711,4 @@ def resolved_scripts(g: Graph) -> DataFrame:
     im = g.edges.where("kind = 'imports' and src like '%.ts' and dst like '%.ts'").select(F.col("src").alias("file"), "dst")
     up = F.repeat(F.lit("../"), F.size(F.split("file", "/")) - 1)
     im = im.select("file", F.col("dst").alias("ord"), F.concat(F.lit("./"), up, F.regexp_replace("dst", r"\.ts$", ".js")).alias("specifier"))
-    return resolve.script_relative(im, g.files).select("file", "target")
+    return resolve.script_relative(im, g.listed).select("file", "target")

@@ -21,10 +21,10 @@ def configured_aliases(g: Graph) -> DataFrame:
     own = F.concat(F.lit('\ufeff{ // "of" one file\n "extends": "../tsconfig.base", "compilerOptions": { /* , } */ "paths": {"@'), noun, F.lit('/*": ["./*", "../*",],\n},}, }'))
     url = F.lit('{"$schema": "https://x.org//y", "extends": ["../none", "./loop.json", "../tsconfig.base.json"], "compilerOptions": {"baseUrl": "./lib"}}')
     plain = F.lit('{"extends": ["../tsconfig.base.json", "missing/package"]} // the last ]')
-    each = g.files.select(F.concat("path", F.lit("/tsconfig.json")).alias("path"), F.when(nr == 0, own).when(nr == 1, url).otherwise(plain).alias("text"))
-    loop = g.files.where("file_ord % 3 = 1").select(F.concat("path", F.lit("/loop.json")).alias("path"), F.lit('{"extends": "./tsconfig"}').alias("text"))
+    each = g.listed.select(F.concat("path", F.lit("/tsconfig.json")).alias("path"), F.when(nr == 0, own).when(nr == 1, url).otherwise(plain).alias("text"))
+    loop = g.listed.where("file_ord % 3 = 1").select(F.concat("path", F.lit("/loop.json")).alias("path"), F.lit('{"extends": "./tsconfig"}').alias("text"))
     base = F.concat(F.lit('{"compilerOptions": {"paths": {"~'), dir_, F.lit('/*": ["src/*", "../../../../up/*", "node_modules/x/*", "/abs/*"]}}}'))
-    shared = g.files.select(F.concat(dir_, F.lit("/tsconfig.base.json")).alias("path"), base.alias("text")).distinct()
+    shared = g.listed.select(F.concat(dir_, F.lit("/tsconfig.base.json")).alias("path"), base.alias("text")).distinct()
     return project.script_aliases(each.unionByName(loop).unionByName(shared)).select("pattern", "target")
 
 
@@ -50,7 +50,7 @@ def proposed_groups(g: Graph) -> DataFrame:
     rows = g.lines.groupBy(F.col("l_suppkey").alias("run"), F.col("l_quantity").cast("long").alias("q")).agg(F.array_sort(F.collect_list("path")).alias("files"))
     group = F.struct("q", F.concat(F.lit("g"), F.col("q").cast("string")).alias("name"), F.concat("files", F.array(F.concat(F.lit("gone/"), F.col("q").cast("string")))).alias("files"))
     replies = rows.groupBy("run").agg(F.to_json(F.struct(F.struct(F.array_sort(F.collect_list(group)).alias("groups")).alias("structured_output"))).alias("stdout"))
-    out = proposals.proposed_groups(replies, g.files.where(~F.col("test")), g.files)
+    out = proposals.proposed_groups(replies, g.listed.where(~F.col("test")), g.listed)
     return out.select("run", "nr", "name", F.size("files").alias("n_files"), F.array_join("files", ",").alias("files"), F.array_join("invented", ",").alias("invented"))
 
 
@@ -63,5 +63,5 @@ def smallest_claims(g: Graph) -> DataFrame:
  cr AS (SELECT DISTINCT e.src_file AS path, b.own AS there FROM edges e JOIN ow a ON a.path = e.src_file JOIN ow b ON b.path = e.dst_file WHERE kind IN ('imports', 'calls', 'extends', 'implements', 'associates') AND a.own <> b.own)
  SELECT ow.path, own, coalesce(string_agg(there, ',' ORDER BY there COLLATE en_us, there), '') AS crossed FROM ow LEFT JOIN cr USING (path) GROUP BY ALL""")
 def reaching_into(g: Graph) -> DataFrame:
-    out = groups.reaching_into(g.edges, g.files, g.groups, ["imports", *REACHING])
+    out = groups.reaching_into(g.edges, g.listed, g.groups, ["imports", *REACHING])
     return out.select("path", "own", F.array_join("crossed", ",").alias("crossed"))

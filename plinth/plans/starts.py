@@ -22,7 +22,7 @@ START_SQL = r""", f AS (SELECT path, file_ord AS o, split_part(path, '/', 1) ||
 def entry_points(g: Graph) -> DataFrame:
     """Packages with a main file, commands, exports and scripts (compiled names among them), frameworks' folders in each second one, Go programs in three parts."""
     path, o = F.col("path"), F.col("file_ord")
-    rows = g.files.select("path", "file_ord", F.substring_index("path", "/", 2).alias("dir"), F.regexp_extract("path", r"([^/.]+)\.[^.]+$", 1).alias("noun"))
+    rows = g.listed.select("path", "file_ord", F.substring_index("path", "/", 2).alias("dir"), F.regexp_extract("path", r"([^/.]+)\.[^.]+$", 1).alias("noun"))
     scripts = rows.where(r"path rlike '\\.[tj]s$'").withColumn("rel", F.concat(F.lit("./"), F.expr("substring(path, length(dir) + 2)")))
     compiled = F.regexp_replace("rel", r"\.ts$", ".js")
     some = lambda k, value: F.array_sort(F.collect_list(F.when(o % 5 == k, value)))

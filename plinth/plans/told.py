@@ -29,7 +29,7 @@ NOTES_SQL = f""", nmd AS (SELECT *, trim(substr(group_id, 1, 7)) AS name FROM gr
 def file_notes(g: Graph) -> DataFrame:
     """Stored categories under the first letters of their ids, so that several share a name; each fourth or so has none."""
     name = F.when(F.length("group_id") % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), F.substring("group_id", 1, 7)))
-    return coupling.file_notes(g.edges, g.files, g.symbols, REACHING, g.groups.withColumn("name", name))
+    return coupling.file_notes(g.edges, g.listed, g.symbols, REACHING, g.groups.withColumn("name", name))
 
 
 @query(""", l AS (SELECT src_file, dst_file, sum(weight) AS weight FROM lifted JOIN files a ON a.path = src_file JOIN files b ON b.path = dst_file WHERE kind <> 'depends' AND NOT a.test AND NOT b.test GROUP BY ALL),
@@ -41,23 +41,23 @@ def file_notes(g: Graph) -> DataFrame:
  UNION ALL SELECT 'dir:' || split_part(path, '/', 1), '"' || 'Old ' || split_part(path, '/', 1) || '" — ' || count(*) || ' files, stored, matches nothing' FROM files WHERE test GROUP BY split_part(path, '/', 1)""")
 def group_headings(g: Graph) -> DataFrame:
     """Directories of the second level as groups inside rejected ones; some are unnamed, drawn by hand, rejected or at the top; those of tests are stored without a match."""
-    plain = g.files.where("not test").select("path", F.substring_index("path", "/", 2).alias("cluster"))
+    plain = g.listed.where("not test").select("path", F.substring_index("path", "/", 2).alias("cluster"))
     digit = F.substring("cluster", -1, 1).cast("int")
     name = F.when(digit % 3 != 0, F.upper("cluster"))
-    found = lift.cohesion(lift.file_links(g.edges, g.files), plain).select(
+    found = lift.cohesion(lift.file_links(g.edges, g.listed), plain).select(
         F.col("cluster").alias("id"), name.alias("name"), F.when(digit == 5, "rejected").otherwise("accepted").alias("state"), F.when(digit == 4, "manual").otherwise("found").alias("origin"), "cohesion",
         F.when(digit != 9, F.substring_index("cluster", "/", 1)).alias("parent"), F.when(digit != 9, 1).otherwise(0).alias("depth"), "n_files",
     )
     tops = plain.groupBy(F.substring_index("path", "/", 1).alias("id")).agg(F.count("*").alias("n_files"))
     tops = tops.select("id", F.when(F.col("id") != "promo", F.upper("id")).alias("name"), F.lit("rejected").alias("state"), F.lit("found").alias("origin"), F.lit(0.0).alias("cohesion"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), "n_files")
-    lost = g.files.where("test").groupBy(F.substring_index("path", "/", 1).alias("top")).agg(F.count("*").alias("n_files")).select(F.concat(F.lit("dir:"), "top").alias("group_id"), F.concat(F.lit("Old "), "top").alias("name"), "n_files")
+    lost = g.listed.where("test").groupBy(F.substring_index("path", "/", 1).alias("top")).agg(F.count("*").alias("n_files")).select(F.concat(F.lit("dir:"), "top").alias("group_id"), F.concat(F.lit("Old "), "top").alias("name"), "n_files")
     return listing.group_headings(found.unionByName(tops), lost)
 
 
 @query(""" SELECT 'nodes' AS part, '{"id":"' || id || '","kind":"' || kind || '","name":"' || name || '"}' AS value FROM symbols UNION ALL SELECT 'nodes', '{"id":"' || path || '","kind":"file"}' FROM files
  UNION ALL SELECT 'edges', '{"from":"' || src || '","to":"' || dst || '","kind":"' || kind || '"' || CASE WHEN guessed THEN ',"guessed":true' ELSE '' END || '}' FROM edges""")
 def graph_json(g: Graph) -> DataFrame:
-    nodes = g.symbols.select("id", "kind", "name").unionByName(g.files.select(F.col("path").alias("id"), F.lit("file").alias("kind")), allowMissingColumns=True)
+    nodes = g.symbols.select("id", "kind", "name").unionByName(g.listed.select(F.col("path").alias("id"), F.lit("file").alias("kind")), allowMissingColumns=True)
     return listing.graph_json(nodes, g.edges.select(F.col("src").alias("from"), F.col("dst").alias("to"), "kind", "guessed"))
 
 
@@ -69,4 +69,4 @@ def agent_notes(g: Graph) -> DataFrame:
 
 @query(" SELECT 'nodes' AS part, kind, count(*) AS n FROM (SELECT kind FROM symbols UNION ALL SELECT 'file' FROM files) GROUP BY kind UNION ALL SELECT 'edges', kind, count(*) FROM edges GROUP BY kind")
 def kind_counts(g: Graph) -> DataFrame:
-    return listing.kind_counts(g.symbols.select("kind").unionByName(g.files.select(F.lit("file").alias("kind"))), g.edges)
+    return listing.kind_counts(g.symbols.select("kind").unionByName(g.listed.select(F.lit("file").alias("kind"))), g.edges)

@@ -1,8 +1,10 @@
 """Work that has to grow with the input, counted in rows that go through shuffles."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from plinth.operators import derive
+import __spark_entry__ as entry
+from plinth.operators import derive, lift, nearby, proposals
 from plinth.plans import registry
 from plinth.plans.graph import Graph
 from plinth.sources import reports
@@ -107,3 +109,9 @@ def test_marks_of_exports_meet_names_not_declarations(spark, shuffled):
     found, moved = shuffled(lambda: derive.exported_names(decl))
     assert {(r.file, r.name): r.id for r in found} == {("a", "n2"): "i102", ("a", "n4"): "i104", ("a", "n6"): "i106", ("a", "n8"): "i108", ("a", "n0"): "i110", **{("b", f"n{k}"): f"i{k}" for k in (1, 3, 5, 7, 9)}}
     assert moved < n / 5
+
+
+def test_resolvers_read_no_line_items_again(spark):
+    for name in ("resolved_csharp", "resolved_view_types"):
+        found = entry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert not [f for f in found.inputFiles() if "lineitem" in f], name
