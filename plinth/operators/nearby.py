@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.functions.staging import staged
 from plinth.functions.text import ancestors
 
 
@@ -26,6 +27,8 @@ def _standpoints(path: Column, whole: bool) -> Column:
 
 
 def _met(wanted: DataFrame, index: DataFrame, whole: bool) -> DataFrame:
+    wanted = staged(wanted.select("file", "ord", "rank", "key"), "wanted")  # both are read twice
+    index = staged(index.select("key", "path").join(wanted.select("key").distinct(), "key", "left_semi"), "index")  # files are placed only under keys that are asked for
     seen = index.select("key", "path", F.explode(_standpoints(F.col("path"), whole)).alias("under"))
     seen = seen.groupBy("key", "under").agg(F.min("path").alias("first"), F.max("path").alias("last"))
     asked = wanted.join(index.select("key").distinct(), "key", "left_semi")

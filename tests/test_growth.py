@@ -115,3 +115,12 @@ def test_resolvers_read_no_line_items_again(spark):
     for name in ("resolved_csharp", "resolved_view_types"):
         found = entry.queries()[name](spark, "/root/testdata/sf0.001")
         assert not [f for f in found.inputFiles() if "lineitem" in f], name
+
+
+def test_files_are_placed_only_under_keys_asked_for(spark, shuffled):
+    n = 3000
+    index = spark.range(n).selectExpr("concat('k', id) as key", "concat('a/b/', id, '.cs') as path")
+    wanted = spark.createDataFrame([("a/x.cs", 1, 0, "k7")], "file string, ord int, rank int, key string")
+    found, moved = shuffled(lambda: nearby.nearest_only(wanted, index))
+    assert [(r.file, r.target) for r in found] == [("a/x.cs", "a/b/7.cs")]
+    assert moved < 1.2 * n
