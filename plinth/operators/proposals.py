@@ -37,8 +37,9 @@ def read(replies: DataFrame, field: str) -> DataFrame:
 
 
 def _entries(replies: DataFrame, field: str) -> DataFrame:
-    """(run, k, x): the entries of replies without a problem."""
-    return read(replies, field).where("problem is null").select("run", F.posexplode("items").alias("k", "x"))
+    """(run, k, x): the entries of replies without a problem. The outer form keeps filters above it: below, each of them would parse the replies again."""
+    items = F.when(F.col("problem").isNull(), F.col("items"))
+    return read(replies, field).select("run", F.posexplode_outer(items).alias("k", "x")).where("k is not null")
 
 
 def suggested_names(replies: DataFrame, asked: DataFrame) -> DataFrame:

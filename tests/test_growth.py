@@ -124,3 +124,13 @@ def test_files_are_placed_only_under_keys_asked_for(spark, shuffled):
     found, moved = shuffled(lambda: nearby.nearest_only(wanted, index))
     assert [(r.file, r.target) for r in found] == [("a/x.cs", "a/b/7.cs")]
     assert moved < 1.2 * n
+
+
+def test_replies_are_not_parsed_again_for_each_filter(spark):
+    replies = spark.createDataFrame([(1, '{"result": "", "structured_output": {"suggestions": [{"id": "a", "name": "n"}, {"id": "b", "name": " "}]}}'), (2, '{"is_error": true}'), (3, None)], "run int, stdout string").repartition(1)
+    asked = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "run int, id string")
+    found = proposals.suggested_names(replies, asked)
+    assert [(r.run, r.id, r.name, r.reason) for r in found.collect()] == [(1, "a", "n", "")]
+    spark.conf.set("spark.sql.maxPlanStringLength", "10000000")
+    parsed = found._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson")
+    assert 0 < parsed <= 8
