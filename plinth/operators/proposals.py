@@ -56,9 +56,9 @@ def proposed_groups(replies: DataFrame, offered: DataFrame, project: DataFrame)
     A path that the project has but that wasn't offered is left out; one that it hasn't is invented.
     """
     x = F.col("x")
-    said = _entries(replies, "groups").select("run", "k", F.trim(_string(x, "$.name")).alias("name"), F.trim(F.coalesce(_string(x, "$.sentence"), F.lit(""))).alias("sentence"), F.try_variant_get(x, "$.files", "array<variant>").alias("paths")).where("name <> '' and paths is not null")
-    paths = said.select("run", "k", "name", "sentence", F.posexplode("paths").alias("j", "p")).select("run", "k", "name", "sentence", "j", _string(F.col("p"), "$").alias("path")).where("path is not null")
-    one = paths.groupBy("run", "k", "name", "sentence", "path").agg(F.min("j").alias("j"))
+    texts = F.array_distinct(F.transform(F.try_variant_get(x, "$.files", "array<variant>"), lambda p: _string(p, "$")))  # a path said twice counts where it was said first
+    said = _entries(replies, "groups").select("run", "k", F.trim(_string(x, "$.name")).alias("name"), F.trim(F.coalesce(_string(x, "$.sentence"), F.lit(""))).alias("sentence"), F.posexplode_outer(texts).alias("j", "path"))
+    one = said.where("name <> '' and path is not null")
     one = one.join(project.select("path", F.lit(True).alias("real")), "path", "left").join(offered.select("path", F.lit(True).alias("known")), "path", "left")
     told = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("j", "path")))), lambda s: s["path"])
     rows = one.groupBy("run", "k", "name", "sentence").agg(told(F.col("known")).alias("files"), told(F.col("known").isNull() & F.col("real").isNull()).alias("invented")).where(F.size("files") >= LEAST_FILES)

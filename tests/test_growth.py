@@ -126,6 +126,16 @@ def test_files_are_placed_only_under_keys_asked_for(spark, shuffled):
     assert moved < 1.2 * n
 
 
+def test_paths_of_replies_are_dealt_out_for_their_files_only(spark, shuffled):
+    n = 3000
+    said = "to_json(struct(struct(array(struct('g' as name, concat(array('p1'), collect_list(concat('p', id)), array('p0', 'gone')) as files)) as groups) as structured_output))"
+    replies = spark.range(n).groupBy().agg(F.expr(said).alias("stdout")).selectExpr("1 as run", "stdout").repartition(2)
+    project = spark.range(n).selectExpr("concat('p', id) as path")
+    found, moved = shuffled(lambda: proposals.proposed_groups(replies, project, project))
+    assert [(r.run, r.nr, r.name, len(r.files), r.files[0], r.invented) for r in found] == [(1, 1, "g", n, "p1", ["gone"])]
+    assert moved < 4.5 * n  # the paths to the files and back, and the files
+
+
 def test_replies_are_not_parsed_again_for_each_filter(spark):
     replies = spark.createDataFrame([(1, '{"result": "", "structured_output": {"suggestions": [{"id": "a", "name": "n"}, {"id": "b", "name": " "}]}}'), (2, '{"is_error": true}'), (3, None)], "run int, stdout string").repartition(1)
     asked = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "run int, id string")
