@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.functions.staging import staged
 from plinth.functions.text import named as by_name
 
 
@@ -29,9 +30,9 @@ def between(lines: DataFrame, kept: DataFrame) -> DataFrame:
 
 def without_told_imports(lines: DataFrame) -> DataFrame:
     """Imports go where calls or associations already tell how the two files are connected."""
-    told = lines.where(F.col("kind").isin("calls", "associates")).select("src_file", "dst_file").distinct()
-    imports = lines.where("kind = 'imports'").join(told, ["src_file", "dst_file"], "left_anti")
-    return lines.where("kind <> 'imports'").unionByName(imports)
+    tells = F.col("kind").isin("calls", "associates") & F.col("src_file").isNotNull() & F.col("dst_file").isNotNull()
+    told = F.coalesce(F.max(tells).over(Window.partitionBy("src_file", "dst_file")), F.lit(False))  # the kinds between two files
+    return lines.withColumn("told", told).where("kind <> 'imports' or kind = 'imports' and not told").drop("told")
 
 
 def lift_to_boxes(lines: DataFrame, boxes: DataFrame) -> DataFrame:

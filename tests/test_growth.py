@@ -111,6 +111,12 @@ def test_marks_of_exports_meet_names_not_declarations(spark, shuffled):
     assert moved < n / 5
 
 
+def _items(spark, folder, n, parts):
+    spark.range(parts).selectExpr("id as p_partkey", "'Brand#1' as p_brand", "'SMALL' as p_type", "concat('a n', id) as p_name").write.parquet(f"{folder}/part.parquet")
+    items = spark.range(n).selectExpr("id div 4 as l_orderkey", "id * 7 % 50 as l_partkey", "id % 9 as l_suppkey", "cast(id % 4 as int) as l_linenumber", "0.0d as l_discount", "'N' as l_returnflag", "if(id % 3 = 0, 'F', 'O') as l_linestatus", "timestamp_ntz'1998-01-01' as l_shipdate")
+    items.write.parquet(f"{folder}/lineitem.parquet")
+
+
 def test_resolvers_read_no_line_items_again(spark):
     for name in ("resolved_csharp", "resolved_view_types"):
         found = entry.queries()[name](spark, "/root/testdata/sf0.001")
@@ -144,3 +150,12 @@ def test_replies_are_not_parsed_again_for_each_filter(spark):
     spark.conf.set("spark.sql.maxPlanStringLength", "10000000")
     parsed = found._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson")
     assert 0 < parsed <= 8
+
+
+def test_told_imports_make_references_once(spark, shuffled, tmp_path):
+    n, parts = 4000, 50
+    _items(spark, tmp_path, n, parts)
+    found, moved = shuffled(lambda: registry.QUERIES["told_imports"](spark, str(tmp_path)))
+    kinds = {k: {(r.src_file, r.dst_file) for r in found if r.kind == k} for k in ("imports", "calls")}
+    assert kinds["calls"] and not kinds["imports"] & kinds["calls"]
+    assert moved < 3 * n
