@@ -94,12 +94,11 @@ def box_facts(boxes: DataFrame, files: DataFrame, status: DataFrame) -> DataFram
 
 def provides(edges: DataFrame, symbols: DataFrame, boxes: DataFrame, reaching: list[str], most: int = 12) -> DataFrame:
     """(box, symbol, n_files, guessed, total): symbols of a box that others reach, by distinct files, the top ones."""
-    from pyspark.sql import Window
-
     a, b = boxes.select(F.col("path").alias("src_file"), F.col("box").alias("src_box")), boxes.select(F.col("path").alias("dst_file"), "box")
     rows = edges.where(F.col("kind").isin(reaching)).join(a, "src_file").join(b, "dst_file").where("src_box <> box")
-    found = rows.groupBy("box", F.col("dst").alias("symbol")).agg(F.count_distinct("src_file").alias("n_files"), all_guessed().alias("guessed"))
-    found = found.join(symbols.select(F.col("id").alias("symbol")), "symbol", "left_semi")
+    rows = rows.select("box", F.col("dst").alias("symbol"), "src_file", "guessed").repartition("symbol")  # dealt out once for all that follows
+    each = rows.groupBy("box", "symbol", "src_file").agg(all_guessed().alias("guessed")).groupBy("box", "symbol").agg(F.count("src_file").alias("n_files"), all_guessed().alias("guessed"))
+    found = staged(each.join(symbols.select(F.col("id").alias("symbol")), "symbol", "left_semi"), "provided")  # counted and ranked
     totals = found.groupBy("box").agg(F.count("*").alias("total"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("box").orderBy(F.desc("n_files"), "symbol"))).where(F.col("rank") <= most)
     return ranked.join(totals, "box").select("box", "symbol", "n_files", "guessed", "total", F.col("rank").cast("long").alias("rank"))

@@ -152,6 +152,16 @@ def test_replies_are_not_parsed_again_for_each_filter(spark):
     assert 0 < parsed <= 8
 
 
+def test_reached_symbols_are_dealt_out_once(spark, shuffled):
+    n = 3000
+    edges = spark.range(n).selectExpr("'calls' as kind", "concat('f', id % 2) as src_file", "concat('g#', id) as dst", "'g' as dst_file", "cast(null as boolean) as guessed")
+    boxes = spark.createDataFrame([("f0", "f"), ("f1", "f"), ("g", "g")], "path string, box string")
+    symbols = spark.range(n).selectExpr("concat('g#', id) as id")
+    found, moved = shuffled(lambda: lift.provides(edges, symbols, boxes, ["calls"]))
+    assert len(found) == 12 and {(r.box, r.n_files, r.total) for r in found} == {("g", 1, n)}
+    assert moved < 4.5 * n
+
+
 def test_told_imports_make_references_once(spark, shuffled, tmp_path):
     n, parts = 4000, 50
     _items(spark, tmp_path, n, parts)
