@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plinth.functions.staging import staged
+
 
 def row_delta(before: DataFrame, after: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
     """(key, op): rows that are new or whose fields changed ('upsert'), and rows that are gone ('remove')."""
@@ -59,6 +63,21 @@ def graph_diff(before_nodes: DataFrame, after_nodes: DataFrame, before_edges: Da
     return rows.where("change <> 'changed'").select("id", "kind", "change").unionByName(touched)
 
 
+def file_changes(symbols: DataFrame, turned: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(path, change) of files, as ``graph_diff`` names them, from the symbols of both graphs (path, was, here, moved): which graph has one, and whether it comes, goes or declares something else.
+
+    turned(files) says from which of these files (path) an edge comes or goes. Edges decide only about files that both graphs
+    have with the symbols they had; where there are none, nothing is asked of edges.
+    """
+    files = staged(symbols.where("path is not null").groupBy("path").agg(*[F.bool_or(c).alias(c) for c in ("was", "here", "moved")]), "files")
+    change = F.when(~F.col("was"), "added").when(~F.col("here"), "removed").when(F.col("moved"), "touched")
+    rows = files.select("path", change.alias("change"))
+    told, still = rows.where("change is not null"), rows.where("change is null").select("path")
+    if still.isEmpty():
+        return told
+    return told.unionByName(still.join(turned(still), "path", "left_semi").select("path", F.lit("touched").alias("change")))
+
+
 def diff_lines(before: DataFrame, after: DataFrame) -> DataFrame:
     """(src_file, kind, dst_file, change, weight): changed edges, lifted for each change."""
     rows = edge_diff(before, after).where("src_file <> dst_file")

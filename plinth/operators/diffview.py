@@ -27,31 +27,39 @@ class DiffView:
     hidden_tests: DataFrame
 
 
-def members(named: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """(path, id, name, kind, owner, change, position): rows of each box in order; what went from a touched file stands among what stayed.
+def placed(rows: DataFrame) -> DataFrame:
+    """rows (path, ord, name, owner, stays, went: with the whole file) and their position: what went from a touched file stands among what stayed.
 
     A removed row goes after the last row that is of its owner (another member, or the owner itself), those placed before it
     among them; without one, and outside owners, to the end. By windows: of the removed rows around one owner, those after the
-    owner's own removal follow it at the end; others share the last surviving row around the owner as their anchor.
+    owner's own removal follow it at the end; others share the last surviving row around the owner as their anchor. All windows
+    are parts of a file: rows that are dealt out by path aren't shuffled again.
     """
+    stays, went, nr = F.col("stays"), F.col("went"), F.col("nr")
+    ring = Window.partitionBy("path", "around").orderBy("stays", "nr")  # what went, then what stays
+    so_far, whole = (ring.rowsBetween(Window.unboundedPreceding, x) for x in (Window.currentRow, Window.unboundedFollowing))
+    every = rows.withColumn("nr", F.row_number().over(Window.partitionBy("path", "stays").orderBy(F.asc_nulls_last("ord")))).withColumn("around", F.coalesce("owner", "name"))
+    every = every.withColumn("anchor", F.when(F.col("around").isNotNull(), F.max(F.when(stays, nr)).over(whole)))
+    every = every.withColumn("top", F.max(F.when(~stays & F.col("owner").isNull(), nr)).over(so_far)).withColumn("first", F.min(F.when(~stays, nr)).over(so_far))
+    inside = F.col("top").isNull() & F.col("anchor").isNotNull()
+    at = {
+        "section": F.when(stays | went | inside, 0).otherwise(1),
+        "block": F.when(stays | went, nr).when(inside, F.col("anchor")).otherwise(F.coalesce("top", "first")),
+        "sub": F.when(~stays & ~went & inside, 1).otherwise(0),
+    }
+    return every.withColumns(at).select(*rows.columns, (F.row_number().over(Window.partitionBy("path").orderBy(*at, "nr")) - 1).alias("position"))
+
+
+def members(named: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, id, name, kind, owner, change, position): rows of each box in order, ``placed``."""
     cols = ["path", "id", "ord", "name", "kind", "owner"]
     a, b = (x.withColumnRenamed("file", "path").join(named, "path").select(*cols, F.col("change").alias("of")) for x in (before, after))
-    order = Window.partitionBy("path").orderBy("ord")  # one file's rows
-    none = F.lit(None).cast("long")
-    at = lambda section, block, sub, nr: F.struct(F.lit(section).alias("section"), block.cast("long").alias("block"), F.lit(sub).alias("sub"), nr.cast("long").alias("nr"))
-    stay = b.where("of <> 'removed'").join(a.select("id", F.lit(True).alias("was")), "id", "left").withColumn("nr", F.row_number().over(order))
-    stay = stay.select(*cols, "nr", F.when(F.col("of") == "added", "added").when(F.col("was").isNull(), "added").alias("change"))
-    whole = a.where("of = 'removed'").select(*cols, F.lit("removed").alias("change"), at(0, F.row_number().over(order), 0, F.lit(0)).alias("place"))
-
-    around = F.coalesce("owner", "name")
-    gone = a.where("of = 'touched'").join(stay.select("id"), "id", "left_anti").withColumn("nr", F.row_number().over(order)).withColumn("around", around)
-    anchors = stay.withColumn("around", around).groupBy("path", "around").agg(F.max("nr").alias("anchor"))
-    so_far = Window.partitionBy("path", "around").orderBy("nr").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gone = gone.join(anchors, ["path", "around"], "left").withColumn("top", F.max(F.when(F.col("owner").isNull(), F.col("nr")).otherwise(none)).over(so_far)).withColumn("first", F.min("nr").over(so_far))
-    place = F.when(F.col("top").isNull() & F.col("anchor").isNotNull(), at(0, F.col("anchor"), 1, F.col("nr"))).otherwise(at(1, F.coalesce("top", "first"), 0, F.col("nr")))
-    placed = gone.select(*cols, F.lit("removed").alias("change"), place.alias("place"))
-    rows = stay.select(*cols, "change", at(0, F.col("nr"), 0, F.lit(0)).alias("place")).unionByName(whole).unionByName(placed)
-    return rows.select("path", "id", "name", "kind", "owner", "change", (F.row_number().over(Window.partitionBy("path").orderBy("place")) - 1).alias("position"))
+    rows = lambda x, change, stays, went: x.select(*cols, change.alias("change"), F.lit(stays).alias("stays"), F.lit(went).alias("went"))
+    there = b.where("of <> 'removed'")
+    stay = rows(there.join(a.select("id", F.lit(True).alias("was")), "id", "left"), F.when((F.col("of") == "added") | F.col("was").isNull(), "added"), True, False)
+    whole = rows(a.where("of = 'removed'"), F.lit("removed"), False, True)
+    gone = rows(a.where("of = 'touched'").join(there.select("id"), "id", "left_anti"), F.lit("removed"), False, False)
+    return placed(stay.unionByName(whole).unionByName(gone).repartition("path")).select("path", "id", "name", "kind", "owner", "change", "position")
 
 
 def lines(before: DataFrame, after: DataFrame, kept: DataFrame, kinds: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.staging import staged
@@ -64,23 +64,21 @@ class Graph:
             (F.col("first") % 500 + 1).alias("start_line"), F.col("l_suppkey").alias("symbol_ord"),
         )
 
+    def numbered(self) -> tuple[DataFrame, DataFrame]:
+        """(path, file): files by numbers of their own, which are shorter than paths where rows are shuffled; and (part, file). Both staged."""
+        files = staged(self.paths.where("path is not null").select("path").distinct().withColumn("file", F.monotonically_increasing_id()), "files")
+        return files, staged(self.paths.join(files, "path").select("part", "file"), "parts")
+
     @property
     def references(self) -> DataFrame:
-        """References before they are made one: src, kind, dst, their files and numbers, day, and first: their order with the lowest bit set for a guess.
-
-        A line item refers to those of the next number in its order. They meet in a window, so line items are shuffled by order once.
-        """
-        k, nr = F.concat("l_returnflag", "l_linestatus"), F.col("l_linenumber")
-        kind_nr = F.when(k == "NO", 0).when(k == "NF", 1).when(k == "RO", 2).when(k == "RF", 3).when(k == "AO", 4).otherwise(5)  # short for the shuffle
-        kind = F.get(F.array(*map(F.lit, KINDS)), F.col("kind_nr"))
-        next_ones = F.collect_list(F.struct("path", "l_suppkey")).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(1, 1))  # one order
-        rows = self.lines.where("l_orderkey is not null and l_linenumber is not null").select("l_orderkey", "l_linenumber", "path", "l_suppkey", "l_discount", "l_shipdate", kind_nr.alias("kind_nr"))
-        both = rows.withColumn("to", next_ones).withColumn("to", F.explode("to")).withColumn("kind", kind)
-        nr_of = lambda key: F.when(F.col("kind") != "imports", F.col(key))
-        first = F.col("l_orderkey") * 16 + nr * 2 + (F.col("l_discount") >= 0.05).cast("long")
-        found = both.select(F.col("path").alias("src_file"), nr_of("l_suppkey").alias("src_nr"), "kind", F.col("to.path").alias("dst_file"), nr_of("to.l_suppkey").alias("dst_nr"), first.alias("first"), F.col("l_shipdate").alias("day"))
-        found = found.where("src_file <> dst_file and kind = 'imports' or kind <> 'imports' and src_file is not null and dst_file is not null and (src_file <> dst_file and src_nr is not null and dst_nr is not null or src_nr <> dst_nr)")
-        return with_ends(found)
+        """References before they are made one: src, kind, dst, their files and numbers, day, and first: their order with the lowest bit set for a guess."""
+        return with_ends(_references(self.lines))
+
+    def turned(self, parts: DataFrame, files: DataFrame) -> DataFrame:
+        """(path): those of the files (path) from which an edge comes or goes between the two spans. Both by numbers of files, as in ``numbered``."""
+        lines = self.table("lineitem").join(parts.withColumnRenamed("file", "path"), F.col("l_partkey") == F.col("part"))
+        rows = _references(lines).join(files.select(F.col("path").alias("src_file")), "src_file", "left_semi").withColumn("spans", _spans()).where("spans > 0")
+        return rows.groupBy(*ENDS).agg(F.bit_or("spans").alias("spans")).where("spans < 3").select(F.col("src_file").alias("path")).distinct()
 
     @property
     def edges(self) -> DataFrame:
@@ -97,11 +95,13 @@ class Graph:
         return before, after
 
     def staged_snapshots(self) -> tuple[DataFrame, DataFrame]:
-        """The same for those who read them several times: counted in one pass over the references, and staged."""
+        """The same for those who read them several times."""
+        return snapshots_of(self.spanned_edges())
+
+    def spanned_edges(self) -> DataFrame:
+        """The edges of both spans with their references in each: counted in one pass over the references, and staged."""
         both = self.references.groupBy(*ENDS).agg(*[F.min(F.when(F.expr(s), F.col("first"))).alias(f"first_{n}") for n, s in SPANS.items()], *[F.count_if(F.expr(s)).alias(n) for n, s in SPANS.items()])
-        both = staged(with_ends(both.where("before + after > 0")), "snapshots")
-        before, after = (both.where(F.col(n) > 0).select(*EDGE, F.when(F.col(f"first_{n}") % 2 == 1, True).alias("guessed"), F.col(n).alias("refs")) for n in SPANS)
-        return before, after
+        return staged(with_ends(both.where("before + after > 0")), "snapshots")
 
     def symbol_spans(self) -> DataFrame:
         """(path, l_suppkey, before, after): the symbols of those two spans by their smallest part in each, staged; null outside a span."""
@@ -109,6 +109,14 @@ class Graph:
         rows = self.lines.groupBy("path", "l_suppkey").agg(F.min(F.when(day < "2000-01-01", part)).alias("before"), F.min(F.when(day >= "1997-01-01", part)).alias("after"))
         return staged(rows, "symbols")
 
+    def numbered_spans(self, parts: DataFrame) -> DataFrame:
+        """The same by numbers of files (path), not staged: line items are dealt out by file once, and all rows of a file lie in one partition."""
+        spans, part = F.col("spans"), F.col("part")
+        rows = self.table("lineitem").withColumnRenamed("l_shipdate", "day").select("l_partkey", "l_suppkey", _spans().alias("spans"))
+        rows = rows.where("spans > 0").join(parts, F.col("l_partkey") == part)
+        rows = rows.select(F.col("file").alias("path"), "l_suppkey", "part", "spans").repartition("path")
+        return rows.groupBy("path", "l_suppkey").agg(F.min(F.when(spans != 2, part)).alias("before"), F.min(F.when(spans != 1, part)).alias("after"))
+
     @property
     def status(self) -> DataFrame:
         """path, status, added, deleted: what version control says; each order speaks of one of the counted parts."""
@@ -134,6 +142,34 @@ class Graph:
         return a.unionByName(b).unionByName(c)
 
 
+def _spans() -> Column:
+    """The spans that a row's day lies in: 1 is before, 2 is after, 3 both."""
+    return F.when(F.expr(SPANS["before"]), 1).otherwise(0) + F.when(F.expr(SPANS["after"]), 2).otherwise(0)
+
+
+def _references(lines: DataFrame) -> DataFrame:
+    """References of lines (with path, a file's path or number) before they are made one, without the ids of their ends.
+
+    A line item refers to those of the next number in its order. They meet in a window, so line items are shuffled by order once.
+    """
+    k, nr = F.concat("l_returnflag", "l_linestatus"), F.col("l_linenumber")
+    kind_nr = F.when(k == "NO", 0).when(k == "NF", 1).when(k == "RO", 2).when(k == "RF", 3).when(k == "AO", 4).otherwise(5)  # short for the shuffle
+    kind = F.get(F.array(*map(F.lit, KINDS)), F.col("kind_nr"))
+    next_ones = F.collect_list(F.struct("path", "l_suppkey")).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(1, 1))  # one order
+    rows = lines.where("l_orderkey is not null and l_linenumber is not null").select("l_orderkey", "l_linenumber", "path", "l_suppkey", "l_discount", "l_shipdate", kind_nr.alias("kind_nr"))
+    both = rows.withColumn("to", next_ones).withColumn("to", F.explode("to")).withColumn("kind", kind)
+    nr_of = lambda key: F.when(F.col("kind") != "imports", F.col(key))
+    first = F.col("l_orderkey") * 16 + nr * 2 + (F.col("l_discount") >= 0.05).cast("long")
+    found = both.select(F.col("path").alias("src_file"), nr_of("l_suppkey").alias("src_nr"), "kind", F.col("to.path").alias("dst_file"), nr_of("to.l_suppkey").alias("dst_nr"), first.alias("first"), F.col("l_shipdate").alias("day"))
+    return found.where("src_file <> dst_file and kind = 'imports' or kind <> 'imports' and src_file is not null and dst_file is not null and (src_file <> dst_file and src_nr is not null and dst_nr is not null or src_nr <> dst_nr)")
+
+
+def snapshots_of(both: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges of each span, from ``spanned_edges``."""
+    before, after = (both.where(F.col(n) > 0).select(*EDGE, F.when(F.col(f"first_{n}") % 2 == 1, True).alias("guessed"), F.col(n).alias("refs")) for n in SPANS)
+    return before, after
+
+
 def with_ends(rows: DataFrame) -> DataFrame:
     """rows and the ids that their files and numbers stand for: src and dst."""
     end = lambda x: F.when(F.col("kind") == "imports", F.col(f"{x}_file")).otherwise(F.concat(f"{x}_file", F.lit("#s"), f"{x}_nr"))

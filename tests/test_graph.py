@@ -55,3 +55,28 @@ def test_links_that_are_certain_and_between_languages_count(spark, tables):
     assert sorted(r.path for r in got) == ["large/brand1/n.go", "medium/brand1/n.java", "small/brand1/n.py"]
     assert {(r.project, r.cohesion) for r in got} == {("p", 1.0)}
     assert registry.QUERIES["roots"](spark, tables.dir).count() == 0
+
+
+def test_members_of_changed_files_are_those_of_sql(spark, tables):
+    """A file that only an edge touches, one without a change, those that come and go, and symbols without a number."""
+    from datetime import datetime
+
+    import duckdb
+
+    was, both, here = (datetime(y, 1, 1) for y in (1995, 1998, 2001))
+    item = lambda order, part, supplier, nr, day: (order, part, supplier, nr, 1.0, 0.0, "N", "F", day)
+    items = [item(1, 0, 1, 1, both), item(1, 1, 1, 2, both), item(2, 0, 1, 1, was), item(2, 2, 1, 2, both)]  # 0 calls 1 in both spans, 2 in one
+    items += [item(3, 3, None, 1, was), item(4, 3, None, 1, here), item(5, 3, 3, 1, was), item(6, 3, 10, 1, was), item(7, 3, 4, 1, here)]
+    items += [item(8, 4, None, 1, was), item(8, 4, -7, 2, was), item(8, 4, 9, 3, was), item(9, 5, 2, 1, here), item(9, 5, None, 2, here), item(9, 5, 8, 3, None), item(10, 6, 5, 1, None), item(11, 7, 6, 1, both)]
+    tables("part", [(i, "Brand#3" if i == 5 else "Brand#1", "SMALL", f"a n{i}") for i in range(7)] + [(7, None, "SMALL", "a n7")], PART)
+    tables("lineitem", items, LINES)
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tables.dir}/{t}.parquet/*.parquet'")
+    con.execute("CREATE TABLE orders (o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus VARCHAR)")
+    for name in ("diff_members", "diff_boxes", "diff_view_lines", "diff_hidden_tests"):
+        ours = [tuple(r) for r in registry.QUERIES[name](spark, tables.dir).collect()]
+        assert sorted(ours, key=repr) == sorted(con.execute(registry.ORACLES[name]).fetchall(), key=repr), name
+        if name == "diff_members":
+            assert {r[0] for r in ours} == {f"small/brand1/n{i}.py" for i in (0, 3, 4)} | {"small/brand3/tests/n5.py"}
+            assert ("small/brand1/n0.py", "small/brand1/n0.py#s1", None, 0) in ours

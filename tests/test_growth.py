@@ -169,3 +169,18 @@ def test_told_imports_make_references_once(spark, shuffled, tmp_path):
     kinds = {k: {(r.src_file, r.dst_file) for r in found if r.kind == k} for k in ("imports", "calls")}
     assert kinds["calls"] and not kinds["imports"] & kinds["calls"]
     assert moved < 3 * n
+
+
+@pytest.mark.parametrize("name, most", [("diff_members", 3.5), ("diff_hidden_tests", 2.5)])
+def test_differences_of_files_deal_line_items_out_by_file_once(spark, shuffled, tmp_path, name, most):
+    """By part, by file, and what is placed to its path; edges aren't asked for files whose symbols say that they changed."""
+    n, parts = 4000, 50
+    spark.range(parts).selectExpr("id as p_partkey", "'Brand#3' as p_brand", "'SMALL' as p_type", "concat('a n', id) as p_name").write.parquet(f"{tmp_path}/part.parquet")
+    items = spark.range(n).selectExpr("id div 4 as l_orderkey", "id % 50 as l_partkey", "id div 50 as l_suppkey", "cast(id % 4 as int) as l_linenumber", "0.0d as l_discount", "'N' as l_returnflag", "'F' as l_linestatus", "if(id div 50 % 2 = 0, timestamp_ntz'1995-01-01', timestamp_ntz'1998-01-01') as l_shipdate")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found, moved = shuffled(lambda: registry.QUERIES[name](spark, str(tmp_path)))
+    if name == "diff_members":
+        assert len(found) == n and {r.change for r in found} == {None, "removed"}
+    else:
+        assert [r.n for r in found] == [parts]
+    assert moved < most * n
