@@ -114,7 +114,8 @@ class Graph:
         spans, part = F.col("spans"), F.col("part")
         rows = self.table("lineitem").withColumnRenamed("l_shipdate", "day").select("l_partkey", "l_suppkey", _spans().alias("spans"))
         rows = rows.where("spans > 0").join(parts, F.col("l_partkey") == part)
-        rows = rows.select(F.col("file").alias("path"), "l_suppkey", "part", "spans").repartition("path")
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # by count, or small partitions would be joined to tasks whose windows hold many files
+        rows = rows.select(F.col("file").alias("path"), "l_suppkey", "part", "spans").repartition(n, "path")
         return rows.groupBy("path", "l_suppkey").agg(F.min(F.when(spans != 2, part)).alias("before"), F.min(F.when(spans != 1, part)).alias("after"))
 
     @property
